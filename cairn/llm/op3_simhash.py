@@ -53,12 +53,6 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in tk.slices(batches, 1):
-        made = np.array([fingerprint(t) for t in tk.as_bytes(batch.column(1))], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["_id", "_fp"])
-
-
 def _shifts(reach: int) -> np.ndarray:
     """By syndrome, the changes of at most ``reach`` bits of a half that lead to an anchor; -1 fills up."""
     by: list[list[int]] = [[] for _ in range(32)]
@@ -153,18 +147,36 @@ def near_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return dealt.mapInArrow(_compare(threshold), "_u long, _v long")
 
 
+def add_fingerprints(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the fingerprint as a signed whole number in ``name``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tk.slices(batches, at):
+            made = np.array([fingerprint(t) for t in tk.as_bytes(batch.column(at))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], schema=batch.schema.append(pa.field(name, pa.int64())))
+
+    at = docs.columns.index(text_col)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{fields}, {name} long")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` of every row of ``docs``."""
+    """``id_col``, ``fingerprint`` (16 hexadecimal digits), ``component_id`` and ``root_fingerprint`` of every row of ``docs``.
+
+    The root is the smallest fingerprint of the component, as a signed whole number.
+    """
     if threshold > 5:
         raise ValueError("the anchors are made for thresholds up to 5")
-    made = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_fingerprints, "_id long, _fp long")
-    made = written(made, "fingerprints")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    made = written(add_fingerprints(rows, "_fp", "_text").select("_id", "_fp"), "fingerprints")
     distinct = written(made.groupBy("_fp").agg(F.min("_id").alias("_first")), "distinct")
     nodes = connected(near_links(distinct, threshold))
     linked = written(distinct.join(nodes, distinct["_fp"] == nodes["_node"]).select("_fp", "_root", "_first"), "linked")
     least = written(linked.groupBy("_root").agg(F.min("_first").alias("_component")), "classes")
-    of = written(linked.join(least, "_root").select("_fp", "_component").unionByName(distinct.join(linked.select("_fp"), "_fp", "left_anti").select("_fp", F.col("_first").alias("_component"))), "of")
-    return made.join(of, "_fp").select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("_component").alias("component_id"))
+    alone = distinct.join(linked.select("_fp"), "_fp", "left_anti").select("_fp", F.col("_fp").alias("_root"), F.col("_first").alias("_component"))
+    of = written(linked.join(least, "_root").select("_fp", "_root", "_component").unionByName(alone), "of")
+    digits = F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint")
+    return made.join(of, "_fp").select(F.col("_id").alias(id_col), digits, F.col("_component").alias("component_id"), F.col("_root").alias("root_fingerprint"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
