@@ -82,14 +82,19 @@ class EliasFano:
         at, stop = self._first(high), self._first(high + 1)
         if begin is not None:
             at, stop = np.maximum(at, begin), np.minimum(stop, end)
+        # one high part can hold many elements (the successors of a frequent context): halve the stretch
+        last = stop
+        stop = stop.copy()
         open_ = np.flatnonzero(at < stop)
         while len(open_):
-            low = self._low(at[open_])
-            hit = low == want[open_]
-            out[open_[hit]] = at[open_[hit]]
-            open_ = open_[low < want[open_]]
-            at[open_] += 1
+            middle = (at[open_] + stop[open_]) >> 1
+            less = self._low(middle) < want[open_]
+            at[open_[less]] = middle[less] + 1
+            stop[open_[~less]] = middle[~less]
             open_ = open_[at[open_] < stop[open_]]
+        inside = np.flatnonzero(at < last)
+        inside = inside[self._low(at[inside]) == want[inside]]
+        out[inside] = at[inside]
         return out
 
 
