@@ -203,15 +203,15 @@ def score_texts(docs: DataFrame, learn: Column, mass: float = MASS, id_col: str
     n = chunks or tk.chunk_count(docs)
     chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("long")
     dealt = docs.select(chunk.alias("_chunk"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_train"))
-    words = dealt.groupBy("_chunk").applyInArrow(_send_words(n), BLOB).groupBy("_bucket").applyInArrow(_add_words, REPLY)
+    words = dealt.groupBy("_chunk").applyInArrow(tk.tidy(_send_words(n)), BLOB).groupBy("_bucket").applyInArrow(tk.tidy(_add_words), REPLY)
     totals = words.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.coalesce(F.sum("_v"), F.lit(0)).alias("_v"))
     every = totals.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_chunk"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_bucket"), F.lit(None).cast("binary").alias("_blob"), "_n", "_v")
-    pairs = dealt.groupBy("_chunk").cogroup(words.groupBy("_chunk")).applyInArrow(_send_pairs(n), BLOB)
-    found = pairs.groupBy("_bucket").applyInArrow(_look_up(mass), REPLY)
+    pairs = dealt.groupBy("_chunk").cogroup(words.groupBy("_chunk")).applyInArrow(tk.tidy(_send_pairs(n)), BLOB)
+    found = pairs.groupBy("_bucket").applyInArrow(tk.tidy(_look_up(mass)), REPLY)
     answers = words.unionByName(found).unionByName(every)
     scored = dealt.groupBy("_chunk").cogroup(answers.groupBy("_chunk"))
     schema = "_id long, _train boolean, _n_tokens long, _n_known long, _train_tokens long, _base double, _score double"
-    out = scored.applyInArrow(_score_or_none(n, mass), schema)
+    out = scored.applyInArrow(tk.tidy(_score_or_none(n, mass)), schema)
     return out.select(F.col("_id").alias(id_col), (~F.col("_train")).alias("held_out"), F.col("_n_tokens").alias("n_tokens"), F.col("_n_known").alias("n_known"), F.col("_train_tokens").alias("train_tokens"), F.col("_base").alias("base_score"), F.col("_score").alias("score"))
 
 

@@ -227,10 +227,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("long")
     plain = docs.select(chunk.alias("_chunk"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *own)
     dealt = plain.select("_chunk", "_id", "_text") if carry else plain
-    anchors = dealt.groupBy("_chunk").applyInArrow(_send_anchors(window, n), BLOB)
-    shared = anchors.groupBy("_bucket").applyInArrow(_shared_anchors, REPLY)
-    windows = dealt.groupBy("_chunk").cogroup(shared.groupBy("_chunk")).applyInArrow(_send_windows(window, n), BLOB)
-    later = windows.groupBy("_bucket").applyInArrow(_later_windows, REPLY)
+    anchors = dealt.groupBy("_chunk").applyInArrow(tk.tidy(_send_anchors(window, n)), BLOB)
+    shared = anchors.groupBy("_bucket").applyInArrow(tk.tidy(_shared_anchors), REPLY)
+    windows = dealt.groupBy("_chunk").cogroup(shared.groupBy("_chunk")).applyInArrow(tk.tidy(_send_windows(window, n)), BLOB)
+    later = windows.groupBy("_bucket").applyInArrow(tk.tidy(_later_windows), REPLY)
     schema = "_id long, _n_words long, _n_removed long, _kept_sha256 string"
     if carry:
         schema = f"_row {plain.schema['_row'].dataType.simpleString()}, {schema}, _kept_text string"

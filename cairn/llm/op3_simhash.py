@@ -137,14 +137,14 @@ def _compare(threshold: int):
 def near_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links ``_u``, ``_v`` that connect all distinct fingerprints ``_fp`` at most ``threshold`` bits apart."""
     reach = 1 + -(-(threshold // 2) // 2)
-    replicas = fps.select("_fp").mapInArrow(_replicas(reach), "_anchor long, _fp long")
+    replicas = fps.select("_fp").mapInArrow(tk.tidy(_replicas(reach)), "_anchor long, _fp long")
     counted = replicas.selectExpr("_anchor", "_fp", "count(*) OVER (PARTITION BY _anchor) AS _n").where("_n > 1")
     blocks = F.ceil(F.col("_n") / GROUP).cast("int")
     own = F.pmod(F.xxhash64("_fp"), blocks).cast("int")
     pairs = counted.select("_anchor", "_fp", own.alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
     pairs = pairs.select("_anchor", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_fp")
     dealt = pairs.repartition("_anchor", "_i", "_j").sortWithinPartitions("_anchor", "_i", "_j")
-    return dealt.mapInArrow(_compare(threshold), "_u long, _v long")
+    return dealt.mapInArrow(tk.tidy(_compare(threshold)), "_u long, _v long")
 
 
 def add_fingerprints(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
@@ -157,7 +157,7 @@ def add_fingerprints(docs: DataFrame, name: str, text_col: str = "text") -> Data
 
     at = docs.columns.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, {name} long")
+    return docs.mapInArrow(tk.tidy(run), f"{fields}, {name} long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

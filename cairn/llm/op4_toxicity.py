@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "t
     # distinct ids, so that the draw holds about ``sample`` rows of 12 bytes at most
     drawn = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share * (1 << 30))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), "_id").select("_id", "_text", "_label")
-    made = rows.mapInArrow(_distinct, "_id long, _label int, _terms binary")
+    made = rows.mapInArrow(tk.tidy(_distinct), "_id long, _label int, _terms binary")
     got = made.groupBy("_id").agg(F.max("_label"), F.max("_terms")).drop("_id").collect()
     got.sort()
     return Machine([np.frombuffer(r[1], np.uint32).astype(np.int64) for r in got], np.array([r[0] for r in got], dtype=float))
@@ -131,7 +131,7 @@ def score(docs: DataFrame, model: Machine, name: str = "score", text_col: str =
     kept = docs.select([c for c in docs.columns if c != name])
     at = kept.columns.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, {name} double")
+    return kept.mapInArrow(tk.tidy(run), f"{fields}, {name} double")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,7 @@ class Discriminant:
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id`` and ``_x``, the statistics of every row, in a written table."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return tk.written(rows.mapInArrow(_stats, "_id long, _x array<double>"), "statistics")
+    return tk.written(rows.mapInArrow(tk.tidy(_stats), "_id long, _x array<double>"), "statistics")
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +142,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(stats: DataFrame, labels: DataFrame, where: Column, label_col: str = "quality", id_col: str = "doc_id") -> Discriminant:
     """Fit on all labelled rows that ``where`` (over ``labels``) selects."""
     known = labels.where(where & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label")).where("_label IN (0, 1)")
-    sums = stats.join(known, "_id").select("_label", "_x").mapInArrow(_moments, "_label int, _place int, _value double").groupBy("_label", "_place").agg(F.sum("_value").alias("_value"))
+    sums = stats.join(known, "_id").select("_label", "_x").mapInArrow(tk.tidy(_moments), "_label int, _place int, _value double").groupBy("_label", "_place").agg(F.sum("_value").alias("_value"))
     d, tables = len(FEATURES) + 1, {}
     for label, place, value in sums.collect():  # (d + 1) squared rows a class
         tables.setdefault(label, np.zeros(d * d))[place] = value
@@ -158,7 +158,7 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
             x = batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x), pa.float64())], names=["_id", "score"])
 
-    return stats.select("_id", "_x").mapInArrow(run, "_id long, score double")
+    return stats.select("_id", "_x").mapInArrow(tk.tidy(run), "_id long, score double")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

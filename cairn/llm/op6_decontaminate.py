@@ -57,7 +57,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index, written to the shared folder; it depends on no test set and can be kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return tk.written(rows.mapInArrow(_index, INDEX), "index")
+    return tk.written(rows.mapInArrow(tk.tidy(_index), INDEX), "index")
 
 
 class Windows:
@@ -179,7 +179,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == b)
         own = Windows([(r[0], r[1].encode()) for r in part.toLocalIterator()], window)
-        parts.append(index.mapInArrow(_search(own, slop), FOUND))
+        parts.append(index.mapInArrow(tk.tidy(_search(own, slop)), FOUND))
     out = parts[0]
     if blocks > 1:
         for part in parts[1:]:

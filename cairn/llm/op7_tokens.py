@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .tokens import Encoder, default_path
+from .tokens import default_path, encoder
 
 BLOCK = 1 << 18
 FILES = "part int, block long, start long, n_ids long, bits int, doc_ids array<long>, ends binary, packed binary"
@@ -58,8 +58,8 @@ def unpack_bits(packed: bytes, bits: int, begin: int, end: int) -> np.ndarray:
 
 def _encode(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        bits = max(encoder.vocabulary - 1, end_id).bit_length()
+        made = encoder(path)
+        bits = max(made.vocabulary - 1, end_id).bit_length()
         part, number, start = TaskContext.get().partitionId(), 0, 0
         held, docs, size = [], [], 0
         end = np.array([end_id], dtype=np.uint32)
@@ -71,7 +71,7 @@ def _encode(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[f.split()[0] for f in FILES.split(", ")])
 
         for batch in tk.slices(batches, 1, 1 << 20):
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(tk.as_bytes(batch.column(1))), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), made.encode_all(tk.as_bytes(batch.column(1))), strict=True):
                 held.append(np.concatenate((ids, end)))
                 docs.append(doc)
                 size += len(ids) + 1
@@ -89,7 +89,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     dealt = rows.repartitionByRange(tk.chunk_count(docs, least=8), "_id").sortWithinPartitions("_id", "_text")
-    dealt.mapInArrow(_encode(tokenizer or default_path(), end_id), FILES).write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt.mapInArrow(tk.tidy(_encode(tokenizer or default_path(), end_id)), FILES).write.option("compression", "none").parquet(f"{path}/blocks")
     counts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))
     # one row for each part that was written: small whatever the documents hold
     counts.selectExpr("part", "n", "coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first").write.parquet(f"{path}/parts")
@@ -114,7 +114,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` of every document, from its unpacked ids."""
-    return read_blocks(spark, path).select("doc_ids", "start", "n_ids", "bits", "ends", "packed").mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_blocks(spark, path).select("doc_ids", "start", "n_ids", "bits", "ends", "packed").mapInArrow(tk.tidy(_digests), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

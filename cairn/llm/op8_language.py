@@ -97,7 +97,7 @@ def train(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str
     for lang, n in counts.items():
         share = F.when(F.col("_lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
     drawn = rows.where(F.pmod("_draw", F.lit(1 << 30)) < share * (1 << 30)).select("_lang", "_text")
-    got = drawn.mapInArrow(_bits, "_lang string, _bits binary").distinct().collect()  # equal rows count once
+    got = drawn.mapInArrow(tk.tidy(_bits), "_lang string, _bits binary").distinct().collect()  # equal rows count once
     if not got:
         return None
     got.sort()  # the same order however rows arrive
@@ -126,7 +126,7 @@ def identify(docs: DataFrame, model: Kernel | None, text_col: str = "text") -> D
     kept = docs.select([c for c in docs.columns if c not in ("lang_pred", "score")])
     at = kept.columns.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(score, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(tk.tidy(score), f"{fields}, lang_pred string, score double")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .tokens import Encoder, default_path
+from .tokens import default_path, encoder
 
 SIZE, END = 1024, 2
 PIECES = "_id long, _piece int, _start long, _length int, _crc long, _part int, _nth long"
@@ -72,11 +72,11 @@ def plan_sequences(counts: np.ndarray, size: int = SIZE) -> list[tuple[int, list
 
 def _cut(path: str, size: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(path), np.zeros(size + 1, dtype=np.int64)
+        made, seen = encoder(path), np.zeros(size + 1, dtype=np.int64)
         part, end = TaskContext.get().partitionId(), np.array([end_id], dtype=np.uint32)
         for batch in tk.slices(batches, 1, 1 << 20):
             rows: list[list] = [[] for _ in range(7)]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(tk.as_bytes(batch.column(1))), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), made.encode_all(tk.as_bytes(batch.column(1))), strict=True):
                 ids = np.concatenate((ids, end))
                 at, piece = 0, 0
                 while at < len(ids):
@@ -130,7 +130,7 @@ def pack_documents(docs: DataFrame, size: int = SIZE, tokenizer: str | None = No
     Returns ``id_col``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    pieces = tk.written(rows.mapInArrow(_cut(tokenizer or default_path(), size, end_id), PIECES), "pieces")
+    pieces = tk.written(rows.mapInArrow(tk.tidy(_cut(tokenizer or default_path(), size, end_id)), PIECES), "pieces")
     counts = tk.written(pieces.groupBy("_part", "_length").agg(F.count("*").alias("_n")), "lengths")
     histogram = np.zeros(size + 1, dtype=np.int64)
     for n, c in counts.groupBy("_length").agg(F.sum("_n")).collect():  # at most ``size`` rows
@@ -139,7 +139,7 @@ def pack_documents(docs: DataFrame, size: int = SIZE, tokenizer: str | None = No
     before = counts.selectExpr("_part", "_length", "sum(_n) OVER (PARTITION BY _length ORDER BY _part) - _n AS _before")
     numbered = pieces.join(before, ["_part", "_length"]).select("_id", "_piece", "_start", "_length", "_crc", (F.col("_before") + F.col("_nth")).alias("_number"))
     schema = "_id long, _piece int, _start long, _length int, _crc long, _sequence long, _offset long"
-    out = numbered.mapInArrow(_assign(places), schema)
+    out = numbered.mapInArrow(tk.tidy(_assign(places)), schema)
     return out.select(F.col("_id").alias(id_col), F.col("_piece").alias("piece"), F.col("_start").alias("start"), F.col("_length").cast("long").alias("length"), F.col("_crc").alias("ids_crc32"), F.col("_sequence").alias("sequence_id"), F.col("_offset").alias("offset"))
 
 

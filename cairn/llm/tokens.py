@@ -8,14 +8,19 @@ joined ids of its pieces.  A text with white space that is not ASCII is encoded
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 
 import numpy as np
 
+_SPACES = b" \t\n\x0b\x0c\r"
 PIECES = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-#: Entries and bytes a piece at which pieces are not kept: bounds of the cache.
-KEPT, LONGEST = 400_000, 48
+#: Pieces kept, and the bytes of the longest one kept: bounds of the cache of a worker process.
+KEPT, LONGEST = 400_000, 40
+#: Bytes of new pieces that are encoded as one text.
+JOINED = 1 << 16
 
 
 def default_path() -> str:
@@ -24,43 +29,76 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The process's encoder for ``path``; its cache serves all tasks of a worker."""
+    return Encoder(path)
+
+
 class Encoder:
     """Encodes texts to ``uint32`` ids; ``path`` names a file of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
+        # a byte-level token has one character for each byte it stands for
+        self.sizes = np.zeros(self.vocabulary, dtype=np.int64)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.sizes[k] = len(token)
         self.kept: dict[bytes, bytes] = {}
-
-    def _new(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: bytes | None) -> np.ndarray:
-        return self.encode_all([text])[0]
+        #: those that were used in one batch only
+        self.fresh: set[bytes] = set()
+
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces.  Those that begin with a space and end without stay apart in one joined text."""
+        apart = [p for p in pieces if p[0] in _SPACES and p[-1] not in _SPACES]
+        rest = [p for p in pieces if not (p[0] in _SPACES and p[-1] not in _SPACES)]
+        out = {p: ids.tobytes() for p, ids in zip(rest, self._whole(rest), strict=True)}
+        at = 0
+        while at < len(apart):
+            upto, size = at, 0
+            while upto < len(apart) and size < JOINED:
+                size += len(apart[upto])
+                upto += 1
+            group = apart[at:upto]
+            ids = self._whole([b"".join(group)])[0]
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p) for p in group])) + 1
+            raw, begin = ids.tobytes(), 0
+            for p, end in zip(group, (4 * ends).tolist(), strict=True):
+                out[p] = raw[begin:end]
+                begin = end
+            at = upto
+        return out
 
     def encode_all(self, texts: list[bytes | None]) -> list[np.ndarray]:
         cut: list[list[bytes] | None] = []
         for text in texts:
-            odd = text and not text.isascii() and OTHER_SPACE.search(text.decode())
-            odd = odd or text and text.isascii() and re.search(rb"[\x1c-\x1f]", text)
+            odd = text and (re.search(rb"[\x1c-\x1f]", text) if text.isascii() else OTHER_SPACE.search(text.decode()))
             cut.append(None if odd else PIECES.findall(text or b""))
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        new = list({p for pieces in cut if pieces for p in pieces} - self.kept.keys())
+        used = {p for pieces in cut if pieces for p in pieces}
+        self.fresh -= used  # used again: worth keeping
+        new = self._pieces(list(used - self.kept.keys()))
+        if len(self.kept) + len(new) > KEPT:
+            self.kept = {p: ids for p, ids in self.kept.items() if p in used or p not in self.fresh}
+            self.fresh.clear()
+            if len(self.kept) + len(new) > KEPT:
+                self.kept = {p: ids for p, ids in self.kept.items() if p in used}
         table = self.kept
-        made = dict(zip(new, self._new([p.decode() for p in new]), strict=True))
-        table.update(made)
+        table.update(new)
+        self.fresh.update(new)
         out = [
-            np.frombuffer(self._new([text.decode()])[0] if pieces is None else b"".join(map(table.__getitem__, pieces)), dtype=np.uint32)
+            self._whole([text])[0] if pieces is None else np.frombuffer(b"".join(map(table.__getitem__, pieces)), dtype=np.uint32)
             for text, pieces in zip(texts, cut, strict=True)
         ]
         for p in new:
             if len(p) > LONGEST:
                 del table[p]
+                self.fresh.discard(p)
         return out
