@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from cairn.plans import coordination, retrieval
+
+QUERIES = {**retrieval.QUERIES, **coordination.QUERIES}
+ORACLES = {**retrieval.ORACLES, **coordination.ORACLES}
+FLAGSHIP = "hybrid_recall"
