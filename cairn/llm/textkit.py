@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import functools
 import inspect
 import uuid
 from collections.abc import Iterator
@@ -132,24 +131,27 @@ def tidy(run):
         with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
             ctypes.CDLL(None).malloc_trim(0)
 
-    if inspect.isgeneratorfunction(run):
+    def one(data):
+        try:
+            return run(data)
+        finally:
+            release()
+
+    def two(data, more):
+        try:
+            return run(data, more)
+        finally:
+            release()
 
-        @functools.wraps(run)
-        def tidied(*args):
-            try:
-                yield from run(*args)
-            finally:
-                release()
-    else:
-
-        @functools.wraps(run)
-        def tidied(*args):
-            try:
-                return run(*args)
-            finally:
-                release()
-
-    return tidied
+    def many(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    if inspect.isgeneratorfunction(run):
+        return many
+    return one if len(inspect.signature(run).parameters) == 1 else two
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
