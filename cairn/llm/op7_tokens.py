@@ -70,7 +70,7 @@ def _encode(path: str, end_id: int):
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[f.split()[0] for f in FILES.split(", ")])
 
-        for batch in tk.slices(batches, 1, 1 << 20):
+        for batch in tk.slices(batches, 1, 2 << 20):
             for doc, ids in zip(batch.column(0).to_pylist(), made.encode_all(tk.as_bytes(batch.column(1))), strict=True):
                 held.append(np.concatenate((ids, end)))
                 docs.append(doc)

@@ -74,7 +74,7 @@ def _cut(path: str, size: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, seen = encoder(path), np.zeros(size + 1, dtype=np.int64)
         part, end = TaskContext.get().partitionId(), np.array([end_id], dtype=np.uint32)
-        for batch in tk.slices(batches, 1, 1 << 20):
+        for batch in tk.slices(batches, 1, 2 << 20):
             rows: list[list] = [[] for _ in range(7)]
             for doc, ids in zip(batch.column(0).to_pylist(), made.encode_all(tk.as_bytes(batch.column(1))), strict=True):
                 ids = np.concatenate((ids, end))

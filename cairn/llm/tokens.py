@@ -1,7 +1,8 @@
 """Token ids of whole texts, by the tokenizers library with a cache of word pieces.
 
 A byte-level tokenizer that splits text before it merges never joins what stands on both
-sides of a step from other characters to a space.  Texts are cut at these steps, each
+sides of a step from other characters to a space, or from an ASCII letter to a full stop
+or comma.  Texts are cut at these steps, each
 distinct piece is encoded once per task while the cache lasts, and a text's ids are the
 joined ids of its pieces.  A text with white space that is not ASCII is encoded whole.
 """
@@ -15,7 +16,8 @@ import re
 import numpy as np
 
 _SPACES = b" \t\n\x0b\x0c\r"
-PIECES = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: A word before a full stop or comma stands apart from it; all else goes by white space.
+PIECES = re.compile(rb"[ \t-\r]*[A-Za-z\x80-\xff]*[A-Za-z](?=[.,])|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Pieces kept, and the bytes of the longest one kept: bounds of the cache of a worker process.
 KEPT, LONGEST = 400_000, 40
