@@ -36,13 +36,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     of = near_duplicates(docs)
     bits = F.conv("fingerprint", 16, -10).cast("long")
     lead = of.groupBy("root_fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", bits.alias("fp"))).alias("lead"))
-    kept = textkit.written(lead.select(F.col("lead.doc_id").alias("_lead_id"), F.col("lead.fp").alias("_lead_fp")), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_lead_id")) & (F.col("_own_fp") == F.col("_lead_fp"))
-    rows = add_fingerprints(docs, "_own_fp").join(kept, same, "left_semi")
-    led = of.join(kept, F.col("doc_id").eqNullSafe(F.col("_lead_id")) & (bits == F.col("_lead_fp")), "left_semi")
+    kept = textkit.written(lead.select(F.col("lead.doc_id").alias("_cairn_lead_id"), F.col("lead.fp").alias("_cairn_lead_fp")), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_cairn_lead_id")) & (F.col("_cairn_own_fp") == F.col("_cairn_lead_fp"))
+    rows = add_fingerprints(docs, "_cairn_own_fp").join(kept, same, "left_semi")
+    led = of.join(kept, F.col("doc_id").eqNullSafe(F.col("_cairn_lead_id")) & (bits == F.col("_cairn_lead_fp")), "left_semi")
     if led.count() > kept.count():  # rows that share doc_id and fingerprint
-        rest = Window.partitionBy("doc_id", "_own_fp").orderBy(*[c for c in docs.columns if c != "doc_id"])
-        rows = rows.withColumn("_nth", F.row_number().over(rest)).where("_nth = 1")
+        rest = Window.partitionBy("doc_id", "_cairn_own_fp").orderBy(*[c for c in docs.columns if c != "doc_id"])
+        rows = rows.withColumn("_cairn_nth", F.row_number().over(rest)).where("_cairn_nth = 1")
     return rows.select(docs.columns)
 
 
@@ -56,7 +56,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = textkit.written(found.where("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b._id")), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
