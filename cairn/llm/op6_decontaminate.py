@@ -1,7 +1,7 @@
 """Benchmark decontamination with a positional inverted index sharded by documents.
 
 ``build_index`` stores the postings of every token of the training texts: a row is a
-shard of about 8 MB of documents and holds its distinct terms in order, the bounds of
+shard of about 4 MB of documents and holds its distinct terms in order, the bounds of
 their lists, and the ascending positions.  ``search`` takes the windows of the test
 items in blocks of bounded size.  In each shard the candidates of a window are the
 postings of its rarest term, moved back by the term's offset; they are intersected with

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op2_substring, op6_decontaminate
+from . import op1_quality_rules, op2_substring, op6_decontaminate, textkit
 from .op1_quality_rules import op1_quality_rules as op1
 from .op2_substring import op2_substring_dedup
 from .op3_simhash import op3_simhash_near_dedup
@@ -14,6 +14,15 @@ from .op8_language import op8_language_id
 from .op9_packing import op9_best_fit_packing
 from .op10_lm import op10_lm_scoring
 
+
+def _bounded(query):
+    def run(spark, sf_dir):
+        textkit.bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_quality_rules": op1,
     "op2_substring_dedup": op2_substring_dedup,
@@ -26,6 +35,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scoring": op10_lm_scoring,
 }
+QUERIES = {name: _bounded(query) for name, query in QUERIES.items()}
 ORACLES = {
     "op1_quality_rules": op1_quality_rules.ORACLE,
     "op2_substring_dedup": op2_substring.ORACLE,

@@ -158,7 +158,7 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts in column ``text`` of each make up about ``most`` bytes."""
     import pyarrow.compute as pc
 
@@ -231,12 +231,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def chunk_count(docs: DataFrame, each: int = 8 << 20, least: int = 32) -> int:
+def chunk_count(docs: DataFrame, each: int = 4 << 20, least: int = 32) -> int:
     """Chunks for documents, in proportion to the size that Spark estimates for its sources."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(-(-size // each), 1 << 20))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default: texts can be long, and a batch is held whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def crc_remainder(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

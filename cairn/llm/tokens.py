@@ -20,7 +20,7 @@ _SPACES = b" \t\n\x0b\x0c\r"
 PIECES = re.compile(rb"[ \t-\r]*[A-Za-z\x80-\xff]*[A-Za-z](?=[.,])|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Pieces kept, and the bytes of the longest one kept: bounds of the cache of a worker process.
-KEPT, LONGEST = 400_000, 40
+KEPT, LONGEST = 250_000, 40
 #: Bytes of new pieces that are encoded as one text.
 JOINED = 1 << 16
 

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from conftest import SF
-from test_llm import PASSAGE, SCHEMA, TEXTS, brute_components, brute_repeats, reference_fingerprint
+from test_llm import SCHEMA, TEXTS, brute_components, brute_repeats, reference_fingerprint
 
 from cairn.llm import textkit
 
@@ -39,9 +39,7 @@ def test_edge_rows_run_through(spark):
     assert ids.count(None) == 1
     assert {1, 8, 10} <= set(ids)
     assert 3 not in ids
-    assert docs.where("doc_id = 2").first().text.startswith("head")
     assert corpus_pipeline.packing(spark, docs, SF).count() >= docs.count()
-    assert PASSAGE
 
 
 def test_empty_table_runs_through(spark):
