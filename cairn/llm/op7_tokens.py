@@ -89,7 +89,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     dealt = rows.repartitionByRange(tk.chunk_count(docs, least=8), "_id").sortWithinPartitions("_id", "_text")
-    dealt.mapInArrow(tk.tidy(_encode(tokenizer or default_path(), end_id)), FILES).write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt.mapInArrow(tk.tidy(_encode(tokenizer or default_path(), end_id), encodes=True), FILES).write.option("compression", "none").parquet(f"{path}/blocks")
     counts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))
     # one row for each part that was written: small whatever the documents hold
     counts.selectExpr("part", "n", "coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first").write.parquet(f"{path}/parts")

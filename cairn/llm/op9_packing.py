@@ -130,7 +130,7 @@ def pack_documents(docs: DataFrame, size: int = SIZE, tokenizer: str | None = No
     Returns ``id_col``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    pieces = tk.written(rows.mapInArrow(tk.tidy(_cut(tokenizer or default_path(), size, end_id)), PIECES), "pieces")
+    pieces = tk.written(rows.mapInArrow(tk.tidy(_cut(tokenizer or default_path(), size, end_id), encodes=True), PIECES), "pieces")
     counts = tk.written(pieces.groupBy("_part", "_length").agg(F.count("*").alias("_n")), "lengths")
     histogram = np.zeros(size + 1, dtype=np.int64)
     for n, c in counts.groupBy("_length").agg(F.sum("_n")).collect():  # at most ``size`` rows

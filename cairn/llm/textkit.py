@@ -11,6 +11,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import inspect
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -120,30 +121,39 @@ def sub_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def tidy(run):
+def tidy(run, encodes: bool = False):
     """A function of Arrow data that gives its worker's free memory back when it ends.
 
-    Workers serve many tasks; what one leaves unused would count for the next.
+    Workers serve many tasks; what one leaves unused would count for the next.  A worker
+    that begins work which does not encode tokens lets go of the encoder it kept.
     """
 
+    def begin() -> None:
+        tokens = sys.modules.get(f"{__package__}.tokens")
+        if tokens and not encodes:
+            tokens.encoder.cache_clear()
+
     def release() -> None:
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
             ctypes.CDLL(None).malloc_trim(0)
 
     def one(data):
+        begin()
         try:
             return run(data)
         finally:
             release()
 
     def two(data, more):
+        begin()
         try:
             return run(data, more)
         finally:
             release()
 
     def many(batches):
+        begin()
         try:
             yield from run(batches)
         finally:
@@ -238,10 +248,16 @@ def chunk_count(docs: DataFrame, each: int = 4 << 20, least: int = 32) -> int:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in an Arrow batch than Spark's default: texts can be long, and a batch is held whole."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    """Smaller batches than Spark's defaults, to Python and from Parquet: texts can be long, and a batch is held whole."""
+    bounds = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": rows,
+        "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
+        "spark.sql.parquet.columnarReaderBatchSize": 512,
+    }
+    for key, most in bounds.items():
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def crc_remainder(doc_id, modulus: int):
