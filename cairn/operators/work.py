@@ -76,3 +76,23 @@ def chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     cut = docs.select(key, F.col(text).alias("_t"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
     part = F.substring(F.col("_t"), F.col("chunk") * size + 1, F.lit(size))
     return cut.select(key, "chunk", (F.col("chunk") * size).cast("long").alias("begin"), part.alias("part"))
+
+
+def owned(leases: DataFrame, writes: DataFrame) -> DataFrame:
+    """The ``writes`` whose writer holds the task's lease at that moment.
+
+    ``leases``: task_id, owner, active, expires_at; ``writes``: task_id, writer, at and
+    more.  A lease ends at ``expires_at``: a write at that very moment is too late.
+    """
+    held = leases.where("active").select("task_id", "owner", "expires_at")
+    return writes.join(held, "task_id").where("writer = owner AND at < expires_at").select(writes.columns)
+
+
+def crash_handoffs(leases: DataFrame, checkpoints: DataFrame, now: Column) -> DataFrame:
+    """Active leases that have expired by ``now`` though their task has a checkpoint within the lease.
+
+    ``checkpoints``: task_id, at.
+    """
+    gone = leases.where(F.col("active") & (F.col("expires_at") <= now))
+    made = checkpoints.select(F.col("task_id").alias("_task"), "at")
+    return gone.join(made, (F.col("task_id") == F.col("_task")) & (F.col("at") < F.col("expires_at")), "left_semi")

@@ -134,12 +134,36 @@ def activity_counters(spark, sf_dir):
     return load(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+_NOW = "1996-01-01"
+
+
+def _leases(spark, sf_dir):
+    """Orders as leases of 30 days held by a supplier number; finished orders have given theirs back."""
+    orders = load(spark, sf_dir, "orders")
+    return orders.select(F.col("o_orderkey").alias("task_id"), (F.col("o_custkey") % 10 + 1).alias("owner"), (F.col("o_orderstatus") != "F").alias("active"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAY")).alias("expires_at"), F.col("o_orderpriority").alias("priority"))
+
+
+def owned_writes(spark, sf_dir):
+    items = load(spark, sf_dir, "lineitem")
+    writes = items.select(F.col("l_orderkey").alias("task_id"), (F.col("l_suppkey") % 10 + 1).alias("writer"), F.col("l_shipdate").alias("at"), "l_linenumber")
+    return work.owned(_leases(spark, sf_dir), writes).groupBy("writer").agg(F.count("*").alias("n_writes"), F.countDistinct("task_id").alias("n_tasks"))
+
+
+def expired_handoffs(spark, sf_dir):
+    marks = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_shipdate").alias("at"))
+    gone = work.crash_handoffs(_leases(spark, sf_dir), marks, F.lit(_NOW).cast("timestamp_ntz"))
+    return gone.groupBy("priority").agg(F.count("*").alias("n_handoffs"), F.min("task_id").alias("first_task"))
+
+
+_L = "l AS (SELECT o_orderkey AS task_id, o_custkey % 10 + 1 AS owner, o_orderstatus <> 'F' AS active, o_orderdate + INTERVAL 30 DAY AS expires_at, o_orderpriority AS priority FROM orders)"
 _V = "v AS (SELECT o_orderkey, o_custkey, o_orderdate, lag(o_orderkey) OVER w AS supersedes, lead(o_orderdate) OVER w AS recorded_to, row_number() OVER w AS version FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
 QUERIES = {
     f.__name__: f
-    for f in (run_metrics, user_sessions, fresh_and_resumed, event_page, claimable_work, latest_checkpoint, version_chain, lineage_closure, dependency_cycles, conversation_windows, context_expansion, conversation_render, document_chunks, page_identifiers, row_fingerprints, price_summary, paired_delta, arm_differences, outcome_association, cohort_difference, activity_counters)
+    for f in (run_metrics, user_sessions, fresh_and_resumed, event_page, claimable_work, latest_checkpoint, version_chain, lineage_closure, dependency_cycles, conversation_windows, context_expansion, conversation_render, document_chunks, page_identifiers, row_fingerprints, price_summary, paired_delta, arm_differences, outcome_association, cohort_difference, activity_counters, owned_writes, expired_handoffs)
 }
 ORACLES = {
+    "owned_writes": f"WITH {_L} SELECT l_suppkey % 10 + 1 AS writer, count(*) AS n_writes, count(DISTINCT task_id) AS n_tasks FROM lineitem JOIN l ON l_orderkey = task_id WHERE active AND l_suppkey % 10 + 1 = owner AND l_shipdate < expires_at GROUP BY 1",
+    "expired_handoffs": f"WITH {_L} SELECT priority, count(*) AS n_handoffs, min(task_id) AS first_task FROM l WHERE active AND expires_at <= TIMESTAMP '{_NOW}' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = task_id AND l_shipdate < expires_at) GROUP BY 1",
     "run_metrics": "WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT user_id, count(*) AS n_events, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS n_{k}" for k in ("signup", "purchase", "error", "view", "click")) + ", count(DISTINCT k) AS distinct_k, CAST(sum(k) AS BIGINT) AS sum_k, count(k) - count(DISTINCT k) AS replays, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 2) AS spent FROM e GROUP BY 1",
     "user_sessions": "WITH b AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM b) SELECT user_id, session, count(*) AS n_events, min(event_id) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event FROM s GROUP BY 1, 2",
     "fresh_and_resumed": "WITH s AS (SELECT *, coalesce(max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM events) SELECT user_id, count(*) FILTER (WHERE event_type = 'view' AND seen = 0) AS fresh_claims, count(*) FILTER (WHERE event_type = 'view' AND seen = 1) AS resumptions FROM s GROUP BY 1",
