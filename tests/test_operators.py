@@ -91,3 +91,11 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     closed = got.join(batch, ["day", "event_type"])
     assert closed.count() == got.count()
     assert closed.where("n != count").isEmpty()
+
+
+def test_leases_end_at_their_expiry(spark):
+    leases = spark.createDataFrame([(1, 7, True, 10), (2, 7, False, 10), (3, 8, True, 30), (4, 8, True, 10)], "task_id long, owner long, active boolean, expires_at long")
+    writes = spark.createDataFrame([(1, 7, 9), (1, 7, 10), (1, 8, 5), (2, 7, 5), (1, None, 5), (9, 7, 5)], "task_id long, writer long, at long")
+    assert [tuple(r) for r in work.owned(leases, writes).collect()] == [(1, 7, 9)]
+    marks = spark.createDataFrame([(1, 3), (1, 4), (2, 3), (3, 3), (4, 10)], "task_id long, at long")
+    assert [r.task_id for r in work.crash_handoffs(leases, marks, F.lit(10)).collect()] == [1]
