@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cairn.plans import coordination, retrieval
+from cairn.plans import coordination, retrieval, upkeep
 
-QUERIES = {**retrieval.QUERIES, **coordination.QUERIES}
-ORACLES = {**retrieval.ORACLES, **coordination.ORACLES}
+QUERIES = {**retrieval.QUERIES, **coordination.QUERIES, **upkeep.QUERIES}
+ORACLES = {**retrieval.ORACLES, **coordination.ORACLES, **upkeep.ORACLES}
 FLAGSHIP = "hybrid_recall"

@@ -1,12 +1,13 @@
 """Operators on small hand-written tables, against plain Python."""
 
 import random
+from datetime import datetime, timedelta
 
 from conftest import SF
 from pyspark.sql import functions as F
 
 from cairn.functions import text
-from cairn.operators import evaluation, fusion, graph, lanes, recall, work
+from cairn.operators import ann, evaluation, fusion, graph, lanes, recall, resampling, upkeep, work
 from cairn.sources.tables import load
 from cairn.streaming import counters
 
@@ -99,3 +100,54 @@ def test_leases_end_at_their_expiry(spark):
     assert [tuple(r) for r in work.owned(leases, writes).collect()] == [(1, 7, 9)]
     marks = spark.createDataFrame([(1, 3), (1, 4), (2, 3), (3, 3), (4, 10)], "task_id long, at long")
     assert [r.task_id for r in work.crash_handoffs(leases, marks, F.lit(10)).collect()] == [1]
+
+
+def test_rejected_sources_refute_revive_and_bump(spark):
+    columns = "memory_id long, state string, previous_state string, supersedes long, superseded_by long, recorded_to long, version long"
+    memories = spark.createDataFrame([(1, "superseded", "confirmed", None, 2, 5, 1), (2, "confirmed", None, 1, None, None, 2), (3, "tentative", None, None, None, None, 1), (4, "superseded", None, None, 9, 5, 1), (5, "confirmed", None, 4, None, None, 2), (6, "confirmed", None, None, None, None, 1)], columns)
+    evidence = spark.createDataFrame([(1, 7, "trusted", False), (2, 7, "trusted", False), (2, 8, "untrusted", False), (3, 7, "trusted", False), (3, 8, None, None), (5, 7, "trusted", False), (5, 9, "trusted", True), (6, 8, "trusted", False), (6, None, "trusted", False)], "memory_id long, source_id long, trust string, rejected boolean")
+    gone = spark.createDataFrame([(7,), (7,), (None,)], "source_id long")
+    got = sorted(tuple(r) for r in upkeep.reject_sources(memories, evidence, gone).collect())
+    assert got == [(1, "revived", "confirmed", None, 2), (2, "refuted", "refuted", None, 3), (3, "bumped", "tentative", None, 2), (5, "refuted", "refuted", None, 3)]
+    assert upkeep.reject_sources(memories, evidence, gone.where("false")).isEmpty()
+
+
+def test_renewals_equal_a_replay(spark):
+    rng = random.Random(5)
+    start, claims = datetime(2024, 1, 1), {t: rng.randint(0, 50) for t in range(30)}
+    moments = [(t, rng.randint(0, 300)) for t in range(35) for _ in range(rng.randint(0, 25))] + [(3, claims[3] + 60), (4, None)]
+    at = lambda s: None if s is None else start + timedelta(seconds=s)
+    frame = lambda rows: spark.createDataFrame([(t, at(s)) for t, s in rows], "task_id long, at timestamp_ntz")
+    got = {r.task_id: (r.expires_at, r.n_renewals) for r in upkeep.renewed(frame(claims.items()), frame(moments), 60).collect()}
+    want = {}
+    for t, s in claims.items():
+        end, n = s + 60, 0
+        for m in sorted(m for u, m in moments if u == t and m is not None and m >= s):
+            if m >= end:
+                break
+            end, n = m + 60, n + 1
+        want[t] = (at(end), n)
+    assert got == want
+
+
+def test_bootstrap_covers_the_mean_and_repeats(spark):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([("a", c, rng.gauss(3, 1)) for c in range(400)] + [("b", 1, 2.0), ("b", 1, 4.0), ("b", 2, None)], "s string, c long, v double")
+    first, second = (sorted(map(tuple, resampling.bootstrap(rows.repartition(n), "s", "c", "v").collect())) for n in (1, 5))
+    assert first == second
+    (_, n, mean, low, high, bound), b = first
+    assert n == 400 and low < bound < mean < high and abs(mean - 3) < 0.2
+    assert 0.15 < high - low < 0.25  # about 2 * 1.96 / sqrt(400)
+    assert b == ("b", 1, 3.0, 3.0, 3.0, 3.0)
+
+
+def test_approximate_lane_finds_nine_in_ten(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 16)  # many blocks a cell
+    for sf in (SF, SF.replace("0.001", "0.1")):
+        v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("canonical_id"), F.col("embedding").alias("vector"))
+        v = v.unionByName(spark.createDataFrame([(None, [1.0] * 64), (10**9, None), (10**9 + 1, [0.0] * 64)], "canonical_id long, vector array<float>"))
+        q = v.where("canonical_id % 20 = 0").withColumnRenamed("canonical_id", "query_id")
+        found = ann.recall(ann.approximate(v, q, 10), lanes.dense(v.dropna(), q.dropna(), 10))
+        assert found.agg(F.sum("n_found") / F.sum("n_exact")).first()[0] >= 0.9
+    assert ann.approximate(v.where("false"), q, 10).isEmpty()
+    assert ann.approximate(v, q.where("false"), 10).isEmpty()
