@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.functions.when import referenced_time
 from cairn.operators import ann, resampling, upkeep, work
 from cairn.plans.retrieval import lane_dense
 from cairn.sources.tables import load
@@ -46,9 +47,20 @@ def dense_recall(spark, sf_dir):
     return ann.recall(lane_dense_approximate(spark, sf_dir), lane_dense(spark, sf_dir))
 
 
+#: The question each order asks on its day, in SQL that Spark and DuckDB both run.
+_ASKED = "CASE o_orderstatus WHEN 'F' THEN concat('shipped ', CAST(o_custkey AS STRING), ' weeks ago') WHEN 'O' THEN 'open in last month' ELSE concat('paid before ', CAST(CAST(o_orderdate AS DATE) AS STRING)) END"
+
+
+def referenced_times(spark, sf_dir):
+    """What period a question about each order means; counts over 520 weeks are rejected."""
+    asked = load(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ASKED).alias("asked"), referenced_time(F.expr(_ASKED), F.col("o_orderdate").cast("timestamp_ntz"), F.lit("UTC")).alias("w"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return asked.select("o_orderkey", "asked", "w.status", "w.reason", day("w.valid_from").alias("valid_from"), day("w.valid_to").alias("valid_to"))
+
+
 _STATE = "CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'tentative' END"
 _WEIGHT = " + ".join(f"CAST(u >= {step!r} AS INTEGER)" for step in resampling.poisson_steps())
-QUERIES = {f.__name__: f for f in (source_rejection, lease_renewals, bootstrap_interval, lane_dense_approximate, dense_recall)}
+QUERIES = {f.__name__: f for f in (source_rejection, lease_renewals, bootstrap_interval, lane_dense_approximate, dense_recall, referenced_times)}
 ORACLES = {
     "source_rejection": f"""WITH m AS (SELECT o_orderkey AS id, {_STATE} AS was, coalesce({_STATE}, 'refuted') AS now, lag(o_orderkey) OVER w AS old, lead(o_orderkey) OVER w AS new, row_number() OVER w AS version FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
       hit AS (SELECT *, EXISTS (SELECT 1 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_orderkey = id AND s_acctbal >= 3000 AND l_returnflag <> 'R' AND l_linestatus <> 'O') AS stands
@@ -64,4 +76,8 @@ ORACLES = {
       w AS (SELECT p_brand, v, b, CASE WHEN b = 0 THEN 1 ELSE {_WEIGHT} END AS w FROM x),
       m AS (SELECT p_brand, b, count(*) AS k, sum(w * v) / nullif(sum(w), 0) AS m FROM w GROUP BY 1, 2)
       SELECT p_brand, max(k) AS n_clusters, round(max(m) FILTER (WHERE b = 0), 4) AS mean, round(quantile_cont(m, 0.025) FILTER (WHERE b > 0), 4) AS low, round(quantile_cont(m, 0.975) FILTER (WHERE b > 0), 4) AS high, round(quantile_cont(m, 0.05) FILTER (WHERE b > 0), 4) AS bound FROM m GROUP BY 1""",
+    "referenced_times": f"""WITH a AS (SELECT *, {_ASKED} AS asked, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderstatus <> 'F' THEN 'matched' WHEN o_custkey BETWEEN 2 AND 520 THEN 'matched' ELSE 'rejected' END AS status FROM orders),
+      p AS (SELECT *, CASE WHEN status = 'rejected' OR o_orderstatus = 'P' THEN NULL WHEN o_orderstatus = 'O' THEN date_trunc('month', d) - INTERVAL 1 MONTH ELSE d - CAST(o_custkey * 7 AS INTEGER) END AS f,
+        CASE WHEN status = 'rejected' THEN NULL WHEN o_orderstatus = 'P' THEN d WHEN o_orderstatus = 'O' THEN date_trunc('month', d) ELSE d - CAST(o_custkey * 7 AS INTEGER) + 1 END AS t FROM a)
+      SELECT o_orderkey, asked, status, CASE WHEN status = 'matched' THEN CASE o_orderstatus WHEN 'P' THEN 'explicit_before' ELSE 'anchored_relative_period' END WHEN o_custkey BETWEEN 1 AND 520 THEN 'invalid_relative_count' ELSE 'relative_count_out_of_range' END AS reason, strftime(CAST(f AS TIMESTAMP), '%Y-%m-%d') AS valid_from, strftime(CAST(t AS TIMESTAMP), '%Y-%m-%d') AS valid_to FROM p""",
 }
