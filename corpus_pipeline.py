@@ -9,7 +9,8 @@ Each stage reads what its predecessor wrote.  The first four return the columns
 3. ``substrings``: words of repeated windows go; a text that loses words becomes its
    kept words joined by one space, with ``n_chars`` counted anew; a document that loses
    all its words goes.
-4. ``decontamination``: contaminated documents go, with all rows of their doc_id.
+4. ``decontamination``: contaminated documents go; rows that share a doc_id, or have none,
+   are judged one by one.
 5. ``packing``: the pieces of what is left, with their sequences.
 """
 
@@ -55,9 +56,11 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = textkit.written(found.where("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b._id")), "left_anti")
+    # rows with the same key have the same text, and so the same verdict
+    keyed = docs.withColumn("_cairn_row", F.xxhash64("doc_id", "text"))
+    found = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_cairn_row")
+    bad = textkit.written(found.where("contaminated").select("_cairn_row").distinct(), "contaminated")
+    return keyed.join(bad, "_cairn_row", "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

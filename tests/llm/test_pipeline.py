@@ -47,3 +47,12 @@ def test_empty_table_runs_through(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = textkit.written(stage(spark, docs, SF), f"empty-{name}")
         assert docs.isEmpty()
+
+
+def test_decontamination_judges_rows_that_share_an_id_one_by_one(spark):
+    bad = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").first().text
+    texts = [(None, bad), (None, "a clean text without an id"), (5, bad), (5, "a clean namesake"), (6, None), (None, None), (7, bad), (5, "a clean namesake")]
+    docs = spark.createDataFrame([(i, t, None, None, len(t or ""), "clash", 1, "s") for i, t in texts], SCHEMA)
+    kept = corpus_pipeline.decontamination(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((i, t) for i, t in texts if t != bad), key=str)
