@@ -129,6 +129,17 @@ def identify(docs: DataFrame, model: Kernel | None, text_col: str = "text") -> D
     return kept.mapInArrow(tk.tidy(score), f"{fields}, lang_pred string, score double")
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text holds a letter: those that a trained model does not call ``und``."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tk.slices(batches, at, 1 << 20):
+            yield batch.filter(pa.array([has_letter(t) for t in tk.as_bytes(batch.column(at))], pa.bool_()))
+
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(tk.tidy(keep), docs.schema)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = tk.crc_remainder(F.col("doc_id"), 4) == 2

@@ -3,7 +3,8 @@
 Each stage reads what its predecessor wrote.  The first four return the columns of
 ``documents``; the last returns the packed pieces.
 
-1. ``language``: documents without a letter (or null) are rejected.
+1. ``language``: documents without a letter (or null) are rejected, also where no model
+   can be trained.
 2. ``near_duplicates``: of each SimHash component the document with the smallest doc_id
    stays; a component whose doc_ids are all null keeps one of its rows.
 3. ``substrings``: words of repeated windows go; a text that loses words becomes its
@@ -23,13 +24,15 @@ from cairn.llm import textkit
 from cairn.llm.op2_substring import remove_repeats
 from cairn.llm.op3_simhash import add_fingerprints, near_duplicates
 from cairn.llm.op6_decontaminate import contamination
-from cairn.llm.op8_language import identify, train
+from cairn.llm.op8_language import identify, train, with_letters
 from cairn.llm.op9_packing import pack_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     textkit.bounded_batches(spark)
     model = train(docs, textkit.crc_remainder(F.col("doc_id"), 4) != 2)
+    if model is None:  # nothing to learn from: every text would be und
+        return with_letters(docs)
     return identify(docs, model).where("lang_pred != 'und'").select(docs.columns)
 
 

@@ -1,5 +1,7 @@
 """The pipeline's stages, one after the other, against plain Python."""
 
+import zlib
+
 import corpus_pipeline
 from conftest import SF
 from test_llm import SCHEMA, TEXTS, brute_components, brute_repeats, reference_fingerprint
@@ -56,3 +58,12 @@ def test_decontamination_judges_rows_that_share_an_id_one_by_one(spark):
     kept = corpus_pipeline.decontamination(spark, docs, SF)
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((i, t) for i, t in texts if t != bad), key=str)
+
+
+def test_language_keeps_texts_with_letters_when_nothing_can_be_learnt(spark):
+    held_out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    for lang, ids in ((None, [i for i, _ in TEXTS]), ("en", [held_out] * len(TEXTS))):
+        docs = spark.createDataFrame([(i, t, lang, None, len(t or ""), "clash", 1, "s") for i, (_, t) in zip(ids, TEXTS, strict=True)], SCHEMA)
+        kept = corpus_pipeline.language(spark, docs, SF)
+        assert kept.columns == docs.columns
+        assert sorted(r.text for r in kept.collect()) == sorted(t for _, t in TEXTS if t and any(c.isalpha() for c in t))
