@@ -58,7 +58,7 @@ def unpack_bits(packed: bytes, bits: int, begin: int, end: int) -> np.ndarray:
 
 def _encode(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = encoder(path)
+        made = encoder(path, special=True)
         bits = max(made.vocabulary - 1, end_id).bit_length()
         part, number, start = TaskContext.get().partitionId(), 0, 0
         held, docs, size = [], [], 0

@@ -72,7 +72,7 @@ def plan_sequences(counts: np.ndarray, size: int = SIZE) -> list[tuple[int, list
 
 def _cut(path: str, size: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, seen = encoder(path), np.zeros(size + 1, dtype=np.int64)
+        made, seen = encoder(path, special=True), np.zeros(size + 1, dtype=np.int64)
         part, end = TaskContext.get().partitionId(), np.array([end_id], dtype=np.uint32)
         for batch in tk.slices(batches, 1, 2 << 20):
             rows: list[list] = [[] for _ in range(7)]

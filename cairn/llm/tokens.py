@@ -4,7 +4,8 @@ A byte-level tokenizer that splits text before it merges never joins what stands
 sides of a step from other characters to a space, or from an ASCII letter to a full stop
 or comma.  Texts are cut at these steps, each
 distinct piece is encoded once per task while the cache lasts, and a text's ids are the
-joined ids of its pieces.  A text with white space that is not ASCII is encoded whole.
+joined ids of its pieces.  A text with white space that is not ASCII, or with the content
+of an added token (such as ``<|endoftext|>``), is encoded whole.
 """
 
 from __future__ import annotations
@@ -32,20 +33,28 @@ def default_path() -> str:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = False) -> Encoder:
     """The process's encoder for ``path``; its cache serves all tasks of a worker."""
-    return Encoder(path)
+    return Encoder(path, special)
 
 
 class Encoder:
-    """Encodes texts to ``uint32`` ids; ``path`` names a file of the tokenizers library."""
+    """Encodes texts to ``uint32`` ids; ``path`` names a file of the tokenizers library.
 
-    def __init__(self, path: str) -> None:
+    With ``special`` the content of a special token gets its id, as by the library's plain
+    call; without, it is ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added)) if added else None
+        #: pieces side by side could make up an added token that holds white space
+        self.joins = not any(re.search(r"\s", t) for t in added)
         self.vocabulary = self.tokenizer.get_vocab_size()
         # a byte-level token has one character for each byte it stands for
         self.sizes = np.zeros(self.vocabulary, dtype=np.int64)
@@ -60,8 +69,8 @@ class Encoder:
 
     def _pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of pieces.  Those that begin with a space and end without stay apart in one joined text."""
-        apart = [p for p in pieces if p[0] in _SPACES and p[-1] not in _SPACES]
-        rest = [p for p in pieces if not (p[0] in _SPACES and p[-1] not in _SPACES)]
+        apart = [p for p in pieces if p[0] in _SPACES and p[-1] not in _SPACES] if self.joins else []
+        rest = [p for p in pieces if not (p[0] in _SPACES and p[-1] not in _SPACES)] if self.joins else pieces
         out = {p: ids.tobytes() for p, ids in zip(rest, self._whole(rest), strict=True)}
         at = 0
         while at < len(apart):
@@ -83,6 +92,7 @@ class Encoder:
         cut: list[list[bytes] | None] = []
         for text in texts:
             odd = text and (re.search(rb"[\x1c-\x1f]", text) if text.isascii() else OTHER_SPACE.search(text.decode()))
+            odd = odd or (text and self.added and self.added.search(text))
             cut.append(None if odd else PIECES.findall(text or b""))
         used = {p for pieces in cut if pieces for p in pieces}
         self.fresh -= used  # used again: worth keeping

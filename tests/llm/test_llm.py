@@ -249,6 +249,23 @@ def test_encoder_equals_the_library(reference_ids):
         assert ids.tolist() == reference_ids(text)
 
 
+def test_special_tokens_get_their_ids_as_by_the_plain_call(spark, tmp_path):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two <|endoftext|> three", "<|endoftext|>", "a<|endoftext|><|endoftext|>b, c.", "<|endoftext| > x", "after"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0].count(50256) == 1 and want[2].count(50256) == 2
+    docs = spark.createDataFrame([(i, t, None, None, len(t), "clash", 1, "s") for i, t in enumerate(texts)], SCHEMA)
+    op7_tokens.write_tokens(docs, str(tmp_path / "t"))
+    rows = {r.doc_id: r for r in op7_tokens.read_digests(spark, str(tmp_path / "t")).collect()}
+    pieces = {r.doc_id: r for r in op9_packing.pack_documents(docs).collect()}
+    at = 0
+    for i, ids in enumerate(want):
+        crcs = [zlib.crc32(np.array([*ids, end], dtype="<u4").tobytes()) for end in (0, 2)]
+        assert (rows[i].start, rows[i].n_tokens, rows[i].ids_crc32) == (at, len(ids) + 1, crcs[0])
+        assert (pieces[i].length, pieces[i].ids_crc32) == (len(ids) + 1, crcs[1])
+        at += len(ids) + 1
+
+
 @pytest.mark.parametrize("bits", [1, 7, 13, 16, 17, 32])
 def test_bits_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 70_001, dtype=np.uint64).astype(np.uint32)
