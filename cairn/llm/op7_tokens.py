@@ -9,7 +9,10 @@ numpy unpacks one as a whole, or any stretch of ids in it.  Parts follow the ord
 doc_id; the table ``parts`` beside the blocks holds each part's first place.
 
 Defined cases: a null text is empty and still gets the end id; null doc_ids come first;
-rows that share a doc_id are ordered by text.
+rows that share a doc_id are in the order of
+a hash of their texts; equal rows are documents of their own; an empty table makes no
+block; a text longer than a block is one block; columns but the id and the text take no
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,25 +64,16 @@ def _encode(path: str, end_id: int):
         made = encoder(path, special=True)
         bits = max(made.vocabulary - 1, end_id).bit_length()
         part, number, start = TaskContext.get().partitionId(), 0, 0
-        held, docs, size = [], [], 0
-        end = np.array([end_id], dtype=np.uint32)
-
-        def block() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) for x in held])
-            row = [part, number, start, size, bits, docs, ends.astype(np.int64).tobytes(), pack_bits(np.concatenate(held), bits)]
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[f.split()[0] for f in FILES.split(", ")])
-
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         for batch in tk.slices(batches, 1, 2 << 20):
-            for doc, ids in zip(batch.column(0).to_pylist(), made.encode_all(tk.as_bytes(batch.column(1))), strict=True):
-                held.append(np.concatenate((ids, end)))
-                docs.append(doc)
-                size += len(ids) + 1
-                if size >= BLOCK:
-                    yield block()
-                    number, start, held, docs, size = number + 1, start + size, [], [], 0
-        if held:
-            yield block()
+            ids, bounds = made.encode_ended(batch.column(1), end_id)
+            docs, at = batch.column(0).to_pylist(), 0
+            while at < len(docs):
+                upto = min(len(docs), int(np.searchsorted(bounds, bounds[at] + BLOCK)))
+                own = ids[bounds[at] : bounds[upto]]
+                row = [part, number, start, len(own), bits, docs[at:upto], (bounds[at + 1 : upto + 1] - bounds[at]).astype(np.int64).tobytes(), pack_bits(own, bits)]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[f.split()[0] for f in FILES.split(", ")])
+                number, start, at = number + 1, start + len(own), upto
 
     return encode
 
@@ -87,8 +81,10 @@ def _encode(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode ``docs`` in the order of ``id_col`` to the tables ``path``/blocks and ``path``/parts."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    dealt = rows.repartitionByRange(tk.chunk_count(docs, least=8), "_id").sortWithinPartitions("_id", "_text")
+    # the row's number spreads equal rows, and those without an id, over many parts
+    keys = [F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"), F.monotonically_increasing_id().alias("_nth")]
+    rows = docs.select(*keys, F.col(text_col).alias("_text"))
+    dealt = rows.repartitionByRange(tk.chunk_count(docs, least=8), "_id", "_hash", "_nth").sortWithinPartitions("_id", "_hash").select("_id", "_text")
     dealt.mapInArrow(tk.tidy(_encode(tokenizer or default_path(), end_id), encodes=True), FILES).write.option("compression", "none").parquet(f"{path}/blocks")
     counts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))
     # one row for each part that was written: small whatever the documents hold
@@ -117,6 +113,24 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     return read_blocks(spark, path).select("doc_ids", "start", "n_ids", "bits", "ends", "packed").mapInArrow(tk.tidy(_digests), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _stretch(first: int, last: int):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, n, bits, packed in zip(*(batch.column(i) for i in range(4)), strict=True):
+                start, n = start.as_py(), n.as_py()
+                a, b = max(first - start, 0), min(last - start, n)
+                ids = unpack_bits(packed.as_buffer(), bits.as_py(), a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start + a, start + b)), pa.array(ids.astype(np.int64))], names=["place", "id"])
+
+    return read
+
+
+def read_stretch(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """``place`` and ``id`` of the ids from place ``first`` to before ``last``: of the blocks that hold them, only their bytes are unpacked."""
+    held = read_blocks(spark, path).where((F.col("start") < last) & (F.col("start") + F.col("n_ids") > first))
+    return held.select("start", "n_ids", "bits", "packed").mapInArrow(tk.tidy(_stretch(first, last)), "place long, id long")
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tk.table_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)

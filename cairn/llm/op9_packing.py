@@ -8,7 +8,9 @@ made for their length: a piece's number among those of its length is its number
 its part of the input plus the count of the earlier parts.
 
 Defined cases: a null text is empty and its document holds the end id alone; null and
-repeated doc_ids and equal rows are documents of their own.
+repeated doc_ids and equal rows are documents of their own; an empty table has no pieces;
+only texts of more than ``size`` ids are cut, however long; columns but the id and the
+text take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -73,20 +75,27 @@ def plan_sequences(counts: np.ndarray, size: int = SIZE) -> list[tuple[int, list
 def _cut(path: str, size: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, seen = encoder(path, special=True), np.zeros(size + 1, dtype=np.int64)
-        part, end = TaskContext.get().partitionId(), np.array([end_id], dtype=np.uint32)
+        part = TaskContext.get().partitionId()
         for batch in tk.slices(batches, 1, 2 << 20):
-            rows: list[list] = [[] for _ in range(7)]
-            for doc, ids in zip(batch.column(0).to_pylist(), made.encode_all(tk.as_bytes(batch.column(1))), strict=True):
-                ids = np.concatenate((ids, end))
-                at, piece = 0, 0
-                while at < len(ids):
-                    n = (len(ids) - 1) % size + 1 if not at else size
-                    for column, v in zip(rows, (doc, piece, at, n, zlib.crc32(ids[at : at + n]), part, int(seen[n])), strict=True):
-                        column.append(v)
-                    seen[n] += 1
-                    at, piece = at + n, piece + 1
+            ids, bounds = made.encode_ended(batch.column(1), end_id)
+            total = np.diff(bounds)
+            pieces = -(-total // size)
+            of = np.repeat(np.arange(len(total)), pieces)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = (total - 1) % size + 1
+            start = np.where(piece == 0, 0, first[of] + (piece - 1) * size)
+            length = np.where(piece == 0, first[of], size)
+            # the number among equal lengths: those of earlier batches, then those before it in this one
+            order = np.argsort(length, kind="stable")
+            count = np.bincount(length, minlength=size + 1)
+            nth = np.empty(len(of), dtype=np.int64)
+            nth[order] = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(seen, count)
+            seen += count
+            begin = bounds[:-1][of] + start
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(of)), piece, start, length, crc, np.full(len(of), part), nth]
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
     return cut
 
@@ -137,7 +146,8 @@ def pack_documents(docs: DataFrame, size: int = SIZE, tokenizer: str | None = No
         histogram[n] = c
     places = _places(plan_sequences(histogram, size), size)
     before = counts.selectExpr("_part", "_length", "sum(_n) OVER (PARTITION BY _length ORDER BY _part) - _n AS _before")
-    numbered = pieces.join(before, ["_part", "_length"]).select("_id", "_piece", "_start", "_length", "_crc", (F.col("_before") + F.col("_nth")).alias("_number"))
+    # ``before`` grows with the parts: it is joined by its keys, not broadcast
+    numbered = pieces.join(before.hint("merge"), ["_part", "_length"]).select("_id", "_piece", "_start", "_length", "_crc", (F.col("_before") + F.col("_nth")).alias("_number"))
     schema = "_id long, _piece int, _start long, _length int, _crc long, _sequence long, _offset long"
     out = numbered.mapInArrow(tk.tidy(_assign(places)), schema)
     return out.select(F.col("_id").alias(id_col), F.col("_piece").alias("piece"), F.col("_start").alias("start"), F.col("_length").cast("long").alias("length"), F.col("_crc").alias("ids_crc32"), F.col("_sequence").alias("sequence_id"), F.col("_offset").alias("offset"))

@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -249,6 +251,25 @@ def test_encoder_equals_the_library(reference_ids):
         assert ids.tolist() == reference_ids(text)
 
 
+@pytest.mark.parametrize("bounds", [(250_000, 1 << 20), (50, 7)])
+def test_encoder_on_random_texts(monkeypatch, bounds):
+    """Marks, apostrophes, white space of all kinds, letters with and without ASCII, added tokens; with a cache that overflows as well."""
+    monkeypatch.setattr(tokens, "KEPT", bounds[0])
+    monkeypatch.setattr(tokens, "BLOCK", bounds[1])
+    plain, made, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokens.Encoder(tokens.default_path(), True), random.Random(8)
+    common = [*" \t\n\r\v\f'.,-_!0123456789abcstremdlvyzSTMD", *map(chr, [0xE9, 0xF1, 0xDF, 0x130, 0x153, 0x416, 0xD7, 0xF7, 0xB2, 0xBF, 0x20AC, 0x2014, 0x4E16, 0xFB01, 0x1F642, 0x301, 0x483]), "'s", "'ll", "''", "  "]
+    rare = [*map(chr, [0xA0, 0x2003, 0x200B, 0x3000, 0xFEFF, 0x1C, 0x85, 0x180E, 0, 0x7F]), "<|endoftext|>"]
+    for signs in (common, common + rare, [chr(c) for c in range(1, 0x3000)]):
+        texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(1500)]
+        for text, ids in zip(texts, made.encode_all([t.encode() for t in texts]), strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_two_byte_letters_are_letters():
+    for c in (*range(0xC0, 0x250), *range(0x400, 0x480)):
+        assert tokens._TWO[chr(c).encode()[0]] and (unicodedata.category(chr(c))[0] == "L") == (c not in (0xD7, 0xF7))
+
+
 def test_special_tokens_get_their_ids_as_by_the_plain_call(spark, tmp_path):
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["one two <|endoftext|> three", "<|endoftext|>", "a<|endoftext|><|endoftext|>b, c.", "<|endoftext| > x", "after"]
@@ -283,6 +304,9 @@ def test_token_files_round_trip(spark, edge, empty, reference_ids, tmp_path):
         ids = np.array([*reference_ids(text), 0], dtype="<u4")
         assert row == (doc, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+    place = {r.place: r.id for r in op7_tokens.read_stretch(spark, str(tmp_path / "t"), 150, 480).collect()}
+    flat = [i for doc, text in order for i in (*reference_ids(text), 0)]
+    assert place == dict(zip(range(150, 480), flat[150:480], strict=True))
     op7_tokens.write_tokens(empty, str(tmp_path / "e"))
     assert op7_tokens.read_digests(spark, str(tmp_path / "e")).isEmpty()
 
