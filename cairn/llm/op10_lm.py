@@ -200,9 +200,8 @@ def score_texts(docs: DataFrame, learn: Column, mass: float = MASS, id_col: str
     Returns ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` (add-one unigram) and ``score``, both log10 probabilities.
     """
-    n = chunks or tk.chunk_count(docs)
-    chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("long")
-    dealt = docs.select(chunk.alias("_chunk"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_train"))
+    n = chunks or tk.chunk_count(docs, text_col)
+    dealt = tk.chunked(docs, n, id_col, text_col, F.coalesce(learn, F.lit(False)).alias("_train"))
     words = dealt.groupBy("_chunk").applyInArrow(tk.tidy(_send_words(n)), BLOB).groupBy("_bucket").applyInArrow(tk.tidy(_add_words), REPLY)
     totals = words.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.coalesce(F.sum("_v"), F.lit(0)).alias("_v"))
     every = totals.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_chunk"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_bucket"), F.lit(None).cast("binary").alias("_blob"), "_n", "_v")

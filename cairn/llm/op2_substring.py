@@ -14,8 +14,11 @@ over 8 words.
    and sent, again once a chunk, with their document; the first one stays.
 
 Defined cases: null text has no words; null doc_id sorts before all others; rows that
-share a doc_id are ordered by text; equal rows count as separate documents, the later
-of which loses its windows.  Fewer than ``window`` words: nothing is removed.
+share a doc_id are ordered by the hash of id and text, then by text, however they are
+dealt; equal rows count as separate documents, the later of which loses its windows; they
+share a chunk.  Fewer than ``window`` words: nothing is removed.  An empty table gives no
+rows.  A text is never cut, however long: it is a block of its own.  Columns of any name
+can be carried; without ``carry`` only id and text take part.
 """
 
 from __future__ import annotations
@@ -205,7 +208,7 @@ def _cut(window: int, keep_text: bool) -> Callable[[pa.Table, pa.Table], pa.Tabl
             digest.append(hashlib.sha256(joined).hexdigest())
             if keep_text:
                 kept.append(text if not removed[i] else joined)
-        out = {k: table.column(k) for k in table.column_names if k not in ("_chunk", "_id", "_text")}
+        out = {k: table.column(k) for k in table.column_names if k not in ("_chunk", "_hash", "_id", "_text")}
         out |= {"_id": table.column("_id"), "_n_words": pa.array(counts, pa.int64()), "_n_removed": pa.array(removed, pa.int64()), "_kept_sha256": pa.array(digest, pa.string())}
         if keep_text:
             out["_kept_text"] = pa.array(kept, pa.binary()).cast(pa.string())
@@ -222,14 +225,14 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     ``kept_text`` last: the text as it was if nothing is removed, else the kept words
     joined by one space.
     """
-    n = chunks or tk.chunk_count(docs)
+    n = chunks or tk.chunk_count(docs, text_col)
+    buckets = tk.bucket_count(n)
     own = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")] if carry else []
-    chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("long")
-    plain = docs.select(chunk.alias("_chunk"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *own)
-    dealt = plain.select("_chunk", "_id", "_text") if carry else plain
-    anchors = dealt.groupBy("_chunk").applyInArrow(tk.tidy(_send_anchors(window, n)), BLOB)
+    plain = tk.chunked(docs, n, id_col, text_col, *own)
+    dealt = plain.select("_chunk", "_hash", "_id", "_text") if carry else plain
+    anchors = dealt.groupBy("_chunk").applyInArrow(tk.tidy(_send_anchors(window, buckets)), BLOB)
     shared = anchors.groupBy("_bucket").applyInArrow(tk.tidy(_shared_anchors), REPLY)
-    windows = dealt.groupBy("_chunk").cogroup(shared.groupBy("_chunk")).applyInArrow(tk.tidy(_send_windows(window, n)), BLOB)
+    windows = dealt.groupBy("_chunk").cogroup(shared.groupBy("_chunk")).applyInArrow(tk.tidy(_send_windows(window, buckets)), BLOB)
     later = windows.groupBy("_bucket").applyInArrow(tk.tidy(_later_windows), REPLY)
     schema = "_id long, _n_words long, _n_removed long, _kept_sha256 string"
     if carry:

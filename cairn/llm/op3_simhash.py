@@ -15,7 +15,9 @@ pairs, which keeps components the same.
 
 Defined cases: null and empty texts and those without words have fingerprint zero and
 are linked like any other; equal rows and rows that share a doc_id are rows of their
-own; a component of null doc_ids alone has a null component_id.
+own; a component of null doc_ids alone has a null component_id.  An empty table gives no
+rows; long texts are read whole; columns but id and text take no part, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -138,7 +140,9 @@ def near_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links ``_u``, ``_v`` that connect all distinct fingerprints ``_fp`` at most ``threshold`` bits apart."""
     reach = 1 + -(-(threshold // 2) // 2)
     replicas = fps.select("_fp").mapInArrow(tk.tidy(_replicas(reach)), "_anchor long, _fp long")
-    counted = replicas.selectExpr("_anchor", "_fp", "count(*) OVER (PARTITION BY _anchor) AS _n").where("_n > 1")
+    # counted by partial aggregates and joined back, so that a crowded anchor is split like any skewed join
+    shared = replicas.groupBy("_anchor").agg(F.count("*").alias("_n")).where("_n > 1")
+    counted = replicas.join(shared, "_anchor").select("_anchor", "_fp", "_n")
     blocks = F.ceil(F.col("_n") / GROUP).cast("int")
     own = F.pmod(F.xxhash64("_fp"), blocks).cast("int")
     pairs = counted.select("_anchor", "_fp", own.alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
@@ -160,15 +164,19 @@ def add_fingerprints(docs: DataFrame, name: str, text_col: str = "text") -> Data
     return docs.mapInArrow(tk.tidy(run), f"{fields}, {name} long")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fingerprint_col: str | None = None) -> DataFrame:
     """``id_col``, ``fingerprint`` (16 hexadecimal digits), ``component_id`` and ``root_fingerprint`` of every row of ``docs``.
 
     The root is the smallest fingerprint of the component, as a signed whole number.
+    ``fingerprint_col`` names a column that ``add_fingerprints`` made, if there is one.
     """
     if threshold > 5:
         raise ValueError("the anchors are made for thresholds up to 5")
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    made = written(add_fingerprints(rows, "_fp", "_text").select("_id", "_fp"), "fingerprints")
+    own = F.col(id_col).cast("long").alias("_id")
+    if fingerprint_col:
+        made = docs.select(own, F.col(f"`{fingerprint_col}`").alias("_fp"))
+    else:
+        made = written(add_fingerprints(docs.select(own, F.col(text_col).alias("_text")), "_fp", "_text").select("_id", "_fp"), "fingerprints")
     distinct = written(made.groupBy("_fp").agg(F.min("_id").alias("_first")), "distinct")
     nodes = connected(near_links(distinct, threshold))
     linked = written(distinct.join(nodes, distinct["_fp"] == nodes["_node"]).select("_fp", "_root", "_first"), "linked")

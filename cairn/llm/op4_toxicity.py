@@ -4,14 +4,20 @@ A text is the set of its lower-cased words of letters and digits, hashed to 2**2
 places.  The score is sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>): the pair terms
 learn that two terms together mean more than both alone, which additive weights miss.
 
-Training takes a sample of about ``SAMPLE`` labelled rows, drawn by a hash of the id.
-Terms that occur in at least ``LEAST`` of them and whose presence depends on the label
-(chi-square of ``CHI`` or more) take part; all else has weight zero.  Every whole text
-is scored, in one pass without a shuffle.
+Training takes a sample of about ``SAMPLE`` labelled rows, drawn by a hash of the id; a
+text of more than ``TERMS`` distinct terms gives that many of them, drawn by a hash of
+term and text.  Of the terms that occur in at least ``LEAST`` of the rows, either all take
+part, also those that say nothing by themselves but can in pairs, or those alone whose
+presence depends on the label (chi-square of ``CHI`` or more): whichever gives the lower
+loss on a fifth of the sample when fitted on the rest.  Weights are fitted by steps of
+``BATCH`` rows with rates that fall term by term.  Every whole text is scored, in one
+pass without a shuffle.
 
 Defined cases: null and empty texts have no terms and get the score of the bias; labels
 that are null are not learnt from; a doc_id with several labels counts as toxic if one
 is; without labels of both kinds every score is the share of toxic rows (0.5 of none).
+Equal rows and repeated or null doc_ids are rows of their own; an empty table gives no
+rows; long texts are read whole.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-BITS, SAMPLE, LEAST, CHI, FACTORS, EPOCHS, RATE, DECAY = 20, 12_000, 5, 10.0, 8, 12, 0.1, 1e-4
+BITS, SAMPLE, TERMS, LEAST, CHI, FACTORS, EPOCHS, BATCH, RATE, DECAY = 20, 12_000, 2048, 5, 10.0, 8, 12, 128, 0.1, 1e-4
 
 
 def _places(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -36,10 +42,22 @@ def _places(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tk.slices(batches, 1):
         places, bounds = _places(tk.as_bytes(batch.column(1)))
-        sets = [np.unique(places[a:b]).astype(np.uint32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        sets = [_drawn(np.unique(places[a:b])).astype(np.uint32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary())], names=["_id", "_label", "_terms"])
 
 
+def _drawn(terms: np.ndarray) -> np.ndarray:
+    """At most ``TERMS`` of a text's terms; which ones differs from text to text."""
+    if len(terms) <= TERMS:
+        return terms
+    order = tk.mix(terms.astype(np.uint64) * np.uint64(2 * len(terms) + 1) + np.uint64(terms.sum()))
+    return np.sort(terms[np.argpartition(order, TERMS)[:TERMS]])
+
+
+def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64), np.concatenate(([0], np.cumsum([len(r) for r in rows], dtype=np.int64)))
+
+
 class Machine:
     """Bias, linear weights and factors of the terms in use; row 0 stands for all others."""
 
@@ -51,42 +69,50 @@ class Machine:
         if len(labels) == 0 or rate in (0.0, 1.0):
             return
         flat = np.concatenate(sets)
-        of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         every = np.bincount(flat, minlength=1 << BITS).astype(float)
-        toxic = np.bincount(flat, weights=labels[of], minlength=1 << BITS)
+        toxic = np.bincount(flat, weights=labels[np.repeat(np.arange(len(sets)), [len(x) for x in sets])], minlength=1 << BITS)
         n, t = len(labels), labels.sum()
         expected = every * t / n
         spread = np.maximum(expected * (1 - t / n) * (1 - every / n), 1e-9)
-        used = np.flatnonzero((every >= LEAST) & ((toxic - expected) ** 2 / spread >= CHI))
+        enough = every >= LEAST
+        choices = [np.flatnonzero(enough & ((toxic - expected) ** 2 / spread >= CHI)), np.flatnonzero(enough)]
+        fifth, losses = np.arange(n) % 5 == 4, []
+        for used in choices:
+            rows = self._use(used, sets)
+            self._fit([r for r, x in zip(rows, fifth, strict=True) if not x], labels[~fifth], len(used) + 1)
+            z, _ = self._forward(*_flat([r for r, x in zip(rows, fifth, strict=True) if x]))
+            losses.append(np.logaddexp(0, np.where(labels[fifth] > 0, -z, z)).mean() if fifth.any() else 0.0)
+        used = choices[int(losses[1] < losses[0])]
+        self._fit(self._use(used, sets), labels, len(used) + 1)
+
+    def _use(self, used: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
+        self.slot[:] = 0
         self.slot[used] = np.arange(1, len(used) + 1)
-        self._fit([x[x > 0] for x in (self.slot[s] for s in sets)], labels, len(used) + 1)
+        return [x[x > 0] for x in (self.slot[s] for s in sets)]
 
     def _fit(self, rows: list[np.ndarray], labels: np.ndarray, size: int) -> None:
         rng = np.random.default_rng(7)
+        self.bias = float(np.log(max(labels.mean(), 1e-6) / max(1 - labels.mean(), 1e-6)))
         self.linear, self.factors = np.zeros(size), rng.normal(0, 0.02, (size, FACTORS))
         self.factors[0] = 0
-        seen = [np.full(1, 1e-6), np.full(size, 1e-6), np.full((size, FACTORS), 1e-6)]
+        held = [1e-6, np.full(size, 1e-6), np.full((size, FACTORS), 1e-6)]
         for _ in range(EPOCHS):
             order = rng.permutation(len(rows))
-            for at in range(0, len(order), 128):
-                own = order[at : at + 128]
-                bounds = np.concatenate(([0], np.cumsum([len(rows[i]) for i in own])))
-                terms = np.concatenate([rows[i] for i in own]).astype(np.int64)
+            for at in range(0, len(order), BATCH):
+                own = order[at : at + BATCH]
+                terms, bounds = _flat([rows[i] for i in own])
                 of = np.repeat(np.arange(len(own)), np.diff(bounds))
                 z, sums = self._forward(terms, bounds)
                 error = (1 / (1 + np.exp(-z)) - labels[own]) / len(own)
-                step = np.bincount(terms, weights=error[of], minlength=size)
-                pull = np.zeros((size, FACTORS))
-                np.add.at(pull, terms, error[of][:, None] * (sums[of] - self.factors[terms]))
-                touched = np.unique(terms)
-                for grad, held, value, decay in ((np.array([error.sum()]), seen[0], None, 0), (step, seen[1], self.linear, DECAY), (pull, seen[2], self.factors, DECAY)):
-                    if value is None:
-                        held += grad**2
-                        self.bias -= float(RATE * grad[0] / np.sqrt(held[0]))
-                    else:
-                        g = grad[touched] + decay * value[touched]
-                        held[touched] += g**2
-                        value[touched] -= RATE * g / np.sqrt(held[touched])
+                touched, slot = np.unique(terms, return_inverse=True)
+                # sums by term of each text's error, and of it times the text's sum of factors
+                push = np.stack([np.bincount(slot, weights=w) for w in (error[of], *(error[of] * sums[of, k] for k in range(FACTORS)))], axis=1)
+                held[0] += error.sum() ** 2
+                self.bias -= float(RATE * error.sum() / np.sqrt(held[0]))
+                for grad, seen, value in ((push[:, 0], held[1], self.linear), (push[:, 1:] - push[:, :1] * self.factors[touched], held[2], self.factors)):
+                    g = grad + DECAY * value[touched]
+                    seen[touched] += g**2
+                    value[touched] -= RATE * g / np.sqrt(seen[touched])
 
     def _forward(self, terms: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         v = self.factors[terms]
@@ -121,7 +147,11 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "t
 
 
 def score(docs: DataFrame, model: Machine, name: str = "score", text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``name``; all other columns pass through."""
+    """``docs`` with the column ``name``.
+
+    Other columns pass through; one that is called ``name`` already is replaced: give
+    another name to keep it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches, at):
@@ -131,7 +161,7 @@ def score(docs: DataFrame, model: Machine, name: str = "score", text_col: str =
     kept = docs.select([c for c in docs.columns if c != name])
     at = kept.columns.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(tk.tidy(run), f"{fields}, {name} double")
+    return kept.mapInArrow(tk.tidy(run), f"{fields}, `{name}` double")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

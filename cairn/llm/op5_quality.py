@@ -2,9 +2,12 @@
 
 Statistics of a text (lengths, shares of symbols, separators, digits, capitals, stop
 words, repeated words and lines) are put on a log or root scale.  Each class keeps its
-mean and a covariance shrunk towards the pooled one and towards a diagonal; the score is
-the sigmoid of the difference of the two log densities, each a Mahalanobis distance
-through the class's Cholesky factor, which is computed once.
+mean and a covariance shrunk towards that of all labelled rows together (within and
+between classes: ``POOL``, more for small classes), then towards its diagonal
+(``SHRINK``), with a share of the common variances added (``FLOOR``).  The score is the
+sigmoid of ``SOFTEN`` times the difference of the two log densities, each a Mahalanobis
+distance through the class's Cholesky factor, which is computed once; ``SOFTEN`` makes
+scores less extreme and moves none over 0.5.
 
 Class moments come from all labelled training rows, as sums that partial aggregation
 adds up; the driver sees one row a class.  The statistics are computed once a text and
@@ -12,7 +15,9 @@ kept in a written table.
 
 Defined cases: null and empty texts have all statistics zero; null labels are not learnt
 from; a doc_id with several labels counts as good if one is; without labels of both
-kinds every score is the share of good rows (0.5 of none).
+kinds every score is the share of good rows (0.5 of none).  Equal rows and repeated or
+null doc_ids are rows of their own; an empty table gives no rows; long texts are read
+whole; columns but id and text take no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ terms within ``slop`` words, in any order.
 
 Defined cases: a null text or item has no words; an item without words has no windows;
 an item of fewer than ``window`` words is one window.  Equal rows, repeated and null
-doc_ids are rows of their own; items that share an item_id are one item.
+doc_ids are rows of their own; items that share an item_id are one item, a null item_id
+counting as the empty text.  Empty tables give no rows or no hits.  A text longer than a
+shard is a shard of its own.  Columns but id and text take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,18 +67,15 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, bytes | None]], size: int = WINDOW) -> None:
         words = tk.hash_words([t for _, t in items], tk.ALNUM, True)
-        rows, lengths, of = [], [], []
-        for i in range(len(items)):
-            h = words.hashes[words.bounds[i] : words.bounds[i + 1]]
-            n = min(size, len(h))
-            for at in range(len(h) - n + 1 if n else 0):
-                rows.append(np.pad(h[at : at + n], (0, size - n)))
-                lengths.append(n)
-                of.append(i)
+        n = np.diff(words.bounds)
         self.items = [k for k, _ in items]
-        self.lengths = np.array(lengths, dtype=np.int64)
-        self.of = np.array(of, dtype=np.int64)
-        hashes = np.array(rows, dtype=np.uint64).reshape(-1, size)
+        # every item of ``size`` words or more has a window at each place but its last size - 1
+        each = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+        self.of = np.repeat(np.arange(len(items)), each)
+        self.lengths = np.minimum(n, size)[self.of]
+        first = words.bounds[:-1][self.of] + np.arange(len(self.of)) - np.repeat(np.cumsum(each) - each, each)
+        place = np.minimum(first[:, None] + np.arange(size), max(len(words.hashes) - 1, 0))
+        hashes = np.where(np.arange(size) < self.lengths[:, None], words.hashes[place], 0).astype(np.uint64) if len(place) else np.zeros((0, size), np.uint64)
         self.terms, rank = np.unique(hashes, return_inverse=True)
         self.ranks = rank.reshape(hashes.shape)
 
@@ -172,7 +171,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     blocks of about ``BLOCK_CHARS`` characters; with more than one block, the spans of a
     document are ordered but can overlap.
     """
-    asked = items.select(F.col(item_col).cast("string").alias("_item"), F.col(item_text_col).alias("_text")).where("_text IS NOT NULL")
+    asked = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("_item"), F.col(item_text_col).alias("_text")).where("_text IS NOT NULL")
     size = asked.agg(F.sum(F.length("_text"))).first()[0] or 0
     blocks = size // BLOCK_CHARS + 1
     parts = []

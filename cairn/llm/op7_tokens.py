@@ -84,7 +84,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     # the row's number spreads equal rows, and those without an id, over many parts
     keys = [F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"), F.monotonically_increasing_id().alias("_nth")]
     rows = docs.select(*keys, F.col(text_col).alias("_text"))
-    dealt = rows.repartitionByRange(tk.chunk_count(docs, least=8), "_id", "_hash", "_nth").sortWithinPartitions("_id", "_hash").select("_id", "_text")
+    dealt = rows.repartitionByRange(tk.chunk_count(docs, text_col, least=8), "_id", "_hash", "_nth").sortWithinPartitions("_id", "_hash").select("_id", "_text")
     dealt.mapInArrow(tk.tidy(_encode(tokenizer or default_path(), end_id), encodes=True), FILES).write.option("compression", "none").parquet(f"{path}/blocks")
     counts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))
     # one row for each part that was written: small whatever the documents hold

@@ -12,7 +12,8 @@ hash of the row; as bits these are 1 kB a document.  Every whole text is scored.
 
 Defined cases: texts that are null or hold no letter are ``und`` with score 0; so is
 every text if there is nothing to learn from.  Rows with a null language are not learnt
-from.  Equal rows and repeated or null doc_ids are rows of their own.
+from.  Equal rows and repeated or null doc_ids are rows of their own.  An empty table
+gives no rows.  Long texts are read in blocks, whole.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,13 +102,18 @@ def train(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str
     got = drawn.mapInArrow(tk.tidy(_bits), "_lang string, _bits binary").distinct().collect()  # equal rows count once
     if not got:
         return None
-    got.sort()  # the same order however rows arrive
+    # the same order however rows arrive, and by a hash, so that landmarks are of all lengths
+    got.sort(key=lambda r: (r[0], xxhash.xxh64_intdigest(r[1], 0)))
     bits = np.unpackbits(np.frombuffer(b"".join(r[1] for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
     return Kernel(bits, [r[0] for r in got])
 
 
-def identify(docs: DataFrame, model: Kernel | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, model: Kernel | None, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its score.
+
+    Other columns pass through; a column that has one of the new names already is
+    replaced: give other names to keep it.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches, at, 1 << 20):
@@ -121,12 +128,12 @@ def identify(docs: DataFrame, model: Kernel | None, text_col: str = "text") -> D
                     best, sure = model.decide(presence(texts))
                 names += [model.names[k] if ok else "und" for k, ok in zip(best.tolist(), letters, strict=True)]
                 scores += [x if ok else 0.0 for x, ok in zip(sure.tolist(), letters, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=batch.schema.append(pa.field("lang_pred", pa.string())).append(pa.field("score", pa.float64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=batch.schema.append(pa.field(lang_name, pa.string())).append(pa.field(score_name, pa.float64())))
 
-    kept = docs.select([c for c in docs.columns if c not in ("lang_pred", "score")])
+    kept = docs.select([c for c in docs.columns if c not in (lang_name, score_name)])
     at = kept.columns.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(tk.tidy(score), f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(tk.tidy(score), f"{fields}, `{lang_name}` string, `{score_name}` double")
 
 
 def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
@@ -212,10 +212,10 @@ def unpack(value: bytes) -> list[np.ndarray]:
 
 
 def group_ids(table: pa.Table) -> tuple[pa.Table, list[int | None], list[bytes | None]]:
-    """A group's rows in the order of id (null first) and text, and both columns as lists."""
+    """A group's rows in the order of id (null first), the hash of ``chunked`` and text, and ids and texts as lists."""
     import pyarrow.compute as pc
 
-    order = pc.sort_indices(table, sort_keys=[("_id", "ascending"), ("_text", "ascending")], null_placement="at_start")
+    order = pc.sort_indices(table, sort_keys=[("_id", "ascending"), ("_hash", "ascending"), ("_text", "ascending")], null_placement="at_start")
     table = table.take(order)
     return table, table.column("_id").to_pylist(), as_bytes(table.column("_text"))
 
@@ -241,10 +241,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def chunk_count(docs: DataFrame, each: int = 4 << 20, least: int = 32) -> int:
-    """Chunks for documents, in proportion to the size that Spark estimates for its sources."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(-(-size // each), 1 << 20))
+def chunk_count(docs: DataFrame, text_col: str, each: int = 4 << 20, least: int = 32) -> int:
+    """Chunks of about ``each`` bytes, from the bytes of the texts and 32 a row."""
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 32)).first()[0] or 0
+    return max(least, -(-int(size) // each))
+
+
+def bucket_count(chunks: int, each: int = 8, least: int = 32) -> int:
+    """Buckets that chunks send to: one for ``each`` chunks, so that what they send stays in few, larger parts."""
+    return max(min(chunks, least), chunks // each)
+
+
+def chunked(docs: DataFrame, chunks: int, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """``_chunk``, ``_hash``, ``_id``, ``_text`` and ``more``: chunks are ranges of the hash of id and text, so their order is the hash's."""
+    hashed = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 32))
+    chunk = F.shiftright(F.col("_hash") * chunks, 32)
+    rows = docs.select(hashed.alias("_hash"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *more)
+    return rows.select(chunk.cast("long").alias("_chunk"), "*")
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -76,8 +77,9 @@ def test_rules_on_edge_cases(edge, empty):
     assert op1_quality_rules.apply_rules(empty).isEmpty()
 
 
-def brute_repeats(rows, size=20):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+def brute_repeats(rows, size=20, tie=None):
+    """``tie`` orders rows that share a doc_id; by default their texts do."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r] if tie else 0, (r[1] or "").encode()))
     seen, out = {}, []
     for i, text in rows:
         w = words(text)
@@ -100,6 +102,23 @@ def test_repeats_equal_brute_force(edge, empty):
     assert kept.count() == len(TEXTS)
 
 
+@pytest.mark.parametrize("chunks", [1, 3, 40])
+def test_repeats_of_rows_that_share_an_id(spark, chunks):
+    """The order of rows with one doc_id, and so what goes, does not depend on the chunks."""
+    rows = [(i, f"{PASSAGE} {k}") for k in range(8) for i in (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {(r.doc_id, r.text): r.h for r in docs.select("*", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)).alias("h")).collect()}
+    assert sorted(map(tuple, op2_substring.remove_repeats(docs, chunks=chunks).collect()), key=str) == brute_repeats(rows, tie=tie)
+
+
+def test_chunks_follow_the_bytes_of_the_texts(spark):
+    assert textkit.chunk_count(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "text") == 32
+    assert textkit.chunk_count(spark.createDataFrame([], "doc_id long, text string"), "text") == 32
+    long = spark.range(1000).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    assert textkit.chunk_count(long, "text", each=1000) == 1032
+    assert (textkit.bucket_count(3), textkit.bucket_count(100), textkit.bucket_count(8000)) == (3, 32, 1000)
+
+
 @pytest.mark.parametrize("window", [5, 9, 20, 40])
 def test_difference_covers_meet(window):
     v, cover = op2_substring.cover_for(window)
@@ -195,6 +214,21 @@ def test_pairs_are_learnt_that_linear_weights_miss():
         a, b = (rng.random(2) < 0.5).tolist()
         sets.append(np.unique([10] * a + [20] * b + [100 + int(x) for x in rng.integers(0, 50, 5)]).astype(np.int64))
         labels.append(float(a and b))
+    check_machine(sets, labels)
+
+
+def test_pairs_of_terms_that_say_nothing_alone():
+    """One term or the other is toxic, both or neither is not: neither depends on the label."""
+    rng = np.random.default_rng(3)
+    sets, labels = [], []
+    for _ in range(6000):
+        a, b = (rng.random(2) < 0.5).tolist()
+        sets.append(np.unique([10] * a + [20] * b + [100 + int(x) for x in rng.integers(0, 200, 8)]).astype(np.int64))
+        labels.append(float(a != b))
+    check_machine(sets, labels)
+
+
+def check_machine(sets, labels):
     machine = op4_toxicity.Machine(sets, np.array(labels))
     slots = [machine.slot[s][machine.slot[s] > 0] for s in sets[:500]]
     bounds = np.concatenate(([0], np.cumsum([len(s) for s in slots])))
@@ -215,15 +249,86 @@ def test_models_without_anything_to_learn_from(spark, edge, empty):
     assert {r.lang_pred for r in op8_language.identify(edge, op8_language.train(empty, F.lit(True))).collect()} == {"und"}
 
 
+def test_factorization_machine_equals_brute_force(spark, edge):
+    """Scores of a trained model on edge texts, by sums over all pairs of terms."""
+    texts = ["you idiot group", "a kind group", "idiot", "plain words here"] * 40
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t.startswith("you"))) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    model = op4_toxicity.train(docs, labels, F.lit(True))
+    assert len(model.linear) > 3
+    rows = op4_toxicity.score(edge, model, "made").collect()
+    assert len(rows) == len(TEXTS)
+    assert {r.score for r in rows} == {"s"}  # the caller's column stays
+    for r in rows:
+        terms = sorted({int(textkit.hash_words([w], textkit.ALNUM, True).hashes[0] >> np.uint64(44)) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (r.text or "").encode())})
+        use = [k for k in (int(model.slot[t]) for t in terms) if k]
+        z = model.bias + sum(model.linear[k] for k in use) + sum(float(model.factors[a] @ model.factors[b]) for a, b in itertools.combinations(use, 2))
+        assert abs(r.made - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_discriminant_equals_brute_force(spark, edge):
+    """Moments, shrinkage and densities written out; edge texts scored by the trained model."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = op5_quality.train(op5_quality.describe(docs), labels, F.lit(True))
+    rows = docs.join(labels.where("quality IS NOT NULL"), "doc_id").select("text", "quality").collect()
+    x = op5_quality.statistics([None if r.text is None else r.text.encode() for r in rows])
+    y = np.array([r.quality for r in rows])
+    every, d = np.cov(x.T, bias=True), x.shape[1]
+    edge_x = op5_quality.statistics([None if t is None else t.encode() for _, t in TEXTS])
+    logs = []
+    for k in (0, 1):
+        n = (y == k).sum()
+        w = op5_quality.POOL + (1 - op5_quality.POOL) * d / (d + n)
+        c = (1 - w) * np.cov(x[y == k].T, bias=True) + w * every
+        c = (1 - op5_quality.SHRINK) * c + op5_quality.SHRINK * np.diag(np.diag(c)) + op5_quality.FLOOR * np.diag(np.maximum(np.diag(every), 1e-8))
+        away = edge_x - x[y == k].mean(axis=0)
+        logs.append(np.log(n / len(y)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(c), away))
+    want = 1 / (1 + np.exp(-np.clip(op5_quality.SOFTEN * (logs[1] - logs[0]), -40, 40)))
+    got = [r.score for r in op5_quality.score(op5_quality.describe(edge), model).collect()]
+    assert np.allclose(sorted(got), sorted(want), atol=1e-6)
+
+
+def test_kernel_equals_brute_force(spark, edge):
+    """Kernel values as sets of n-grams, and predictions of edge texts as plain sums over landmarks."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = op8_language.train(docs, F.lit(True))
+
+    def grams(text):
+        b = [c | 32 if 65 <= c <= 90 or 97 <= c <= 122 else 32 if c < 128 else c for c in (text or "").encode()]
+        code = lambda x: x[0] if len(x) == 1 else (int.from_bytes(bytes(x), "big") * 2654435761 % 2**32) >> 19
+        return {code(b[i : i + n]) for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    marks = [set(np.flatnonzero(row).tolist()) for row in model.landmarks]
+    for r in op8_language.identify(edge, model, score_name="sure").collect():
+        assert r.score == "s"
+        own = grams(r.text)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.sure) == ("und", 0.0)
+            continue
+        k = np.array([len(own & m) / math.sqrt(len(own) * len(m)) for m in marks])
+        value = op8_language.SHARPNESS * (k @ model.weights + model.bias)
+        assert r.lang_pred == model.names[int(value.argmax())]
+        assert abs(r.sure - np.exp(value - value.max()).max() / np.exp(value - value.max()).sum()) < 1e-3
+
+
+def test_components_of_a_hot_node(spark):
+    """One node linked to all of a group, a chain, and a pair."""
+    links = [(0, i) for i in range(1, 3000)] + [(10_000 + i, 10_001 + i) for i in range(200)] + [(-5, -7)]
+    roots = {r._node: r._root for r in op3_simhash.connected(spark.createDataFrame(links, "_u long, _v long")).collect()}
+    want = {i: 0 for i in range(3000)} | {10_000 + i: 10_000 for i in range(201)} | {-5: -7, -7: -7}
+    assert roots == want
+
+
 def test_decontamination_on_edge_cases(spark, edge, empty):
-    items = spark.createDataFrame([("a", PASSAGE[20:120]), ("b", "SHORT"), ("c", None), ("d", "..."), ("a", "idiot scum w0 w1")], "item_id string, text string")
+    items = spark.createDataFrame([("a", PASSAGE[20:120]), ("b", "SHORT"), ("c", None), ("d", "..."), ("a", "idiot scum w0 w1"), (None, PASSAGE[:60])], "item_id string, text string")
     got = op6_decontaminate.contamination(edge, items)
     rows = {r.doc_id: r for r in got.collect()}
     assert got.count() == len(TEXTS)
-    assert rows[1].item_ids == ["a"]
+    assert rows[1].item_ids == ["", "a"]  # a null item_id counts as the empty text
     assert rows[6].item_ids == ["b"]
     assert rows[6].n_hit == 1
-    assert rows[13].item_ids == ["a"]
+    assert rows[13].item_ids == ["", "a"]
     assert not rows[10].contaminated
     assert rows[4].n_words == rows[3].n_words == 0
     many = op6_decontaminate.BLOCK_CHARS

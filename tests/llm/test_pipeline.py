@@ -1,10 +1,15 @@
 """The pipeline's stages, one after the other, against plain Python."""
 
+import collections
+import re
 import zlib
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
 from conftest import SF
 from test_llm import SCHEMA, TEXTS, brute_components, brute_repeats, reference_fingerprint
+from tokenizers import Tokenizer
 
 from cairn.llm import textkit
 
@@ -13,7 +18,9 @@ def test_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
     left = [(r.doc_id, r.text) for r in docs.collect()]
-    for name, stage in corpus_pipeline.STAGES[:3]:
+    items = [words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {tuple(w[i : i + min(13, len(w))]) for w in items for i in range(len(w) - min(13, len(w)) + 1) if w}
+    for name, stage in corpus_pipeline.STAGES[:4]:
         docs = textkit.written(stage(spark, docs, SF), name)
         assert docs.columns == columns
         got = {r.doc_id: r.text for r in docs.collect()}
@@ -23,11 +30,50 @@ def test_stages_by_brute_force(spark):
         elif name == "near_duplicates":
             classes = brute_components([reference_fingerprint(t) for _, t in left], [i for i, _ in left])
             assert set(got) == {c for c in classes}
+        elif name == "decontamination":
+            assert got == {i: t for i, t in left if not contaminated(words(t), windows)}
+            assert len(got) < len(left)
         else:
             want = {i: (n, gone) for i, n, gone, _ in brute_repeats(left) if not n or gone < n}
             assert set(got) == set(want)
             assert all(len(t.encode().split()) == want[i][0] - want[i][1] for i, t in got.items())
         left = list(got.items())
+    check_packing(left, corpus_pipeline.packing(spark, docs, SF).collect())
+
+
+def words(text):
+    return re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+
+
+def contaminated(own, windows):
+    hit = set()
+    for size in {len(w) for w in windows}:
+        for i in range(len(own) - size + 1):
+            if tuple(own[i : i + size]) in windows:
+                hit.update(range(i, i + size))
+    return bool(hit) and 20 * len(hit) >= len(own)
+
+
+def check_packing(docs, rows):
+    """Every document's ids in order, piece by piece; sequences without gaps and about as few as can be."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    by, filled = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+        filled[r.sequence_id].append((r.offset, r.length))
+    assert set(by) == {i for i, _ in docs}
+    for i, text in docs:
+        ids, at = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], dtype="<u4"), 0
+        for k, r in enumerate(sorted(by[i], key=lambda r: r.piece)):
+            assert (r.piece, r.start, r.ids_crc32) == (k, at, zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+        assert len(by[i]) == -(-at // 1024)
+    for places in filled.values():
+        places.sort()
+        assert [a for a, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+        assert sum(n for _, n in places) <= 1024
+    assert len(filled) <= -(-sum(r.length for r in rows) // 1024) + 1
 
 
 def test_edge_rows_run_through(spark):
@@ -36,7 +82,9 @@ def test_edge_rows_run_through(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = textkit.written(stage(spark, docs, SF), name)
         assert docs.columns == spark.createDataFrame([], SCHEMA).columns
-    ids = [r.doc_id for r in docs.collect()]
+    rows = docs.collect()
+    assert {(r._id, r._fp, r.score) for r in rows} == {("clash", 1, "s")}  # the caller's values, not those of a stage
+    ids = [r.doc_id for r in rows]
     assert ids.count(7) <= 1
     assert ids.count(None) == 1
     assert {1, 8, 10} <= set(ids)
@@ -67,3 +115,12 @@ def test_language_keeps_texts_with_letters_when_nothing_can_be_learnt(spark):
         kept = corpus_pipeline.language(spark, docs, SF)
         assert kept.columns == docs.columns
         assert sorted(r.text for r in kept.collect()) == sorted(t for _, t in TEXTS if t and any(c.isalpha() for c in t))
+
+
+def test_language_parameters(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("en", "de"))
+    kept = corpus_pipeline.language(spark, docs, SF).collect()
+    assert {r.doc_id for r in kept} == {r.doc_id for r in docs.collect() if r.lang in ("en", "de") and r.text and any(c.isalpha() for c in r.text)}
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 1.1)
+    assert corpus_pipeline.language(spark, docs, SF).isEmpty()
