@@ -3,8 +3,9 @@
 Each stage reads what its predecessor wrote.  The first four return the columns of
 ``documents``; the last returns the packed pieces.
 
-1. ``language``: documents without a letter (or null) are rejected, also where no model
-   can be trained.
+1. ``language``: documents whose predicted language is not one of ``LANGUAGES`` (None: all
+   that were learnt), or is called with a score under ``LEAST_SCORE``, are rejected, and so
+   are those without a letter (or null); where no model can be trained, only the latter.
 2. ``near_duplicates``: of each SimHash component the document with the smallest doc_id
    stays; a component whose doc_ids are all null keeps one of its rows.
 3. ``substrings``: words of repeated windows go; a text that loses words becomes its
@@ -13,6 +14,10 @@ Each stage reads what its predecessor wrote.  The first four return the columns
 4. ``decontamination``: contaminated documents go; rows that share a doc_id, or have none,
    are judged one by one.
 5. ``packing``: the pieces of what is left, with their sequences.
+
+Columns of ``documents`` keep their values, whatever their names; those that the stages
+need for themselves begin with ``_cairn_``.  An empty table stays empty through all
+stages; long texts are read whole; equal rows are near-duplicates of each other.
 """
 
 from __future__ import annotations
@@ -28,22 +33,32 @@ from cairn.llm.op8_language import identify, train, with_letters
 from cairn.llm.op9_packing import pack_documents
 
 
+#: Languages that are kept (None: all), and the least score; with four languages a guess has 0.25.
+LANGUAGES: tuple[str, ...] | None = None
+LEAST_SCORE = 0.4
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     textkit.bounded_batches(spark)
     model = train(docs, textkit.crc_remainder(F.col("doc_id"), 4) != 2)
     if model is None:  # nothing to learn from: every text would be und
         return with_letters(docs)
-    return identify(docs, model).where("lang_pred != 'und'").select(docs.columns)
+    named = identify(docs, model, lang_name="_cairn_lang", score_name="_cairn_score")
+    kept = (F.col("_cairn_lang") != "und") & (F.col("_cairn_score") >= LEAST_SCORE)
+    if LANGUAGES is not None:
+        kept &= F.col("_cairn_lang").isin(*LANGUAGES)
+    return named.where(kept).drop("_cairn_lang", "_cairn_score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row for each component: the smallest doc_id (null last), then fingerprint, then text."""
-    of = near_duplicates(docs)
+    prints = textkit.written(add_fingerprints(docs, "_cairn_own_fp"), "fingerprints")
+    of = near_duplicates(prints, fingerprint_col="_cairn_own_fp")
     bits = F.conv("fingerprint", 16, -10).cast("long")
     lead = of.groupBy("root_fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", bits.alias("fp"))).alias("lead"))
     kept = textkit.written(lead.select(F.col("lead.doc_id").alias("_cairn_lead_id"), F.col("lead.fp").alias("_cairn_lead_fp")), "kept")
     same = F.col("doc_id").eqNullSafe(F.col("_cairn_lead_id")) & (F.col("_cairn_own_fp") == F.col("_cairn_lead_fp"))
-    rows = add_fingerprints(docs, "_cairn_own_fp").join(kept, same, "left_semi")
+    rows = prints.join(kept, same, "left_semi")
     led = of.join(kept, F.col("doc_id").eqNullSafe(F.col("_cairn_lead_id")) & (bits == F.col("_cairn_lead_fp")), "left_semi")
     if led.count() > kept.count():  # rows that share doc_id and fingerprint
         rest = Window.partitionBy("doc_id", "_cairn_own_fp").orderBy(*[c for c in docs.columns if c != "doc_id"])
