@@ -164,19 +164,20 @@ def add_fingerprints(docs: DataFrame, name: str, text_col: str = "text") -> Data
     return docs.mapInArrow(tk.tidy(run), f"{fields}, {name} long")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fingerprint_col: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fingerprint_col: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``fingerprint`` (16 hexadecimal digits), ``component_id`` and ``root_fingerprint`` of every row of ``docs``.
 
     The root is the smallest fingerprint of the component, as a signed whole number.
-    ``fingerprint_col`` names a column that ``add_fingerprints`` made, if there is one.
+    ``fingerprint_col`` names a column that ``add_fingerprints`` made, if there is one;
+    the columns ``carry`` come last and pass through.
     """
     if threshold > 5:
         raise ValueError("the anchors are made for thresholds up to 5")
     own = F.col(id_col).cast("long").alias("_id")
     if fingerprint_col:
-        made = docs.select(own, F.col(f"`{fingerprint_col}`").alias("_fp"))
+        made = docs.select(own, F.col(f"`{fingerprint_col}`").alias("_fp"), *carry)
     else:
-        made = written(add_fingerprints(docs.select(own, F.col(text_col).alias("_text")), "_fp", "_text").select("_id", "_fp"), "fingerprints")
+        made = written(add_fingerprints(docs.select(own, F.col(text_col).alias("_text"), *carry), "_fp", "_text").drop("_text"), "fingerprints")
     distinct = written(made.groupBy("_fp").agg(F.min("_id").alias("_first")), "distinct")
     nodes = connected(near_links(distinct, threshold))
     linked = written(distinct.join(nodes, distinct["_fp"] == nodes["_node"]).select("_fp", "_root", "_first"), "linked")
@@ -184,7 +185,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
     alone = distinct.join(linked.select("_fp"), "_fp", "left_anti").select("_fp", F.col("_fp").alias("_root"), F.col("_first").alias("_component"))
     of = written(linked.join(least, "_root").select("_fp", "_root", "_component").unionByName(alone), "of")
     digits = F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint")
-    return made.join(of, "_fp").select(F.col("_id").alias(id_col), digits, F.col("_component").alias("component_id"), F.col("_root").alias("root_fingerprint"))
+    return made.join(of, "_fp").select(F.col("_id").alias(id_col), digits, F.col("_component").alias("component_id"), F.col("_root").alias("root_fingerprint"), *carry)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
