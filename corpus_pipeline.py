@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import textkit
 from cairn.llm.op2_substring import remove_repeats
-from cairn.llm.op3_simhash import add_fingerprints, near_duplicates
+from cairn.llm.op3_simhash import near_duplicates
 from cairn.llm.op6_decontaminate import contamination
 from cairn.llm.op8_language import identify, train, with_letters
 from cairn.llm.op9_packing import pack_documents
@@ -51,17 +51,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row for each component: the smallest doc_id (null last), then fingerprint, then text."""
-    prints = textkit.written(add_fingerprints(docs, "_cairn_own_fp"), "fingerprints")
-    of = near_duplicates(prints, fingerprint_col="_cairn_own_fp")
-    bits = F.conv("fingerprint", 16, -10).cast("long")
-    lead = of.groupBy("root_fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", bits.alias("fp"))).alias("lead"))
-    kept = textkit.written(lead.select(F.col("lead.doc_id").alias("_cairn_lead_id"), F.col("lead.fp").alias("_cairn_lead_fp")), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_cairn_lead_id")) & (F.col("_cairn_own_fp") == F.col("_cairn_lead_fp"))
-    rows = prints.join(kept, same, "left_semi")
-    led = of.join(kept, F.col("doc_id").eqNullSafe(F.col("_cairn_lead_id")) & (bits == F.col("_cairn_lead_fp")), "left_semi")
-    if led.count() > kept.count():  # rows that share doc_id and fingerprint
-        rest = Window.partitionBy("doc_id", "_cairn_own_fp").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    """Keeps one row for each component: the smallest doc_id (null last), then fingerprint, then text hash."""
+    keyed = docs.withColumn("_cairn_hash", F.xxhash64("text"))
+    # ids, hashes and fingerprints only: the texts are joined back by id and hash
+    of = textkit.written(near_duplicates(keyed, carry=("_cairn_hash",)), "near")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "fingerprint", F.col("_cairn_hash").alias("h"))
+    lead = of.groupBy("root_fingerprint").agg(F.min(order).alias("lead"))
+    kept = textkit.written(lead.select(F.col("lead.doc_id").alias("_cairn_lead_id"), F.col("lead.h").alias("_cairn_lead_hash")), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_cairn_lead_id")) & (F.col("_cairn_hash") == F.col("_cairn_lead_hash"))
+    rows = keyed.join(kept, same, "left_semi")
+    if of.join(kept, same, "left_semi").count() > kept.count():  # rows that share doc_id and text
+        rest = Window.partitionBy("doc_id", "_cairn_hash").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
         rows = rows.withColumn("_cairn_nth", F.row_number().over(rest)).where("_cairn_nth = 1")
     return rows.select(docs.columns)
 
