@@ -6,18 +6,53 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
-#: Identifier patterns: path, dotted symbol, test name, commit, error name (fixed values).
+#: Plain patterns of pages: local paths, long numbers, mail addresses.
 IDENTIFIERS = {
     "path": r"/[a-z]+/[0-9a-z/]+",
     "number": r"\b[0-9]{3,}\b",
     "mail": r"[\w.]+@[\w.]+\.[a-z]+",
 }
+#: Identifiers that memories are looked up by (fixed values).
+LOOKUPS = {
+    "path": r"(?<![\w./-])(?:[\w.@+-]+/)+[\w.@+-]+",
+    "symbol": r"\b[A-Za-z_]\w*(?:(?:::|\.)[A-Za-z_]\w*)+\b",
+    "test": r"\btest_[A-Za-z0-9_]+\b",
+    "commit": r"\b[0-9a-fA-F]{7,64}\b",
+    "error": r"\b(?:[A-Z][A-Z0-9_]+-\d+|SQLSTATE\s+[0-9A-Z]{5})\b",
+}
+#: Identifiers that a query can name, in the order they are tried (fixed values).
+ASKED = (
+    r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b",
+    r"\bSQLSTATE\s+[0-9A-Z]{5}\b",
+    r"(?<![\w./-])(?:[\w.@+-]+/)+[\w.@+-]+",
+    r"\b[A-Za-z_]\w*(?:(?:::|\.)[A-Za-z_]\w*)+\b",
+    r"\btest_[A-Za-z0-9_]+\b",
+    r"\b[0-9a-fA-F]{7,64}\b",
+)
+
+
+def lookups(c: Column, kind: str) -> Column:
+    """Distinct identifiers of a kind, as they stand in the text."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(LOOKUPS[kind]), F.lit(0)))
+
+
+def query_identifiers(c: Column, most: int = 8192) -> Column:
+    """Distinct identifiers of a query in their order: uuids and hashes in lower case, SQLSTATE codes in upper case with one blank."""
+    found = F.regexp_extract_all(F.substring(c, 1, most), F.lit("(?i)" + "|".join(ASKED)), F.lit(0))
+    state = lambda x: F.regexp_replace(F.upper(x), r"\s+", " ")
+    form = lambda x: F.when(x.rlike(r"(?i)^SQLSTATE\s"), state(x)).when(x.rlike(r"^[0-9A-Fa-f]{7,64}$") | x.rlike("(?i)^" + ASKED[0] + "$"), F.lower(x)).otherwise(x)
+    return F.array_distinct(F.transform(found, form))
 
 
 def normalize_term(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
+def canonical(c: Column) -> Column:
+    """A memory's text for its fingerprint: trimmed, blanks joined, case folded."""
+    return F.lower(F.regexp_replace(F.btrim(c, F.lit(" \t\n\x0b\f\r")), r"\s+", " "))
+
+
 def tokens(c: Column, most: int | None = None) -> Column:
     """Distinct lower-case tokens in the order of first use; at most ``most`` if given."""
     out = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0)))

@@ -2,23 +2,126 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _hits(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
+    """``ranked`` without repetition, cut at ``k`` (places are counted anew), with ``hit``."""
+    lists = [c for c in ("lane", "query_id") if c in ranked.columns]
+    first = ranked.groupBy(*lists, "canonical_id").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy(*lists).orderBy("rank", "canonical_id"))
+    cut = first.withColumn("rank", place).where(F.col("rank") <= k)
+    return cut.join(judged.select("query_id", "canonical_id").distinct().withColumn("_r", F.lit(True)), ["query_id", "canonical_id"], "left").withColumn("hit", F.coalesce("_r", F.lit(False))).drop("_r")
+
+
+def _scores(cases: DataFrame, hits: DataFrame, judged: DataFrame, k: int, by: list[str]) -> DataFrame:
+    size = judged.groupBy("query_id").agg(F.count_distinct("canonical_id").alias("n_relevant"))
+    got = hits.groupBy(*by, "query_id").agg(F.count("*").alias("returned"), F.count_if("hit").alias("hits"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.sum(F.when(F.col("hit"), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least("n_relevant", F.lit(k))).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    rows = cases.join(size, "query_id", "left").join(got, [*by, "query_id"], "left").na.fill(0, ["n_relevant", "returned", "hits"]).na.fill(0.0, ["dcg"])
+    answerable = F.col("n_relevant") > 0
+    return rows.select(
+        *by,
+        *[c for c in cases.columns if c not in by],
+        "n_relevant",
+        "returned",
+        F.when(answerable, F.col("hits") / F.col("n_relevant")).alias("recall"),
+        F.when(answerable & (F.col("returned") > 0), F.col("hits") / F.col("returned")).alias("precision"),
+        F.when(answerable, F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"),
+        F.when(answerable, F.col("dcg") / ideal).alias("ndcg"),
+    )
+
+
 def ranking_metrics(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
     """Recall, precision, reciprocal rank and nDCG at ``k`` of every judged query.
 
     ``ranked``: query_id, canonical_id, rank; ``judged``: query_id, canonical_id (relevant).
+    Precision is over what was returned: null for a query without results.
+    """
+    cases = judged.select("query_id").distinct()
+    rows = _scores(cases, _hits(ranked, judged, k), judged, k, [])
+    return rows.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr", "ndcg")])
+
+
+def lane_metrics(ranked: DataFrame, judged: DataFrame, cases: DataFrame, k: int, lanes: list[str], slices: list[str] | None = None) -> DataFrame:
+    """Means over all cases by lane, with how well empty results tell cases without an answer.
+
+    ``ranked``: lane, query_id, canonical_id, rank; ``cases``: query_id and the columns of
+    ``slices``.  With slices, a row for each of their values and one (null) for all.
+    """
+    every = cases.withColumn("lane", F.explode(F.array(*map(F.lit, lanes))))
+    rows = _scores(every, _hits(ranked, judged, k), judged, k, ["lane"])
+    groups = rows.groupingSets([["lane"], ["lane", *slices]], "lane", *slices) if slices else rows.groupBy("lane")
+    unanswered, silent = F.count_if(F.expr("n_relevant = 0")), F.count_if(F.expr("returned = 0"))
+    right = F.count_if(F.expr("n_relevant = 0 AND returned = 0"))
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c)
+    return groups.agg(
+        F.count("*").alias("cases"),
+        F.count_if(F.expr("n_relevant > 0")).alias("answerable"),
+        *[mean(c) for c in ("recall", "precision", "mrr", "ndcg")],
+        F.round(F.when(silent == 0, 1.0).otherwise(right / silent), 6).alias("no_answer_precision"),
+        F.round(F.when(unanswered == 0, 1.0).otherwise(right / unanswered), 6).alias("no_answer_recall"),
+    )
+
+
+def bundle_metrics(ranked: DataFrame, judged: DataFrame, cases: DataFrame, k: int, floors: list[float]) -> DataFrame:
+    """What is handed over at each floor of ``relevance``: size, precision, recall, abstention.
+
+    ``ranked``: query_id, canonical_id, rank, relevance (null: not recorded, kept).  An
+    answerable case that gets nothing has precision 0.
     """
-    size = judged.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    cut = ranked.where(F.col("rank") <= k).join(judged.withColumn("_r", F.lit(1)), ["query_id", "canonical_id"], "left")
-    hit = F.col("_r").isNotNull()
-    got = cut.groupBy("query_id").agg(F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("rank"))).alias("first"), F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
-    joined = size.join(got, "query_id", "left").na.fill(0, ["hits"]).na.fill(0.0, ["dcg"])
-    return joined.select("query_id", F.round(F.col("hits") / F.col("n_relevant"), 6).alias("recall"), F.round(F.col("hits") / k, 6).alias("precision"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
+    rows = ranked.where(F.col("rank") <= k).join(judged.select("query_id", "canonical_id").distinct().withColumn("_r", F.lit(1)), ["query_id", "canonical_id"], "left")
+    at = F.explode(F.array(*[F.lit(float(x)) for x in floors])).alias("floor")
+    kept = rows.select("*", at).where(F.col("relevance").isNull() | (F.col("relevance") >= F.col("floor"))).groupBy("query_id", "floor").agg(F.count("*").alias("n"), F.count("_r").alias("hits"))
+    size = judged.groupBy("query_id").agg(F.count_distinct("canonical_id").alias("n_relevant"))
+    every = cases.select("query_id", at).join(size, "query_id", "left").join(kept, ["query_id", "floor"], "left").na.fill(0, ["n", "hits", "n_relevant"])
+    answerable = F.col("n_relevant") > 0
+    right, silent, unanswered = F.count_if(F.expr("n = 0 AND n_relevant = 0")), F.count_if(F.expr("n = 0")), F.count_if(F.expr("n_relevant = 0"))
+    mean = lambda c: F.round(F.coalesce(F.avg(F.when(answerable, c)), F.lit(0.0)), 6)
+    return every.groupBy("floor").agg(
+        F.count("*").alias("cases"),
+        F.count_if(answerable).alias("answerable"),
+        mean(F.col("n")).alias("mean_size"),
+        mean(F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0)).alias("precision"),
+        mean(F.col("hits") / F.col("n_relevant")).alias("recall"),
+        silent.alias("abstained"),
+        F.round(F.when(silent == 0, 1.0).otherwise(right / silent), 6).alias("no_answer_precision"),
+        F.round(F.when(unanswered == 0, 1.0).otherwise(right / unanswered), 6).alias("no_answer_recall"),
+    )
+
+
+def capped_recall(ranked: DataFrame, judged: DataFrame, cap: int) -> DataFrame:
+    """Share of each query's relevant items that were found at all, and within the first ``cap`` places."""
+    rows = judged.select("query_id", "canonical_id").distinct().join(ranked.groupBy("query_id", "canonical_id").agg(F.min("rank").alias("rank")), ["query_id", "canonical_id"], "left")
+    found, kept = F.count("rank"), F.count_if(F.col("rank") <= cap)
+    return rows.groupBy("query_id").agg(F.round(found / F.count("*"), 6).alias("before_cap"), F.round(kept / F.count("*"), 6).alias("after_cap"), (found - kept).alias("lost"))
+
+
+def answer_in_context(packed: DataFrame, judged: DataFrame, cases: DataFrame) -> DataFrame:
+    """How often relevant items are in the packed bundle: any, all, and the bundles' sizes.
+
+    ``packed``: query_id, canonical_id, tokens, kept (boolean).
+    """
+    rows = packed.join(judged.select("query_id", "canonical_id").distinct().withColumn("_r", F.lit(1)), ["query_id", "canonical_id"], "left")
+    got = rows.groupBy("query_id").agg(F.count_if("kept").alias("n"), F.sum(F.when(F.col("kept"), F.col("tokens")).otherwise(0)).alias("t"), F.count_if(F.col("kept") & F.col("_r").isNotNull()).alias("hits"), F.count_if(~F.col("kept")).alias("dropped"))
+    size = judged.groupBy("query_id").agg(F.count_distinct("canonical_id").alias("n_relevant"))
+    every = cases.select("query_id").join(size, "query_id", "left").join(got, "query_id", "left").na.fill(0)
+    answerable = F.col("n_relevant") > 0
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    share = lambda c: mean(F.when(answerable, c.cast("int")))
+    return every.agg(
+        F.count("*").alias("cases"),
+        F.count_if(answerable).alias("answerable"),
+        share(F.col("hits") > 0).alias("any_gold"),
+        share(F.col("hits") >= F.col("n_relevant")).alias("all_gold"),
+        mean(F.when(answerable, F.col("hits") / F.col("n_relevant"))).alias("recall_in_bundle"),
+        mean(F.col("n")).alias("mean_kept"),
+        mean(F.col("t")).alias("mean_tokens"),
+        F.count_if(F.expr("dropped > 0")).alias("truncated"),
+    )
 
 
 def paired(baseline: DataFrame, treatment: DataFrame, case: str, value: str, by: str) -> DataFrame:
@@ -44,41 +147,53 @@ def summary(rows: DataFrame, by: str, value: str) -> DataFrame:
 RELEVANCE, COVERAGE, REPRESENTATION, DIVERSITY = 0.35, 0.30, 0.25, 0.10
 
 
-def facility_location(items: DataFrame, budget: int) -> DataFrame:
+MOST_CANDIDATES = 128
+
+
+def facility_location(items: DataFrame, budget: int, max_items: int | None = None) -> DataFrame:
     """Choose items of each query under a token budget for relevance, coverage, likeness and variety.
 
-    ``items``: query_id, canonical_id, tokens, relevance, terms (array), asked (array).
-    Lanes bound a query's candidates (128 at most), so a group is small.  Of two greedy
-    passes, by gain and by gain per token, the better one is taken.
+    ``items``: query_id, canonical_id, rank, tokens, relevance, terms, asked (the query's
+    terms that the item has), labels (arrays).  Of a query only the first 128 by rank are
+    looked at, as lanes bound its candidates; so a group is small.  Of two greedy passes,
+    by gain and by gain per token, the one of the better value is taken.
     """
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("canonical_id").reset_index(drop=True)
-        terms, asked = [set(x) for x in group["terms"]], [set(x) for x in group["asked"]]
-        like = [[len(a & b) / len(a | b) if a | b else 0.0 for b in terms] for a in terms]
+        group = group.sort_values(["rank", "canonical_id"]).head(MOST_CANDIDATES).reset_index(drop=True)
         n = len(group)
+        most = n if max_items is None else min(n, max_items)
+        sets = {c: [frozenset(x) for x in group[c]] for c in ("terms", "asked", "labels")}
+        like = np.array([[1.0 * (i == j) if not a or not b else len(a & b) / len(a | b) for j, b in enumerate(sets["terms"])] for i, a in enumerate(sets["terms"])])
+        marks = []
+        for c in ("asked", "labels"):  # one row of 0 and 1 over all that the candidates have
+            every = sorted(frozenset().union(*sets[c]))
+            marks.append((np.array([[x in s for x in every] for s in sets[c]], dtype=float).reshape(n, len(every)), max(len(every), 1)))
+        tokens, relevance = group.tokens.to_numpy(), group.relevance.to_numpy(float)
 
         def value(chosen: list[int]) -> float:
             if not chosen:
                 return 0.0
-            want = asked[0]
-            seen = set().union(*(terms[i] & want for i in chosen))
-            best = [max(like[i][j] for i in chosen) for j in range(n)]
-            apart = 1 - max((like[i][j] for i in chosen for j in chosen if i < j), default=0.0)
-            return RELEVANCE * sum(group.relevance[i] for i in chosen) / max(group.relevance.sum(), 1e-9) + COVERAGE * (len(seen) / len(want) if want else 0) + REPRESENTATION * sum(best) / n + DIVERSITY * apart
-
-        def greedy(per_token: bool) -> list[int]:
-            chosen, left = [], budget
-            while True:
-                now = value(chosen)
-                gains = [((value([*chosen, i]) - now) / (group.tokens[i] if per_token else 1), -i) for i in range(n) if i not in chosen and group.tokens[i] <= left]
-                if not gains or max(gains)[0] <= 0:
-                    return chosen
-                pick = -max(gains)[1]
-                chosen.append(pick)
-                left -= int(group.tokens[pick])
-
-        best = max((greedy(True), greedy(False)), key=value)
+            covered = [m[chosen].max(axis=0).sum() / size if m.shape[1] else 0.0 for m, size in marks]
+            return RELEVANCE * relevance[chosen].sum() / max(most, 1) + COVERAGE * covered[0] + REPRESENTATION * like[chosen].max(axis=0).sum() / n + DIVERSITY * covered[1]
+
+        def greedy(dense: bool) -> list[int]:
+            chosen: list[int] = []
+            while len(chosen) < most:
+                used, now = tokens[chosen].sum(), value(chosen)
+                gains = []
+                for i in range(n):
+                    gain = value([*chosen, i]) - now
+                    if i not in chosen and used + tokens[i] <= budget and gain > 1e-12:
+                        cost = max(1, tokens[i])
+                        gains.append((round(gain / cost if dense else gain, 12), round(gain, 12), relevance[i], -cost, -i))
+                if not gains:
+                    break
+                chosen.append(-max(gains)[4])
+            return chosen
+
+        best = max((greedy(True), greedy(False)), key=lambda c: (round(value(c), 12), -tokens[c].sum(), tuple(-i for i in sorted(c))))
+        best = sorted(best)
         return pd.DataFrame({"query_id": group.query_id[best], "canonical_id": group.canonical_id[best], "position": range(1, len(best) + 1)})
 
     return items.groupBy("query_id").applyInPandas(choose, "query_id long, canonical_id long, position int")

@@ -1,63 +1,137 @@
-"""Graph operators over edge tables: activation, closure, cycles.
+"""Graph operators over edge tables: activation, lineage, cycles.
 
-Loops run over frontiers that are written out each round (checkpoints), so a lost
-executor costs one round, and stop when nothing new is reached.
+Loops without a fixed number of rounds write their state out each round (a table in the
+shared folder), so a lost executor costs one round, and stop when nothing new is reached.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions import text
 from cairn.sources.shared import written
 
 #: Weights of relations (fixed values).
 RELATIONS = {"supports": 1.00, "supersedes": 0.98, "derived_from": 0.92, "merged_from": 0.90, "contradicts": 0.88, "duplicate_of": 0.82, "related_to": 0.75}
-REVERSE, DAMPING = 0.95, 0.85
+#: Relations that weigh the same both ways (fixed values).
+SYMMETRIC = ("contradicts", "duplicate_of", "related_to")
+REVERSE, DAMPING, GATE = 0.95, 0.85, 0.60
 
 
-def spread(seeds: DataFrame, edges: DataFrame, hops: int = 2, fan_out: int = 8) -> DataFrame:
-    """Best activation of every node within ``hops`` of a query's seeds.
+def gate(overlap: Column) -> Column:
+    """What a node passes on by the share of the query's tokens that it has (null: a query without tokens)."""
+    return F.coalesce(GATE + (1 - GATE) * overlap, F.lit(1.0))
 
-    ``seeds``: query_id, node, activation; ``edges``: src, dst, relation.  Each node passes
-    activation * relation * direction * 0.85 on to its ``fan_out`` strongest neighbours.
+
+def overlaps(queries: DataFrame, nodes: DataFrame, most_tokens: int = 64) -> DataFrame:
+    """``query_id``, ``node``, ``overlap``: the share of the query's tokens that a node's text holds, where it holds any.
+
+    ``queries``: query_id, text; ``nodes``: node, text.
+    """
+    asked = queries.select("query_id", text.tokens(F.col("text"), most_tokens).alias("_t")).select("query_id", F.size("_t").alias("_n"), F.explode("_t").alias("_t"))
+    held = nodes.select("node", F.explode(text.tokens(F.col("text"))).alias("_t"))
+    return asked.join(held, "_t").groupBy("query_id", "node", "_n").agg(F.count("*").alias("_c")).select("query_id", "node", (F.col("_c") / F.col("_n")).alias("overlap"))
+
+
+def seeds(explicit: DataFrame, fused: DataFrame, limit: int) -> DataFrame:
+    """Explicit seeds (query_id, node, position) with activation 1, then fused hits (query_id, node, rank, score), ``limit`` a query."""
+    rows = explicit.select("query_id", "node", F.lit(0).alias("_kind"), F.col("position").alias("_at"), F.lit(1.0).alias("activation"))
+    rows = rows.unionByName(fused.select("query_id", "node", F.lit(1).alias("_kind"), F.col("rank").alias("_at"), F.col("score").alias("activation")))
+    first = rows.groupBy("query_id", "node").agg(F.min(F.struct("_kind", "_at", "activation")).alias("_s"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("_s._kind", "_s._at", "node"))
+    return first.withColumn("_n", nth).where(F.col("_n") <= limit).select("query_id", "node", F.col("_s.activation").alias("activation"))
+
+
+def spread(seeds: DataFrame, edges: DataFrame, hops: int = 2, fan_out: int = 8, gates: DataFrame | None = None, cutoff: Column | None = None) -> DataFrame:
+    """Best state of every node within ``hops`` of a query's seeds: activation, then depth, then path.
+
+    ``seeds``: query_id, node, activation; ``edges``: src, dst, relation (and created_at, if
+    there is a ``cutoff``); ``gates``: query_id, node, overlap (of the query's tokens; no
+    row: none of them).  A step multiplies by the relation's weight, 0.95 against its
+    direction (1 if it is symmetric), 0.85 and the gate of the node reached.  A node passes
+    on to the ``fan_out`` first of its edges by weight, then by node; a path visits a node once.
     """
+    known = edges.where(F.col("relation").isin(*RELATIONS))
+    if cutoff is not None:
+        known = known.where(F.col("created_at") <= cutoff)
     weight = F.create_map(*[F.lit(x) for kv in RELATIONS.items() for x in kv])[F.col("relation")]
-    both = edges.select("src", "dst", weight.alias("_w")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (weight * REVERSE).alias("_w")))
-    both = both.groupBy("src", "dst").agg(F.max("_w").alias("_w"))
+    back = F.when(F.col("relation").isin(*SYMMETRIC), weight).otherwise(weight * REVERSE)
+    both = known.select("src", "dst", weight.alias("_w")).unionByName(known.select(F.col("dst").alias("src"), F.col("src").alias("dst"), back.alias("_w")))
+    both = both.where("src <> dst").groupBy("src", "dst").agg(F.max("_w").alias("_w"))
     nth = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("_w"), F.asc("dst")))
     strongest = both.withColumn("_n", nth).where(F.col("_n") <= fan_out).drop("_n")
-    reached = seeds.select("query_id", "node", "activation", F.lit(0).alias("depth"))
+    reached = seeds.select("query_id", "node", "activation", F.lit(0).alias("depth"), F.array("node").alias("path"))
+    best = lambda rows: rows.groupBy("query_id", "node").agg(F.min(F.struct((-F.round("activation", 12)).alias("a"), "depth", "path", "activation")).alias("_b")).select("query_id", "node", F.col("_b.activation").alias("activation"), F.col("_b.depth").alias("depth"), F.col("_b.path").alias("path"))
     frontier = reached
     for depth in range(1, hops + 1):
-        step = frontier.join(strongest, frontier["node"] == strongest["src"]).select("query_id", F.col("dst").alias("node"), (F.col("activation") * F.col("_w") * DAMPING).alias("activation"), F.lit(depth).alias("depth"))
-        frontier = step.groupBy("query_id", "node").agg(F.max("activation").alias("activation"), F.lit(depth).alias("depth"))
+        step = frontier.join(strongest, frontier["node"] == strongest["src"]).where(~F.array_contains("path", F.col("dst")))
+        step = step.select("query_id", F.col("dst").alias("node"), (F.col("activation") * F.col("_w") * DAMPING).alias("activation"), F.lit(depth).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
+        if gates is not None:
+            step = step.join(gates, ["query_id", "node"], "left").withColumn("activation", F.col("activation") * gate(F.coalesce("overlap", F.lit(0.0)))).drop("overlap")
+        frontier = best(step)
         reached = reached.unionByName(frontier)
-    best = reached.groupBy("query_id", "node").agg(F.max_by("activation", F.struct(F.round("activation", 9), -F.col("depth"))).alias("activation"), F.max_by("depth", F.struct(F.round("activation", 9), -F.col("depth"))).alias("depth"))
-    return best.select("query_id", "node", F.round("activation", 6).alias("activation"), "depth")
+    return best(reached).select("query_id", "node", F.round("activation", 6).alias("activation"), "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Every node that a seed reaches along ``src`` to ``dst``, itself included, with the fewest steps."""
+def closure(edges: DataFrame, seeds: DataFrame, both_ways: bool = False) -> DataFrame:
+    """Every node that a seed reaches, itself included, with the fewest steps; ``both_ways`` follows edges against their direction too."""
+    links = edges.select("src", "dst")
+    if both_ways:
+        links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     reached = written(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("steps")), "closure")
     frontier, steps = reached, 0
     while True:
         steps += 1
-        new = frontier.join(edges, frontier["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
+        new = frontier.join(links, frontier["node"] == links["src"]).select("seed", F.col("dst").alias("node")).distinct()
         frontier = written(new.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("steps", F.lit(steps)), "frontier")
         if frontier.isEmpty():
             return reached
-        reached = reached.unionByName(frontier)
+        reached = written(reached.unionByName(frontier), "closure")
+
+
+def lineage(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Of each seed: the nodes linked to it by any path, the links among them, and how many of them are current.
+
+    ``edges``: src, dst; ``nodes``: node, current; paths lead through ``nodes`` only.
+    """
+    known = nodes.select("node")
+    inner = edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").distinct()
+    members = closure(inner, seeds, both_ways=True)
+    counts = members.join(nodes, "node").groupBy("seed").agg(F.count("*").alias("n_members"), F.count_if("current").alias("n_current"))
+    # a link lies within a seed's lineage as soon as one end does: paths go both ways
+    links = members.join(inner, members["node"] == inner["src"]).groupBy("seed").agg(F.count("*").alias("n_links"))
+    return counts.join(links, "seed", "left").na.fill(0, ["n_links"])
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that trimming cannot remove: those on cycles or between two of them.
+    """Nodes that reach themselves.
 
-    Each round drops the nodes without an edge in or without an edge out.
+    Nodes without an edge in or out are trimmed off until none is left; of the rest, those
+    between two cycles are told apart by reachability: ``reach`` doubles its paths each
+    round until nothing is new.
     """
     now, before = written(edges.select("src", "dst").distinct(), "trim"), -1
     while (size := now.count()) != before:
         before = size
         kept = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         now = written(kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "trim")
-    return now.select(F.col("src").alias("node")).unionByName(now.select(F.col("dst").alias("node"))).distinct()
+    return reach(now).where("src = dst").select(F.col("src").alias("node"))
+
+
+def reach(edges: DataFrame) -> DataFrame:
+    """All pairs ``src``, ``dst`` joined by a path of one edge or more; for graphs that are small or trimmed."""
+    now, before = written(edges.select("src", "dst").distinct(), "reach"), -1
+    while (size := now.count()) != before:
+        before = size
+        step = now.alias("a").join(now.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+        now = written(now.unionByName(step).distinct(), "reach")
+    return now
+
+
+def addable(edges: DataFrame, proposed: DataFrame) -> DataFrame:
+    """``proposed`` (src, dst) edges with ``verdict``: added, exists, self, or cycle if ``dst`` reaches ``src`` already."""
+    back = closure(edges, proposed.select(F.col("dst").alias("node")).distinct()).select(F.col("seed").alias("dst"), F.col("node").alias("src"), F.lit(True).alias("_back"))
+    there = edges.select("src", "dst").distinct().withColumn("_there", F.lit(True))
+    rows = proposed.join(there, ["src", "dst"], "left").join(back, ["src", "dst"], "left")
+    return rows.select("src", "dst", F.when(F.col("src") == F.col("dst"), "self").when(F.col("_there"), "exists").when(F.col("_back"), "cycle").otherwise("added").alias("verdict"))

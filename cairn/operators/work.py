@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.text import TOKEN
+
 
 def claimable(tasks: DataFrame, dependencies: DataFrame, limit: int) -> DataFrame:
     """Open tasks whose prerequisites are all done, the first ``limit`` of each scope.
@@ -96,3 +98,18 @@ def crash_handoffs(leases: DataFrame, checkpoints: DataFrame, now: Column) -> Da
     gone = leases.where(F.col("active") & (F.col("expires_at") <= now))
     made = checkpoints.select(F.col("task_id").alias("_task"), "at")
     return gone.join(made, (F.col("task_id") == F.col("_task")) & (F.col("at") < F.col("expires_at")), "left_semi")
+
+
+def hash_vectors(docs: DataFrame, dimensions: int) -> DataFrame:
+    """Entries of unit vectors of texts: every token adds one, up or down, at eight places that its sha256 names.
+
+    ``docs``: canonical_id, text; a text without tokens counts as the token ``empty``.
+    """
+    found = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
+    words = docs.select("canonical_id", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("empty")))).alias("_w"))
+    h = words.select("canonical_id", F.sha2("_w", 256).alias("_h"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_o"))
+    number = lambda begin, n: F.conv(F.substring(F.col("_h"), begin, F.lit(n)), 16, 10).cast("int")
+    step = F.when(number(F.col("_o") * 2 + 33, 2) % 2 == 0, 1).otherwise(-1)
+    entries = h.groupBy("canonical_id", (number(F.col("_o") * 4 + 1, 4) % dimensions).alias("place")).agg(F.sum(step).alias("_v"))
+    norm = entries.groupBy("canonical_id").agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_n"))
+    return entries.where("_v <> 0").join(norm, "canonical_id").select("canonical_id", "place", F.round(F.col("_v") / F.col("_n"), 6).alias("value"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import text
-from cairn.operators import evaluation, graph, work
+from cairn.operators import evaluation, work
 from cairn.sources.tables import load
 
 
 def run_metrics(spark, sf_dir):
-    """One pass over the events of each user: counts by type, distincts, sums from JSON payloads, replays."""
+    """Counters of the event log by user, in one pass: counts by type, distincts, sums from JSON payloads, repeats.  The counters of a run are ``run_counters``."""
     kinds = ["signup", "purchase", "error", "view", "click"]
     events = load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     return events.groupBy("user_id").agg(F.count("*").alias("n_events"), *[F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in kinds], F.count_distinct("k").alias("distinct_k"), F.sum("k").alias("sum_k"), (F.count("k") - F.count_distinct("k")).alias("replays"), F.round(F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)), 2).alias("spent"))
@@ -54,20 +54,6 @@ def version_chain(spark, sf_dir):
     return rows.select(F.col("o_orderkey").alias("memory_id"), F.col("version").cast("long").alias("version"), "supersedes", F.date_format("recorded_to", "yyyy-MM-dd").alias("recorded_to"))
 
 
-def lineage_closure(spark, sf_dir):
-    """All that each customer's newest order replaces, step by step."""
-    rows = work.versions(load(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
-    edges = rows.where("supersedes IS NOT NULL").select(F.col("o_orderkey").alias("src"), F.col("supersedes").alias("dst"))
-    seeds = rows.where("recorded_to IS NULL").select(F.col("o_orderkey").alias("node"))
-    return graph.closure(edges, seeds).groupBy("seed").agg(F.count("*").alias("n_reached"), F.max("steps").cast("long").alias("depth"), F.min("node").alias("least_node"))
-
-
-def dependency_cycles(spark, sf_dir):
-    """Users that events of one type lead back to: each event depends on the user its payload names."""
-    edges = load(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst")).distinct()
-    return graph.on_cycles(edges)
-
-
 def conversation_windows(spark, sf_dir):
     return work.windows(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 4, 3).select("conv_id", F.col("window").cast("long").alias("window"), "n_rows", "first_position", "n_chars")
 
@@ -159,7 +145,7 @@ _L = "l AS (SELECT o_orderkey AS task_id, o_custkey % 10 + 1 AS owner, o_orderst
 _V = "v AS (SELECT o_orderkey, o_custkey, o_orderdate, lag(o_orderkey) OVER w AS supersedes, lead(o_orderdate) OVER w AS recorded_to, row_number() OVER w AS version FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
 QUERIES = {
     f.__name__: f
-    for f in (run_metrics, user_sessions, fresh_and_resumed, event_page, claimable_work, latest_checkpoint, version_chain, lineage_closure, dependency_cycles, conversation_windows, context_expansion, conversation_render, document_chunks, page_identifiers, row_fingerprints, price_summary, paired_delta, arm_differences, outcome_association, cohort_difference, activity_counters, owned_writes, expired_handoffs)
+    for f in (run_metrics, user_sessions, fresh_and_resumed, event_page, claimable_work, latest_checkpoint, version_chain, conversation_windows, context_expansion, conversation_render, document_chunks, page_identifiers, row_fingerprints, price_summary, paired_delta, arm_differences, outcome_association, cohort_difference, activity_counters, owned_writes, expired_handoffs)
 }
 ORACLES = {
     "owned_writes": f"WITH {_L} SELECT l_suppkey % 10 + 1 AS writer, count(*) AS n_writes, count(DISTINCT task_id) AS n_tasks FROM lineitem JOIN l ON l_orderkey = task_id WHERE active AND l_suppkey % 10 + 1 = owner AND l_shipdate < expires_at GROUP BY 1",
@@ -171,7 +157,6 @@ ORACLES = {
     "claimable_work": f"WITH {_V}, f AS (SELECT o.o_orderkey AS task_id, o.o_custkey AS scope, o.o_orderpriority AS priority, o.o_orderdate AS moment FROM orders o JOIN v ON o.o_orderkey = v.o_orderkey LEFT JOIN orders d ON v.supersedes = d.o_orderkey WHERE o.o_orderstatus = 'O' AND (v.supersedes IS NULL OR d.o_orderstatus = 'F')), r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY priority, moment, task_id) AS position FROM f) SELECT task_id, scope, priority, position FROM r WHERE position <= 3",
     "latest_checkpoint": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS n FROM lineitem) SELECT l_orderkey AS task_id, l_linenumber AS sequence, l_partkey AS state, l_suppkey AS agent, l_linenumber + 1 AS next_sequence FROM r WHERE n = 1",
     "version_chain": f"WITH {_V} SELECT o_orderkey AS memory_id, version, supersedes, strftime(recorded_to, '%Y-%m-%d') AS recorded_to FROM v",
-    "lineage_closure": f"WITH {_V} SELECT arg_max(o_orderkey, version) AS seed, count(*) AS n_reached, max(version) - 1 AS depth, min(o_orderkey) AS least_node FROM v GROUP BY o_custkey",
     "conversation_windows": "WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), w AS (SELECT conv_id, unnest(range(0, n, 3)) // 3 AS win FROM (SELECT DISTINCT conv_id, n FROM p)) SELECT w.conv_id, w.win AS window, count(*) AS n_rows, min(turn) AS first_position, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM w JOIN p ON w.conv_id = p.conv_id AND p.p BETWEEN w.win * 3 AND w.win * 3 + 3 GROUP BY 1, 2",
     "context_expansion": "WITH m AS (SELECT *, max(CASE WHEN length(text) > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM conversations) SELECT conv_id, turn, role, CASE WHEN length(text) > 400 THEN 'core' ELSE 'context' END AS label FROM m WHERE near = 1",
     "conversation_render": "SELECT conv_id, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS rendered_sha256, count(*) AS n_turns FROM conversations GROUP BY 1",

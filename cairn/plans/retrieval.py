@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text
-from cairn.operators import evaluation, fusion, graph, lanes, recall
+from cairn.operators import evaluation, fusion, lanes, recall
 from cairn.sources.tables import load, with_views
 
 
@@ -155,15 +155,6 @@ PREFIX_SQL = f"""WITH {P}, {A}, {_LEX}, k AS (SELECT l.query_id, l.rank, sum(gre
 SELECT query_id, count(*) AS n_kept, CAST(max(used) AS BIGINT) AS used_tokens FROM k WHERE used <= 100 GROUP BY 1"""
 
 
-def pack_greedy(spark, sf_dir):
-    return fusion.pack_greedy(_relevance(spark, sf_dir), 100)
-
-
-def facility_location(spark, sf_dir):
-    items = _relevance(spark, sf_dir).select("query_id", "canonical_id", "tokens", "relevance", text.tokens(F.col("d")).alias("terms"), text.tokens(F.col("q")).alias("asked"))
-    return evaluation.facility_location(items, 40)
-
-
 def dense_metrics(spark, sf_dir):
     """Quality of the dense lane where the same label is relevant."""
     v = load(spark, sf_dir, "embeddings").select("vec_id", "label")
@@ -188,31 +179,14 @@ def ranking_metrics(spark, sf_dir):
 
 RANKING_SQL = f"""WITH {P}, {A}, {_LEX}, j AS (SELECT a.query_id, p_partkey AS canonical_id FROM a JOIN part ON a.text = concat_ws(' ', p_name, p_type)), s AS (SELECT query_id, count(*) AS n FROM j GROUP BY 1),
 h AS (SELECT l.query_id, l.rank, j.query_id IS NOT NULL AS hit FROM lex l LEFT JOIN j ON l.query_id = j.query_id AND l.canonical_id = j.canonical_id WHERE l.rank <= 10),
-g AS (SELECT query_id, count(*) FILTER (WHERE hit) AS hits, min(rank) FILTER (WHERE hit) AS first, sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM h GROUP BY 1),
+g AS (SELECT query_id, count(*) AS got, count(*) FILTER (WHERE hit) AS hits, min(rank) FILTER (WHERE hit) AS first, sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM h GROUP BY 1),
 i AS (SELECT query_id, sum(1 / log2(k + 1)) AS ideal FROM (SELECT query_id, unnest(range(1, least(n, 10) + 1)) AS k FROM s) GROUP BY 1)
-SELECT s.query_id, round(coalesce(hits, 0) * 1.0 / n, 6) AS recall, round(coalesce(hits, 0) / 10.0, 6) AS precision, round(coalesce(1.0 / first, 0), 6) AS mrr, round(coalesce(dcg, 0) / ideal, 6) AS ndcg FROM s LEFT JOIN g ON s.query_id = g.query_id JOIN i ON s.query_id = i.query_id"""
-
-
-def graph_spread(spark, sf_dir):
-    """Activation from every supplier with a key divisible by 20 over its parts and their suppliers."""
-    edges = load(spark, sf_dir, "lineitem").select((-F.col("l_suppkey") - 1).alias("src"), F.col("l_partkey").alias("dst"), F.when(F.col("l_returnflag") == "R", "contradicts").when(F.col("l_returnflag") == "A", "supports").otherwise("related_to").alias("relation"))
-    seeds = load(spark, sf_dir, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("query_id"), (-F.col("s_suppkey") - 1).alias("node"), F.lit(1.0).alias("activation"))
-    return graph.spread(seeds, edges, 2, 8)
-
+SELECT s.query_id, round(coalesce(hits, 0) * 1.0 / n, 6) AS recall, round(hits * 1.0 / got, 6) AS precision, round(coalesce(1.0 / first, 0), 6) AS mrr, round(coalesce(dcg, 0) / ideal, 6) AS ndcg FROM s LEFT JOIN g ON s.query_id = g.query_id JOIN i ON s.query_id = i.query_id"""
 
-SPREAD_SQL = """WITH e AS (SELECT -l_suppkey - 1 AS src, l_partkey AS dst, CASE l_returnflag WHEN 'R' THEN 0.88 WHEN 'A' THEN 1.0 ELSE 0.75 END AS w FROM lineitem),
-b AS (SELECT src, dst, CAST(max(w) AS DOUBLE) AS w FROM (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w * 0.95 FROM e) GROUP BY 1, 2),
-s AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS n FROM b) WHERE n <= 8),
-r0 AS (SELECT s_suppkey AS query_id, -s_suppkey - 1 AS node, CAST(1.0 AS DOUBLE) AS act, 0 AS depth FROM supplier WHERE s_suppkey % 20 = 0),
-r1 AS (SELECT query_id, dst AS node, max(act * w * 0.85) AS act, 1 AS depth FROM r0 JOIN s ON node = src GROUP BY 1, 2),
-r2 AS (SELECT query_id, dst AS node, max(act * w * 0.85) AS act, 2 AS depth FROM r1 JOIN s ON node = src GROUP BY 1, 2),
-u AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id, node ORDER BY round(act, 9) DESC, depth) AS n FROM u)
-SELECT query_id, node, round(act, 6) AS activation, depth FROM k WHERE n = 1"""
 
 QUERIES = {
     f.__name__: f
-    for f in (canonical_recall, interval_overlap, evidence_pruning, scope_projection, lane_exact, lane_lexical, lane_fuzzy, lane_dense, lane_temporal, hybrid_recall, relevance_gate, pack_prefix, pack_greedy, facility_location, dense_metrics, ranking_metrics, graph_spread)
+    for f in (canonical_recall, interval_overlap, evidence_pruning, scope_projection, lane_exact, lane_lexical, lane_fuzzy, lane_dense, lane_temporal, hybrid_recall, relevance_gate, pack_prefix, dense_metrics, ranking_metrics)
 }
 ORACLES = {
     "canonical_recall": with_views(RECALL_SQL, "memories", "evidence", "asked"),
@@ -229,5 +203,4 @@ ORACLES = {
     "pack_prefix": PREFIX_SQL,
     "dense_metrics": METRICS_SQL,
     "ranking_metrics": RANKING_SQL,
-    "graph_spread": SPREAD_SQL,
 }

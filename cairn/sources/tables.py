@@ -15,14 +15,25 @@ VIEWS = {
       CASE WHEN l_linestatus = 'O' THEN 'untrusted' ELSE 'trusted' END AS trust, l_shipdate AS recorded_at FROM lineitem""",
     "asked": """SELECT o_custkey AS query_id, o_custkey AS repository, o_custkey % 7 AS run_id, o_custkey % 11 AS task_id,
       max(o_orderdate) AS known_at, min(o_orderdate) + INTERVAL 400 DAY AS world_at, o_custkey % 2 = 0 AS include_refuted FROM orders GROUP BY o_custkey""",
+    # items of an order as the candidates of a query, in the order of two lanes and of two scorers
+    "pool": """SELECT l_orderkey AS query_id, l_orderkey * 8 + l_linenumber AS canonical_id, l_partkey AS value_id, l_returnflag AS family, CAST(l_quantity AS BIGINT) AS tokens,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS lexical_rank, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS dense_rank,
+      l_extendedprice / 100000 AS lexical_score, l_quantity / 50 AS dense_score, 100 * l_discount - 8 AS logit, 10 * l_tax AS late_score, 10 * l_discount AS relevance, l_returnflag = 'R' AS relevant
+      FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity, max(l_extendedprice) AS l_extendedprice, max(l_discount) AS l_discount, max(l_tax) AS l_tax FROM lineitem GROUP BY l_orderkey, l_linenumber) x""",
+    # orders as tasks of a run (the customer); a task needs the one before it of the same customer
+    "tasks": """SELECT o_orderkey AS task_id, o_custkey AS run_id, CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderkey % 7 = 0 THEN 'failed' WHEN o_orderkey % 5 = 0 THEN 'claimed' WHEN o_orderkey % 2 = 0 THEN 'pending' ELSE 'ready' END AS state,
+      CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 30 DAY END AS available_at, o_orderdate AS created_at, o_orderkey % 4 AS version,
+      lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS needs, o_orderkey % 9 AS agent_id FROM orders""",
 }
+#: The table under each view, where it is not orders.
+UNDER = {"evidence": "lineitem", "pool": "lineitem"}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, or a view over tables."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    table = "lineitem" if name == "evidence" else "orders"
+    table = UNDER.get(name, "orders")
     return spark.sql(VIEWS[name].replace(f"FROM {table}", "FROM {source}"), source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
