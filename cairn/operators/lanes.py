@@ -33,30 +33,71 @@ def exact(terms: DataFrame, queries: DataFrame, budget: int = 32) -> DataFrame:
     return _ranked(found.withColumn("raw_score", F.lit(1.0)), budget)
 
 
+def _texts(docs: DataFrame, budget: int) -> DataFrame:
+    """``text``, its least id ``_tid``, and its first ``budget`` ids: a text that repeats is scored once, and no query takes more of it."""
+    nth = F.row_number().over(Window.partitionBy("text").orderBy("canonical_id"))
+    first = docs.select("canonical_id", "text").where("text IS NOT NULL").withColumn("_n", nth).where(F.col("_n") <= budget)
+    return first.groupBy("text").agg(F.min("canonical_id").alias("_tid"), F.collect_list("canonical_id").alias("_ids"))
+
+
 def lexical(docs: DataFrame, queries: DataFrame, budget: int = 32, most_tokens: int = 64) -> DataFrame:
-    """Share of the query's tokens in the document, plus 0.2 if the whole query is part of it."""
+    """Share of the query's tokens in the document, plus 0.2 if the whole query is part of it.
+
+    Ids alone are joined and counted; texts are fetched only for candidates that the 0.2
+    could still bring among the first ``budget``.
+    """
     asked = queries.select("query_id", F.lower("text").alias("_q"), text.tokens(F.col("text"), most_tokens).alias("_qt"))
-    own = docs.select("canonical_id", F.lower("text").alias("_d"), F.explode(text.tokens(F.col("text"))).alias("_t"))
-    hits = own.join(asked.select("query_id", F.explode("_qt").alias("_t")), "_t").groupBy("query_id", "canonical_id").agg(F.count("*").alias("_n"), F.first("_d").alias("_d"))
-    scored = hits.join(asked, "query_id").withColumn("raw_score", F.round(F.col("_n") / F.size("_qt") + F.when(F.contains("_d", "_q"), 0.2).otherwise(0.0), 6))
-    return _ranked(scored.select("query_id", "canonical_id", "raw_score"), budget)
+    texts = _texts(docs, budget)
+    own = texts.select("_tid", F.explode(text.tokens(F.col("text"))).alias("_t"))
+    hits = own.join(asked.select("query_id", F.size("_qt").alias("_size"), F.explode("_qt").alias("_t")), "_t").groupBy("query_id", "_tid", "_size").agg(F.count("*").alias("_n"))
+    base = hits.select("query_id", "_tid", (F.col("_n") / F.col("_size")).alias("_base"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_base"), "_tid"))
+    last = F.max(F.when(F.col("_k") == budget, F.col("_base"))).over(Window.partitionBy("query_id"))
+    near = base.withColumn("_k", nth).withColumn("_last", last).where(F.col("_last").isNull() | (F.col("_base") + 0.2 + 1e-9 >= F.col("_last")))
+    full = near.select("query_id", "_tid", "_base").join(texts, "_tid").join(asked.select("query_id", "_q"), "query_id")
+    scored = full.withColumn("raw_score", F.round(F.col("_base") + F.when(F.contains(F.lower("text"), "_q"), 0.2).otherwise(0.0), 6))
+    return _ranked(scored.select("query_id", F.explode("_ids").alias("canonical_id"), "raw_score"), budget)
+
+
+def _prefixes(sets: DataFrame, key: str, rarity: DataFrame, floor: float) -> DataFrame:
+    """The rarest grams of each set: two sets with a likeness of ``floor`` share one of these."""
+    grams = sets.select(key, F.size("_g").alias("_size"), F.explode("_g").alias("_t")).join(rarity, "_t", "left")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("_df", F.lit(0)), "_t"))
+    return grams.withColumn("_k", nth).where(F.col("_k") <= F.col("_size") - F.ceil(floor * F.col("_size")) + 1).select(key, "_size", "_t")
 
 
 def fuzzy(docs: DataFrame, queries: DataFrame, floor: float = 0.25, budget: int = 24) -> DataFrame:
-    """Trigram Jaccard of at least ``floor``: counts of shared trigrams from an equi join."""
-    asked = queries.where(F.length("text").between(3, 256)).select("query_id", text.trigrams(F.col("text")).alias("_g"))
-    own = docs.select("canonical_id", text.trigrams(F.col("text")).alias("_g"))
-    left, right = (d.select(k, F.size("_g").alias(f"_{k}"), F.explode("_g").alias("_t")) for d, k in ((asked, "query_id"), (own, "canonical_id")))
-    shared = left.join(right, "_t").groupBy("query_id", "canonical_id", "_query_id", "_canonical_id").agg(F.count("*").alias("_n"))
-    scored = shared.withColumn("raw_score", F.round(F.col("_n") / (F.col("_query_id") + F.col("_canonical_id") - F.col("_n")), 6)).where(F.col("raw_score") >= floor)
-    return _ranked(scored.select("query_id", "canonical_id", "raw_score"), budget)
+    """Trigram Jaccard of at least ``floor``.
+
+    Candidates are texts that share one of their rarest trigrams with a query (the common
+    ones are left out of the join) and are neither too short nor too long for it; they are
+    compared by all trigrams.
+    """
+    asked = queries.where(F.length("text").between(3, 256)).select("query_id", text.trigrams(F.col("text")).alias("_g")).where(F.size("_g") > 0)
+    texts = _texts(docs, budget)
+    own = texts.select("_tid", text.trigrams(F.col("text")).alias("_g")).where(F.size("_g") > 0)
+    rarity = own.select(F.explode("_g").alias("_t")).groupBy("_t").agg(F.count("*").alias("_df"))
+    left, right = _prefixes(asked, "query_id", rarity, floor), _prefixes(own, "_tid", rarity, floor).withColumnRenamed("_size", "_own")
+    fits = (F.col("_own") >= floor * F.col("_size")) & (floor * F.col("_own") <= F.col("_size"))
+    pairs = left.join(right, "_t").where(fits).select("query_id", "_tid").distinct()
+    full = pairs.join(asked, "query_id").join(own.withColumnRenamed("_g", "_h"), "_tid")
+    both = F.size(F.array_intersect("_g", "_h"))
+    scored = full.withColumn("raw_score", F.round(both / (F.size("_g") + F.size("_h") - both), 6)).where(F.col("raw_score") >= floor)
+    ids = scored.select("query_id", "_tid", "raw_score").join(texts.select("_tid", "_ids"), "_tid")
+    return _ranked(ids.select("query_id", F.explode("_ids").alias("canonical_id"), "raw_score"), budget)
 
 
 def temporal(docs: DataFrame, queries: DataFrame, budget: int = 16) -> DataFrame:
-    """Nearest in time within a scope: 1 / (1 + days apart); ties: earlier first, then id."""
+    """Nearest in time within a scope: 1 / (1 + days apart); ties: earlier first, then id.
+
+    ``truncated``: whether the query had more candidates than ``budget``.
+    """
     apart = F.abs(F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("target").cast("timestamp"))) / 86_400_000_000
     scored = docs.join(queries, "scope").withColumn("raw_score", F.round(1 / (1 + apart), 6)).withColumn("_apart", apart)
-    return top(scored, budget, F.asc("_apart"), F.asc("at"), F.asc("canonical_id")).select("query_id", "canonical_id", "raw_score", "rank")
+    # one more than the budget is fetched, to know
+    more = top(scored, budget + 1, F.asc("_apart"), F.asc("at"), F.asc("canonical_id"))
+    more = more.withColumn("truncated", F.max(F.col("rank") > budget).over(Window.partitionBy("query_id")))
+    return more.where(F.col("rank") <= budget).select("query_id", "canonical_id", "raw_score", "rank", "truncated")
 
 
 #: Query vectors that one block sends to the tasks.
@@ -66,8 +107,10 @@ BLOCK = 8192
 def dense(vectors: DataFrame, queries: DataFrame, budget: int = 10, floor: float = 0.0) -> DataFrame:
     """Exact cosine top-k: query vectors go out in blocks, each partition keeps its best, a window merges.
 
-    ``vectors``: canonical_id, vector; ``queries``: query_id, vector.  A query is not its own neighbour.
+    ``vectors``: canonical_id, vector; ``queries``: query_id, vector.  A query is not its own
+    neighbour.  Rows without a vector take no part.
     """
+    vectors, queries = vectors.where("vector IS NOT NULL"), queries.where("vector IS NOT NULL")
     blocks = max(1, -(-queries.count() // BLOCK))
     parts = []
     for b in range(blocks):

@@ -12,6 +12,10 @@ def visible() -> Column:
     return (F.col("m.visibility") == "repository") | ((F.col("m.visibility") == "run") & run) | ((F.col("m.visibility") == "task") & run & (F.col("m.task_id") == F.col("q.task_id")))
 
 
+#: Columns in which a memory of a visibility and a query must agree.
+SCOPES = {"repository": ("repository",), "run": ("repository", "run_id"), "task": ("repository", "run_id", "task_id")}
+
+
 def holds_at(begin: str, end: str, at: str) -> Column:
     """``at`` lies in the half-open interval; a null end never comes."""
     return (F.col(begin) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
@@ -34,9 +38,16 @@ def trusted(memories: DataFrame, evidence: DataFrame) -> DataFrame:
 def recallable(memories: DataFrame, evidence: DataFrame, queries: DataFrame) -> DataFrame:
     """Every (query_id, memory_id) that the query may see, known at its system time and true at its world time."""
     states = F.col("m.state").isin("tentative", "confirmed") | (F.col("q.include_refuted") & (F.col("m.state") == "refuted"))
-    pairs = memories.alias("m").join(queries.alias("q"), F.col("m.repository") == F.col("q.repository"))
-    pairs = pairs.where(visible() & states & holds_at("m.recorded_from", "m.recorded_to", "q.known_at") & holds_at("m.valid_from", "m.valid_to", "q.world_at"))
-    return trusted(pairs.select("q.query_id", "m.memory_id", "m.state", "m.kind"), evidence)
+    times = holds_at("m.recorded_from", "m.recorded_to", "q.known_at") & holds_at("m.valid_from", "m.valid_to", "q.world_at")
+    # each visibility is joined by all its keys, so that a run or task of a large repository meets its own queries alone
+    pairs = None
+    for visibility, keys in SCOPES.items():
+        same = F.lit(True)
+        for key in keys:
+            same &= F.col(f"m.{key}") == F.col(f"q.{key}")
+        part = memories.where(F.col("visibility") == visibility).alias("m").join(queries.alias("q"), same & states & times).select("q.query_id", "m.memory_id", "m.state", "m.kind")
+        pairs = part if pairs is None else pairs.unionByName(part)
+    return trusted(pairs, evidence)
 
 
 def prune_evidence(evidence: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text
 from cairn.operators import evaluation, work
+from cairn.operators.reports import percentiles
 from cairn.sources.tables import load
 
 
@@ -27,7 +28,7 @@ def fresh_and_resumed(spark, sf_dir):
 def event_page(spark, sf_dir):
     """The page of 100 events after the event in the middle of the log."""
     events = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    middle = events.agg(F.expr("CAST(percentile(event_id, 0.5) AS BIGINT)").alias("c"))
+    middle = percentiles(events.withColumn("log", F.lit(0)), "log", "event_id", {"c": 0.5}).select(F.col("c").cast("long"))
     cursor = events.join(F.broadcast(middle), F.col("event_id") == F.col("c")).select("ts", "event_id").first()
     after = (F.lit(cursor[0]).cast("timestamp_ntz"), F.lit(cursor[1])) if cursor else None
     return work.page(events, "ts", "event_id", after, 100).drop("ts")

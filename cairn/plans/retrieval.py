@@ -114,8 +114,8 @@ def lane_temporal(spark, sf_dir):
 
 
 TEMPORAL_SQL = """WITH x AS (SELECT q.query_id, o_orderkey AS canonical_id, o_orderdate AS moment, abs(epoch_us(o_orderdate) - epoch_us(q.world_at)) / 86400000000.0 AS apart FROM orders JOIN asked q ON o_custkey = q.repository),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY apart, moment, canonical_id) AS rank FROM x)
-SELECT query_id, canonical_id, CAST(round(1 / (1 + apart), 6) AS DOUBLE) AS raw_score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 16"""
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY apart, moment, canonical_id) AS rank, count(*) OVER (PARTITION BY query_id) > 16 AS truncated FROM x)
+SELECT query_id, canonical_id, CAST(round(1 / (1 + apart), 6) AS DOUBLE) AS raw_score, CAST(rank AS INTEGER) AS rank, truncated FROM r WHERE rank <= 16"""
 
 
 def hybrid_recall(spark, sf_dir):

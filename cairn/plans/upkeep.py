@@ -72,10 +72,10 @@ ORACLES = {
       h AS (SELECT *, max(late) OVER (PARTITION BY task_id ORDER BY t, n ROWS UNBOUNDED PRECEDING) AS lapsed FROM g)
       SELECT task_id, strftime(max(t) + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') AS expires_at, CAST(sum(n) AS BIGINT) AS n_renewals FROM h WHERE lapsed = 0 GROUP BY 1""",
     "bootstrap_interval": f"""WITH d AS (SELECT p_brand, p_partkey, round(avg(l_quantity) FILTER (WHERE l_returnflag = 'R') - avg(l_quantity) FILTER (WHERE l_returnflag = 'A'), 6) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
-      x AS (SELECT p_brand, v, b, CAST('0x' || substr(md5(p_partkey || ':' || b), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM (SELECT *, unnest(range(0, 201)) AS b FROM d WHERE v IS NOT NULL)),
-      w AS (SELECT p_brand, v, b, CASE WHEN b = 0 THEN 1 ELSE {_WEIGHT} END AS w FROM x),
-      m AS (SELECT p_brand, b, count(*) AS k, sum(w * v) / nullif(sum(w), 0) AS m FROM w GROUP BY 1, 2)
-      SELECT p_brand, max(k) AS n_clusters, round(max(m) FILTER (WHERE b = 0), 4) AS mean, round(quantile_cont(m, 0.025) FILTER (WHERE b > 0), 4) AS low, round(quantile_cont(m, 0.975) FILTER (WHERE b > 0), 4) AS high, round(quantile_cont(m, 0.05) FILTER (WHERE b > 0), 4) AS bound FROM m GROUP BY 1""",
+      x AS (SELECT p_brand, v, b, CAST('0x' || substr(md5(p_partkey || ':' || b // 4), CAST(8 * (b % 4) + 1 AS INTEGER), 8) AS BIGINT) / 4294967296.0 AS u FROM (SELECT *, unnest(range(0, 200)) AS b FROM d WHERE v IS NOT NULL)),
+      w AS (SELECT p_brand, v, b, {_WEIGHT} AS w FROM x),
+      m AS (SELECT p_brand, b, sum(w * v) / nullif(sum(w), 0) AS m FROM w GROUP BY 1, 2), s AS (SELECT p_brand, count(*) AS n_clusters, round(avg(v), 4) AS mean FROM d WHERE v IS NOT NULL GROUP BY 1)
+      SELECT p_brand, n_clusters, mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high, round(quantile_cont(m, 0.05), 4) AS bound FROM m JOIN s USING (p_brand) GROUP BY ALL""",
     "referenced_times": f"""WITH a AS (SELECT *, {_ASKED} AS asked, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderstatus <> 'F' THEN 'matched' WHEN o_custkey BETWEEN 2 AND 520 THEN 'matched' ELSE 'rejected' END AS status FROM orders),
       p AS (SELECT *, CASE WHEN status = 'rejected' OR o_orderstatus = 'P' THEN NULL WHEN o_orderstatus = 'O' THEN date_trunc('month', d) - INTERVAL 1 MONTH ELSE d - CAST(o_custkey * 7 AS INTEGER) END AS f,
         CASE WHEN status = 'rejected' THEN NULL WHEN o_orderstatus = 'P' THEN d WHEN o_orderstatus = 'O' THEN date_trunc('month', d) ELSE d - CAST(o_custkey * 7 AS INTEGER) + 1 END AS t FROM a)

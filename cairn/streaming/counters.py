@@ -1,4 +1,4 @@
-"""Streaming counters and the leased-work state machine over an event log."""
+"""Streaming counters over an event log, with a watermark and protection against replays."""
 
 from __future__ import annotations
 
