@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.plans import coordination, evaluation, graph, lifecycle, planning, reports, reranking, retrieval, texts, upkeep
+from cairn.plans import coordination, evaluation, flow, graph, lifecycle, planning, reports, reranking, retrieval, texts, upkeep
 
-PLANS = (retrieval, planning, reranking, evaluation, graph, coordination, lifecycle, upkeep, texts, reports)
+PLANS = (retrieval, flow, planning, reranking, evaluation, graph, coordination, lifecycle, upkeep, texts, reports)
 QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
-FLAGSHIP = "hybrid_recall"
+FLAGSHIP = "whole_recall"

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.lanes import _nearest, _ranked, _unit
+from cairn.operators.lanes import _nearest, ranked, _unit
 from cairn.sources.shared import written
 
 #: Most vectors that the cells are fitted on, most cells, and vectors or queries in one task's block.
@@ -85,7 +85,7 @@ def approximate(vectors: DataFrame, queries: DataFrame, budget: int = 10, share:
 
     key = ["cell", "pv", "pq"]
     pairs = left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(meet, "query_id long, canonical_id long, raw_score double")
-    return _ranked(pairs, budget).withColumn("raw_score", F.round("raw_score", 4))
+    return ranked(pairs, budget).withColumn("raw_score", F.round("raw_score", 4))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -22,7 +22,8 @@ def top(candidates: DataFrame, budget: int, *order: Column) -> DataFrame:
     return candidates.withColumn("rank", rank).where(F.col("rank") <= budget)
 
 
-def _ranked(scored: DataFrame, budget: int) -> DataFrame:
+def ranked(scored: DataFrame, budget: int) -> DataFrame:
+    """The first ``budget`` of each query by score, then id."""
     return top(scored, budget, F.desc("raw_score"), F.asc("canonical_id"))
 
 
@@ -30,7 +31,7 @@ def exact(terms: DataFrame, queries: DataFrame, budget: int = 32) -> DataFrame:
     """``terms``: canonical_id, term; ``queries``: query_id, text.  Whole normalised queries equal to a term."""
     asked = queries.select("query_id", text.normalize_term(F.col("text")).alias("_t"))
     found = terms.select("canonical_id", text.normalize_term(F.col("term")).alias("_t")).join(asked, "_t").select("query_id", "canonical_id").distinct()
-    return _ranked(found.withColumn("raw_score", F.lit(1.0)), budget)
+    return ranked(found.withColumn("raw_score", F.lit(1.0)), budget)
 
 
 def _texts(docs: DataFrame, budget: int) -> DataFrame:
@@ -56,7 +57,7 @@ def lexical(docs: DataFrame, queries: DataFrame, budget: int = 32, most_tokens:
     near = base.withColumn("_k", nth).withColumn("_last", last).where(F.col("_last").isNull() | (F.col("_base") + 0.2 + 1e-9 >= F.col("_last")))
     full = near.select("query_id", "_tid", "_base").join(texts, "_tid").join(asked.select("query_id", "_q"), "query_id")
     scored = full.withColumn("raw_score", F.round(F.col("_base") + F.when(F.contains(F.lower("text"), "_q"), 0.2).otherwise(0.0), 6))
-    return _ranked(scored.select("query_id", F.explode("_ids").alias("canonical_id"), "raw_score"), budget)
+    return ranked(scored.select("query_id", F.explode("_ids").alias("canonical_id"), "raw_score"), budget)
 
 
 def _prefixes(sets: DataFrame, key: str, rarity: DataFrame, floor: float) -> DataFrame:
@@ -84,7 +85,7 @@ def fuzzy(docs: DataFrame, queries: DataFrame, floor: float = 0.25, budget: int
     both = F.size(F.array_intersect("_g", "_h"))
     scored = full.withColumn("raw_score", F.round(both / (F.size("_g") + F.size("_h") - both), 6)).where(F.col("raw_score") >= floor)
     ids = scored.select("query_id", "_tid", "raw_score").join(texts.select("_tid", "_ids"), "_tid")
-    return _ranked(ids.select("query_id", F.explode("_ids").alias("canonical_id"), "raw_score"), budget)
+    return ranked(ids.select("query_id", F.explode("_ids").alias("canonical_id"), "raw_score"), budget)
 
 
 def temporal(docs: DataFrame, queries: DataFrame, budget: int = 16) -> DataFrame:
@@ -122,7 +123,7 @@ def dense(vectors: DataFrame, queries: DataFrame, budget: int = 10, floor: float
     found = parts[0] if parts else vectors.sparkSession.createDataFrame([], "query_id long, canonical_id long, raw_score double")
     for part in parts[1:]:
         found = found.unionByName(part)
-    return _ranked(found, budget).withColumn("raw_score", F.round("raw_score", 4))
+    return ranked(found, budget).withColumn("raw_score", F.round("raw_score", 4))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.operators import evaluation, reports
-from cairn.sources.tables import load, with_views
+from cairn.sources.tables import load, typed, with_views
 
 NOW = "1997-01-01"
 SHARES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -168,4 +168,4 @@ c AS (SELECT t, a, outcome, unnest(list_distinct([m, m, 3])) AS m FROM i WHERE k
 SELECT c.m AS memory_id, x.v AS version, outcome, count(*) AS n, count(DISTINCT c.t) AS n_tasks FROM c JOIN x ON c.t = x.t AND c.a = x.a AND c.m = x.m WHERE (c.m + x.v) % 2 = 0 AND EXISTS (SELECT 1 FROM part WHERE p_partkey % 4 = c.m AND p_size % 3 = x.v) GROUP BY 1, 2, 3"""
 
 QUERIES = {f.__name__: f for f in (latency_percentiles, pareto_frontier, log_latency_area, sign_tests, arm_dominance, slot_scores, arm_scores, gate_checks, budget_splits, seeded_samples, run_counters, outcome_associations)}
-ORACLES = {"latency_percentiles": PERCENTILE_SQL, "pareto_frontier": f"WITH {POINTS} SELECT p_brand, name, latency, accuracy FROM f", "log_latency_area": AREA_SQL, "sign_tests": SIGN_SQL, "arm_dominance": DOMINANCE_SQL, "slot_scores": SLOT_SQL, "arm_scores": ARM_SQL, "gate_checks": GATE_SQL, "budget_splits": SPLIT_SQL, "seeded_samples": SAMPLE_SQL, "run_counters": with_views(RUN_SQL, "tasks"), "outcome_associations": OUTCOME_SQL}
+ORACLES = {"latency_percentiles": PERCENTILE_SQL, "pareto_frontier": f"WITH {POINTS} SELECT p_brand, name, latency, accuracy FROM f", "log_latency_area": AREA_SQL, "sign_tests": SIGN_SQL, "arm_dominance": DOMINANCE_SQL, "slot_scores": SLOT_SQL, "arm_scores": ARM_SQL, "gate_checks": GATE_SQL, "budget_splits": SPLIT_SQL, "seeded_samples": SAMPLE_SQL, "run_counters": typed(with_views(RUN_SQL, "tasks"), memories_activated="BIGINT"), "outcome_associations": OUTCOME_SQL}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import identity, text
 from cairn.operators import extraction, work
-from cairn.sources.tables import load
+from cairn.sources.tables import load, typed
 
 SPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 UUID5 = "(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT sha1(unhex({0}) || encode({1})) AS h))"
@@ -147,4 +147,4 @@ UNION_SQL = """WITH b AS (SELECT l_orderkey AS g, l_suppkey % 20 AS e, count(DIS
 SELECT g AS group_id, bool_or(n > 1) AS conflict, CASE WHEN NOT bool_or(n > 1) THEN string_agg(CAST(e AS VARCHAR), ',' ORDER BY e) END AS evidence_ids FROM b GROUP BY 1"""
 
 QUERIES = {f.__name__: f for f in (memory_fingerprints, event_cursors, byte_prefixes, strict_times, payload_enrichment, hash_embeddings, source_chunks, span_checks, code_notes, extraction_routes, proposal_order, evidence_unions)}
-ORACLES = {"memory_fingerprints": FINGERPRINT_SQL, "event_cursors": CURSOR_SQL, "byte_prefixes": PREFIX_SQL, "strict_times": TIME_SQL, "payload_enrichment": ENRICH_SQL, "hash_embeddings": VECTOR_SQL, "source_chunks": CHUNK_SQL, "span_checks": SPAN_SQL, "code_notes": NOTE_SQL, "extraction_routes": ROUTE_SQL, "proposal_order": PROPOSAL_SQL, "evidence_unions": UNION_SQL}
+ORACLES = {"memory_fingerprints": FINGERPRINT_SQL, "event_cursors": CURSOR_SQL, "byte_prefixes": PREFIX_SQL, "strict_times": TIME_SQL, "payload_enrichment": ENRICH_SQL, "hash_embeddings": VECTOR_SQL, "source_chunks": CHUNK_SQL, "span_checks": SPAN_SQL, "code_notes": typed(NOTE_SQL, confidence="DOUBLE"), "extraction_routes": ROUTE_SQL, "proposal_order": PROPOSAL_SQL, "evidence_unions": UNION_SQL}

@@ -41,3 +41,8 @@ def with_views(sql: str, *names: str) -> str:
     """``sql`` for DuckDB with the named views in front."""
     views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
     return f"WITH {views}{', ' + sql.lstrip()[5:] if sql.lstrip().startswith('WITH ') else ' ' + sql}"
+
+
+def typed(sql: str, **types: str) -> str:
+    """``sql`` with some of its columns cast, for DuckDB's types to be Spark's."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())}) FROM ({sql})"

@@ -32,5 +32,5 @@ def test_agrees_with_sql(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert len(e.entry(spark).columns) == 5
+    assert len(e.entry(spark).columns) == 8
     assert set(e.oracle_sql()) <= set(e.queries())

@@ -1,13 +1,16 @@
 """Operators on small hand-written tables, against plain Python."""
 
+import collections
 import random
+import uuid
 from datetime import datetime, timedelta
 
+import numpy as np
 from conftest import SF
 from pyspark.sql import functions as F
 
-from cairn.functions import text
-from cairn.operators import ann, evaluation, fusion, graph, lanes, recall, resampling, upkeep, work
+from cairn.functions import identity, text
+from cairn.operators import ann, evaluation, fusion, graph, lanes, planning, recall, reports, resampling, upkeep, work
 from cairn.sources.tables import load
 from cairn.streaming import counters
 
@@ -73,11 +76,96 @@ def test_text_functions(spark):
     assert list(row) == ["ab cd", ["  a", " ab", "ab "], 1, ["a", "b"]]
 
 
-def test_facility_location_keeps_the_budget(spark):
-    items = spark.createDataFrame([(1, i, 10, 1.0 / (i + 1), ["a", f"t{i}"], ["a", "t2"]) for i in range(8)], "query_id long, canonical_id long, tokens long, relevance double, terms array<string>, asked array<string>")
-    got = [r.canonical_id for r in evaluation.facility_location(items, 35).orderBy("position").collect()]
-    assert 1 <= len(got) <= 3
-    assert 2 in got
+def test_facility_location_equals_brute_force(spark):
+    """The greedy choices written out with sets, over random items; a set chosen by value or by value per token."""
+    rng = random.Random(4)
+    words = [f"t{i}" for i in range(12)]
+    draw = lambda k: rng.sample(words, rng.randint(0, k))
+    items = [(q, i, i, rng.randint(0, 30), rng.choice([0.0, 0.3, 0.5, 1.0]), draw(6), draw(3), draw(2)) for q in range(12) for i in range(7)]
+    frame = spark.createDataFrame(items, "query_id long, canonical_id long, rank long, tokens long, relevance double, terms array<string>, asked array<string>, labels array<string>")
+    got = collections.defaultdict(list)
+    for r in evaluation.facility_location(frame, 60, 4).orderBy("query_id", "position").collect():
+        got[r.query_id].append(r.canonical_id)
+    for q in range(12):
+        own = [x for x in items if x[0] == q]
+        every = [set().union(*(set(x[c]) for x in own)) for c in (6, 7)]
+
+        def like(a, b):
+            return float(a is b) if not a[5] or not b[5] else len(set(a[5]) & set(b[5])) / len(set(a[5]) | set(b[5]))
+
+        def value(chosen):
+            if not chosen:
+                return 0.0
+            parts = [len(set().union(*(set(x[c]) for x in chosen))) / max(len(e), 1) for c, e in zip((6, 7), every, strict=True)]
+            return 0.35 * sum(x[4] for x in chosen) / 4 + 0.30 * parts[0] + 0.25 * sum(max(like(x, y) for x in chosen) for y in own) / len(own) + 0.10 * parts[1]
+
+        def greedy(dense):
+            chosen = []
+            while len(chosen) < 4:
+                fits = [x for x in own if x not in chosen and sum(y[3] for y in chosen) + x[3] <= 60 and value([*chosen, x]) - value(chosen) > 1e-12]
+                if not fits:
+                    break
+                gain = lambda x: value([*chosen, x]) - value(chosen)  # noqa: B023, E731
+                chosen.append(max(fits, key=lambda x: (round(gain(x) / max(1, x[3]) if dense else gain(x), 12), round(gain(x), 12), x[4], -max(1, x[3]), -x[2])))  # noqa: B023
+            return chosen
+
+        best = max((greedy(True), greedy(False)), key=lambda c: (round(value(c), 12), -sum(x[3] for x in c), tuple(-i for i in sorted(x[2] for x in c))))
+        assert got[q] == sorted(x[1] for x in best)
+
+
+def test_nodes_between_two_cycles_are_on_none(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4), (6, 6), (7, 1)], "src long, dst long")
+    assert sorted(r[0] for r in graph.on_cycles(edges).collect()) == [1, 2, 4, 5, 6]
+    proposed = spark.createDataFrame([(5, 1), (1, 5), (3, 3), (1, 2), (9, 1), (2, 7)], "src long, dst long")
+    assert {(r.src, r.dst): r.verdict for r in graph.addable(edges, proposed).collect()} == {(5, 1): "cycle", (1, 5): "added", (3, 3): "self", (1, 2): "exists", (9, 1): "added", (2, 7): "cycle"}
+
+
+def test_spread_along_symmetric_and_directed_relations(spark):
+    edges = spark.createDataFrame([(2, 1, "related_to"), (3, 1, "supports"), (1, 4, "supports"), (4, 5, "supersedes"), (1, 6, "made_up")], "src long, dst long, relation string")
+    seeds = spark.createDataFrame([(9, 1, 1.0)], "query_id long, node long, activation double")
+    got = {r.node: (r.activation, r.depth, r.path) for r in graph.spread(seeds, edges, 2, 8).collect()}
+    assert got == {1: (1.0, 0, "1"), 2: (0.6375, 1, "1>2"), 3: (0.8075, 1, "1>3"), 4: (0.85, 1, "1>4"), 5: (round(0.85 * 0.85 * 0.98, 6), 2, "1>4>5")}
+    gates = spark.createDataFrame([(9, 2, 0.5)], "query_id long, node long, overlap double")
+    got = {r.node: r.activation for r in graph.spread(seeds, edges, 1, 2, gates).collect()}
+    assert got == {1: 1.0, 3: round(0.8075 * 0.6, 6), 4: round(0.85 * 0.6, 6)}  # two neighbours at most, by weight
+
+
+def test_ranking_metrics_without_results(spark):
+    ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 10, 3), (3, 30, 1)], "query_id long, canonical_id long, rank int")
+    judged = spark.createDataFrame([(1, 11), (1, 12), (2, 20)], "query_id long, canonical_id long")
+    rows = {r.query_id: r for r in evaluation.ranking_metrics(ranked, judged, 10).collect()}
+    assert (rows[1].recall, rows[1].precision, rows[1].mrr) == (0.5, 0.5, 0.5)
+    assert (rows[2].recall, rows[2].precision, rows[2].mrr, rows[2].ndcg) == (0.0, None, 0.0, 0.0)
+    cases = spark.createDataFrame([(1,), (2,), (3,), (4,)], "query_id long")
+    row = evaluation.lane_metrics(ranked.withColumn("lane", F.lit("x")), judged, cases, 10, ["x", "y"]).where("lane = 'x'").first()
+    assert (row.cases, row.answerable, row.precision, row.recall, row.no_answer_precision, row.no_answer_recall) == (4, 2, 0.5, 0.25, 0.5, 0.5)
+
+
+def test_order_statistics_equal_sorting(spark):
+    rng = random.Random(2)
+    rows = [(g, rng.choice([None, *range(50)])) for g in "aab" for _ in range(500)] + [("c", 7)]
+    frame = spark.createDataFrame(rows, "g string, v long").repartition(7)
+    for way, place in (("index", lambda q, n: min(n - 1, int(q * n))), ("nearest", lambda q, n: round(q * (n - 1)))):
+        for r in reports.percentiles(frame, "g", "v", {"p": 0.37, "q": 0.5}, way).collect():
+            own = sorted(v for g, v in rows if g == r.g and v is not None)
+            assert (r.n, r.p, r.q) == (len(own), own[place(0.37, len(own))], own[place(0.5, len(own))])
+    for r in reports.percentiles(frame, "g", "v", {"p": 0.37}).collect():
+        assert abs(r.p - np.percentile([v for g, v in rows if g == r.g and v is not None], 37)) < 1e-9
+
+
+def test_identities_equal_the_standard_library(spark):
+    names = ["", "a", "Größe", "x" * 200]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(identity.uuid5(str(uuid.NAMESPACE_DNS), F.col("n")), identity.byte_prefix(F.col("n"), 3)).collect()
+    assert [tuple(r) for r in got] == [(str(uuid.uuid5(uuid.NAMESPACE_DNS, n)), n.encode()[:3].decode(errors="ignore")) for n in names]
+
+
+def test_plans_of_every_purpose(spark):
+    rows = spark.createDataFrame([(0, "12345678-1234-5678-1234-567812345678", "planning", 10, True, False), (1, "src/Foo.py", "conflict_review", 200, False, True), (2, "plain words", "task_bootstrap", 1, True, True)], "query_id long, text string, purpose string, limit int, timed boolean, targeted boolean")
+    got = {r.query_id: r for r in planning.plans(rows).collect()}
+    assert [got[i].intent for i in range(3)] == ["identifier", "code_lookup", "historical"]
+    assert (got[0].dense_weight, got[0].graph_weight, got[0].temporal_weight, got[0].exact_budget, got[0].token_budget) == (1.0, 1.25, None, 40, 4096)
+    assert (got[1].graph_weight, got[1].lexical_budget, got[1].dense_budget, got[1].seed_limit, got[1].edge_budget) == (1.25, 1600, 100, 16, 800)
+    assert (got[2].graph_weight, got[2].exact_weight, got[2].temporal_budget, got[2].seed_limit, got[2].diversify) == (1.5, 6.0, 16, 4, True)
 
 
 def test_stream_counts_equal_batch(spark, tmp_path):
