@@ -1,22 +1,30 @@
-"""Language-model scores from a bigram trie, sharded over the cluster.
+"""Language-model scores from a trigram trie, sharded over the cluster.
 
-p(w | u) = c(u, w) / (c(u) + M) + M / (c(u) + M) * (c(w) + 1) / (N + V + 1): counts of
-all training texts, smoothed towards the unigram.  Documents are dealt to chunks.
+p(w | u v) = (c(u, v, w) + M3 * p(w | v)) / (c(u, v) + M3), where c(u, v) counts what
+follows; p(w | v) = (c(v, w) + M2 * p(w)) / (c(v) + M2); p(w) = (c(w) + 1) / (N + V + 1):
+counts of all training texts, smoothed towards shorter contexts.  Documents are dealt to
+chunks.
 
 1. Each chunk sends its distinct words, with their training counts, to buckets of word
-   hashes; a bucket adds them up and answers each chunk with the totals.
-2. Each chunk sends its distinct pairs of known words, grouped by context, to buckets of
-   contexts; a context of more than ``SPLIT`` tokens is spread over several buckets by
-   successor.  A bucket adds up the pairs, builds the Elias-Fano trie of its contexts,
-   and looks up every pair that it was asked for.
+   hashes; a bucket adds them up, gives each word a number, and answers each chunk with
+   totals and numbers.
+2. Each chunk sends its distinct bigrams and trigrams of known words, as a tree of
+   numbers, to buckets of first words; a first word of more than ``SPLIT`` tokens is
+   spread over several buckets by the second.  A bucket adds up the counts, builds the
+   Elias-Fano trie of its shard, maps it into memory, and finds every n-gram that it was
+   asked for in it, context by context.
 3. Each chunk scores its documents with the answers.
 
-A frequent word or pair arrives once a chunk, not once a document.  All shuffled rows
-are compressed blobs; the driver gets nothing.
+A frequent word or n-gram arrives once a chunk, not once a document; a bucket holds the
+distinct successors that each chunk has of a pair of words.  All shuffled rows are
+compressed blobs; the driver gets nothing.
 
 Defined cases: a null text is empty and holds the end token alone; a null doc_id counts
 as the empty text in the held-out rule; repeated doc_ids and equal rows are documents of
-their own; without training texts every token has the same base probability.
+their own (equal rows share a chunk); without training texts every token has the same
+base probability; an empty table gives no rows; long texts are read whole, and a text
+longer than a chunk makes a longer chunk; columns but id and text take no part, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,9 +35,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .trie import CONTEXT_BITS, Trie, decode
+from .trie import Trie, decode
 
-MASS, SPLIT = 200.0, 1 << 18
+#: Mass of shorter contexts beside counts of bigrams and of trigrams.
+MASSES, SPLIT = (200.0, 4.0), 1 << 18
 #: The end token, also the context of a text's first token.
 END = np.uint64(0x5851F42D4C957F2D)
 BLOB = "_bucket long, _chunk long, _blob binary"
@@ -54,30 +63,56 @@ class Chunk:
         before[self.bounds[:-1]] = np.searchsorted(self.words, END)
         self.before = before
 
-    def totals(self, replies: pa.Table, buckets: int) -> np.ndarray:
-        out, bucket = np.zeros(len(self.words), dtype=np.int64), (self.words % np.uint64(buckets)).astype(np.int64)
+    def number(self, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Totals and numbers of the chunk's words, which are then kept in the order of numbers."""
+        total, number, bucket = np.zeros(len(self.words), dtype=np.int64), np.zeros(len(self.words), dtype=np.int64), (self.words % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for kind, b, value in zip(*(replies.column(c).to_pylist() for c in ("_kind", "_bucket", "_blob")), strict=True):
             if kind == 1:
-                out[order[ends[b] : ends[b + 1]]] = tk.unpack(value)[0]
-        return out
-
-    def pairs(self, totals: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
-        """Of each distinct pair of known tokens in the order they are sent: context, word, bucket; and each token's pair (-1: none)."""
-        n = len(self.words)
-        known = (totals[self.before] > 0) & (totals[self.token] > 0)
-        key, inverse = np.unique(self.before[known] * n + self.token[known], return_inverse=True)
-        context, word = key // n, key % n
-        parts = (-(-totals[context] // SPLIT)).astype(np.uint64)
-        spread = (self.words[word] >> np.uint64(20)) % np.maximum(parts, np.uint64(1))
-        bucket = (tk.mix(self.words[context] + spread) % np.uint64(buckets)).astype(np.int64)
+                own = order[ends[b] : ends[b + 1]]
+                total[own], rank = tk.unpack(value)
+                number[own] = rank * buckets + b
+        order = np.argsort(number)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.token, self.before = place[self.token], place[self.before]
+        end = self.before[0] if len(self.before) else 0  # a text's first token follows the end token
+        earlier = np.empty_like(self.before)
+        earlier[1:] = self.before[:-1]
+        earlier[self.bounds[:-1]] = end
+        self.earlier = earlier
+        return total[order], number[order]
+
+    def grams(self, totals: np.ndarray, numbers: np.ndarray, buckets: int) -> Grams:
+        n, known = len(totals), totals > 0
+        u, v, w = self.earlier, self.before, self.token
+        pair, context = known[v] & known[w], known[u] & known[v]
+        triple = context & known[w]
+        keys, at = np.unique(np.concatenate((v[pair] * n + w[pair], u[context] * n + v[context])), return_inverse=True)
+        first, second = keys // n, keys % n
+        parts = np.maximum(-(-totals[first] // SPLIT), 1).astype(np.uint64)
+        spread = tk.mix(numbers[second].astype(np.uint64)) % parts
+        bucket = (tk.mix(numbers[first].astype(np.uint64) + spread * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), dtype=np.int64)
+        place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        pair = np.full(len(known), -1, dtype=np.int64)
-        pair[known] = place[inverse]
-        return context[order], word[order], bucket[order], pair
+        at, out = place[at], Grams()
+        out.first, out.second, out.ends2 = first[order], second[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        out.pair, out.context, out.triple = (np.full(len(w), -1, dtype=np.int64) for _ in range(3))
+        out.pair[pair], out.context[context] = at[: pair.sum()], at[pair.sum() :]
+        keys, at = np.unique(out.context[triple] * n + w[triple], return_inverse=True)
+        out.parent, out.third, out.triple[triple] = keys // n, keys % n, at
+        out.ends3 = np.searchsorted(out.parent, out.ends2)
+        return out
+
+
+class Grams:
+    """Distinct bigrams (first, second) and trigrams (parent bigram, third) of a chunk in the order they are sent, with the buckets' ends.
+
+    ``pair``, ``context`` and ``triple`` lead from tokens to their bigram, the bigram before
+    them, and their trigram (-1: none).
+    """
 
 
 def _send_words(buckets: int):
@@ -102,7 +137,7 @@ def _replies(rows: list[tuple]) -> pa.Table:
 
 
 def _add_words(table: pa.Table) -> pa.Table:
-    """Each chunk's words' counts over all chunks; the first answer carries the bucket's tokens and kinds."""
+    """Each chunk's words' counts over all chunks and places in the bucket; the first answer carries the bucket's tokens and kinds."""
     bucket = table.column("_bucket")[0].as_py()
     parts = [tk.unpack(x) for x in table.column("_blob").to_pylist()]
     words, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -111,74 +146,101 @@ def _add_words(table: pa.Table) -> pa.Table:
     for k, (chunk, part) in enumerate(zip(table.column("_chunk").to_pylist(), parts, strict=True)):
         own = inverse[at : at + len(part[0])]
         at += len(own)
-        rows.append((chunk, 1, bucket, tk.pack(counts[own]), 0 if k else int(counts.sum()), 0 if k else int((counts > 0).sum())))
+        rows.append((chunk, 1, bucket, tk.pack(counts[own], own.astype(np.int64)), 0 if k else int(counts.sum()), 0 if k else int((counts > 0).sum())))
     return _replies(rows)
 
 
-def _send_pairs(buckets: int):
+def _send_grams(buckets: int):
     def send(docs: pa.Table, replies: pa.Table) -> pa.Table:
         rows: tuple[list, list, list] = ([], [], [])
         if docs.num_rows:
             own = Chunk(docs)
-            totals = own.totals(replies, buckets)
-            context, word, bucket, pair = own.pairs(totals, buckets)
-            learnt = np.bincount(pair[(pair >= 0) & own.learnt], minlength=len(context)).astype(np.uint32)
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(ends)):
-                part = slice(ends[b], ends[b + 1])
-                c, n = np.unique(context[part], return_counts=True)
-                w = own.words[word[part]] >> np.uint64(16)
+            totals, numbers = own.number(replies, buckets)
+            grams = own.grams(totals, numbers, buckets)
+            learnt2 = np.bincount(grams.pair[(grams.pair >= 0) & own.learnt], minlength=len(grams.first)).astype(np.uint32)
+            learnt3 = np.bincount(grams.triple[(grams.triple >= 0) & own.learnt], minlength=len(grams.parent)).astype(np.uint32)
+            numbers = numbers.astype(np.uint64)
+            for b in np.flatnonzero(np.diff(grams.ends2)):
+                a2, z2, a3, z3 = grams.ends2[b], grams.ends2[b + 1], grams.ends3[b], grams.ends3[b + 1]
+                first, n = np.unique(grams.first[a2:z2], return_counts=True)
+                each = np.bincount(grams.parent[a3:z3] - a2, minlength=z2 - a2).astype(np.uint32)
                 rows[0].append(int(b))
                 rows[1].append(own.id)
-                rows[2].append(tk.pack(own.words[c] >> np.uint64(64 - CONTEXT_BITS), totals[c], n.astype(np.uint32), (w >> np.uint64(16)).astype(np.uint32), (w & np.uint64(0xFFFF)).astype(np.uint16), learnt[part]))
+                rows[2].append(tk.pack(numbers[first], totals[first], n.astype(np.uint32), numbers[grams.second[a2:z2]], learnt2[a2:z2], each, numbers[grams.third[a3:z3]], learnt3[a3:z3]))
         return pa.table({k: pa.array(v, t) for k, v, t in zip(("_bucket", "_chunk", "_blob"), rows, (pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
     return send
 
 
-def _look_up(mass: float):
+def _look_up(masses: tuple[float, float]):
     def look_up(table: pa.Table) -> pa.Table:
         bucket = table.column("_bucket")[0].as_py()
-        asked, counts, size = [], [], []
+        columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+        sizes, base = [], 0
         for value in table.column("_blob").to_pylist():
-            c, total, n, high, low, learnt = tk.unpack(value)
-            asked.append((np.repeat(c, n), (high.astype(np.uint64) << np.uint64(16)) | low))
-            counts.append(learnt)
-            size.append(np.repeat(total, n))
-        context, word = (np.concatenate(x) for x in zip(*asked, strict=True))
-        learnt, total = np.concatenate(counts), np.concatenate(size)
-        order = np.lexsort((word, context))
-        c, w = context[order], word[order]
-        first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))))
-        seen = np.add.reduceat(learnt[order].astype(np.int64), first)
-        have = seen > 0
-        share = seen[have] / (total[order][first][have] + mass)
-        trie = Trie(Trie.build(c[first][have], w[first][have], share))
-        rows = []
-        for chunk, (a, b) in zip(table.column("_chunk").to_pylist(), asked, strict=True):
-            rows.append((chunk, 2, bucket, tk.pack(trie.lookup(a, b), trie.book), 0, 0))
+            first, total, n, second, learnt2, each, third, learnt3 = tk.unpack(value)
+            parent = base + np.repeat(np.arange(len(second)), each)
+            for column, x in zip(columns, (np.repeat(first, n), np.repeat(total, n), second, learnt2, parent, third, learnt3), strict=True):
+                column.append(x)
+            sizes.append((len(second), len(third)))
+            base += len(second)
+        first, total, second, learnt2, parent, third, learnt3 = (np.concatenate(x) for x in columns)
+        words, place = np.unique(np.concatenate((first, second, third)), return_inverse=True)
+        size, n2 = len(words), len(first)
+        # what all chunks ask for, once each, with the sums of their counts
+        keys2, at2 = np.unique(place[:n2] * size + place[n2 : 2 * n2], return_inverse=True)
+        count2 = np.bincount(at2, weights=learnt2, minlength=len(keys2))
+        whole = np.zeros(len(keys2))
+        whole[at2] = total
+        keys3, at3 = np.unique(at2[parent] * size + place[2 * n2 :], return_inverse=True)
+        count3 = np.bincount(at3, weights=learnt3, minlength=len(keys3))
+        follow = np.bincount(keys3 // size, weights=count3, minlength=len(keys2))
+        have2, have3 = (count2 > 0) | (follow > 0), count3 > 0
+        node = np.cumsum(have2) - 1
+        under = keys3[have3] // size
+        trie = Trie.mapped(
+            Trie.build(
+                words,
+                keys2[have2] // size,
+                keys2[have2] % size,
+                (count2 / (whole + masses[0]))[have2],
+                (masses[1] / (follow + masses[1]))[have2],
+                node[under],
+                keys3[have3] % size,
+                count3[have3] / (follow[under] + masses[1]),
+            )
+        )
+        pair = trie.bigrams(words[keys2 // size], words[keys2 % size])
+        triple = trie.trigrams(pair[keys3 // size], words[keys3 % size])
+        share, held = (np.where(pair >= 0, codes[np.maximum(pair, 0)], none) if len(codes) else np.full(len(pair), none, np.uint16) for codes, none in ((trie.share, 0), (trie.held, 1)))
+        share3 = np.where(triple >= 0, trie.share3[np.maximum(triple, 0)], 0) if len(trie.share3) else np.zeros(len(triple), np.uint16)
+        rows, a, b = [], 0, 0
+        for chunk, (n, m) in zip(table.column("_chunk").to_pylist(), sizes, strict=True):
+            own2, own3 = at2[a : a + n], at3[b : b + m]
+            rows.append((chunk, 2, bucket, tk.pack(*(x.astype(np.uint16) for x in (share[own2], held[own2], share3[own3]))), 0, 0))
+            a, b = a + n, b + m
         return _replies(rows)
 
     return look_up
 
 
-def _score(buckets: int, mass: float):
+def _score(buckets: int, masses: tuple[float, float]):
     def score(docs: pa.Table, replies: pa.Table) -> pa.Table:
         own = Chunk(docs)
-        c = own.totals(replies, buckets)
-        context, _, bucket, pair = own.pairs(c, buckets)
-        seen, ends = np.zeros(len(context) + 1), np.searchsorted(bucket, np.arange(buckets + 1))
+        c, numbers = own.number(replies, buckets)
+        grams = own.grams(c, numbers, buckets)
+        # one place more than n-grams, which -1 (none) leads to
+        share, held, share3 = np.zeros(len(grams.first) + 1), np.ones(len(grams.first) + 1), np.zeros(len(grams.parent) + 1)
         n = v = 0
         for kind, b, value, tokens, kinds in zip(*(replies.column(k).to_pylist() for k in ("_kind", "_bucket", "_blob", "_n", "_v")), strict=True):
             if kind == 0:
                 n, v = tokens, kinds
             elif kind == 2:
-                codes, book = tk.unpack(value)
-                seen[ends[b] : ends[b + 1]] = decode(codes, book)
+                part2, part3 = slice(grams.ends2[b], grams.ends2[b + 1]), slice(grams.ends3[b], grams.ends3[b + 1])
+                share[part2], held[part2], share3[part3] = (decode(x) for x in tk.unpack(value))
         log = np.log10((c + 1) / (n + v + 1))
-        one = 10.0 ** (np.round(log * 64) / 64)  # quantised as the pairs are
-        held = mass / (c[own.before] + mass)
-        value = np.log10(seen[pair] + held * one[own.token])
+        one = (masses[0] / (c[own.before] + masses[0])) * ((c + 1) / (n + v + 1))[own.token]
+        value = np.log10(share3[grams.triple] + held[grams.context] * (share[grams.pair] + one))
         return pa.table(
             {
                 "_id": own.table.column("_id"),
@@ -194,7 +256,7 @@ def _score(buckets: int, mass: float):
     return score
 
 
-def score_texts(docs: DataFrame, learn: Column, mass: float = MASS, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, masses: tuple[float, float] = MASSES, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
     """Scores of all documents by a model of those that ``learn`` selects.
 
     Returns ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
@@ -202,20 +264,21 @@ def score_texts(docs: DataFrame, learn: Column, mass: float = MASS, id_col: str
     """
     n = chunks or tk.chunk_count(docs, text_col)
     dealt = tk.chunked(docs, n, id_col, text_col, F.coalesce(learn, F.lit(False)).alias("_train"))
-    words = dealt.groupBy("_chunk").applyInArrow(tk.tidy(_send_words(n)), BLOB).groupBy("_bucket").applyInArrow(tk.tidy(_add_words), REPLY)
+    buckets = tk.bucket_count(n)
+    words = dealt.groupBy("_chunk").applyInArrow(tk.tidy(_send_words(buckets)), BLOB).groupBy("_bucket").applyInArrow(tk.tidy(_add_words), REPLY)
     totals = words.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.coalesce(F.sum("_v"), F.lit(0)).alias("_v"))
     every = totals.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_chunk"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_bucket"), F.lit(None).cast("binary").alias("_blob"), "_n", "_v")
-    pairs = dealt.groupBy("_chunk").cogroup(words.groupBy("_chunk")).applyInArrow(tk.tidy(_send_pairs(n)), BLOB)
-    found = pairs.groupBy("_bucket").applyInArrow(tk.tidy(_look_up(mass)), REPLY)
+    grams = dealt.groupBy("_chunk").cogroup(words.groupBy("_chunk")).applyInArrow(tk.tidy(_send_grams(buckets)), BLOB)
+    found = grams.groupBy("_bucket").applyInArrow(tk.tidy(_look_up(masses)), REPLY)
     answers = words.unionByName(found).unionByName(every)
     scored = dealt.groupBy("_chunk").cogroup(answers.groupBy("_chunk"))
     schema = "_id long, _train boolean, _n_tokens long, _n_known long, _train_tokens long, _base double, _score double"
-    out = scored.applyInArrow(tk.tidy(_score_or_none(n, mass)), schema)
+    out = scored.applyInArrow(tk.tidy(_score_or_none(buckets, masses)), schema)
     return out.select(F.col("_id").alias(id_col), (~F.col("_train")).alias("held_out"), F.col("_n_tokens").alias("n_tokens"), F.col("_n_known").alias("n_known"), F.col("_train_tokens").alias("train_tokens"), F.col("_base").alias("base_score"), F.col("_score").alias("score"))
 
 
-def _score_or_none(buckets: int, mass: float):
-    run = _score(buckets, mass)
+def _score_or_none(buckets: int, masses: tuple[float, float]):
+    run = _score(buckets, masses)
     empty = pa.table({k: pa.array([], t) for k, t in (("_id", pa.int64()), ("_train", pa.bool_()), ("_n_tokens", pa.int64()), ("_n_known", pa.int64()), ("_train_tokens", pa.int64()), ("_base", pa.float64()), ("_score", pa.float64()))})
     return lambda docs, replies: run(docs, replies) if docs.num_rows else empty
 

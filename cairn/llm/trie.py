@@ -1,16 +1,21 @@
-"""A bigram trie in Elias-Fano levels, held in one flat buffer.
-
-Levels: the contexts (ascending hashes), the pointers (where each context's successors
-begin), the words that succeed, and the successors themselves.  A successor is kept as
-context rank times words plus word rank, which ascends over the whole level, so one
-Elias-Fano sequence serves all contexts and a search stays within its context's stretch.
-Each successor has an 8-bit code of its probability's logarithm.
-
-The buffer can be bytes, a column of a table, or a memory-mapped file.
+"""A trigram trie in Elias-Fano levels, held in one flat, memory-mapped buffer.
+
+Levels: the contexts (ascending ids) with the pointers to where their successors begin;
+the successors (bigrams) with the pointers to where theirs begin; and those (trigrams).
+A node is kept as its parent's place times words plus its own word's place, which ascends
+over the whole level, so one Elias-Fano sequence serves all parents, and a search stays
+within the parent's stretch of it: words are found relative to their context.  Nodes have
+16-bit codes of the logarithms of their smoothed shares, and bigrams also of the mass
+that is held back for shorter contexts.
+
+The buffer can be bytes or, as in ``mapped``, a file that is unlinked at once and paged
+in as it is searched.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 
 U64 = np.uint64
@@ -104,7 +109,24 @@ def _flat(parts: list[np.ndarray]) -> bytes:
     return len(head).to_bytes(8, "little") + head + b"\0" * (-len(head) % 8) + body
 
 
-CONTEXT_BITS = 56
+#: Codes for a power of ten: what is decoded is off by half of one at most.
+STEPS = 2048
+
+
+def encode(values: np.ndarray) -> np.ndarray:
+    """Codes of numbers over 0 and up to 1; 0 stands for 0."""
+    out = np.zeros(len(values), dtype=np.uint16)
+    some = values > 0
+    out[some] = np.minimum(np.round(-np.log10(values[some]) * STEPS), 65534).astype(np.uint16) + 1
+    return out
+
+
+def decode(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, 10.0 ** ((1.0 - codes.astype(np.float64)) / STEPS), 0.0)
+
+
+def _begins(parent: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(np.bincount(parent, minlength=n)))).astype(np.int64)
 
 
 class Trie:
@@ -119,46 +141,50 @@ class Trie:
             size = np.dtype(kind).itemsize * int(count)
             parts.append(data[at : at + size].view(kind))
             at += size + -size % 8
-        self.contexts, self.pointers, self.words, self.successors = (EliasFano(parts[k : k + 4]) for k in (0, 4, 8, 12))
-        self.codes, self.book = parts[16], parts[17]
+        self.contexts, self.words, self.first, self.pairs, self.second, self.triples = (EliasFano(parts[k : k + 4]) for k in range(0, 24, 4))
+        #: codes of bigrams' shares, of the mass they hold back, and of trigrams' shares
+        self.share, self.held, self.share3 = parts[24:27]
 
     @classmethod
-    def open(cls, path: str) -> Trie:
-        return cls(np.memmap(path, dtype=np.uint8, mode="r"))
+    def mapped(cls, buffer: bytes) -> Trie:
+        """The trie in a file of the task's own that is mapped and, being unlinked, goes with it."""
+        with tempfile.TemporaryFile() as file:
+            file.write(buffer)
+            file.flush()
+            return cls(np.memmap(file, dtype=np.uint8, mode="r"))
 
     @staticmethod
-    def build(context: np.ndarray, word: np.ndarray, probability: np.ndarray) -> bytes:
-        """From distinct pairs of hashes (contexts of ``CONTEXT_BITS``, words of 48 bits) and probabilities above 0."""
+    def build(words: np.ndarray, context: np.ndarray, word: np.ndarray, share: np.ndarray, held: np.ndarray, parent: np.ndarray, third: np.ndarray, share3: np.ndarray) -> bytes:
+        """From ascending word ids; distinct bigrams as places of words, in their order; distinct trigrams as places of bigrams and words, in their order."""
         contexts, c = np.unique(context, return_inverse=True)
-        words, w = np.unique(word, return_inverse=True)
-        key = c.astype(np.int64) * max(len(words), 1) + w
-        order = np.argsort(key)
-        begins = np.concatenate(([0], np.cumsum(np.bincount(c, minlength=len(contexts)))))
-        log = np.log10(probability[order])
-        low, high = (float(log.min()), float(log.max())) if len(log) else (0.0, 0.0)
-        step = max((high - low) / 254, 1e-9)
+        size, n, m = max(len(words), 1), len(context), len(parent)
+        universe = int(words[-1]) + 1 if len(words) else 1
         return _flat(
             [
-                *EliasFano.parts(contexts, 1 << CONTEXT_BITS),
-                *EliasFano.parts(begins, len(key) + 1),
-                *EliasFano.parts(words, 1 << 48),
-                *EliasFano.parts(key[order], max(len(contexts) * len(words), 1)),
-                (np.round((log - low) / step) + 1).astype(np.uint8),
-                np.array([low, step]),
+                *EliasFano.parts(words[contexts], universe),
+                *EliasFano.parts(words, universe),
+                *EliasFano.parts(_begins(c, len(contexts)), n + 1),
+                *EliasFano.parts(c.astype(np.int64) * size + word, max(len(contexts) * size, 1)),
+                *EliasFano.parts(_begins(parent, n), m + 1),
+                *EliasFano.parts(parent.astype(np.int64) * size + third, max(n * size, 1)),
+                encode(share),
+                encode(held),
+                encode(share3),
             ]
         )
 
-    def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of the pairs; 0 for those that were not seen."""
-        c, w = self.contexts.find(context), self.words.find(word)
-        out = np.zeros(len(c), dtype=np.uint8)
-        own = np.flatnonzero((c >= 0) & (w >= 0))
+    def _under(self, level: EliasFano, pointers: EliasFano, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        out = np.full(len(parent), -1, dtype=np.int64)
+        own = np.flatnonzero((parent >= 0) & (word >= 0))
         if len(own):
-            begin, end = self.pointers.get(c[own]).astype(np.int64), self.pointers.get(c[own] + 1).astype(np.int64)
-            at = self.successors.find((c[own] * self.words.n + w[own]).astype(np.uint64), begin, end)
-            out[own[at >= 0]] = self.codes[at[at >= 0]]
+            begin, end = pointers.get(parent[own]).astype(np.int64), pointers.get(parent[own] + 1).astype(np.int64)
+            out[own] = level.find((parent[own] * self.words.n + word[own]).astype(np.uint64), begin, end)
         return out
 
+    def bigrams(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of bigrams of word ids; -1 for those that were not seen."""
+        return self._under(self.pairs, self.first, self.contexts.find(context), self.words.find(word))
 
-def decode(codes: np.ndarray, book: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, 10.0 ** (book[0] + book[1] * (codes.astype(np.float64) - 1)), 0.0)
+    def trigrams(self, bigram: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of the bigrams' successors; -1 for those that were not seen."""
+        return self._under(self.triples, self.second, bigram, self.words.find(word))

@@ -449,38 +449,62 @@ def test_plans_are_nearly_full():
     assert sum(t for t, _ in plan) <= math.ceil((counts * np.arange(1025)).sum() / 1024) + 1
 
 
-def test_language_model_equals_brute_force(edge, empty):
+@pytest.mark.parametrize("chunks", [1, 4, 70])
+def test_language_model_equals_brute_force(edge, empty, chunks, monkeypatch):
+    monkeypatch.setattr(op10_lm, "SPLIT", 3)  # frequent first words are spread over buckets
     learn = F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 0
-    rows = op10_lm.score_texts(edge, learn, chunks=4).collect()
-    single, pair, token = collections.Counter(), collections.Counter(), {}
+    rows = op10_lm.score_texts(edge, learn, chunks=chunks).collect()
+    single, pair, triple, follow, token = *(collections.Counter() for _ in range(4)), {}
+    grams = lambda w: zip([None, None, *w[:-2]] if len(w) > 1 else [None], [None, *w[:-1]], w, strict=True)
     for i, t in TEXTS:
         w = [*(t or "").encode().lower().split(), None]
         token.setdefault(i, w)
         if (i or 0) % 2 == 0:
             single.update(w)
-            pair.update(zip([None, *w[:-1]], w, strict=True))
-    n, v, m = sum(single.values()), len(single), op10_lm.MASS
+            for u, v, x in grams(w):
+                pair[v, x] += 1
+                triple[u, v, x] += 1
+                follow[u, v] += 1
+    n, v, (m2, m3) = sum(single.values()), len(single), op10_lm.MASSES
     assert len(rows) == len(TEXTS)
+
+    def probability(u, y, x):
+        p1 = (single[x] + 1) / (n + v + 1)
+        p2 = (pair[y, x] + m2 * p1) / (single[y] + m2)
+        return (triple[u, y, x] + m3 * p2) / (follow[u, y] + m3)
+
     for r in rows:
         w = token[r.doc_id]
         p1 = [(single[x] + 1) / (n + v + 1) for x in w]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(single[x] > 0 for x in w), n)
         assert abs(r.base_score - sum(map(math.log10, p1))) < 1e-6
-        score = sum(math.log10((pair[u, x] + m * p) / (single[u] + m)) for u, x, p in zip([None, *w[:-1]], w, p1, strict=True))
-        assert abs(r.score - score) <= 0.02 * len(w)
+        assert abs(r.score - sum(math.log10(probability(*g)) for g in grams(w))) <= 1e-3 * len(w)
     assert op10_lm.score_texts(empty, learn).isEmpty()
 
 
-def test_trie_finds_what_was_built(tmp_path):
+def test_scores_are_higher_for_what_was_learnt(spark):
+    """Held-out texts that repeat training text score above those that do not, and all above the base."""
+    rows = queries.QUERIES["op10_lm_scoring"](spark, "/root/testdata/sf0.01").toPandas()
+    each = (rows.score - rows.base_score) / rows.n_tokens
+    assert each[~rows.held_out].mean() > each[rows.held_out].mean() > 0
+
+
+def test_trie_finds_what_was_built():
     rng = np.random.default_rng(6)
-    c = textkit.mix(rng.zipf(1.4, 20_000).astype(np.uint64)) >> np.uint64(8)
-    w = textkit.mix(rng.integers(0, 3000, 20_000).astype(np.uint64)) >> np.uint64(16)
-    pairs = np.unique(np.stack([c, w]), axis=1)
-    p = rng.uniform(1e-6, 1, pairs.shape[1])
-    (tmp_path / "trie").write_bytes(trie.Trie.build(pairs[0], pairs[1], p))
-    made = trie.Trie.open(str(tmp_path / "trie"))
-    got = trie.decode(made.lookup(pairs[0], pairs[1]), made.book)
-    assert (np.abs(np.log10(got) - np.log10(p)) < 0.02).all()
-    have = {(a, b) for a, b in pairs.T.tolist()}
-    asked = np.stack([rng.permutation(pairs[0]), pairs[1]])
-    assert [(x in have) for x in map(tuple, asked.T.tolist())] == (made.lookup(asked[0], asked[1]) > 0).tolist()
+    words = np.unique(rng.integers(0, 2**40, 3000, dtype=np.uint64))
+    keys2 = np.unique(np.minimum(rng.zipf(1.3, 20_000), len(words)) - 1) * len(words)
+    keys2 = np.unique(rng.choice(keys2, 20_000) + rng.integers(0, len(words), 20_000))
+    keys3 = np.unique(rng.integers(0, len(keys2), 30_000) * len(words) + rng.integers(0, len(words), 30_000))
+    share, held, share3 = (rng.uniform(1e-7, 1, len(k)) for k in (keys2, keys2, keys3))
+    made = trie.Trie.mapped(trie.Trie.build(words, keys2 // len(words), keys2 % len(words), share, held, keys3 // len(words), keys3 % len(words), share3))
+    assert isinstance(made.share.base, np.ndarray)
+    found = made.bigrams(words[keys2 // len(words)], words[keys2 % len(words)])
+    assert found.tolist() == list(range(len(keys2)))
+    third = made.trigrams(keys3 // len(words), words[keys3 % len(words)])
+    assert third.tolist() == list(range(len(keys3)))
+    for codes, want in ((made.share, share), (made.held, held), (made.share3, share3)):
+        assert (np.abs(np.log10(trie.decode(codes)) - np.log10(want)) < 3e-4).all()
+    have = set(keys2.tolist())
+    a, b = rng.integers(0, len(words), (2, 5000))
+    assert (made.bigrams(words[a], words[b]) >= 0).tolist() == [(x * len(words) + y) in have for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert (made.bigrams(words[a] + np.uint64(1), np.full(5000, 2**41, np.uint64)) == -1).all()
