@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .trie import Trie, decode
+from .trie import STEPS, Trie, decode, encode
 
 #: Mass of shorter contexts beside counts of bigrams and of trigrams.
 MASSES, SPLIT = (200.0, 4.0), 1 << 18
@@ -107,6 +107,37 @@ class Chunk:
         return out
 
 
+def _steps(x) -> np.ndarray:
+    return np.round(np.log10(x) * STEPS).astype(np.int64)
+
+
+def _known(total: np.ndarray, mass: float) -> np.ndarray:
+    """The part of a bigram's code that its first word's total gives away."""
+    return _steps(total + mass)
+
+
+def _less(share: np.ndarray, held: np.ndarray, parent: np.ndarray, share3: np.ndarray, total: np.ndarray, masses: tuple[float, float]) -> tuple[np.ndarray, ...]:
+    """Codes as they are sent: less what the asker knows, so that equal counts are equal numbers; 0 stays for none."""
+    less = np.where(share > 0, _known(total, masses[0]) + 3 - share, 0)
+    return less.astype(np.uint32), held, np.where(share3 > 0, held[parent].astype(np.int64) + _shift(masses) - share3, 0).astype(np.uint32)
+
+
+def _more(less: np.ndarray, held: np.ndarray, parent: np.ndarray, less3: np.ndarray, total: np.ndarray, masses: tuple[float, float]) -> tuple[np.ndarray, ...]:
+    """The codes that ``_less`` was made of."""
+    share = np.where(less > 0, _known(total, masses[0]) + 3 - less, 0)
+    return share, held, np.where(less3 > 0, held[parent].astype(np.int64) + _shift(masses) - less3, 0)
+
+
+def _indexed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The few distinct values, and each value's place among them, mostly one byte."""
+    values, place = np.unique(x, return_inverse=True)
+    return values, place.astype(np.uint8 if len(values) <= 256 else np.uint16 if len(values) <= 65536 else np.uint32)
+
+
+def _shift(masses: tuple[float, float]) -> int:
+    return max(int(_steps(masses[1])), 0) + 3
+
+
 class Grams:
     """Distinct bigrams (first, second) and trigrams (parent bigram, third) of a chunk in the order they are sent, with the buckets' ends.
 
@@ -184,40 +215,48 @@ def _look_up(masses: tuple[float, float]):
                 column.append(x)
             sizes.append((len(second), len(third)))
             base += len(second)
-        first, total, second, learnt2, parent, third, learnt3 = (np.concatenate(x) for x in columns)
-        words, place = np.unique(np.concatenate((first, second, third)), return_inverse=True)
-        size, n2 = len(words), len(first)
+        first, total, second, learnt2, parent, third, learnt3 = (np.concatenate(columns.pop(0)) for _ in range(7))
+        words = np.unique(np.concatenate((first, second, third)))
+        size, place = len(words), lambda x: np.searchsorted(words, x)
         # what all chunks ask for, once each, with the sums of their counts
-        keys2, at2 = np.unique(place[:n2] * size + place[n2 : 2 * n2], return_inverse=True)
+        keys2, at2 = np.unique(place(first) * size + place(second), return_inverse=True)
+        del first, second
         count2 = np.bincount(at2, weights=learnt2, minlength=len(keys2))
         whole = np.zeros(len(keys2))
         whole[at2] = total
-        keys3, at3 = np.unique(at2[parent] * size + place[2 * n2 :], return_inverse=True)
+        del total, learnt2
+        keys3, at3 = np.unique(at2[parent] * size + place(third), return_inverse=True)
+        del parent, third
+        at2, at3 = at2.astype(np.int32), at3.astype(np.int32)
         count3 = np.bincount(at3, weights=learnt3, minlength=len(keys3))
         follow = np.bincount(keys3 // size, weights=count3, minlength=len(keys2))
         have2, have3 = (count2 > 0) | (follow > 0), count3 > 0
         node = np.cumsum(have2) - 1
         under = keys3[have3] // size
+        # logarithms of counts and of what they are shares of are rounded one by one: the codes differ by the former alone
+        held = encode(masses[1] / (follow + masses[1])).astype(np.int64)
+        share = np.where(count2 > 0, np.maximum(_known(whole, masses[0]) + 1 - _steps(np.maximum(count2, 1)), 1), 0)
+        share3 = np.maximum(held[under] + _steps(masses[1]) - _steps(count3[have3]), 1)
         trie = Trie.mapped(
             Trie.build(
                 words,
                 keys2[have2] // size,
                 keys2[have2] % size,
-                (count2 / (whole + masses[0]))[have2],
-                (masses[1] / (follow + masses[1]))[have2],
+                share[have2],
+                held[have2],
                 node[under],
                 keys3[have3] % size,
-                count3[have3] / (follow[under] + masses[1]),
+                share3,
             )
         )
         pair = trie.bigrams(words[keys2 // size], words[keys2 % size])
         triple = trie.trigrams(pair[keys3 // size], words[keys3 % size])
-        share, held = (np.where(pair >= 0, codes[np.maximum(pair, 0)], none) if len(codes) else np.full(len(pair), none, np.uint16) for codes, none in ((trie.share, 0), (trie.held, 1)))
+        share, held = (np.where(pair >= 0, codes[np.maximum(pair, 0)], np.uint16(none)) if len(codes) else np.full(len(pair), none, np.uint16) for codes, none in ((trie.share, 0), (trie.held, 1)))
         share3 = np.where(triple >= 0, trie.share3[np.maximum(triple, 0)], 0) if len(trie.share3) else np.zeros(len(triple), np.uint16)
+        share, held, share3 = _less(share, held, keys3 // size, share3, whole, masses)
         rows, a, b = [], 0, 0
         for chunk, (n, m) in zip(table.column("_chunk").to_pylist(), sizes, strict=True):
-            own2, own3 = at2[a : a + n], at3[b : b + m]
-            rows.append((chunk, 2, bucket, tk.pack(*(x.astype(np.uint16) for x in (share[own2], held[own2], share3[own3]))), 0, 0))
+            rows.append((chunk, 2, bucket, tk.pack(*_indexed(share[at2[a : a + n]]), *_indexed(held[at2[a : a + n]]), *_indexed(share3[at3[b : b + m]])), 0, 0))
             a, b = a + n, b + m
         return _replies(rows)
 
@@ -237,7 +276,9 @@ def _score(buckets: int, masses: tuple[float, float]):
                 n, v = tokens, kinds
             elif kind == 2:
                 part2, part3 = slice(grams.ends2[b], grams.ends2[b + 1]), slice(grams.ends3[b], grams.ends3[b + 1])
-                share[part2], held[part2], share3[part3] = (decode(x) for x in tk.unpack(value))
+                parts = tk.unpack(value)
+                less, codes, less3 = (parts[k][parts[k + 1]] for k in (0, 2, 4))
+                share[part2], held[part2], share3[part3] = map(decode, _more(less, codes, grams.parent[part3] - grams.ends2[b], less3, c[grams.first[part2]], masses))
         log = np.log10((c + 1) / (n + v + 1))
         one = (masses[0] / (c[own.before] + masses[0])) * ((c + 1) / (n + v + 1))[own.token]
         value = np.log10(share3[grams.triple] + held[grams.context] * (share[grams.pair] + one))
@@ -264,7 +305,7 @@ def score_texts(docs: DataFrame, learn: Column, masses: tuple[float, float] = MA
     """
     n = chunks or tk.chunk_count(docs, text_col)
     dealt = tk.chunked(docs, n, id_col, text_col, F.coalesce(learn, F.lit(False)).alias("_train"))
-    buckets = tk.bucket_count(n)
+    buckets = tk.bucket_count(n, each=2)
     words = dealt.groupBy("_chunk").applyInArrow(tk.tidy(_send_words(buckets)), BLOB).groupBy("_bucket").applyInArrow(tk.tidy(_add_words), REPLY)
     totals = words.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.coalesce(F.sum("_v"), F.lit(0)).alias("_v"))
     every = totals.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_chunk"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_bucket"), F.lit(None).cast("binary").alias("_blob"), "_n", "_v")

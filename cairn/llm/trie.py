@@ -109,7 +109,7 @@ def _flat(parts: list[np.ndarray]) -> bytes:
     return len(head).to_bytes(8, "little") + head + b"\0" * (-len(head) % 8) + body
 
 
-#: Codes for a power of ten: what is decoded is off by half of one at most.
+#: Codes for a power of ten.
 STEPS = 2048
 
 
@@ -155,7 +155,7 @@ class Trie:
 
     @staticmethod
     def build(words: np.ndarray, context: np.ndarray, word: np.ndarray, share: np.ndarray, held: np.ndarray, parent: np.ndarray, third: np.ndarray, share3: np.ndarray) -> bytes:
-        """From ascending word ids; distinct bigrams as places of words, in their order; distinct trigrams as places of bigrams and words, in their order."""
+        """From ascending word ids; distinct bigrams as places of words, in their order; distinct trigrams as places of bigrams and words, in their order; shares and held masses as codes."""
         contexts, c = np.unique(context, return_inverse=True)
         size, n, m = max(len(words), 1), len(context), len(parent)
         universe = int(words[-1]) + 1 if len(words) else 1
@@ -167,9 +167,9 @@ class Trie:
                 *EliasFano.parts(c.astype(np.int64) * size + word, max(len(contexts) * size, 1)),
                 *EliasFano.parts(_begins(parent, n), m + 1),
                 *EliasFano.parts(parent.astype(np.int64) * size + third, max(n * size, 1)),
-                encode(share),
-                encode(held),
-                encode(share3),
+                share.astype(np.uint16),
+                held.astype(np.uint16),
+                share3.astype(np.uint16),
             ]
         )
 

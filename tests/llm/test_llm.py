@@ -496,7 +496,7 @@ def test_trie_finds_what_was_built():
     keys2 = np.unique(rng.choice(keys2, 20_000) + rng.integers(0, len(words), 20_000))
     keys3 = np.unique(rng.integers(0, len(keys2), 30_000) * len(words) + rng.integers(0, len(words), 30_000))
     share, held, share3 = (rng.uniform(1e-7, 1, len(k)) for k in (keys2, keys2, keys3))
-    made = trie.Trie.mapped(trie.Trie.build(words, keys2 // len(words), keys2 % len(words), share, held, keys3 // len(words), keys3 % len(words), share3))
+    made = trie.Trie.mapped(trie.Trie.build(words, keys2 // len(words), keys2 % len(words), *map(trie.encode, (share, held)), keys3 // len(words), keys3 % len(words), trie.encode(share3)))
     assert isinstance(made.share.base, np.ndarray)
     found = made.bigrams(words[keys2 // len(words)], words[keys2 % len(words)])
     assert found.tolist() == list(range(len(keys2)))
