@@ -71,5 +71,6 @@ def recall(memories: DataFrame, queries: DataFrame, edges: DataFrame, purpose: s
         fused = fused.join(dense.select("query_id", "canonical_id", F.col("raw_score").alias("cosine")), ["query_id", "canonical_id"], "left")
     scored = relevance(fused, queries, memories.where("recallable")).where(F.col("relevance") >= floor)
     hits = lanes.top(scored, limit, F.asc("fused_rank")).withColumn("tokens", text.token_estimate(F.col("text")).cast("long"))
+    hits = written(hits.select("query_id", "canonical_id", "rank", "tokens", "lanes", "score", "relevance"), "hits")
     packed = fusion.pack(hits.select("query_id", "canonical_id", "rank", "tokens"), tokens)
     return packed.join(hits.select("query_id", "canonical_id", "lanes", "score", "relevance"), ["query_id", "canonical_id"])
