@@ -61,7 +61,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     same = F.col("doc_id").eqNullSafe(F.col("_cairn_lead_id")) & (F.col("_cairn_hash") == F.col("_cairn_lead_hash"))
     rows = keyed.join(kept, same, "left_semi")
     if of.join(kept, same, "left_semi").count() > kept.count():  # rows that share doc_id and text
-        rest = Window.partitionBy("doc_id", "_cairn_hash").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
+        rest = Window.partitionBy("doc_id", "_cairn_hash").orderBy(F.lit(0), *[c for c in docs.columns if c not in ("doc_id", "text")])
         rows = rows.withColumn("_cairn_nth", F.row_number().over(rest)).where("_cairn_nth = 1")
     return rows.select(docs.columns)
 
