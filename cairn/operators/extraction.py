@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,8 @@ def span_checks(spans: DataFrame, sources: DataFrame, chunks: DataFrame) -> Data
     return rows.select("span_id", verdict.alias("verdict"))
 
 
+#: Revision named in a consolidation's digest (fixed value).
+POLICY = "evidence-gated-v1"
 #: Order in which proposals are applied (fixed values).
 ACTIONS = ("append", "link", "noop", "supersede")
 
@@ -88,3 +92,29 @@ def evidence_union(rows: DataFrame) -> DataFrame:
     by = rows.groupBy("group_id", "evidence_id").agg(F.count_distinct("reference").alias("_n"), F.min("reference").alias("_r"))
     lists = by.groupBy("group_id").agg(F.bool_or(F.col("_n") > 1).alias("conflict"), F.array_sort(F.collect_list("evidence_id")).alias("_e"))
     return lists.select("group_id", "conflict", F.when(~F.col("conflict"), F.array_join(F.transform("_e", lambda x: x.cast("string")), ",")).alias("evidence_ids"))
+
+
+def consolidation_windows(items: DataFrame, observe: Callable[[Column, Column], Column], most: int, max_bytes: int, max_actions: int = 4, use_provider: bool = False) -> DataFrame:
+    """What each batch shows to a consolidation: its eligible memories, in order, that still fit.
+
+    ``items``: batch_id, place (from 1), memory_id, recallable, eligible, and what
+    ``observe(key, item)`` needs to write an observation as JSON under its key.  Of a batch
+    the first ``most`` are asked for; all must be recallable, and two at least must fit
+    into ``max_bytes`` of JSON, else the batch has no window.
+    """
+    asked = items.where(F.col("place") <= most)
+    item = F.struct("place", *[c for c in items.columns if c not in ("batch_id", "place")])
+    lists = asked.groupBy("batch_id").agg(F.array_sort(F.collect_list(item)).alias("_l"), F.every("recallable").alias("_all"))
+    texts = F.array().cast("array<string>")
+
+    def step(a, x):
+        text = observe(F.concat(F.lit("m"), F.size(a["kept"]).cast("string")), x)
+        used = a["used"] + F.octet_length(text) + 1
+        more = F.struct(used.cast("long").alias("used"), F.concat(a["kept"], F.array(text)).alias("kept"), F.concat(a["ids"], F.array(x["memory_id"].cast("string"))).alias("ids"))
+        return F.when(x["eligible"] & (used <= max_bytes), more).otherwise(a)
+
+    fold = F.aggregate("_l", F.struct(F.lit(1).cast("long").alias("used"), texts.alias("kept"), texts.alias("ids")), step)
+    rows = lists.where("_all").select("batch_id", fold.alias("_w")).where(F.size("_w.kept") >= 2)
+    head, tail = f'{{"max_actions":{max_actions},"observations":[', f'],"policy_revision":"{POLICY}","use_provider":{str(use_provider).lower()}}}'
+    whole = F.concat(F.lit(head), F.array_join("_w.kept", ","), F.lit(tail))
+    return rows.select("batch_id", F.size("_w.kept").alias("n_observations"), F.col("_w.used").alias("input_bytes"), F.array_join("_w.ids", ",").alias("memory_ids"), F.sha2(whole, 256).alias("input_sha256"))

@@ -167,5 +167,19 @@ OUTCOME_SQL = """WITH i AS (SELECT l_orderkey AS t, l_suppkey % 2 AS a, l_linenu
 c AS (SELECT t, a, outcome, unnest(list_distinct([m, m, 3])) AS m FROM i WHERE k <= 3), x AS (SELECT t, a, m, min(v) AS v FROM i WHERE k > 3 GROUP BY 1, 2, 3 HAVING count(DISTINCT v) = 1)
 SELECT c.m AS memory_id, x.v AS version, outcome, count(*) AS n, count(DISTINCT c.t) AS n_tasks FROM c JOIN x ON c.t = x.t AND c.a = x.a AND c.m = x.m WHERE (c.m + x.v) % 2 = 0 AND EXISTS (SELECT 1 FROM part WHERE p_partkey % 4 = c.m AND p_size % 3 = x.v) GROUP BY 1, 2, 3"""
 
-QUERIES = {f.__name__: f for f in (latency_percentiles, pareto_frontier, log_latency_area, sign_tests, arm_dominance, slot_scores, arm_scores, gate_checks, budget_splits, seeded_samples, run_counters, outcome_associations)}
-ORACLES = {"latency_percentiles": PERCENTILE_SQL, "pareto_frontier": f"WITH {POINTS} SELECT p_brand, name, latency, accuracy FROM f", "log_latency_area": AREA_SQL, "sign_tests": SIGN_SQL, "arm_dominance": DOMINANCE_SQL, "slot_scores": SLOT_SQL, "arm_scores": ARM_SQL, "gate_checks": GATE_SQL, "budget_splits": SPLIT_SQL, "seeded_samples": SAMPLE_SQL, "run_counters": typed(with_views(RUN_SQL, "tasks"), memories_activated="BIGINT"), "outcome_associations": OUTCOME_SQL}
+def policy_rates(spark, sf_dir):
+    """Items as the cases of their supplier's run."""
+    c = load(spark, sf_dir, "lineitem")
+    kind = F.get(F.array(*map(F.lit, ("utility", "privacy", "safety", "other"))), F.col("l_linenumber") % 4)
+    flags = {"judged": (F.col("l_partkey") % 251 != 0) | (F.col("l_suppkey") % 3 != 0), "success": F.col("l_returnflag") != "R", "refused": F.col("l_returnflag") == "A", "rule_failed": F.col("l_quantity") > 45, "judge_failed": F.col("l_discount") > 0.08}
+    return reports.gated_rates(c.select("l_suppkey", kind.alias("kind"), *[v.alias(k) for k, v in flags.items()]), "l_suppkey")
+
+
+POLICY_SQL = """WITH g AS (SELECT l_suppkey, count(*) FILTER (WHERE l_linenumber % 4 = 0) AS u, count(*) FILTER (WHERE l_linenumber % 4 = 1) AS p, count(*) FILTER (WHERE l_linenumber % 4 = 2) AS s, count(*) FILTER (WHERE l_partkey % 251 = 0 AND l_suppkey % 3 = 0) AS missed,
+count(*) FILTER (WHERE l_linenumber % 4 = 0 AND l_returnflag <> 'R') AS us, count(*) FILTER (WHERE l_linenumber % 4 = 0 AND l_returnflag = 'A') AS ur, count(*) FILTER (WHERE l_linenumber % 4 = 1 AND l_discount > 0.08) AS pj, count(*) FILTER (WHERE l_linenumber % 4 = 1 AND l_quantity > 45) AS pr,
+count(*) FILTER (WHERE l_linenumber % 4 = 2 AND l_discount > 0.08) AS sj, count(*) FILTER (WHERE l_linenumber % 4 = 2 AND l_quantity > 45) AS sr FROM lineitem WHERE l_linenumber % 4 < 3 GROUP BY 1), f AS (SELECT *, missed = 0 AND least(u, p, s) > 0 AS ok FROM g)
+SELECT l_suppkey, u AS n_utility, p AS n_privacy, s AS n_safety, ok AS complete, CASE WHEN ok THEN round(us / u, 6) END AS utility_accuracy, CASE WHEN ok THEN round(ur / u, 6) END AS over_refusal_rate, CASE WHEN ok THEN round(pj / p, 6) END AS privacy_leakage_rate,
+CASE WHEN ok THEN round(pr / p, 6) END AS privacy_e2e_leakage_rate, CASE WHEN ok THEN round(sj / s, 6) END AS deletion_leakage_rate, CASE WHEN ok THEN round(sr / s, 6) END AS deletion_e2e_leakage_rate FROM f"""
+
+QUERIES = {f.__name__: f for f in (latency_percentiles, pareto_frontier, log_latency_area, sign_tests, arm_dominance, slot_scores, arm_scores, gate_checks, budget_splits, seeded_samples, run_counters, outcome_associations, policy_rates)}
+ORACLES = {"latency_percentiles": PERCENTILE_SQL, "pareto_frontier": f"WITH {POINTS} SELECT p_brand, name, latency, accuracy FROM f", "log_latency_area": AREA_SQL, "sign_tests": SIGN_SQL, "arm_dominance": DOMINANCE_SQL, "slot_scores": SLOT_SQL, "arm_scores": ARM_SQL, "gate_checks": GATE_SQL, "budget_splits": SPLIT_SQL, "seeded_samples": SAMPLE_SQL, "run_counters": typed(with_views(RUN_SQL, "tasks"), memories_activated="BIGINT"), "outcome_associations": OUTCOME_SQL, "policy_rates": POLICY_SQL}

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.functions import identity, text
+from cairn.functions import identity, rendering, text
 from cairn.operators import extraction, work
-from cairn.sources.tables import load, typed
+from cairn.sources.tables import load, typed, with_views
 
 SPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 UUID5 = "(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT sha1(unhex({0}) || encode({1})) AS h))"
@@ -146,5 +146,41 @@ def evidence_unions(spark, sf_dir):
 UNION_SQL = """WITH b AS (SELECT l_orderkey AS g, l_suppkey % 20 AS e, count(DISTINCT l_partkey % 2) AS n FROM lineitem GROUP BY 1, 2)
 SELECT g AS group_id, bool_or(n > 1) AS conflict, CASE WHEN NOT bool_or(n > 1) THEN string_agg(CAST(e AS VARCHAR), ',' ORDER BY e) END AS evidence_ids FROM b GROUP BY 1"""
 
-QUERIES = {f.__name__: f for f in (memory_fingerprints, event_cursors, byte_prefixes, strict_times, payload_enrichment, hash_embeddings, source_chunks, span_checks, code_notes, extraction_routes, proposal_order, evidence_unions)}
-ORACLES = {"memory_fingerprints": FINGERPRINT_SQL, "event_cursors": CURSOR_SQL, "byte_prefixes": PREFIX_SQL, "strict_times": TIME_SQL, "payload_enrichment": ENRICH_SQL, "hash_embeddings": VECTOR_SQL, "source_chunks": CHUNK_SQL, "span_checks": SPAN_SQL, "code_notes": typed(NOTE_SQL, confidence="DOUBLE"), "extraction_routes": ROUTE_SQL, "proposal_order": PROPOSAL_SQL, "evidence_unions": UNION_SQL}
+def memory_blocks(spark, sf_dir):
+    """Memories with their evidence as blocks for a prompt."""
+    e = load(spark, sf_dir, "evidence").groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "source_id", "rejected"))).alias("e"))
+    m = load(spark, sf_dir, "memories").join(e, "memory_id", "left")
+    key = F.col("memory_id")
+    columns = {c: F.col(c) for c in ("memory_id", "kind", "state", "visibility", "valid_from", "recorded_from", "valid_to", "recorded_to")} | {
+        "confidence": key % 101 / 100,
+        "task_id": F.when(F.col("visibility") == "task", F.col("task_id")),
+        "title": F.when(key % 2 == 0, F.concat(F.lit('order "'), key.cast("string"), F.lit('"\n\\ é'))).otherwise(""),
+        "tags": F.when(key % 3 == 0, F.array("kind", "state")).otherwise(F.array().cast("array<string>")),
+        "metadata": F.when(key % 4 == 0, F.concat(F.lit('{"run": '), F.col("run_id").cast("string"), F.lit(', "by": "é"}'))).otherwise("{}"),
+        "content": F.concat(F.lit('{"repository": '), F.col("repository").cast("string"), F.lit(', "kind": "'), "kind", F.lit('"}')),
+        "evidence": F.transform("e", lambda x: F.to_json(F.struct(x["evidence_id"], x["rejected"], x["source_id"]))),
+    }
+    return m.select("memory_id", rendering.memory_block(columns).alias("block"))
+
+
+BLOCK_SQL = r"""WITH e AS (SELECT memory_id, string_agg('evidence={"evidence_id":' || evidence_id || ',"rejected":' || rejected || ',"source_id":' || source_id || '}', chr(10) ORDER BY evidence_id, source_id, rejected) AS e FROM evidence GROUP BY 1)
+SELECT m.memory_id, concat_ws(chr(10), '[memory:' || m.memory_id || ']', 'kind=' || kind || ' state=' || state || ' visibility=' || visibility || ' confidence=' || printf('%.4f', m.memory_id % 101 / 100),
+'valid_from=' || strftime(valid_from, '%Y-%m-%dT%H:%M:%S+00:00'), 'recorded_from=' || strftime(recorded_from, '%Y-%m-%dT%H:%M:%S+00:00'), 'valid_to=' || strftime(valid_to, '%Y-%m-%dT%H:%M:%S+00:00'), 'recorded_to=' || strftime(recorded_to, '%Y-%m-%dT%H:%M:%S+00:00'),
+CASE WHEN visibility = 'task' THEN 'task_id=' || task_id END, CASE WHEN m.memory_id % 2 = 0 THEN 'title="order \"' || m.memory_id || '\"\n\\ é"' END, CASE WHEN m.memory_id % 3 = 0 THEN 'tags=["' || kind || '","' || state || '"]' END,
+CASE WHEN m.memory_id % 4 = 0 THEN 'metadata={"by":"é","run":' || run_id || '}' END, 'content={"kind":"' || kind || '","repository":' || repository || '}', e.e) AS block FROM memories m LEFT JOIN e ON m.memory_id = e.memory_id"""
+
+def consolidation_windows(spark, sf_dir):
+    """Candidates of a query as memories to consolidate, up to six, in 160 bytes."""
+    items = load(spark, sf_dir, "pool").select(F.col("query_id").alias("batch_id"), F.col("lexical_rank").alias("place"), F.col("canonical_id").alias("memory_id"), (F.col("value_id") % 40 != 0).alias("recallable"), (F.col("family") != "N").alias("eligible"), F.repeat(F.lit("é"), (F.col("tokens") % 30).cast("int")).alias("title"))
+    observe = lambda key, x: F.concat(F.lit('{"key":"'), key, F.lit('","memory_id":'), x["memory_id"].cast("string"), F.lit(',"title":"'), x["title"], F.lit('"}'))
+    return extraction.consolidation_windows(items, observe, 6, 160)
+
+
+WINDOW_SQL = """WITH i AS (SELECT query_id AS b, lexical_rank AS p, canonical_id AS m, value_id % 40 <> 0 AS good, family <> 'N' AS ok, ',"title":"' || repeat('é', CAST(tokens % 30 AS BIGINT)) || '"}' AS t FROM pool WHERE lexical_rank <= 6),
+r AS (SELECT b, CAST(0 AS BIGINT) AS p, CAST(1 AS BIGINT) AS used, 0 AS n, '' AS ids, '' AS body FROM i GROUP BY b HAVING bool_and(good)
+UNION ALL SELECT b, p, CASE WHEN fits THEN used + size ELSE used END, CASE WHEN fits THEN n + 1 ELSE n END, CASE WHEN fits THEN ids || CASE WHEN n > 0 THEN ',' ELSE '' END || m ELSE ids END, CASE WHEN fits THEN body || CASE WHEN n > 0 THEN ',' ELSE '' END || o ELSE body END
+FROM (SELECT *, strlen(o) + 1 AS size, ok AND used + strlen(o) + 1 <= 160 AS fits FROM (SELECT r.b, i.p, used, n, ids, body, m, ok, '{"key":"m' || n || '","memory_id":' || m || t AS o FROM r JOIN i ON i.b = r.b AND i.p = r.p + 1)))
+SELECT b AS batch_id, CAST(n AS INTEGER) AS n_observations, used AS input_bytes, ids AS memory_ids, sha256('{"max_actions":4,"observations":[' || body || '],"policy_revision":"evidence-gated-v1","use_provider":false}') AS input_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY p DESC) AS k FROM r) WHERE k = 1 AND n >= 2"""
+
+QUERIES = {f.__name__: f for f in (memory_fingerprints, event_cursors, byte_prefixes, strict_times, payload_enrichment, hash_embeddings, source_chunks, span_checks, code_notes, extraction_routes, proposal_order, evidence_unions, memory_blocks, consolidation_windows)}
+ORACLES = {"memory_fingerprints": FINGERPRINT_SQL, "event_cursors": CURSOR_SQL, "byte_prefixes": PREFIX_SQL, "strict_times": TIME_SQL, "payload_enrichment": ENRICH_SQL, "hash_embeddings": VECTOR_SQL, "source_chunks": CHUNK_SQL, "span_checks": SPAN_SQL, "code_notes": typed(NOTE_SQL, confidence="DOUBLE"), "extraction_routes": ROUTE_SQL, "proposal_order": PROPOSAL_SQL, "evidence_unions": UNION_SQL, "memory_blocks": with_views(BLOCK_SQL, "memories", "evidence"), "consolidation_windows": with_views(WINDOW_SQL, "pool").replace("WITH ", "WITH RECURSIVE ", 1)}

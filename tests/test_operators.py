@@ -9,8 +9,8 @@ import numpy as np
 from conftest import SF
 from pyspark.sql import functions as F
 
-from cairn.functions import identity, text
-from cairn.operators import ann, evaluation, fusion, graph, lanes, planning, recall, reports, resampling, upkeep, work
+from cairn.functions import identity, rendering, text
+from cairn.operators import ann, evaluation, extraction, fusion, graph, lanes, planning, recall, reports, resampling, upkeep, work
 from cairn.sources.tables import load
 from cairn.streaming import counters
 
@@ -239,3 +239,28 @@ def test_approximate_lane_finds_nine_in_ten(spark, monkeypatch):
         assert found.agg(F.sum("n_found") / F.sum("n_exact")).first()[0] >= 0.9
     assert ann.approximate(v.where("false"), q, 10).isEmpty()
     assert ann.approximate(v, q.where("false"), 10).isEmpty()
+
+
+def test_memory_blocks_leave_out_what_is_empty(spark):
+    row = spark.sql("SELECT 7 AS memory_id, 'fact' AS kind, 'confirmed' AS state, 'run' AS visibility, 0.5D AS confidence, TIMESTAMP '2024-01-02 03:04:05' AS valid_from, TIMESTAMP '2024-01-02 03:04:05.000120' AS recorded_from, CAST(NULL AS TIMESTAMP) AS valid_to, 'a\"b' AS title, CAST(array() AS array<string>) AS tags, '{}' AS metadata, '{\"b\": 1, \"a\": [2]}' AS content, array('{}', '[]') AS evidence")
+    got = row.select(rendering.memory_block({c: F.col(c) for c in row.columns})).first()[0]
+    assert got.split("\n") == ["[memory:7]", "kind=fact state=confirmed visibility=run confidence=0.5000", "valid_from=2024-01-02T03:04:05+00:00", "recorded_from=2024-01-02T03:04:05.000120+00:00", 'title="a\\"b"', 'content={"a":[2],"b":1}', "evidence={}", "evidence=[]"]
+
+
+def test_windows_need_all_recallable_and_two_that_fit(spark):
+    cases = {1: [(True, True, 3), (True, True, 3)], 2: [(True, True, 3), (False, True, 3)], 3: [(True, True, 3), (True, False, 3)], 4: [(True, True, 3), (True, True, 90), (True, True, 4)], 5: [(True, True, 3)] * 3 + [(False, True, 3)]}
+    rows = [(b, p, 10 * b + p, r, e, "x" * n) for b, items in cases.items() for p, (r, e, n) in enumerate(items, 1)]
+    frame = spark.createDataFrame(rows, "batch_id int, place int, memory_id int, recallable boolean, eligible boolean, body string")
+    observe = lambda key, x: F.concat(key, F.lit(":"), x["body"])
+    got = {r.batch_id: (r.memory_ids, r.input_bytes) for r in extraction.consolidation_windows(frame, observe, 3, 60).collect()}
+    assert got == {1: ("11,12", 15), 4: ("41,43", 16), 5: ("51,52,53", 22)}
+    assert extraction.consolidation_windows(frame.where("false"), observe, 3, 60).count() == 0
+
+
+def test_rates_need_every_kind_and_every_verdict(spark):
+    flags = "true AS judged, true AS success, false AS refused, true AS rule_failed, false AS judge_failed"
+    cases = spark.sql(f"SELECT a AS run, kind, {flags} FROM VALUES (1), (2) AS t(a), VALUES ('utility'), ('privacy'), ('safety') AS k(kind) WHERE a = 1 OR kind <> 'safety'")
+    unjudged = spark.sql(f"SELECT 3 AS run, kind, {flags} FROM VALUES ('utility'), ('privacy'), ('safety') AS k(kind)").withColumn("judged", F.when(F.col("kind") != "safety", True))
+    got = {r.run: r for r in reports.gated_rates(cases.union(unjudged), "run").collect()}
+    assert got[1].complete and (got[1].utility_accuracy, got[1].privacy_e2e_leakage_rate, got[1].deletion_leakage_rate, got[1].over_refusal_rate) == (1, 1, 0, 0)
+    assert not got[2].complete and not got[3].complete and got[3].utility_accuracy is None
