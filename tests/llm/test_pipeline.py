@@ -124,3 +124,10 @@ def test_language_parameters(spark, monkeypatch):
     assert {r.doc_id for r in kept} == {r.doc_id for r in docs.collect() if r.lang in ("en", "de") and r.text and any(c.isalpha() for c in r.text)}
     monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 1.1)
     assert corpus_pipeline.language(spark, docs, SF).isEmpty()
+
+
+def test_equal_rows_of_ids_and_texts_alone(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (None, None), (None, None), (2, "quite another text of seven words here")], "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(got.collect(), key=str) == sorted([(1, "one two three four five six"), (None, None), (2, "quite another text of seven words here")], key=str)
