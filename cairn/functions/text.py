@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Plain patterns of pages: local paths, long numbers, mail addresses.
@@ -44,13 +48,44 @@ def query_identifiers(c: Column, most: int = 8192) -> Column:
     return F.array_distinct(F.transform(found, form))
 
 
+#: Lower-case characters that fold further, by Unicode's full case folding.
+_FURTHER = {c: c.casefold() for c in map(chr, range(128, 0x110000)) if c.lower() == c and c.casefold() != c}
+_ONE = {c: f for c, f in _FURTHER.items() if len(f) == 1}
+_MORE = {c: f for c, f in _FURTHER.items() if len(f) > 1}
+
+
+def fold(c: Column) -> Column:
+    """Full case folding: lower case, then the characters that fold further, such as the sharp s."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _MORE.items()])
+    low = F.lower(c)
+    further = F.translate(F.aggregate(pairs, low, lambda s, p: F.replace(s, p["a"], p["b"])), "".join(_ONE), "".join(_ONE.values()))
+    return F.when(low.rlike("[" + "".join(_FURTHER) + "]"), further).otherwise(low)
+
+
+@F.pandas_udf(T.StringType())
+def _compose(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility composition; only texts that are not ASCII leave the JVM."""
+    other = c.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _compose(F.when(other, c))).otherwise(c)
+
+
 def normalize_term(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    """A term for look-ups: NFKC, trimmed, blanks joined, case folded."""
+    return fold(F.trim(F.regexp_replace(nfkc(c), r"\s+", " ")))
 
 
 def canonical(c: Column) -> Column:
     """A memory's text for its fingerprint: trimmed, blanks joined, case folded."""
-    return F.lower(F.regexp_replace(F.btrim(c, F.lit(" \t\n\x0b\f\r")), r"\s+", " "))
+    return fold(F.regexp_replace(F.btrim(c, F.lit(" \t\n\x0b\f\r")), r"\s+", " "))
+
+
+def canonical_json(c: Column) -> Column:
+    """The same for structured contents, given as JSON: they stay apart from texts of the same look."""
+    return F.concat(F.lit("json:"), F.to_json(F.try_parse_json(c)))
 
 
 def tokens(c: Column, most: int | None = None) -> Column:

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.lanes import _nearest, ranked, _unit
+from cairn.operators.lanes import _unit, nearest, ranked
 from cairn.sources.shared import written
 
-#: Most vectors that the cells are fitted on, most cells, and vectors or queries in one task's block.
-SAMPLE, CELLS, BLOCK = 16_384, 256, 4096
+#: Most vectors that the cells are fitted on, and most cells.
+SAMPLE, CELLS = 16_384, 256
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -56,9 +56,8 @@ def approximate(vectors: DataFrame, queries: DataFrame, budget: int = 10, share:
     ``vectors``: canonical_id, vector; ``queries``: query_id, vector.  The share is set for
     vectors with hardly any clusters, where nine in ten neighbours need two cells in three;
     clustered ones do with far fewer.  Every vector is indexed; the cells alone come from a bounded sample.  A query is not its own neighbour;
-    null vectors and ids are left out.  Cells with many vectors or queries are split by id
-    hash into blocks of about ``BLOCK``, and each block of vectors meets each block of
-    queries of its cell, so no task holds more however skewed the cells are.
+    null vectors and ids are left out.  Cells with many vectors or queries are split into
+    blocks (``lanes.nearest``), so no task holds more however skewed the cells are.
     """
     own = vectors.where("canonical_id IS NOT NULL AND vector IS NOT NULL").select(F.col("canonical_id").cast("long").alias("canonical_id"), F.col("vector").cast("array<double>").alias("vector"))
     asked = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
@@ -66,26 +65,9 @@ def approximate(vectors: DataFrame, queries: DataFrame, budget: int = 10, share:
     if not len(centres):
         return own.sparkSession.createDataFrame([], "query_id long, canonical_id long, raw_score double, rank int")
     probes = int(np.ceil(len(centres) * share))
-    v, q = written(_placed(own, centres, 1), "cells"), written(_placed(asked, centres, probes), "probes")
-    parts = lambda d, name: d.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    blocks = F.broadcast(parts(v, "nv").join(parts(q, "nq"), "cell"))  # CELLS rows at most
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = v.join(blocks, "cell").select("id", "vector", "cell", part("nv").alias("pv"), every("nq").alias("pq"))
-    right = q.join(blocks, "cell").select("id", "vector", "cell", every("nv").alias("pv"), part("nq").alias("pq"))
-
-    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("canonical_id", pa.int64()), ("raw_score", pa.float64())])
-        if not (x.num_rows and y.num_rows):
-            return schema.empty_table()
-        ids = y["id"].combine_chunks().to_numpy()
-        q = np.stack(y["vector"].combine_chunks().to_numpy(zero_copy_only=False))
-        found = _nearest(ids, q, budget, floor)(x.select(["id", "vector"]).combine_chunks().to_batches())
-        return pa.Table.from_batches(found, schema=schema)
-
-    key = ["cell", "pv", "pq"]
-    pairs = left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(meet, "query_id long, canonical_id long, raw_score double")
-    return ranked(pairs, budget).withColumn("raw_score", F.round("raw_score", 4))
+    v, q = (written(_placed(d, centres, n), name) for d, n, name in ((own, 1, "cells"), (asked, probes, "probes")))
+    found = nearest(v.withColumnRenamed("id", "canonical_id"), q.withColumnRenamed("id", "query_id"), budget, ("cell",), floor)
+    return ranked(found.drop("cell"), budget).withColumn("raw_score", F.round("raw_score", 4))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -6,12 +6,11 @@ id.  Joins run on terms, never on all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions import text
 
@@ -101,53 +100,64 @@ def temporal(docs: DataFrame, queries: DataFrame, budget: int = 16) -> DataFrame
     return more.where(F.col("rank") <= budget).select("query_id", "canonical_id", "raw_score", "rank", "truncated")
 
 
-#: Query vectors that one block sends to the tasks.
-BLOCK = 8192
+#: Vectors, or query vectors, of one key that meet in a task at once.
+BLOCK = 4096
 
 
-def dense(vectors: DataFrame, queries: DataFrame, budget: int = 10, floor: float = 0.0) -> DataFrame:
-    """Exact cosine top-k: query vectors go out in blocks, each partition keeps its best, a window merges.
+def nearest(vectors: DataFrame, queries: DataFrame, limit: int, keys: tuple[str, ...] = (), floor: float = 0.0, self_too: bool = False) -> DataFrame:
+    """The ``limit`` vectors of highest cosine (0 to 1) for each query among those with its ``keys`` and its length.
 
-    ``vectors``: canonical_id, vector; ``queries``: query_id, vector.  A query is not its own
-    neighbour.  Rows without a vector take no part.
+    ``vectors``: canonical_id, vector, keys; ``queries``: query_id, vector, keys.  Rows
+    without a vector take no part, and vectors of different lengths never meet.  The rows
+    of a key are split by id hash into blocks, and each block of vectors meets each block
+    of queries, so no task holds more however common the key is.  Returns query_id, keys,
+    canonical_id and raw_score.
     """
-    vectors, queries = vectors.where("vector IS NOT NULL"), queries.where("vector IS NOT NULL")
-    blocks = max(1, -(-queries.count() // BLOCK))
-    parts = []
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = sorted((r[0], r[1]) for r in own.select("query_id", "vector").toLocalIterator())
-        ids, q = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
-        if len(rows):
-            parts.append(vectors.select("canonical_id", "vector").mapInArrow(_nearest(ids, q, budget, floor), "query_id long, canonical_id long, raw_score double"))
-    found = parts[0] if parts else vectors.sparkSession.createDataFrame([], "query_id long, canonical_id long, raw_score double")
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return ranked(found, budget).withColumn("raw_score", F.round("raw_score", 4))
+    key = [*keys, "_length"]
+    own = vectors.where("canonical_id IS NOT NULL AND vector IS NOT NULL").select(F.col("canonical_id").cast("long").alias("_id"), F.col("vector").cast("array<double>").alias("_v"), F.size("vector").alias("_length"), *keys)
+    asked = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").select(F.col("query_id").cast("long").alias("_id"), F.col("vector").cast("array<double>").alias("_v"), F.size("vector").alias("_length"), *keys)
+    count = lambda d, name: d.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    blocks = count(own, "_nv").join(count(asked, "_nq"), key)
+    part = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = own.join(blocks, key).select(*key, "_id", "_v", part("_nv").alias("_pv"), every("_nq").alias("_pq"))
+    right = asked.join(blocks, key).select(*key, "_id", "_v", every("_nv").alias("_pv"), part("_nq").alias("_pq"))
+    right = right.toDF(*right.columns)  # both sides can come from one table
+    parts = [*key, "_pv", "_pq"]
+    schema = T.StructType([T.StructField("query_id", T.LongType()), *(queries.schema[k] for k in keys), T.StructField("canonical_id", T.LongType()), T.StructField("raw_score", T.DoubleType())])
+    met = left.groupBy(parts).cogroup(right.groupBy(parts)).applyInArrow(_meeting(keys, limit, floor, self_too), schema)
+    best = F.row_number().over(Window.partitionBy("query_id", *keys).orderBy(F.desc("raw_score"), "canonical_id"))
+    return met.withColumn("_n", best).where(F.col("_n") <= limit).drop("_n")
+
+
+def _meeting(keys: tuple[str, ...], limit: int, floor: float, self_too: bool):
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        own, ids = (t["_id"].combine_chunks().to_numpy() for t in (x, y))
+        if not (len(own) and len(ids)):
+            return pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), *((k, y[k].type) for k in keys), ("canonical_id", pa.int64()), ("raw_score", pa.float64()))})
+        v, q = (_unit(np.stack(t["_v"].combine_chunks().to_numpy(zero_copy_only=False))) for t in (x, y))
+        found = []
+        for a in range(0, len(ids), 1024):
+            score = np.clip(q[a : a + 1024] @ v.T, 0, 1)
+            if not self_too:
+                score[ids[a : a + 1024, None] == own] = -1
+            k = min(limit, len(own))
+            pick = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            # ties at the edge of a block: all rows as good as the last one stay
+            edge = np.take_along_axis(score, pick, axis=1).min(axis=1)
+            row, col = np.nonzero((score >= np.maximum(edge, floor)[:, None]) & (score > -1))
+            found.append((a + row, col, score[row, col]))
+        row, col, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"query_id": pa.array(ids[row]), **{k: y[k].combine_chunks().take(pa.array(row)) for k in keys}, "canonical_id": pa.array(own[col]), "raw_score": pa.array(score)})
 
+    return meet
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(size == 0, 1, size)
 
+def dense(vectors: DataFrame, queries: DataFrame, budget: int = 10, floor: float = 0.0) -> DataFrame:
+    """Exact cosine top-k over all vectors of the query's length; a query is not its own neighbour."""
+    return ranked(nearest(vectors, queries, budget, floor=floor), budget).withColumn("raw_score", F.round("raw_score", 4))
 
-def _nearest(ids: np.ndarray, q: np.ndarray, budget: int, floor: float):
-    unit = _unit(q)
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(np.float64))
-            for a in range(0, len(ids), 1024):
-                score = np.clip(unit[a : a + 1024] @ x.T, 0, 1)
-                score[ids[a : a + 1024, None] == own] = -1
-                k = min(budget, len(own))
-                pick = np.argpartition(-score, k - 1, axis=1)[:, :k]
-                # ties at the edge of a batch: all rows as good as the last one stay
-                edge = np.take_along_axis(score, pick, axis=1).min(axis=1)
-                row, col = np.nonzero((score >= np.maximum(edge, floor)[:, None]) & (score > -1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a + row]), pa.array(own[col]), pa.array(score[row, col])], names=["query_id", "canonical_id", "raw_score"])
-
-    return nearest
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size == 0, 1, size)
