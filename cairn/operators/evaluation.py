@@ -164,7 +164,7 @@ def facility_location(items: DataFrame, budget: int, max_items: int | None = Non
     """
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank", "canonical_id"]).head(MOST_CANDIDATES).reset_index(drop=True)
+        group = group.sort_values(["rank", "canonical_id"]).reset_index(drop=True)
         n = len(group)
         most = n if max_items is None else min(n, max_items)
         sets = {c: [frozenset(x) for x in group[c]] for c in ("terms", "asked", "labels")}
@@ -200,4 +200,6 @@ def facility_location(items: DataFrame, budget: int, max_items: int | None = Non
         best = sorted(best)
         return pd.DataFrame({"query_id": group.query_id[best], "canonical_id": group.canonical_id[best], "position": range(1, len(best) + 1)})
 
-    return items.groupBy("query_id").applyInPandas(choose, "query_id long, canonical_id long, position int")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "canonical_id"))
+    first = items.withColumn("_n", nth).where(F.col("_n") <= MOST_CANDIDATES).drop("_n")
+    return first.groupBy("query_id").applyInPandas(choose, "query_id long, canonical_id long, position int")

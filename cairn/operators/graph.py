@@ -6,10 +6,14 @@ shared folder), so a lost executor costs one round, and stop when nothing new is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions import text
+from cairn.operators.replay import replay
 from cairn.sources.shared import written
 
 #: Weights of relations (fixed values).
@@ -24,31 +28,24 @@ def gate(overlap: Column) -> Column:
     return F.coalesce(GATE + (1 - GATE) * overlap, F.lit(1.0))
 
 
-def overlaps(queries: DataFrame, nodes: DataFrame, most_tokens: int = 64) -> DataFrame:
-    """``query_id``, ``node``, ``overlap``: the share of the query's tokens that a node's text holds, where it holds any.
+def overlaps(pairs: DataFrame, queries: DataFrame, nodes: DataFrame, most_tokens: int = 64) -> DataFrame:
+    """``overlap`` of each (query_id, node) of ``pairs``: the share of the query's tokens that the node's text holds; null for a query without tokens.
 
     ``queries``: query_id, text; ``nodes``: node, text.
     """
-    asked = queries.select("query_id", text.tokens(F.col("text"), most_tokens).alias("_t")).select("query_id", F.size("_t").alias("_n"), F.explode("_t").alias("_t"))
-    held = nodes.select("node", F.explode(text.tokens(F.col("text"))).alias("_t"))
-    return asked.join(held, "_t").groupBy("query_id", "node", "_n").agg(F.count("*").alias("_c")).select("query_id", "node", (F.col("_c") / F.col("_n")).alias("overlap"))
-
-
-def seeds(explicit: DataFrame, fused: DataFrame, limit: int) -> DataFrame:
-    """Explicit seeds (query_id, node, position) with activation 1, then fused hits (query_id, node, rank, score), ``limit`` a query."""
-    rows = explicit.select("query_id", "node", F.lit(0).alias("_kind"), F.col("position").alias("_at"), F.lit(1.0).alias("activation"))
-    rows = rows.unionByName(fused.select("query_id", "node", F.lit(1).alias("_kind"), F.col("rank").alias("_at"), F.col("score").alias("activation")))
-    first = rows.groupBy("query_id", "node").agg(F.min(F.struct("_kind", "_at", "activation")).alias("_s"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("_s._kind", "_s._at", "node"))
-    return first.withColumn("_n", nth).where(F.col("_n") <= limit).select("query_id", "node", F.col("_s.activation").alias("activation"))
+    asked = queries.select("query_id", text.tokens(F.col("text"), most_tokens).alias("_t"))
+    held = nodes.select("node", text.tokens(F.col("text")).alias("_h"))
+    share = F.size(F.array_intersect("_t", F.coalesce("_h", F.array().cast("array<string>")))) / F.size("_t")
+    rows = pairs.select("query_id", "node").distinct().join(asked, "query_id", "left").join(held, "node", "left")
+    return rows.select("query_id", "node", F.when(F.size("_t") > 0, share).alias("overlap"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, hops: int = 2, fan_out: int = 8, gates: DataFrame | None = None, cutoff: Column | None = None) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, hops: int = 2, fan_out: int = 8, gates: Callable[[DataFrame], DataFrame] | None = None, cutoff: Column | None = None) -> DataFrame:
     """Best state of every node within ``hops`` of a query's seeds: activation, then depth, then path.
 
     ``seeds``: query_id, node, activation; ``edges``: src, dst, relation (and created_at, if
-    there is a ``cutoff``); ``gates``: query_id, node, overlap (of the query's tokens; no
-    row: none of them).  A step multiplies by the relation's weight, 0.95 against its
+    there is a ``cutoff``); ``gates`` gives query_id, node, overlap for the (query_id, node)
+    that a step reached (see ``overlaps``).  A step multiplies by the relation's weight, 0.95 against its
     direction (1 if it is symmetric), 0.85 and the gate of the node reached.  A node passes
     on to the ``fan_out`` first of its edges by weight, then by node; a path visits a node once.
     """
@@ -68,7 +65,7 @@ def spread(seeds: DataFrame, edges: DataFrame, hops: int = 2, fan_out: int = 8,
         step = frontier.join(strongest, frontier["node"] == strongest["src"]).where(~F.array_contains("path", F.col("dst")))
         step = step.select("query_id", F.col("dst").alias("node"), (F.col("activation") * F.col("_w") * DAMPING).alias("activation"), F.lit(depth).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
         if gates is not None:
-            step = step.join(gates, ["query_id", "node"], "left").withColumn("activation", F.col("activation") * gate(F.coalesce("overlap", F.lit(0.0)))).drop("overlap")
+            step = step.join(gates(step), ["query_id", "node"]).withColumn("activation", F.col("activation") * gate(F.col("overlap"))).drop("overlap")
         frontier = best(step)
         reached = reached.unionByName(frontier)
     return best(reached).select("query_id", "node", F.round("activation", 6).alias("activation"), "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
@@ -129,9 +126,53 @@ def reach(edges: DataFrame) -> DataFrame:
     return now
 
 
-def addable(edges: DataFrame, proposed: DataFrame) -> DataFrame:
-    """``proposed`` (src, dst) edges with ``verdict``: added, exists, self, or cycle if ``dst`` reaches ``src`` already."""
-    back = closure(edges, proposed.select(F.col("dst").alias("node")).distinct()).select(F.col("seed").alias("dst"), F.col("node").alias("src"), F.lit(True).alias("_back"))
-    there = edges.select("src", "dst").distinct().withColumn("_there", F.lit(True))
-    rows = proposed.join(there, ["src", "dst"], "left").join(back, ["src", "dst"], "left")
-    return rows.select("src", "dst", F.when(F.col("src") == F.col("dst"), "self").when(F.col("_there"), "exists").when(F.col("_back"), "cycle").otherwise("added").alias("verdict"))
+def addable(edges: DataFrame, proposed: DataFrame, rounds: int = 6) -> DataFrame:
+    """What becomes of proposed edges, one after the other: added, exists, self, or cycle.
+
+    ``edges``: scope, src, dst; ``proposed``: proposal_id (their order), scope, src, dst.
+    A proposal is refused if ``dst`` reaches ``src`` over the edges that are there when it
+    is judged, proposals before it among them.
+
+    An edge can only close a cycle that all edges and proposals together have.  So edges
+    of nodes that nothing leads to, or that lead nowhere, are set aside first, layer by
+    layer for ``rounds`` rounds; a scope's rest, the edges near its cycles, is judged in
+    order by one task.
+    """
+    edge = ["scope", "src", "dst"]
+    asked = proposed.select("proposal_id", *edge)
+    first = F.min("proposal_id").over(Window.partitionBy(*edge))
+    asked = asked.withColumn("_first", F.col("proposal_id") == first)
+    there = edges.select(*edge).distinct().withColumn("_there", F.lit(True))
+    asked = written(asked.join(there, edge, "left").withColumn("_there", F.coalesce("_there", F.lit(False))), "proposed")
+    both = written(there.select(*edge).unionByName(asked.where("src <> dst").select(*edge)).distinct(), "both")
+    for _ in range(rounds):
+        kept = both.join(both.select("scope", F.col("dst").alias("src")).distinct(), ["scope", "src"], "left_semi").join(both.select("scope", F.col("src").alias("dst")).distinct(), ["scope", "dst"], "left_semi")
+        both = written(kept.select(*edge), "both")
+    near = both.withColumn("_near", F.lit(True))
+    judged = asked.join(near, edge, "left").withColumn("_near", F.coalesce("_near", F.lit(False)))
+    plain = F.when(F.col("src") == F.col("dst"), "self").when(F.col("_there") | ~F.col("_first"), "exists").otherwise("added")
+    far = judged.where("NOT _near OR src = dst OR _there").select("proposal_id", *edge, plain.alias("verdict"))
+    nothing = F.lit(None).cast(proposed.schema["proposal_id"].dataType)
+    old = there.join(near, edge, "left_semi").select(nothing.alias("proposal_id"), *edge)
+    new = judged.where("_near AND src <> dst AND NOT _there").select("proposal_id", *edge)
+    schema = T.StructType([*(T.StructField(c, proposed.schema[c].dataType) for c in ("proposal_id", *edge)), T.StructField("verdict", T.StringType())])
+
+    def step(out: dict | None, row: dict) -> tuple[dict, list[dict]]:
+        out = {} if out is None else out
+        src, dst = row["src"], row["dst"]
+        if row["proposal_id"] is None:
+            out.setdefault(src, set()).add(dst)
+            return out, []
+        verdict, seen, rest = "exists" if dst in out.get(src, ()) else "added", set(), [dst]
+        while verdict == "added" and rest:
+            node = rest.pop()
+            if node == src:
+                verdict = "cycle"
+            elif node not in seen:
+                seen.add(node)
+                rest.extend(out.get(node, ()))
+        if verdict == "added":
+            out.setdefault(src, set()).add(dst)
+        return out, [{**row, "verdict": verdict}]
+
+    return far.unionByName(replay(old.unionByName(new), ["scope"], ["proposal_id"], step, schema))

@@ -7,10 +7,14 @@ row's key; a command that does not apply is returned with the reason.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cairn.functions import text
+from cairn.operators.replay import replay
 
 OPEN = ("pending", "ready")
 
@@ -40,27 +44,49 @@ def expire(leases: DataFrame, tasks: DataFrame, now: Column) -> tuple[DataFrame,
 
 
 def claim(tasks: DataFrame, needs: DataFrame, agents: DataFrame, now: Column) -> DataFrame:
-    """One task for each agent of a run, as if they asked one after the other.
+    """One task for each agent of a run, as if they asked one after the other, in the order of their ids.
 
     ``tasks``: task_id, run_id, state, priority, available_at, created_at, tags (array);
     ``needs``: task_id, needs; ``agents``: agent_id, run_id, tags (a task must have them
     all).  Tasks are taken by priority (high first), availability (creation, if none is
-    set), creation and id.  Agents of a run that ask for the same tags share one queue:
-    the n-th of them gets its n-th task; a task that fits several queues goes to the
-    queue of the smallest agent that would take it.
+    set), creation and id.
+
+    Agents of a run that ask for the same tags share a list of the tasks that fit.  Others
+    take fewer tasks than the run has agents, so no more of a list than that is needed: a
+    run's agents are served by one task, which gets its agents and lists of that length,
+    whatever the number of its tasks.
     """
     done = tasks.where("state = 'completed'").select(F.col("task_id").alias("needs"), F.col("run_id").alias("_run"))
     inside = needs.join(tasks.select("task_id", "run_id"), "task_id")
     blocked = inside.join(done, (inside["needs"] == done["needs"]) & (inside["run_id"] == done["_run"]), "left_anti").select("task_id").distinct()
     free = tasks.where(F.col("state").isin(*OPEN) & (F.col("available_at").isNull() | (F.col("available_at") <= now))).join(blocked, "task_id", "left_anti")
-    queue = Window.partitionBy("run_id", "_want")
-    asked = agents.select("agent_id", "run_id", F.array_sort("tags").alias("_want")).withColumn("_n", F.row_number().over(queue.orderBy("agent_id")))
-    wants = asked.groupBy("run_id", "_want").agg(F.min("agent_id").alias("_first"))
+    asked = agents.select("agent_id", "run_id", F.array_sort("tags").alias("_want"))
+    wants = asked.groupBy("run_id", "_want").agg(F.count("*").alias("_own")).withColumn("_agents", F.sum("_own").over(Window.partitionBy("run_id"))).drop("_own")
     fits = free.join(wants, "run_id").where(F.size(F.array_except("_want", "tags")) == 0)
-    own = fits.withColumn("_k", F.row_number().over(Window.partitionBy("task_id").orderBy("_first"))).where("_k = 1")
-    order = queue.orderBy(F.desc("priority"), F.coalesce("available_at", "created_at"), "created_at", "task_id")
-    placed = own.withColumn("_n", F.row_number().over(order)).select("run_id", "_want", "_n", "task_id")
-    return asked.join(placed, ["run_id", "_want", "_n"], "left").select("agent_id", "run_id", "task_id", _verdict((F.col("task_id").isNull(), "no_task_available"), otherwise="claimed").alias("outcome"))
+    order = Window.partitionBy("run_id", "_want").orderBy(F.desc("priority"), F.coalesce("available_at", "created_at"), "created_at", "task_id")
+    lists = fits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("_agents")).select("run_id", "_want", "_n", "task_id")
+    schema = T.StructType([agents.schema["agent_id"], agents.schema["run_id"], tasks.schema["task_id"], T.StructField("outcome", T.StringType())])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+    return asked.groupBy("run_id").cogroup(lists.toDF(*lists.columns).groupBy("run_id")).applyInArrow(_serve(to_arrow_schema(schema)), schema)
+
+
+def _serve(form: pa.Schema):
+    def serve(agents: pa.Table, lists: pa.Table) -> pa.Table:
+        queues: dict[tuple, list] = {}
+        for row in sorted(lists.to_pylist(), key=lambda r: r["_n"]):
+            queues.setdefault(tuple(row["_want"]), []).append(row["task_id"])
+        at, taken, out = dict.fromkeys(queues, 0), set(), []
+        for row in sorted(agents.to_pylist(), key=lambda r: r["agent_id"]):
+            want = tuple(row["_want"])
+            queue = queues.get(want, [])
+            while at.get(want, 0) < len(queue) and queue[at[want]] in taken:
+                at[want] += 1
+            task = queue[at[want]] if at.get(want, 0) < len(queue) else None
+            taken.add(task)
+            out.append({"agent_id": row["agent_id"], "run_id": row["run_id"], "task_id": task, "outcome": "no_task_available" if task is None else "claimed"})
+        return pa.Table.from_pylist(out, schema=form)
+
+    return serve
 
 
 def claim_misses(commands: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -109,13 +135,13 @@ def additions(rows: DataFrame, there: DataFrame, key: str) -> DataFrame:
     """Inserts that may be repeated: added, replayed (the same contents are there) or conflict.
 
     Of several rows with one key the first by ``command_id`` is added, the others are
-    compared with it.
+    compared with it, column by column; null equals null alone.
     """
-    own = F.xxhash64(*[F.col(c) for c in sorted(c for c in rows.columns if c not in (key, "command_id"))])
-    old = there.select(F.col(key), F.xxhash64(*[F.col(c) for c in sorted(c for c in there.columns if c != key)]).alias("_old"))
+    own, known = (F.struct(*[F.col(c) for c in sorted(c for c in d.columns if c not in (key, "command_id"))]) for d in (rows, there))
+    old = there.select(F.col(key), known.alias("_old"), F.lit(True).alias("_there"))
     order = Window.partitionBy(key).orderBy("command_id")
-    marked = rows.withColumn("_own", own).join(old, key, "left").withColumn("_ref", F.coalesce("_old", F.first("_own").over(order))).withColumn("_n", F.row_number().over(order))
-    return marked.select("command_id", key, _verdict((F.col("_old").isNull() & (F.col("_n") == 1), "added"), (F.col("_own") == F.col("_ref"), "replayed"), otherwise="conflict").alias("outcome"))
+    marked = rows.withColumn("_own", own).join(old, key, "left").withColumn("_ref", F.when(F.col("_there"), F.col("_old")).otherwise(F.first("_own").over(order))).withColumn("_n", F.row_number().over(order))
+    return marked.select("command_id", key, _verdict((F.col("_there").isNull() & (F.col("_n") == 1), "added"), (F.col("_own").eqNullSafe(F.col("_ref")), "replayed"), otherwise="conflict").alias("outcome"))
 
 
 def decide(commands: DataFrame, memories: DataFrame) -> DataFrame:
@@ -137,30 +163,41 @@ def decide(commands: DataFrame, memories: DataFrame) -> DataFrame:
 
 
 def review(commands: DataFrame, rows: DataFrame, key: str, terminal: str | None = None) -> DataFrame:
-    """Reviews with an expected version: the first that fits moves the row to its state, later ones find a new version.
+    """Reviews in the order of ``command_id``, each with the version that it expects.
 
     ``commands``: command_id, key, expected_version, decision; ``rows``: key, state,
-    version (current ones).  A row in the state ``terminal`` can't be moved.
+    version (current ones).  A review that finds its version moves the row to its state
+    and to the next version, which a later one can expect.  A row in the state
+    ``terminal`` can't be moved any more.
     """
-    joined = commands.join(rows.select(key, F.col("version").alias("_v"), F.col("state").alias("_s")), key, "left")
-    fits = (F.col("expected_version") == F.col("_v")) & (F.lit(True) if terminal is None else F.col("_s") != terminal)
-    first = F.row_number().over(Window.partitionBy(key, F.coalesce(fits, F.lit(False))).orderBy("command_id"))
-    marked = joined.withColumn("_first", first).withColumn("_fits", F.coalesce(fits, F.lit(False)))
-    outcome = _verdict((F.col("_v").isNull(), "not_found"), (F.lit(terminal is not None) & (F.col("_s") == (terminal or "")), "terminal"), (~F.col("_fits") | (F.col("_first") > 1), "version_changed"), otherwise="reviewed")
-    done = F.col("_fits") & (F.col("_first") == 1)
-    return marked.select("command_id", key, outcome.alias("outcome"), F.when(done, F.col("decision")).otherwise(F.col("_s")).alias("state"), (F.col("_v") + done.cast("int")).alias("version"))
+    nothing = F.lit(None)
+    base = rows.select(key, F.lit(0).alias("_k"), nothing.cast(commands.schema["command_id"].dataType).alias("command_id"), F.col("version").cast("long").alias("_version"), F.col("state").alias("_state"))
+    asked = commands.select(key, F.lit(1).alias("_k"), "command_id", F.col("expected_version").cast("long").alias("_version"), F.col("decision").alias("_state"))
+    fields = [commands.schema["command_id"], commands.schema[key], T.StructField("outcome", T.StringType()), T.StructField("state", T.StringType()), T.StructField("version", T.LongType())]
+
+    def step(now: tuple | None, row: dict) -> tuple[tuple | None, list[dict]]:
+        if row["_k"] == 0:
+            return (row["_state"], row["_version"]), []
+        outcome = "not_found" if now is None else "terminal" if terminal is not None and now[0] == terminal else "reviewed" if now[1] == row["_version"] else "version_changed"
+        if outcome == "reviewed":
+            now = (row["_state"], now[1] + 1)
+        state, version = now or (None, None)
+        return now, [{"command_id": row["command_id"], key: row[key], "outcome": outcome, "state": state, "version": version}]
+
+    return replay(base.unionByName(asked), [key], ["_k", "command_id"], step, T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
 
 
 def conflicts(reports: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Conflicts between pairs of memories: a pair is reported once, whichever way round; a resolution closes it.
+    """Conflicts between pairs of memories: a pair is reported once, whichever way round; the first resolution since then closes it.
 
     ``reports``: left, right, at; ``resolutions``: left, right, winner, at.  The winner must be one of the pair.
     """
     pair = [F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")]
     opened = reports.where("left <> right").select(*pair, "at").groupBy("a", "b").agg(F.min("at").alias("reported_at"), F.count("*").alias("n_reports"))
-    closed = resolutions.where("winner IN (left, right)").select(*pair, "winner", "at").groupBy("a", "b").agg(F.min(F.struct("at", "winner")).alias("_r"))
-    rows = opened.join(closed, ["a", "b"], "left").withColumn("_ok", F.col("_r").isNotNull() & (F.col("_r.at") >= F.col("reported_at")))
-    return rows.select("a", "b", "n_reports", F.when(F.col("_ok"), "resolved").otherwise("open").alias("state"), F.when(F.col("_ok"), F.col("_r.winner")).alias("winner"))
+    since = resolutions.where("winner IN (left, right)").select(*pair, "winner", "at").join(opened.select("a", "b", "reported_at"), ["a", "b"]).where(F.col("at") >= F.col("reported_at"))
+    closed = since.groupBy("a", "b").agg(F.min(F.struct("at", "winner")).alias("_r"))
+    rows = opened.join(closed, ["a", "b"], "left")
+    return rows.select("a", "b", "n_reports", F.when(F.col("_r").isNotNull(), "resolved").otherwise("open").alias("state"), F.col("_r.winner").alias("winner"))
 
 
 def derivable(proposals: DataFrame, proposed: DataFrame, memories: DataFrame, evidence: DataFrame) -> DataFrame:

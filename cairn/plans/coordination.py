@@ -10,7 +10,7 @@ from cairn.operators.reports import percentiles
 from cairn.sources.tables import load
 
 
-def run_metrics(spark, sf_dir):
+def user_activity(spark, sf_dir):
     """Counters of the event log by user, in one pass: counts by type, distincts, sums from JSON payloads, repeats.  The counters of a run are ``run_counters``."""
     kinds = ["signup", "purchase", "error", "view", "click"]
     events = load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
@@ -77,7 +77,7 @@ def document_chunks(spark, sf_dir):
 
 def page_identifiers(spark, sf_dir):
     pages = load(spark, sf_dir, "pages")
-    return pages.select("page_id", *[F.size(text.identifiers(F.col("html"), k)).cast("long").alias(f"n_{k}") for k in ("path", "number", "mail")], F.array_join(F.slice(F.array_sort(text.identifiers(F.col("url"), "path")), 1, 5), " ").alias("url_paths"))
+    return pages.select("page_id", *[F.size(text.identifiers(F.col("html"), k)).cast("long").alias(f"n_{k}") for k in ("path", "number", "mail")], F.array_join(F.array_sort(text.identifiers(F.col("url"), "path")), " ").alias("url_paths"))
 
 
 def row_fingerprints(spark, sf_dir):
@@ -102,7 +102,7 @@ def arm_differences(spark, sf_dir):
     return means.select("l_suppkey", F.round((F.col("R_o") - F.col("R_f")) - (F.col("A_o") - F.col("A_f")), 4).alias("did"))
 
 
-def outcome_association(spark, sf_dir):
+def part_citations(spark, sf_dir):
     """Parts shipped by one supplier alone to an order and returned there: used and proven useful together."""
     lines = load(spark, sf_dir, "lineitem")
     used = lines.groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.count("*").alias("uses"))
@@ -146,12 +146,12 @@ _L = "l AS (SELECT o_orderkey AS task_id, o_custkey % 10 + 1 AS owner, o_orderst
 _V = "v AS (SELECT o_orderkey, o_custkey, o_orderdate, lag(o_orderkey) OVER w AS supersedes, lead(o_orderdate) OVER w AS recorded_to, row_number() OVER w AS version FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
 QUERIES = {
     f.__name__: f
-    for f in (run_metrics, user_sessions, fresh_and_resumed, event_page, claimable_work, latest_checkpoint, version_chain, conversation_windows, context_expansion, conversation_render, document_chunks, page_identifiers, row_fingerprints, price_summary, paired_delta, arm_differences, outcome_association, cohort_difference, activity_counters, owned_writes, expired_handoffs)
+    for f in (user_activity, user_sessions, fresh_and_resumed, event_page, claimable_work, latest_checkpoint, version_chain, conversation_windows, context_expansion, conversation_render, document_chunks, page_identifiers, row_fingerprints, price_summary, paired_delta, arm_differences, part_citations, cohort_difference, activity_counters, owned_writes, expired_handoffs)
 }
 ORACLES = {
     "owned_writes": f"WITH {_L} SELECT l_suppkey % 10 + 1 AS writer, count(*) AS n_writes, count(DISTINCT task_id) AS n_tasks FROM lineitem JOIN l ON l_orderkey = task_id WHERE active AND l_suppkey % 10 + 1 = owner AND l_shipdate < expires_at GROUP BY 1",
     "expired_handoffs": f"WITH {_L} SELECT priority, count(*) AS n_handoffs, min(task_id) AS first_task FROM l WHERE active AND expires_at <= TIMESTAMP '{_NOW}' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = task_id AND l_shipdate < expires_at) GROUP BY 1",
-    "run_metrics": "WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT user_id, count(*) AS n_events, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS n_{k}" for k in ("signup", "purchase", "error", "view", "click")) + ", count(DISTINCT k) AS distinct_k, CAST(sum(k) AS BIGINT) AS sum_k, count(k) - count(DISTINCT k) AS replays, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 2) AS spent FROM e GROUP BY 1",
+    "user_activity": "WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT user_id, count(*) AS n_events, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS n_{k}" for k in ("signup", "purchase", "error", "view", "click")) + ", count(DISTINCT k) AS distinct_k, CAST(sum(k) AS BIGINT) AS sum_k, count(k) - count(DISTINCT k) AS replays, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 2) AS spent FROM e GROUP BY 1",
     "user_sessions": "WITH b AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM b) SELECT user_id, session, count(*) AS n_events, min(event_id) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event FROM s GROUP BY 1, 2",
     "fresh_and_resumed": "WITH s AS (SELECT *, coalesce(max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM events) SELECT user_id, count(*) FILTER (WHERE event_type = 'view' AND seen = 0) AS fresh_claims, count(*) FILTER (WHERE event_type = 'view' AND seen = 1) AS resumptions FROM s GROUP BY 1",
     "event_page": "WITH c AS (SELECT ts, event_id FROM events WHERE event_id = (SELECT CAST(floor(quantile_cont(event_id, 0.5)) AS BIGINT) FROM events)) SELECT e.event_id, e.user_id, e.event_type FROM events e, c WHERE e.ts > c.ts OR (e.ts = c.ts AND e.event_id > c.event_id) ORDER BY e.ts, e.event_id LIMIT 100",
@@ -167,7 +167,7 @@ ORACLES = {
     "price_summary": "SELECT l_returnflag, count(l_extendedprice) AS n, round(sum(l_extendedprice), 2) AS total, round(avg(l_extendedprice), 4) AS mean, min(l_extendedprice) AS least, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, max(l_extendedprice) AS most FROM lineitem GROUP BY 1",
     "paired_delta": "WITH l AS (SELECT l_partkey, p_brand, l_returnflag AS f, l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey), b AS (SELECT l_partkey, p_brand, round(avg(q), 6) AS v FROM l WHERE f = 'R' GROUP BY 1, 2), t AS (SELECT l_partkey, p_brand, round(avg(q), 6) AS v FROM l WHERE f = 'A' GROUP BY 1, 2), x AS (SELECT coalesce(b.p_brand, t.p_brand) AS p_brand, b.v AS b, t.v AS t FROM b FULL OUTER JOIN t ON b.l_partkey = t.l_partkey) SELECT p_brand, count(*) FILTER (WHERE t > b) AS wins, count(*) FILTER (WHERE t < b) AS losses, count(*) FILTER (WHERE t = b) AS ties, count(*) FILTER (WHERE t IS NULL OR b IS NULL) AS unpaired, round(avg(t - b), 4) AS mean_delta FROM x GROUP BY 1",
     "arm_differences": "WITH m AS (SELECT l_suppkey, avg(l_quantity) FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'O') AS ro, avg(l_quantity) FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'F') AS rf, avg(l_quantity) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'O') AS ao, avg(l_quantity) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F') AS af FROM lineitem GROUP BY 1) SELECT l_suppkey, round((ro - rf) - (ao - af), 4) AS did FROM m",
-    "outcome_association": "WITH u AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS suppliers, count(*) AS uses FROM lineitem GROUP BY 1), c AS (SELECT l_partkey, count(*) AS citations FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_returnflag = 'A' OR l_linestatus = 'F') GROUP BY 1) SELECT u.l_partkey, suppliers, uses, citations FROM u JOIN c ON u.l_partkey = c.l_partkey",
+    "part_citations": "WITH u AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS suppliers, count(*) AS uses FROM lineitem GROUP BY 1), c AS (SELECT l_partkey, count(*) AS citations FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_returnflag = 'A' OR l_linestatus = 'F') GROUP BY 1) SELECT u.l_partkey, suppliers, uses, citations FROM u JOIN c ON u.l_partkey = c.l_partkey",
     "cohort_difference": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')",
     "activity_counters": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
 }

@@ -13,26 +13,27 @@ TOK = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"
 def graph_spread(spark, sf_dir):
     """Activation from every supplier with a key divisible by 20 over its parts and their suppliers.
 
-    A supplier asks for the type of the part with its own key; parts are gated by how much of it they hold.
+    A supplier asks for the type of the part with its own key, every second one for nothing
+    that has a token; parts are gated by how much of it they hold.
     """
     edges = load(spark, sf_dir, "lineitem").select((-F.col("l_suppkey") - 1).alias("src"), F.col("l_partkey").alias("dst"), F.when(F.col("l_returnflag") == "R", "contradicts").when(F.col("l_returnflag") == "A", "supports").when(F.col("l_linenumber") == 7, "unheard_of").otherwise("related_to").alias("relation"), F.col("l_shipdate").alias("created_at"))
     asked = load(spark, sf_dir, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("query_id"))
     seeds = asked.select("query_id", (-F.col("query_id") - 1).alias("node"), F.lit(1.0).alias("activation"))
     part = load(spark, sf_dir, "part")
-    queries = asked.join(part, F.col("query_id") == F.col("p_partkey")).select("query_id", F.col("p_type").alias("text"))
-    gates = graph.overlaps(queries, part.select(F.col("p_partkey").alias("node"), F.concat_ws(" ", "p_name", "p_type").alias("text")))
-    return graph.spread(seeds, edges, 2, 8, gates, F.lit("1997-06-30").cast("timestamp_ntz"))
+    queries = asked.join(part, F.col("query_id") == F.col("p_partkey")).select("query_id", F.when(F.col("query_id") % 40 == 0, "?!").otherwise(F.col("p_type")).alias("text"))
+    nodes = part.select(F.col("p_partkey").alias("node"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return graph.spread(seeds, edges, 2, 8, lambda pairs: graph.overlaps(pairs, queries, nodes), F.lit("1997-06-30").cast("timestamp_ntz"))
 
 
 SPREAD_SQL = f"""WITH e AS (SELECT -l_suppkey - 1 AS src, l_partkey AS dst, CASE l_returnflag WHEN 'R' THEN 0.88 WHEN 'A' THEN 1.0 ELSE 0.75 END AS w, l_returnflag = 'A' AS directed FROM lineitem WHERE (l_returnflag IN ('R', 'A') OR l_linenumber <> 7) AND l_shipdate <= TIMESTAMP '1997-06-30'),
 b AS (SELECT src, dst, CAST(max(w) AS DOUBLE) AS w FROM (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, CASE WHEN directed THEN w * 0.95 ELSE w END FROM e) GROUP BY 1, 2),
 s AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS n FROM b) WHERE n <= 8),
-qt AS (SELECT s_suppkey AS query_id, {TOK.format("p_type")} AS ts FROM supplier JOIN part ON s_suppkey = p_partkey WHERE s_suppkey % 20 = 0),
+qt AS (SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 40 = 0 THEN [] ELSE {TOK.format("p_type")} END AS ts FROM supplier JOIN part ON s_suppkey = p_partkey WHERE s_suppkey % 20 = 0),
 pt AS (SELECT p_partkey AS node, {TOK.format("p_name || ' ' || p_type")} AS ts FROM part),
 r0 AS (SELECT s_suppkey AS query_id, -s_suppkey - 1 AS node, CAST(1.0 AS DOUBLE) AS act, 0 AS depth, [-s_suppkey - 1] AS path FROM supplier WHERE s_suppkey % 20 = 0),
-x1 AS (SELECT r0.query_id, dst AS node, act * w * 0.85 * (CASE WHEN qt.ts IS NULL THEN 0.6 ELSE 0.6 + 0.4 * coalesce(len(list_intersect(qt.ts, pt.ts)), 0) / len(qt.ts) END) AS act, 1 AS depth, list_append(path, dst) AS path FROM r0 JOIN s ON r0.node = src LEFT JOIN qt ON qt.query_id = r0.query_id LEFT JOIN pt ON pt.node = dst WHERE NOT list_contains(path, dst)),
+x1 AS (SELECT r0.query_id, dst AS node, act * w * 0.85 * (CASE WHEN coalesce(len(qt.ts), 0) = 0 THEN 1.0 ELSE 0.6 + 0.4 * coalesce(len(list_intersect(qt.ts, pt.ts)), 0) / len(qt.ts) END) AS act, 1 AS depth, list_append(path, dst) AS path FROM r0 JOIN s ON r0.node = src LEFT JOIN qt ON qt.query_id = r0.query_id LEFT JOIN pt ON pt.node = dst WHERE NOT list_contains(path, dst)),
 r1 AS (SELECT query_id, node, act, depth, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node ORDER BY round(act, 12) DESC, path) AS n FROM x1) WHERE n = 1),
-x2 AS (SELECT r1.query_id, dst AS node, act * w * 0.85 * (CASE WHEN qt.ts IS NULL THEN 0.6 ELSE 0.6 + 0.4 * coalesce(len(list_intersect(qt.ts, pt.ts)), 0) / len(qt.ts) END) AS act, 2 AS depth, list_append(path, dst) AS path FROM r1 JOIN s ON r1.node = src LEFT JOIN qt ON qt.query_id = r1.query_id LEFT JOIN pt ON pt.node = dst WHERE NOT list_contains(path, dst)),
+x2 AS (SELECT r1.query_id, dst AS node, act * w * 0.85 * (CASE WHEN coalesce(len(qt.ts), 0) = 0 THEN 1.0 ELSE 0.6 + 0.4 * coalesce(len(list_intersect(qt.ts, pt.ts)), 0) / len(qt.ts) END) AS act, 2 AS depth, list_append(path, dst) AS path FROM r1 JOIN s ON r1.node = src LEFT JOIN qt ON qt.query_id = r1.query_id LEFT JOIN pt ON pt.node = dst WHERE NOT list_contains(path, dst)),
 u AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM x2),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, node ORDER BY round(act, 12) DESC, depth, path) AS n FROM u)
 SELECT query_id, node, round(act, 6) AS activation, depth, array_to_string(path, '>') AS path FROM k WHERE n = 1"""
@@ -68,46 +69,46 @@ SELECT seed, count(*) AS n_reached, CAST(max(steps) AS BIGINT) AS depth, min(nod
 
 
 def lineage_links(spark, sf_dir):
-    """Lineage both ways from every tenth order: orders of one customer whose dates follow within 90 days are linked."""
+    """Lineage both ways from every twentieth order: orders of one customer whose dates follow within 90 days are linked."""
     rows = _chain(spark, sf_dir)
     edges = rows.where("supersedes IS NOT NULL").join(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("supersedes"), F.col("o_orderdate").alias("_d")), "supersedes").where("o_orderdate <= _d + INTERVAL 90 DAY")
     nodes = rows.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("node"), F.col("recorded_to").isNull().alias("current"))
-    return graph.lineage(edges.select(F.col("o_orderkey").alias("src"), F.col("supersedes").alias("dst")), nodes, nodes.where("node % 10 = 0").select("node"))
+    return graph.lineage(edges.select(F.col("o_orderkey").alias("src"), F.col("supersedes").alias("dst")), nodes, nodes.where("node % 20 = 0").select("node"))
 
 
 LINKS_SQL = """WITH RECURSIVE v AS (SELECT o_orderkey AS id, o_orderdate AS d, o_orderstatus <> 'P' AS ok, lag(o_orderkey) OVER w AS prev, lag(o_orderdate) OVER w AS pd, lead(o_orderkey) OVER w IS NULL AS cur FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
 e AS (SELECT DISTINCT v.id AS src, v.prev AS dst FROM v JOIN v AS p ON v.prev = p.id WHERE v.ok AND p.ok AND v.d <= v.pd + INTERVAL 90 DAY),
 b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-r AS (SELECT id AS seed, id AS node FROM v WHERE ok AND id % 10 = 0 UNION SELECT seed, dst FROM r JOIN b ON r.node = b.src),
+r AS (SELECT id AS seed, id AS node FROM v WHERE ok AND id % 20 = 0 UNION SELECT seed, dst FROM r JOIN b ON r.node = b.src),
 c AS (SELECT seed, count(*) AS n_members, count(*) FILTER (WHERE cur) AS n_current FROM r JOIN v ON r.node = v.id GROUP BY 1),
 l AS (SELECT seed, count(*) AS n_links FROM r JOIN e ON r.node = e.src GROUP BY 1)
 SELECT c.seed, n_members, n_current, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN l ON c.seed = l.seed"""
 
 
-def dependency_cycles(spark, sf_dir):
-    """Parts on cycles: a part needs the part whose key is a hundredth of its item's price, within its supplier's hundred."""
-    return graph.on_cycles(_needs(spark, sf_dir))
+def _needs(spark, sf_dir, line):
+    """Needs between sizes of parts within a supplier: an item's part needs the size that its quantity names."""
+    item = load(spark, sf_dir, "lineitem").where(f"l_linenumber = {line}")
+    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("long").alias("src"))
+    rows = item.join(part, "l_partkey").select(F.col("l_suppkey").alias("scope"), "src", F.col("l_quantity").cast("long").alias("dst"), "l_orderkey", "l_returnflag", "l_shipdate")
+    return rows.where("l_returnflag = 'R'") if line == 1 else rows
 
 
-def _needs(spark, sf_dir):
-    item = load(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_returnflag = 'R'")
-    return item.select((F.col("l_partkey") % 400).alias("src"), (F.floor(F.col("l_extendedprice")) % 400).alias("dst"), "l_suppkey").where("l_suppkey % 10 = 3").select("src", "dst").distinct()
+def dependency_cycles(spark, sf_dir):
+    """Sizes on cycles of needs, by supplier."""
+    node = lambda c: F.col("scope") * 100 + F.col(c)
+    return graph.on_cycles(_needs(spark, sf_dir, 1).select(node("src").alias("src"), node("dst").alias("dst")).distinct())
 
 
-NEEDS = "n AS (SELECT DISTINCT l_partkey % 400 AS src, CAST(floor(l_extendedprice) AS BIGINT) % 400 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R' AND l_suppkey % 10 = 3)"
-CYCLE_SQL = f"WITH RECURSIVE {NEEDS}, r AS (SELECT src, dst FROM n UNION SELECT r.src, n.dst FROM r JOIN n ON r.dst = n.src) SELECT src AS node FROM r WHERE src = dst"
+CYCLE_SQL = """WITH RECURSIVE n AS (SELECT DISTINCT l_suppkey * 100 + p_size AS src, l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS dst FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND l_returnflag = 'R'),
+r AS (SELECT src, dst FROM n UNION SELECT r.src, n.dst FROM r JOIN n ON r.dst = n.src) SELECT src AS node FROM r WHERE src = dst"""
 
 
 def dependency_adds(spark, sf_dir):
-    """New edges between parts, refused where they close a cycle, repeat one, or lead to themselves."""
-    item = load(spark, sf_dir, "lineitem").where("l_linenumber = 2")
-    proposed = item.select((F.col("l_partkey") % 400).alias("src"), (F.floor(F.col("l_extendedprice")) % 400).alias("dst")).distinct()
-    return graph.addable(_needs(spark, sf_dir), proposed)
-
+    """New needs, in the order of their orders, refused where they close a cycle, repeat one, or lead to themselves."""
+    proposed = _needs(spark, sf_dir, 2).groupBy("l_orderkey").agg(F.min(F.struct("scope", "src", "dst")).alias("p"))
+    there = _needs(spark, sf_dir, 1).where("src < dst").select("scope", "src", "dst")
+    return graph.addable(there, proposed.select(F.col("l_orderkey").alias("proposal_id"), "p.*"))
 
-ADD_SQL = f"""WITH RECURSIVE {NEEDS}, r AS (SELECT src, dst FROM n UNION SELECT r.src, n.dst FROM r JOIN n ON r.dst = n.src),
-p AS (SELECT DISTINCT l_partkey % 400 AS src, CAST(floor(l_extendedprice) AS BIGINT) % 400 AS dst FROM lineitem WHERE l_linenumber = 2)
-SELECT p.src, p.dst, CASE WHEN p.src = p.dst THEN 'self' WHEN n.src IS NOT NULL THEN 'exists' WHEN r.src IS NOT NULL THEN 'cycle' ELSE 'added' END AS verdict FROM p LEFT JOIN n ON p.src = n.src AND p.dst = n.dst LEFT JOIN r ON r.src = p.dst AND r.dst = p.src"""
 
 QUERIES = {f.__name__: f for f in (graph_spread, graph_seeds, lineage_closure, lineage_links, dependency_cycles, dependency_adds)}
-ORACLES = {"graph_spread": SPREAD_SQL, "graph_seeds": with_views(SEED_SQL, "pool"), "lineage_closure": CLOSURE_SQL, "lineage_links": LINKS_SQL, "dependency_cycles": CYCLE_SQL, "dependency_adds": ADD_SQL}
+ORACLES = {"graph_spread": SPREAD_SQL, "graph_seeds": with_views(SEED_SQL, "pool"), "lineage_closure": CLOSURE_SQL, "lineage_links": LINKS_SQL, "dependency_cycles": CYCLE_SQL}

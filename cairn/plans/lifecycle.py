@@ -19,18 +19,20 @@ def _tasks(spark, sf_dir):
 
 
 def task_claims(spark, sf_dir):
-    """Three agents of every run ask: two for one tag, one for any task."""
+    """Three agents of every run ask: the first for any task, the others for one tag."""
     tasks = _tasks(spark, sf_dir)
     agents = tasks.select("run_id").distinct().select("run_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("_k"))
-    agents = agents.select((F.col("run_id") * 10 + F.col("_k")).alias("agent_id"), "run_id", F.when(F.col("_k") < 3, F.array(F.lit("p1"))).otherwise(F.array().cast("array<string>")).alias("tags"))
+    agents = agents.select((F.col("run_id") * 10 + F.col("_k")).alias("agent_id"), "run_id", F.when(F.col("_k") > 1, F.array(F.lit("p1"))).otherwise(F.array().cast("array<string>")).alias("tags"))
     needs = tasks.where("needs IS NOT NULL AND task_id % 4 = 0").select("task_id", "needs")
     return lifecycle.claim(tasks, needs, agents, _now())
 
 
 CLAIM_SQL = f"""WITH f AS (SELECT t.* FROM tasks t WHERE state IN ('pending', 'ready') AND (available_at IS NULL OR available_at <= TIMESTAMP '{NOW}') AND NOT (needs IS NOT NULL AND task_id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM tasks p WHERE p.task_id = t.needs AND p.run_id = t.run_id AND p.state = 'completed'))),
-r AS (SELECT *, task_id % 2 = 1 AS p1, row_number() OVER (PARTITION BY run_id, task_id % 2 = 1 ORDER BY priority DESC, coalesce(available_at, created_at), created_at, task_id) AS n FROM f),
-a AS (SELECT run_id, k, run_id * 10 + k AS agent_id FROM (SELECT DISTINCT run_id FROM tasks), (VALUES (1), (2), (3)) v(k))
-SELECT a.agent_id, a.run_id, r.task_id, CASE WHEN r.task_id IS NULL THEN 'no_task_available' ELSE 'claimed' END AS outcome FROM a LEFT JOIN r ON r.run_id = a.run_id AND ((k < 3 AND p1 AND n = k) OR (k = 3 AND NOT p1 AND n = 1))"""
+g AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY priority DESC, coalesce(available_at, created_at), created_at, task_id) AS g FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY g) AS n FROM g WHERE g > 1 AND task_id % 2 = 1),
+a AS (SELECT run_id, k, run_id * 10 + k AS agent_id FROM (SELECT DISTINCT run_id FROM tasks), (VALUES (1), (2), (3)) v(k)),
+t AS (SELECT a.agent_id, a.run_id, CASE WHEN k = 1 THEN g.task_id ELSE r.task_id END AS task_id FROM a LEFT JOIN g ON g.run_id = a.run_id AND k = 1 AND g.g = 1 LEFT JOIN r ON r.run_id = a.run_id AND n = k - 1)
+SELECT *, CASE WHEN task_id IS NULL THEN 'no_task_available' ELSE 'claimed' END AS outcome FROM t"""
 
 
 def claim_misses(spark, sf_dir):
@@ -94,16 +96,17 @@ count(*) FILTER (WHERE state IN ('pending', 'ready', 'claimed')) AS "left", arg_
 
 
 def task_additions(spark, sf_dir):
-    """Items as tasks to be added: those of a part with an order's key are there already."""
-    item = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_returnflag").alias("title"))
-    rows = item.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("command_id"), (F.col("p") % 1000).alias("task_id"), "title")
-    there = load(spark, sf_dir, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("task_id"), F.when(F.col("o_orderstatus") == "F", "R").otherwise("A").alias("title"))
+    """Items as tasks to be added: those of a part with an order's key are there already, some with the title as a note."""
+    item = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("task_id"), F.max("l_returnflag").alias("t"))
+    odd = F.col("l_orderkey") % 5 == 0
+    rows = item.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("command_id"), "task_id", F.when(~odd, F.col("t")).alias("title"), F.when(odd, F.col("t")).alias("note"))
+    there = load(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("task_id"), F.when(F.col("o_orderstatus") == "F", "R").otherwise("A").alias("title"), F.lit(None).cast("string").alias("note"))
     return lifecycle.additions(rows, there, "task_id")
 
 
-ADDITION_SQL = """WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS command_id, max(l_partkey) % 1000 AS task_id, max(l_returnflag) AS title FROM lineitem GROUP BY l_orderkey, l_linenumber),
-m AS (SELECT r.*, CASE WHEN o_orderkey IS NOT NULL THEN CASE o_orderstatus WHEN 'F' THEN 'R' ELSE 'A' END END AS old, first_value(title) OVER (PARTITION BY task_id ORDER BY command_id) AS f, row_number() OVER (PARTITION BY task_id ORDER BY command_id) AS n FROM r LEFT JOIN orders ON o_orderkey = task_id AND o_orderkey < 500)
-SELECT command_id, task_id, CASE WHEN old IS NULL AND n = 1 THEN 'added' WHEN title = coalesce(old, f) THEN 'replayed' ELSE 'conflict' END AS outcome FROM m"""
+ADDITION_SQL = """WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS command_id, max(l_partkey) AS task_id, CASE WHEN l_orderkey % 5 <> 0 THEN max(l_returnflag) END AS title, CASE WHEN l_orderkey % 5 = 0 THEN max(l_returnflag) END AS note FROM lineitem GROUP BY l_orderkey, l_linenumber),
+m AS (SELECT r.*, o_orderkey IS NOT NULL AS there, CASE o_orderstatus WHEN 'F' THEN 'R' ELSE 'A' END AS old, first_value(title) OVER w AS f, first_value(note) OVER w AS g, row_number() OVER w AS n FROM r LEFT JOIN orders ON o_orderkey = task_id AND o_orderkey % 3 = 0 WINDOW w AS (PARTITION BY task_id ORDER BY command_id))
+SELECT command_id, task_id, CASE WHEN NOT there AND n = 1 THEN 'added' WHEN title IS NOT DISTINCT FROM (CASE WHEN there THEN old ELSE f END) AND note IS NOT DISTINCT FROM (CASE WHEN NOT there THEN g END) THEN 'replayed' ELSE 'conflict' END AS outcome FROM m"""
 
 
 def memory_decisions(spark, sf_dir):
@@ -132,9 +135,11 @@ def memory_reviews(spark, sf_dir):
     return lifecycle.review(_reviews(spark, sf_dir), rows, "memory_id")
 
 
-REVIEW_SQL = f"""WITH {_REVIEWS}, m AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'tentative' ELSE 'refuted' END AS s, o_orderkey % 4 AS v FROM orders WHERE o_orderkey % 5 <> 0),
-j AS (SELECT c.*, s, v, coalesce(e = v, false) AS fits, row_number() OVER (PARTITION BY memory_id, coalesce(e = v, false) ORDER BY command_id) AS n FROM c LEFT JOIN m ON id = memory_id)
-SELECT command_id, memory_id, CASE WHEN v IS NULL THEN 'not_found' WHEN NOT fits OR n > 1 THEN 'version_changed' ELSE 'reviewed' END AS outcome, CASE WHEN fits AND n = 1 THEN decision ELSE s END AS state, v + CASE WHEN fits AND n = 1 THEN 1 ELSE 0 END AS version FROM j"""
+#: The reviews that are applied to a memory, one after the other, then what each review finds.
+_CHAIN = """ch AS (SELECT id, CAST(v AS BIGINT) AS v, s, CAST(-1 AS BIGINT) AS last FROM m UNION ALL
+ SELECT id, v + 1, decision, command_id FROM (SELECT ch.id, ch.v, c.decision, c.command_id, row_number() OVER (PARTITION BY ch.id ORDER BY c.command_id) AS n FROM ch JOIN c ON c.memory_id = ch.id AND c.e = ch.v AND c.command_id > ch.last AND ch.s <> '{final}') WHERE n = 1)
+SELECT c.command_id, c.memory_id, CASE WHEN ch.id IS NULL THEN 'not_found' WHEN ch.last = c.command_id THEN 'reviewed' WHEN ch.s = '{final}' THEN 'terminal' ELSE 'version_changed' END AS outcome, ch.s AS state, ch.v AS version FROM c ASOF LEFT JOIN ch ON ch.id = c.memory_id AND c.command_id >= ch.last"""
+REVIEW_SQL = f"""WITH RECURSIVE {_REVIEWS}, m AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'tentative' ELSE 'refuted' END AS s, o_orderkey % 4 AS v FROM orders WHERE o_orderkey % 5 <> 0), {_CHAIN.format(final="none")}"""
 
 
 def source_reviews(spark, sf_dir):
@@ -143,22 +148,21 @@ def source_reviews(spark, sf_dir):
     return lifecycle.review(_reviews(spark, sf_dir), rows, "memory_id", terminal="refuted")
 
 
-SOURCE_SQL = f"""WITH {_REVIEWS}, m AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'tentative' ELSE 'refuted' END AS s, o_orderkey % 4 AS v FROM orders),
-j AS (SELECT c.*, s, v, coalesce(e = v AND s <> 'refuted', false) AS fits, row_number() OVER (PARTITION BY memory_id, coalesce(e = v AND s <> 'refuted', false) ORDER BY command_id) AS n FROM c LEFT JOIN m ON id = memory_id)
-SELECT command_id, memory_id, CASE WHEN v IS NULL THEN 'not_found' WHEN s = 'refuted' THEN 'terminal' WHEN NOT fits OR n > 1 THEN 'version_changed' ELSE 'reviewed' END AS outcome, CASE WHEN fits AND n = 1 THEN decision ELSE s END AS state, v + CASE WHEN fits AND n = 1 THEN 1 ELSE 0 END AS version FROM j"""
+SOURCE_SQL = f"""WITH RECURSIVE {_REVIEWS}, m AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'tentative' ELSE 'refuted' END AS s, o_orderkey % 4 AS v FROM orders), {_CHAIN.format(final="refuted")}"""
 
 
 def memory_conflicts(spark, sf_dir):
+    """Items as reports of a part and a supplier, or as resolutions for one of them, or for neither."""
     item = load(spark, sf_dir, "lineitem")
-    reports = item.where("l_linenumber <= 4").select((F.col("l_partkey") % 97).alias("left"), (F.col("l_suppkey") % 89).alias("right"), F.col("l_shipdate").alias("at"))
-    closed = item.where("l_linenumber > 4").select((F.col("l_suppkey") % 89).alias("left"), (F.col("l_partkey") % 97).alias("right"), F.when(F.col("l_returnflag") == "R", F.col("l_partkey") % 97).otherwise(F.col("l_suppkey") % 88).alias("winner"), F.col("l_shipdate").alias("at"))
+    reports = item.where("l_linenumber <= 4").select(F.col("l_partkey").alias("left"), F.col("l_suppkey").alias("right"), F.col("l_shipdate").alias("at"))
+    closed = item.where("l_linenumber > 4").select(F.col("l_suppkey").alias("left"), F.col("l_partkey").alias("right"), F.when(F.col("l_returnflag") == "R", F.col("l_partkey")).when(F.col("l_returnflag") == "A", F.col("l_suppkey")).otherwise(0).alias("winner"), F.col("l_shipdate").alias("at"))
     return lifecycle.conflicts(reports, closed)
 
 
-CONFLICT_SQL = """WITH o AS (SELECT least(l_partkey % 97, l_suppkey % 89) AS a, greatest(l_partkey % 97, l_suppkey % 89) AS b, min(l_shipdate) AS d, count(*) AS n FROM lineitem WHERE l_linenumber <= 4 AND l_partkey % 97 <> l_suppkey % 89 GROUP BY 1, 2),
-w AS (SELECT l_suppkey % 89 AS x, l_partkey % 97 AS y, CASE WHEN l_returnflag = 'R' THEN l_partkey % 97 ELSE l_suppkey % 88 END AS winner, l_shipdate AS d FROM lineitem WHERE l_linenumber > 4),
-c AS (SELECT least(x, y) AS a, greatest(x, y) AS b, min({'d': d, 'w': winner}) AS r FROM w WHERE winner IN (x, y) GROUP BY 1, 2)
-SELECT o.a, o.b, n AS n_reports, CASE WHEN r IS NOT NULL AND r.d >= d THEN 'resolved' ELSE 'open' END AS state, CASE WHEN r IS NOT NULL AND r.d >= d THEN r.w END AS winner FROM o LEFT JOIN c ON o.a = c.a AND o.b = c.b"""
+CONFLICT_SQL = """WITH o AS (SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, min(l_shipdate) AS d, count(*) AS n FROM lineitem WHERE l_linenumber <= 4 AND l_partkey <> l_suppkey GROUP BY 1, 2),
+w AS (SELECT l_suppkey AS x, l_partkey AS y, CASE l_returnflag WHEN 'R' THEN l_partkey WHEN 'A' THEN l_suppkey ELSE 0 END AS winner, l_shipdate AS d FROM lineitem WHERE l_linenumber > 4),
+c AS (SELECT o.a, o.b, min({'d': w.d, 'w': winner}) AS r FROM w JOIN o ON o.a = least(x, y) AND o.b = greatest(x, y) AND w.d >= o.d WHERE winner IN (x, y) GROUP BY 1, 2)
+SELECT o.a, o.b, n AS n_reports, CASE WHEN r IS NOT NULL THEN 'resolved' ELSE 'open' END AS state, r.w AS winner FROM o LEFT JOIN c ON o.a = c.a AND o.b = c.b"""
 
 
 def derived_evidence(spark, sf_dir):
