@@ -217,13 +217,14 @@ def _cut(window: int, keep_text: bool) -> Callable[[pa.Table, pa.Table], pa.Tabl
     return cut
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None, carry: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Each document with what is left of it.
 
     Returns ``id_col``, ``n_words``, ``n_removed``, ``kept_sha256``; with ``carry``, a
     list of further columns, those come first (their values pass through) and
     ``kept_text`` last: the text as it was if nothing is removed, else the kept words
-    joined by one space.
+    joined by one space.  ``prefix`` comes before the new columns' names, so that carried
+    columns of any names stay apart from them.
     """
     n = chunks or tk.chunk_count(docs, text_col)
     buckets = tk.bucket_count(n)
@@ -234,13 +235,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     shared = anchors.groupBy("_bucket").applyInArrow(tk.tidy(_shared_anchors), REPLY)
     windows = dealt.groupBy("_chunk").cogroup(shared.groupBy("_chunk")).applyInArrow(tk.tidy(_send_windows(window, buckets)), BLOB)
     later = windows.groupBy("_bucket").applyInArrow(tk.tidy(_later_windows), REPLY)
-    schema = "_id long, _n_words long, _n_removed long, _kept_sha256 string"
-    if carry:
-        schema = f"_row {plain.schema['_row'].dataType.simpleString()}, {schema}, _kept_text string"
+    further = {"_kept_text": "string"} if carry else {}
+    schema = tk.with_fields(plain.select("_row") if carry else plain.select(), _id="long", _n_words="long", _n_removed="long", _kept_sha256="string", **further)
     out = plain.groupBy("_chunk").cogroup(later.groupBy("_chunk")).applyInArrow(_cut(window, bool(carry)), schema)
     head = [F.col(f"_row.`{c}`").alias(c) for c in carry] if carry else [F.col("_id").alias(id_col)]
-    tail = [F.col("_kept_text").alias("kept_text")] if carry else []
-    return out.select(*head, *[F.col(f"_{c}").alias(c) for c in ("n_words", "n_removed", "kept_sha256")], *tail)
+    tail = [F.col("_kept_text").alias(f"{prefix}kept_text")] if carry else []
+    return out.select(*head, *[F.col(f"_{c}").alias(f"{prefix}{c}") for c in ("n_words", "n_removed", "kept_sha256")], *tail)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,14 +154,8 @@ def near_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def add_fingerprints(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the fingerprint as a signed whole number in ``name``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches, at):
-            made = np.array([fingerprint(t) for t in tk.as_bytes(batch.column(at))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], schema=batch.schema.append(pa.field(name, pa.int64())))
-
-    at = docs.columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(tk.tidy(run), f"{fields}, {name} long")
+    prints = lambda texts: [pa.array(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))]
+    return tk.extended(docs, prints, text_col, **{name: "long"})
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fingerprint_col: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:

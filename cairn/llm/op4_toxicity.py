@@ -4,9 +4,8 @@ A text is the set of its lower-cased words of letters and digits, hashed to 2**2
 places.  The score is sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>): the pair terms
 learn that two terms together mean more than both alone, which additive weights miss.
 
-Training takes a sample of about ``SAMPLE`` labelled rows, drawn by a hash of the id; a
-text of more than ``TERMS`` distinct terms gives that many of them, drawn by a hash of
-term and text.  Of the terms that occur in at least ``LEAST`` of the rows, either all take
+Training takes a sample of about ``SAMPLE`` labelled rows, drawn by a hash of the id, with
+all terms of each.  Of the terms that occur in at least ``LEAST`` of the rows, either all take
 part, also those that say nothing by themselves but can in pairs, or those alone whose
 presence depends on the label (chi-square of ``CHI`` or more): whichever gives the lower
 loss on a fifth of the sample when fitted on the rest.  Weights are fitted by steps of
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-BITS, SAMPLE, TERMS, LEAST, CHI, FACTORS, EPOCHS, BATCH, RATE, DECAY = 20, 12_000, 2048, 5, 10.0, 8, 12, 128, 0.1, 1e-4
+BITS, SAMPLE, LEAST, CHI, FACTORS, EPOCHS, BATCH, RATE, DECAY = 20, 12_000, 5, 10.0, 8, 12, 128, 0.1, 1e-4
 
 
 def _places(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,18 +41,10 @@ def _places(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tk.slices(batches, 1):
         places, bounds = _places(tk.as_bytes(batch.column(1)))
-        sets = [_drawn(np.unique(places[a:b])).astype(np.uint32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        sets = [np.unique(places[a:b]).astype(np.uint32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary())], names=["_id", "_label", "_terms"])
 
 
-def _drawn(terms: np.ndarray) -> np.ndarray:
-    """At most ``TERMS`` of a text's terms; which ones differs from text to text."""
-    if len(terms) <= TERMS:
-        return terms
-    order = tk.mix(terms.astype(np.uint64) * np.uint64(2 * len(terms) + 1) + np.uint64(terms.sum()))
-    return np.sort(terms[np.argpartition(order, TERMS)[:TERMS]])
-
-
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64), np.concatenate(([0], np.cumsum([len(r) for r in rows], dtype=np.int64)))
 
@@ -153,15 +144,7 @@ def score(docs: DataFrame, model: Machine, name: str = "score", text_col: str =
     another name to keep it.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches, at):
-            made = pa.array(model.scores(tk.as_bytes(batch.column(at))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], schema=batch.schema.append(pa.field(name, pa.float64())))
-
-    kept = docs.select([c for c in docs.columns if c != name])
-    at = kept.columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(tk.tidy(run), f"{fields}, `{name}` double")
+    return tk.extended(docs.drop(name), lambda texts: [pa.array(model.scores(texts), pa.float64())], text_col, **{name: "double"})
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,9 +95,7 @@ def train(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str
     counts = dict(rows.groupBy("_lang").count().collect())  # a row for each language
     if not counts:
         return None
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("_lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])[F.col("_lang")]
     drawn = rows.where(F.pmod("_draw", F.lit(1 << 30)) < share * (1 << 30)).select("_lang", "_text")
     got = drawn.mapInArrow(tk.tidy(_bits), "_lang string, _bits binary").distinct().collect()  # equal rows count once
     if not got:
@@ -115,25 +113,21 @@ def identify(docs: DataFrame, model: Kernel | None, text_col: str = "text", lang
     replaced: give other names to keep it.
     """
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches, at, 1 << 20):
-            names, scores = [], []
-            for a in range(0, batch.num_rows, 512):
-                texts = tk.as_bytes(batch.column(at).slice(a, 512))
-                letters = [has_letter(t) for t in texts]
-                if model is None:
-                    letters = [False] * len(texts)
-                    best, sure = np.zeros(len(texts), int), np.zeros(len(texts))
-                else:
-                    best, sure = model.decide(presence(texts))
-                names += [model.names[k] if ok else "und" for k, ok in zip(best.tolist(), letters, strict=True)]
-                scores += [x if ok else 0.0 for x, ok in zip(sure.tolist(), letters, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=batch.schema.append(pa.field(lang_name, pa.string())).append(pa.field(score_name, pa.float64())))
-
-    kept = docs.select([c for c in docs.columns if c not in (lang_name, score_name)])
-    at = kept.columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(tk.tidy(score), f"{fields}, `{lang_name}` string, `{score_name}` double")
+    def score(every: list[bytes | None]) -> list[pa.Array]:
+        names, scores = [], []
+        for a in range(0, len(every), 512):
+            texts = every[a : a + 512]
+            letters = [has_letter(t) for t in texts]
+            if model is None:
+                letters = [False] * len(texts)
+                best, sure = np.zeros(len(texts), int), np.zeros(len(texts))
+            else:
+                best, sure = model.decide(presence(texts))
+            names += [model.names[k] if ok else "und" for k, ok in zip(best.tolist(), letters, strict=True)]
+            scores += [x if ok else 0.0 for x, ok in zip(sure.tolist(), letters, strict=True)]
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+
+    return tk.extended(docs.drop(lang_name, score_name), score, text_col, 1 << 20, **{lang_name: "string", score_name: "double"})
 
 
 def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -143,8 +137,8 @@ def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in tk.slices(batches, at, 1 << 20):
             yield batch.filter(pa.array([has_letter(t) for t in tk.as_bytes(batch.column(at))], pa.bool_()))
 
-    at = docs.columns.index(text_col)
-    return docs.mapInArrow(tk.tidy(keep), docs.schema)
+    at, plain = docs.columns.index(text_col), tk.numbered(docs)
+    return plain.mapInArrow(tk.tidy(keep), plain.schema).toDF(*docs.columns)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

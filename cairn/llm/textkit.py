@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 1 << 20
 U64 = np.uint64
@@ -164,6 +165,29 @@ def tidy(run, encodes: bool = False):
     return one if len(inspect.signature(run).parameters) == 1 else two
 
 
+def with_fields(df: DataFrame, **fields: str) -> T.StructType:
+    """The schema of ``df`` with further fields; any names and types of its columns can be among them."""
+    plain = [T.StructField(f.name, f.dataType, f.nullable) for f in df.schema.fields]
+    return T.StructType(plain + [T.StructField(name, {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType()}[kind]) for name, kind in fields.items()])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns that are called by their number, as functions of Arrow data can't be asked for all names."""
+    return df.toDF(*[f"_{k}" for k in range(len(df.columns))])
+
+
+def extended(df: DataFrame, compute, text_col: str, most: int = 4 << 20, **fields: str) -> DataFrame:
+    """``df`` with the further columns ``fields``; ``compute`` gives their arrays for a list of texts of about ``most`` bytes."""
+    at, plain = df.columns.index(text_col), numbered(df)
+    schema = with_fields(plain, **{f"_new{k}": kind for k, kind in enumerate(fields.values())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at, most):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(as_bytes(batch.column(at)))], names=schema.names)
+
+    return plain.mapInArrow(tidy(run), schema).toDF(*df.columns, *fields)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 

@@ -508,3 +508,17 @@ def test_trie_finds_what_was_built():
     a, b = rng.integers(0, len(words), (2, 5000))
     assert (made.bigrams(words[a], words[b]) >= 0).tolist() == [(x * len(words) + y) in have for x, y in zip(a.tolist(), b.tolist(), strict=True)]
     assert (made.bigrams(words[a] + np.uint64(1), np.full(5000, 2**41, np.uint64)) == -1).all()
+
+
+def test_scores_beside_columns_of_any_type(spark):
+    schema = "doc_id long, text string, lang string, `a b` struct<`x y`: int>, `d.ot` map<string, int>"
+    docs = spark.createDataFrame([(k, f"a text {k} of words", "en", {"x y": k}, {"m": k}) for k in range(8)], schema)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, toxic int")
+    scored = op4_toxicity.score(docs, op4_toxicity.train(docs, labels, F.lit(True)))
+    named = op8_language.identify(docs, op8_language.train(docs, F.lit(True)))
+    printed = op3_simhash.add_fingerprints(docs, "fp of it")
+    kept = op2_substring.remove_repeats(docs, carry=docs.columns, prefix="its ")
+    for rows, name in ((scored, "score"), (named, "lang_pred"), (printed, "fp of it"), (kept, "its kept_text")):
+        got = rows.collect()
+        assert {(r["a b"]["x y"], r["d.ot"]["m"]) for r in got} == {(k, k) for k in range(8)}
+        assert all(r[name] is not None for r in got)

@@ -1,6 +1,7 @@
 """The pipeline's stages, one after the other, against plain Python."""
 
 import collections
+import hashlib
 import re
 import zlib
 
@@ -34,9 +35,13 @@ def test_stages_by_brute_force(spark):
             assert got == {i: t for i, t in left if not contaminated(words(t), windows)}
             assert len(got) < len(left)
         else:
-            want = {i: (n, gone) for i, n, gone, _ in brute_repeats(left) if not n or gone < n}
+            want = {i: (n, gone, digest) for i, n, gone, digest in brute_repeats(left) if not gone or gone < n}
             assert set(got) == set(want)
-            assert all(len(t.encode().split()) == want[i][0] - want[i][1] for i, t in got.items())
+            before = dict(left)
+            for i, t in got.items():  # the text as it was, or the kept words joined by one space
+                own = re.findall(rb"[^\x20\x09-\x0D]+", t.encode())
+                assert hashlib.sha256(b" ".join(own)).hexdigest() == want[i][2]
+                assert t == before[i] if not want[i][1] else t.encode() == b" ".join(own)
         left = list(got.items())
     check_packing(left, corpus_pipeline.packing(spark, docs, SF).collect())
 
@@ -131,3 +136,18 @@ def test_equal_rows_of_ids_and_texts_alone(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert got.columns == ["doc_id", "text"]
     assert sorted(got.collect(), key=str) == sorted([(1, "one two three four five six"), (None, None), (2, "quite another text of seven words here")], key=str)
+
+
+def test_columns_of_any_name_and_type_run_through(spark):
+    schema = "doc_id long, text string, lang string, n_words string, n_removed int, kept_text string, kept_sha256 string, fingerprint int, `a b` struct<`x y`: int, z: array<map<string, int>>>, `d.ot` map<string, int>, _row string, n_chars long"
+    text = " ".join(f"w{k}" for k in range(40))
+    texts = [(1, text), (1, text), (2, text + " and a tail of its own"), (3, None), (None, "one two three four")]
+    more = ("own", -1, "kept", "sha", 5, {"x y": 1, "z": [{"k": 2}]}, {"m": 3}, "row")
+    docs = spark.createDataFrame([(i, t, "en", *more, len(t or "")) for i, t in texts], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = textkit.written(stage(spark, docs, SF), name)
+        assert docs.columns == [f.name for f in spark.createDataFrame([], schema).schema]
+    rows = docs.collect()
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept_text, r["a b"]["x y"], tuple(r["d.ot"].items()), r._row) for r in rows} == {(i, "own", -1, "kept", 1, (("m", 3),), "row") for i in (1, 2, None)}
+    assert {r.doc_id: r.text for r in rows}[2] == "and a tail of its own"
+    assert corpus_pipeline.packing(spark, docs, SF).count() == 3
