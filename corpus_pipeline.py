@@ -4,8 +4,9 @@ Each stage reads what its predecessor wrote.  The first four return the columns
 ``documents``; the last returns the packed pieces.
 
 1. ``language``: documents whose predicted language is not one of ``LANGUAGES`` (None: all
-   that were learnt), or is called with a score under ``LEAST_SCORE``, are rejected, and so
-   are those without a letter (or null); where no model can be trained, only the latter.
+   that were learnt) are rejected, and so are those without a letter (or null); where no
+   model can be trained, only the latter.  ``LEAST_SCORE`` rejects guesses of a lower score
+   too; it is 0, as texts that are named rightly can have any score above a guess's.
 2. ``near_duplicates``: of each SimHash component the document with the smallest doc_id
    stays; a component whose doc_ids are all null keeps one of its rows.
 3. ``substrings``: words of repeated windows go; a text that loses words becomes its
@@ -22,7 +23,7 @@ stages; long texts are read whole; equal rows are near-duplicates of each other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import textkit
@@ -33,9 +34,13 @@ from cairn.llm.op8_language import identify, train, with_letters
 from cairn.llm.op9_packing import pack_documents
 
 
-#: Languages that are kept (None: all), and the least score; with four languages a guess has 0.25.
+#: Languages that are kept (None: all), and the least score.
 LANGUAGES: tuple[str, ...] | None = None
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.0
+
+
+def _named(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,16 +66,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     same = F.col("doc_id").eqNullSafe(F.col("_cairn_lead_id")) & (F.col("_cairn_hash") == F.col("_cairn_lead_hash"))
     rows = keyed.join(kept, same, "left_semi")
     if of.join(kept, same, "left_semi").count() > kept.count():  # rows that share doc_id and text
-        rest = Window.partitionBy("doc_id", "_cairn_hash").orderBy(F.lit(0), *[c for c in docs.columns if c not in ("doc_id", "text")])
+        # columns of any type have an order as JSON; rows of equal JSON are equal
+        other = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+        rest = Window.partitionBy("doc_id", "_cairn_hash").orderBy(F.xxhash64(F.to_json(F.struct(*other))) if other else F.lit(0))
         rows = rows.withColumn("_cairn_nth", F.row_number().over(rest)).where("_cairn_nth = 1")
-    return rows.select(docs.columns)
+    return rows.select(*_named(docs))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = remove_repeats(docs, carry=docs.columns).where("n_removed = 0 OR n_removed < n_words")
-    changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return left.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    left = remove_repeats(docs, carry=docs.columns, prefix="_cairn_").where("_cairn_n_removed = 0 OR _cairn_n_removed < _cairn_n_words")
+    changed = F.col("_cairn_n_removed") > 0
+    new = {"text": F.when(changed, F.col("_cairn_kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("_cairn_kept_text").cast("long")).otherwise(F.col("n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return left.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +85,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn("_cairn_row", F.xxhash64("doc_id", "text"))
     found = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_cairn_row")
     bad = textkit.written(found.where("contaminated").select("_cairn_row").distinct(), "contaminated")
-    return keyed.join(bad, "_cairn_row", "left_anti").select(docs.columns)
+    return keyed.join(bad, "_cairn_row", "left_anti").select(*_named(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
