@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text
-from cairn.operators import fusion, graph, lanes, planning
+from cairn.operators import fusion, graph, lanes, planning, vectors
 from cairn.sources.shared import written
 
 #: English function words, which say nothing about what a query asks for (fixed values).
@@ -37,40 +37,66 @@ def relevance(candidates: DataFrame, queries: DataFrame, memories: DataFrame) ->
     return rows.withColumn("relevance", F.round(F.greatest(exact, coverage, grams, *cosine), 6)).drop("_q", "_l").withColumnRenamed("_d", "text")
 
 
-def recall(memories: DataFrame, queries: DataFrame, edges: DataFrame, purpose: str = "interactive_recall", limit: int = 10, floor: float = 0.0, tokens: int | None = None, dense: DataFrame | None = None) -> DataFrame:
-    """Hits of every query in order, and which of them are handed over.
+#: Candidates that a packer is offered, in limits of the query, and at most (fixed values).
+OFFERED, MOST_OFFERED = 4, 512
 
-    ``memories``: canonical_id, text, lookup, terms (array), scope, at, recallable;
-    ``queries``: query_id, text, scope, target (a time, or null); ``edges``: src, dst,
-    relation.  Lanes run with the purpose's budgets and weights (``planning.PURPOSES``);
-    ``dense``, if given, is a dense lane's result.  The first fusion's best hits seed the
-    graph lane, and all lanes are fused again.  Hits that are not recallable when they are
-    read drop out; of those at or over the floor the first ``limit`` are hits, and what
-    fits in ``tokens`` is kept.
+
+def recall(memories: DataFrame, queries: DataFrame, edges: DataFrame, plane: vectors.Plane | None = None) -> DataFrame:
+    """What every query recalls, by its own plan, of what it may see.
+
+    ``memories``: canonical_id, text, lookup, terms (array), scope_key, at, recallable;
+    ``queries``: query_id, text, scope_keys (array), target (a time, or null), purpose,
+    limit, min_score, and tokens (a budget, or null for the purpose's); ``edges``: src,
+    dst, relation; ``plane``: what the dense lane needs, if there is one.
+
+    Every lane runs within the query's scopes, with the budgets and weights of its plan
+    (``planning.plans``).  The first fusion's best hits seed the graph lane, which stays
+    within the scopes too, and all lanes are fused again.  Memories that are not recallable
+    when they are read drop out, and so do candidates under the query's floor.  A query
+    with a token budget offers its first 4 * limit candidates (512 at most) to the packer
+    and keeps what fits, up to its limit; one without keeps its first ``limit``.
+
+    Returns query_id, canonical_id, rank, tokens, kept, lanes, score and relevance of all
+    candidates that were offered.
     """
-    plan = planning.PURPOSES[purpose]
-    weight = dict(zip(planning.LANES, plan.weights, strict=True))
-    budget = {lane: min(most, max(least, times * limit)) for lane, (least, times, most) in planning.BUDGETS.items()}
-    texts = memories.select("canonical_id", "text")
+    plans = planning.plans(queries.select("query_id", "text", "purpose", "limit", F.lit(False).alias("timed"), F.col("target").isNotNull().alias("targeted")))
+    budgets = F.coalesce(queries["tokens"], planning._by_purpose(lambda p: p.tokens)).cast("long")
+    own = queries.select("query_id", "limit", "min_score", budgets.alias("_tokens"))
+    plans = written(plans.join(own, "query_id"), "plans")
+    # a lane runs with the largest of the budgets; each query then takes its own
+    row = plans.agg(*[F.max(f"{lane}_budget").alias(lane) for lane in planning.LANES], F.max("hops").alias("hops")).first()
+    most, hops = {lane: row[lane] or 1 for lane in planning.LANES}, row["hops"] or 0
+    scopes = queries.select("query_id", F.explode(F.array_distinct("scope_keys")).alias("scope_key"))
+    asked, key = queries.select("query_id", "text", "target").join(scopes, "query_id"), ("scope_key",)
+    texts = memories.select("canonical_id", "text", "scope_key")
     found = {
-        "exact": lanes.exact(memories.select("canonical_id", F.explode("terms").alias("term")), queries, budget["exact"]),
-        "lexical": lanes.lexical(texts, queries, budget["lexical"]),
-        "fuzzy": lanes.fuzzy(memories.select("canonical_id", F.col("lookup").alias("text")), queries, budget=budget["fuzzy"]),
-        "temporal": lanes.temporal(memories.select("canonical_id", "scope", "at"), queries.where("target IS NOT NULL").select("query_id", "scope", "target"), budget["temporal"]).drop("truncated"),
+        "exact": lanes.exact(memories.select("canonical_id", "scope_key", F.explode("terms").alias("term")), asked, most["exact"], key),
+        "lexical": lanes.lexical(texts, asked, most["lexical"], keys=key),
+        "fuzzy": lanes.fuzzy(memories.select("canonical_id", "scope_key", F.col("lookup").alias("text")), asked, budget=most["fuzzy"], keys=key),
+        "temporal": lanes.temporal(memories.select("canonical_id", F.col("scope_key").alias("scope"), "at"), asked.where("target IS NOT NULL").select("query_id", F.col("scope_key").alias("scope"), "target"), most["temporal"]).drop("truncated"),
     }
-    if dense is not None:
-        found["dense"] = dense.where(F.col("rank") <= budget["dense"])
-    found = {lane: written(rows.select("query_id", "canonical_id", "raw_score", "rank"), f"lane-{lane}") for lane, rows in found.items()}
-    first = fusion.weighted_rrf(found, weight, 128)
-    seeds = first.where(F.col("rank") <= min(16, max(4, limit))).select("query_id", F.col("canonical_id").alias("node"), F.col("score").alias("activation"))
-    gates = graph.overlaps(queries, texts.withColumnRenamed("canonical_id", "node"))
-    spread = graph.spread(seeds, edges, plan.hops, 8, gates).where("depth > 0")
-    found["graph"] = lanes.ranked(spread.select("query_id", F.col("node").alias("canonical_id"), F.col("activation").alias("raw_score")), budget["graph"])
-    fused = fusion.weighted_rrf(found, weight, 128).withColumnRenamed("rank", "fused_rank")
-    if dense is not None:
-        fused = fused.join(dense.select("query_id", "canonical_id", F.col("raw_score").alias("cosine")), ["query_id", "canonical_id"], "left")
-    scored = relevance(fused, queries, memories.where("recallable")).where(F.col("relevance") >= floor)
-    hits = lanes.top(scored, limit, F.asc("fused_rank")).withColumn("tokens", text.token_estimate(F.col("text")).cast("long"))
-    hits = written(hits.select("query_id", "canonical_id", "rank", "tokens", "lanes", "score", "relevance"), "hits")
-    packed = fusion.pack(hits.select("query_id", "canonical_id", "rank", "tokens"), tokens)
+    if plane is not None:
+        found["dense"] = vectors.plane(plane.projection, plane.memories, plane.queries.join(queries.select("query_id", "scope_keys"), "query_id"), plane.dimensions, most["dense"])[0]
+    cut = lambda rows, lane: rows.join(plans.select("query_id", F.col(f"{lane}_budget").alias("_b")), "query_id").where(F.col("rank") <= F.col("_b")).select("query_id", "canonical_id", "raw_score", "rank")
+    found = {lane: written(cut(rows, lane), f"lane-{lane}") for lane, rows in found.items()}
+    first = fusion.planned_rrf(found, plans)
+    seeds = first.join(plans.select("query_id", "seed_limit", "hops"), "query_id").where(F.col("rank") <= F.col("seed_limit")).select("query_id", F.col("canonical_id").alias("node"), F.col("score").alias("activation"), "hops")
+    seeds = written(seeds, "seeds")
+
+    def gates(pairs: DataFrame) -> DataFrame:
+        nodes = texts.withColumnRenamed("canonical_id", "node")
+        seen = pairs.select("query_id", "node").distinct().join(nodes.select("node", "scope_key"), "node").join(scopes, ["query_id", "scope_key"], "left_semi")
+        return graph.overlaps(seen, queries, nodes)
+
+    spread = graph.spread(seeds, edges, hops, 8, gates).where("depth > 0")
+    found["graph"] = lanes.ranked(spread.select("query_id", F.col("node").alias("canonical_id"), F.col("activation").alias("raw_score")), most["graph"])
+    fused = fusion.planned_rrf(found, plans).withColumnRenamed("rank", "fused_rank")
+    if plane is not None:
+        fused = fused.join(found["dense"].select("query_id", "canonical_id", F.col("raw_score").alias("cosine")), ["query_id", "canonical_id"], "left")
+    scored = relevance(fused, queries, memories.where("recallable")).join(plans.select("query_id", "limit", "min_score", "_tokens"), "query_id").where(F.col("relevance") >= F.col("min_score"))
+    offered = F.when(F.col("_tokens").isNull(), F.col("limit")).otherwise(F.least(F.lit(MOST_OFFERED), OFFERED * F.col("limit")))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("fused_rank"))
+    hits = scored.withColumn("rank", nth).where(F.col("rank") <= offered).withColumn("tokens", text.token_estimate(F.col("text")).cast("long"))
+    hits = written(hits.select("query_id", "canonical_id", "rank", "tokens", "lanes", "score", "relevance", "limit", "_tokens"), "hits")
+    packed = fusion.pack(hits, "_tokens", "limit")
     return packed.join(hits.select("query_id", "canonical_id", "lanes", "score", "relevance"), ["query_id", "canonical_id"])

@@ -45,7 +45,8 @@ def spread(seeds: DataFrame, edges: DataFrame, hops: int = 2, fan_out: int = 8,
 
     ``seeds``: query_id, node, activation; ``edges``: src, dst, relation (and created_at, if
     there is a ``cutoff``); ``gates`` gives query_id, node, overlap for the (query_id, node)
-    that a step reached (see ``overlaps``).  A step multiplies by the relation's weight, 0.95 against its
+    that a step may reach (see ``overlaps``).  If seeds have a column ``hops``, it bounds
+    their query's.  A step multiplies by the relation's weight, 0.95 against its
     direction (1 if it is symmetric), 0.85 and the gate of the node reached.  A node passes
     on to the ``fan_out`` first of its edges by weight, then by node; a path visits a node once.
     """
@@ -58,10 +59,13 @@ def spread(seeds: DataFrame, edges: DataFrame, hops: int = 2, fan_out: int = 8,
     both = both.where("src <> dst").groupBy("src", "dst").agg(F.max("_w").alias("_w"))
     nth = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("_w"), F.asc("dst")))
     strongest = both.withColumn("_n", nth).where(F.col("_n") <= fan_out).drop("_n")
+    most = seeds.select("query_id", "hops").distinct() if "hops" in seeds.columns else None
     reached = seeds.select("query_id", "node", "activation", F.lit(0).alias("depth"), F.array("node").alias("path"))
     best = lambda rows: rows.groupBy("query_id", "node").agg(F.min(F.struct((-F.round("activation", 12)).alias("a"), "depth", "path", "activation")).alias("_b")).select("query_id", "node", F.col("_b.activation").alias("activation"), F.col("_b.depth").alias("depth"), F.col("_b.path").alias("path"))
     frontier = reached
     for depth in range(1, hops + 1):
+        if most is not None:
+            frontier = frontier.join(most.where(F.col("hops") >= depth), "query_id", "left_semi")
         step = frontier.join(strongest, frontier["node"] == strongest["src"]).where(~F.array_contains("path", F.col("dst")))
         step = step.select("query_id", F.col("dst").alias("node"), (F.col("activation") * F.col("_w") * DAMPING).alias("activation"), F.lit(depth).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
         if gates is not None:

@@ -1,7 +1,9 @@
 """Candidate lanes: exact terms, lexical overlap, trigrams, vectors, time.
 
 A lane returns ``query_id, canonical_id, raw_score, rank``.  Ranks are total: ties go by
-id.  Joins run on terms, never on all pairs.
+id.  Joins run on terms, never on all pairs.  ``keys`` are columns in which a document and
+a query must agree, such as a scope: they take part in the joins, so nothing of another
+scope is ever a candidate; a query that may see several scopes has a row for each.
 """
 
 from __future__ import annotations
@@ -26,35 +28,35 @@ def ranked(scored: DataFrame, budget: int) -> DataFrame:
     return top(scored, budget, F.desc("raw_score"), F.asc("canonical_id"))
 
 
-def exact(terms: DataFrame, queries: DataFrame, budget: int = 32) -> DataFrame:
+def exact(terms: DataFrame, queries: DataFrame, budget: int = 32, keys: tuple[str, ...] = ()) -> DataFrame:
     """``terms``: canonical_id, term; ``queries``: query_id, text.  Whole normalised queries equal to a term."""
-    asked = queries.select("query_id", text.normalize_term(F.col("text")).alias("_t"))
-    found = terms.select("canonical_id", text.normalize_term(F.col("term")).alias("_t")).join(asked, "_t").select("query_id", "canonical_id").distinct()
+    asked = queries.select("query_id", *keys, text.normalize_term(F.col("text")).alias("_t"))
+    found = terms.select("canonical_id", *keys, text.normalize_term(F.col("term")).alias("_t")).join(asked, ["_t", *keys]).select("query_id", "canonical_id").distinct()
     return ranked(found.withColumn("raw_score", F.lit(1.0)), budget)
 
 
-def _texts(docs: DataFrame, budget: int) -> DataFrame:
-    """``text``, its least id ``_tid``, and its first ``budget`` ids: a text that repeats is scored once, and no query takes more of it."""
-    nth = F.row_number().over(Window.partitionBy("text").orderBy("canonical_id"))
-    first = docs.select("canonical_id", "text").where("text IS NOT NULL").withColumn("_n", nth).where(F.col("_n") <= budget)
-    return first.groupBy("text").agg(F.min("canonical_id").alias("_tid"), F.collect_list("canonical_id").alias("_ids"))
+def _texts(docs: DataFrame, budget: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``text``, its least id ``_tid``, and its first ``budget`` ids: a text that repeats under its keys is scored once, and no query takes more of it."""
+    nth = F.row_number().over(Window.partitionBy("text", *keys).orderBy("canonical_id"))
+    first = docs.select("canonical_id", "text", *keys).where("text IS NOT NULL").withColumn("_n", nth).where(F.col("_n") <= budget)
+    return first.groupBy("text", *keys).agg(F.min("canonical_id").alias("_tid"), F.collect_list("canonical_id").alias("_ids"))
 
 
-def lexical(docs: DataFrame, queries: DataFrame, budget: int = 32, most_tokens: int = 64) -> DataFrame:
+def lexical(docs: DataFrame, queries: DataFrame, budget: int = 32, most_tokens: int = 64, keys: tuple[str, ...] = ()) -> DataFrame:
     """Share of the query's tokens in the document, plus 0.2 if the whole query is part of it.
 
     Ids alone are joined and counted; texts are fetched only for candidates that the 0.2
     could still bring among the first ``budget``.
     """
-    asked = queries.select("query_id", F.lower("text").alias("_q"), text.tokens(F.col("text"), most_tokens).alias("_qt"))
-    texts = _texts(docs, budget)
-    own = texts.select("_tid", F.explode(text.tokens(F.col("text"))).alias("_t"))
-    hits = own.join(asked.select("query_id", F.size("_qt").alias("_size"), F.explode("_qt").alias("_t")), "_t").groupBy("query_id", "_tid", "_size").agg(F.count("*").alias("_n"))
+    asked = queries.select("query_id", *keys, F.lower("text").alias("_q"), text.tokens(F.col("text"), most_tokens).alias("_qt"))
+    texts = _texts(docs, budget, keys)
+    own = texts.select("_tid", *keys, F.explode(text.tokens(F.col("text"))).alias("_t"))
+    hits = own.join(asked.select("query_id", *keys, F.size("_qt").alias("_size"), F.explode("_qt").alias("_t")), ["_t", *keys]).groupBy("query_id", "_tid", "_size").agg(F.count("*").alias("_n"))
     base = hits.select("query_id", "_tid", (F.col("_n") / F.col("_size")).alias("_base"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_base"), "_tid"))
     last = F.max(F.when(F.col("_k") == budget, F.col("_base"))).over(Window.partitionBy("query_id"))
     near = base.withColumn("_k", nth).withColumn("_last", last).where(F.col("_last").isNull() | (F.col("_base") + 0.2 + 1e-9 >= F.col("_last")))
-    full = near.select("query_id", "_tid", "_base").join(texts, "_tid").join(asked.select("query_id", "_q"), "query_id")
+    full = near.select("query_id", "_tid", "_base").join(texts, "_tid").join(asked.select("query_id", "_q").distinct(), "query_id")
     scored = full.withColumn("raw_score", F.round(F.col("_base") + F.when(F.contains(F.lower("text"), "_q"), 0.2).otherwise(0.0), 6))
     return ranked(scored.select("query_id", F.explode("_ids").alias("canonical_id"), "raw_score"), budget)
 
@@ -66,20 +68,22 @@ def _prefixes(sets: DataFrame, key: str, rarity: DataFrame, floor: float) -> Dat
     return grams.withColumn("_k", nth).where(F.col("_k") <= F.col("_size") - F.ceil(floor * F.col("_size")) + 1).select(key, "_size", "_t")
 
 
-def fuzzy(docs: DataFrame, queries: DataFrame, floor: float = 0.25, budget: int = 24) -> DataFrame:
+def fuzzy(docs: DataFrame, queries: DataFrame, floor: float = 0.25, budget: int = 24, keys: tuple[str, ...] = ()) -> DataFrame:
     """Trigram Jaccard of at least ``floor``.
 
     Candidates are texts that share one of their rarest trigrams with a query (the common
     ones are left out of the join) and are neither too short nor too long for it; they are
     compared by all trigrams.
     """
-    asked = queries.where(F.length("text").between(3, 256)).select("query_id", text.trigrams(F.col("text")).alias("_g")).where(F.size("_g") > 0)
-    texts = _texts(docs, budget)
+    asked = queries.select("query_id", "text").distinct().where(F.length("text").between(3, 256)).select("query_id", text.trigrams(F.col("text")).alias("_g")).where(F.size("_g") > 0)
+    texts = _texts(docs, budget, keys)
     own = texts.select("_tid", text.trigrams(F.col("text")).alias("_g")).where(F.size("_g") > 0)
     rarity = own.select(F.explode("_g").alias("_t")).groupBy("_t").agg(F.count("*").alias("_df"))
     left, right = _prefixes(asked, "query_id", rarity, floor), _prefixes(own, "_tid", rarity, floor).withColumnRenamed("_size", "_own")
     fits = (F.col("_own") >= floor * F.col("_size")) & (floor * F.col("_own") <= F.col("_size"))
-    pairs = left.join(right, "_t").where(fits).select("query_id", "_tid").distinct()
+    if keys:
+        left, right = left.join(queries.select("query_id", *keys).distinct(), "query_id"), right.join(texts.select("_tid", *keys), "_tid")
+    pairs = left.join(right, ["_t", *keys]).where(fits).select("query_id", "_tid").distinct()
     full = pairs.join(asked, "query_id").join(own.withColumnRenamed("_g", "_h"), "_tid")
     both = F.size(F.array_intersect("_g", "_h"))
     scored = full.withColumn("raw_score", F.round(both / (F.size("_g") + F.size("_h") - both), 6)).where(F.col("raw_score") >= floor)

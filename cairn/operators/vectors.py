@@ -8,6 +8,8 @@ fetch.  A query that has no usable vector gets a degraded lane, not a failure.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,15 @@ from cairn.sources.shared import written
 MOST, OVERFETCH = 2000, 4
 
 
+class Plane(NamedTuple):
+    """What a dense lane needs: see ``plane``; ``queries`` has query_id, model and vector."""
+
+    projection: DataFrame
+    memories: DataFrame
+    queries: DataFrame
+    dimensions: int
+
+
 def fenced(found: DataFrame, projection: DataFrame, memories: DataFrame) -> DataFrame:
     """Of ``found`` (query_id, scope_key, model, canonical_id, raw_score) what agrees with its canonical row.
 

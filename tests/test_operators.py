@@ -230,7 +230,7 @@ def test_bootstrap_covers_the_mean_and_repeats(spark):
 
 
 def test_approximate_lane_finds_nine_in_ten(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 16)  # many blocks a cell
+    monkeypatch.setattr(lanes, "BLOCK", 16)  # many blocks a cell
     for sf in (SF, SF.replace("0.001", "0.1")):
         v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("canonical_id"), F.col("embedding").alias("vector"))
         v = v.unionByName(spark.createDataFrame([(None, [1.0] * 64), (10**9, None), (10**9 + 1, [0.0] * 64)], "canonical_id long, vector array<float>"))
