@@ -77,9 +77,14 @@ def recall(memories: DataFrame, queries: DataFrame, edges: DataFrame, plane: vec
     }
     if plane is not None:
         found["dense"] = vectors.plane(plane.projection, plane.memories, plane.queries.join(queries.select("query_id", "scope_keys"), "query_id"), plane.dimensions, most["dense"])[0]
-    cut = lambda rows, lane: rows.join(plans.select("query_id", F.col(f"{lane}_budget").alias("_b")), "query_id").where(F.col("rank") <= F.col("_b")).select("query_id", "canonical_id", "raw_score", "rank")
-    found = {lane: written(cut(rows, lane), f"lane-{lane}") for lane, rows in found.items()}
-    first = fusion.planned_rrf(found, plans)
+    # all lanes in one job, so that none waits for another
+    ran = None
+    for lane, rows in found.items():
+        own = rows.join(plans.select("query_id", F.col(f"{lane}_budget").alias("_b")), "query_id").where(F.col("rank") <= F.col("_b"))
+        own = own.select(F.lit(lane).alias("lane"), "query_id", "canonical_id", "raw_score", "rank")
+        ran = own if ran is None else ran.unionByName(own)
+    ran = written(ran, "lanes")
+    first = fusion.planned_rrf(ran, plans)
     seeds = first.join(plans.select("query_id", "seed_limit", "hops"), "query_id").where(F.col("rank") <= F.col("seed_limit")).select("query_id", F.col("canonical_id").alias("node"), F.col("score").alias("activation"), "hops")
     seeds = written(seeds, "seeds")
 
@@ -89,10 +94,10 @@ def recall(memories: DataFrame, queries: DataFrame, edges: DataFrame, plane: vec
         return graph.overlaps(seen, queries, nodes)
 
     spread = graph.spread(seeds, edges, hops, 8, gates).where("depth > 0")
-    found["graph"] = lanes.ranked(spread.select("query_id", F.col("node").alias("canonical_id"), F.col("activation").alias("raw_score")), most["graph"])
-    fused = fusion.planned_rrf(found, plans).withColumnRenamed("rank", "fused_rank")
+    reached = lanes.ranked(spread.select("query_id", F.col("node").alias("canonical_id"), F.col("activation").alias("raw_score")), most["graph"])
+    fused = fusion.planned_rrf(ran.unionByName(reached.withColumn("lane", F.lit("graph"))), plans).withColumnRenamed("rank", "fused_rank")
     if plane is not None:
-        fused = fused.join(found["dense"].select("query_id", "canonical_id", F.col("raw_score").alias("cosine")), ["query_id", "canonical_id"], "left")
+        fused = fused.join(ran.where("lane = 'dense'").select("query_id", "canonical_id", F.col("raw_score").alias("cosine")), ["query_id", "canonical_id"], "left")
     scored = relevance(fused, queries, memories.where("recallable")).join(plans.select("query_id", "limit", "min_score", "_tokens"), "query_id").where(F.col("relevance") >= F.col("min_score"))
     offered = F.when(F.col("_tokens").isNull(), F.col("limit")).otherwise(F.least(F.lit(MOST_OFFERED), OFFERED * F.col("limit")))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("fused_rank"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text
 from cairn.operators import flow
+from cairn.operators import recall as recall_filters
 
 MEMORIES = "canonical_id long, text string, lookup string, terms array<string>, scope_key string, at timestamp_ntz, recallable boolean"
 QUERIES = "query_id long, text string, scope_keys array<string>, target timestamp_ntz, purpose string, limit int, min_score double, tokens int"
@@ -60,3 +61,15 @@ def test_full_case_folding(spark, raw, term, own):
 def test_structured_contents_stay_apart(spark):
     row = spark.createDataFrame([('{"b": 1, "a": [true, 1.0]}',)], "t string").select(text.canonical_json(F.col("t"))).first()
     assert row[0].startswith("json:{\"a\":")
+
+
+def test_intervals_and_points_share_one_stretch(spark):
+    levels = 5
+    spans = [(a, b) for a in range(0, 33) for b in range(a, 33)]
+    rows = spark.createDataFrame(spans, "low long, high long").select("low", "high", recall_filters.nodes_of_interval(F.col("low"), F.col("high"), levels).alias("n")).collect()
+    points = {r.at: {tuple(x) for x in r.n} for r in spark.range(33).select(F.col("id").alias("at"), recall_filters.nodes_of_point(F.col("id"), levels).alias("n")).collect()}
+    for r in rows:
+        own = [tuple(x) for x in r.n]
+        assert len(own) <= 2 * levels
+        for at, nodes in points.items():
+            assert sum(n in nodes for n in own) == (r.low <= at < r.high), (r.low, r.high, at)
