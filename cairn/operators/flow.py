@@ -29,12 +29,17 @@ def relevance(candidates: DataFrame, queries: DataFrame, memories: DataFrame) ->
     ``candidates``: query_id, canonical_id, lanes (names, comma-joined) and, if the dense
     lane ran, cosine; a candidate of the graph alone must stand by its own text.
     """
-    rows = candidates.join(memories.select("canonical_id", F.col("text").alias("_d"), F.coalesce("lookup", "text").alias("_l")), "canonical_id").join(queries.select("query_id", F.col("text").alias("_q")), "query_id")
+    # the sets of a query and of a memory are made once, not once a pair
+    own = memories.join(candidates.select("canonical_id").distinct(), "canonical_id", "left_semi")
+    own = own.select("canonical_id", "text", text.tokens(F.col("text")).alias("_dt"), text.trigrams(F.coalesce("lookup", "text")).alias("_dg"))
+    asked = queries.select("query_id", query_terms(F.col("text")).alias("_qt"), F.when(F.length("text") >= 3, text.trigrams(F.col("text"))).alias("_qg"))
+    rows = candidates.join(own, "canonical_id").join(asked, "query_id").withColumn("_both", F.size(F.array_intersect("_qg", "_dg")))
     exact = F.array_contains(F.split("lanes", ","), "exact").cast("double")
-    coverage = text.coverage(query_terms(F.col("_q")), text.tokens(F.col("_d")))
-    grams = F.when(F.length("_q") >= 3, text.jaccard(text.trigrams(F.col("_q")), text.trigrams(F.col("_l")))).otherwise(0.0)
+    union = F.size("_qg") + F.size("_dg") - F.col("_both")
+    grams = F.when(F.col("_qg").isNotNull() & (union > 0), F.col("_both") / union).otherwise(0.0)
     cosine = [F.coalesce("cosine", F.lit(0.0))] if "cosine" in candidates.columns else []
-    return rows.withColumn("relevance", F.round(F.greatest(exact, coverage, grams, *cosine), 6)).drop("_q", "_l").withColumnRenamed("_d", "text")
+    best = F.greatest(exact, text.coverage(F.col("_qt"), F.col("_dt")), grams, *cosine)
+    return rows.withColumn("relevance", F.round(best, 6)).drop("_qt", "_qg", "_dt", "_dg", "_both")
 
 
 #: Candidates that a packer is offered, in limits of the query, and at most (fixed values).

@@ -56,9 +56,14 @@ def spread(seeds: DataFrame, edges: DataFrame, hops: int = 2, fan_out: int = 8,
     weight = F.create_map(*[F.lit(x) for kv in RELATIONS.items() for x in kv])[F.col("relation")]
     back = F.when(F.col("relation").isin(*SYMMETRIC), weight).otherwise(weight * REVERSE)
     both = known.select("src", "dst", weight.alias("_w")).unionByName(known.select(F.col("dst").alias("src"), F.col("src").alias("dst"), back.alias("_w")))
-    both = both.where("src <> dst").groupBy("src", "dst").agg(F.max("_w").alias("_w"))
+    both = both.where("src <> dst")
     nth = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("_w"), F.asc("dst")))
-    strongest = both.withColumn("_n", nth).where(F.col("_n") <= fan_out).drop("_n")
+
+    def strongest(nodes: DataFrame) -> DataFrame:
+        # only edges of nodes that pass something on are aggregated and ranked
+        own = both.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+        return own.groupBy("src", "dst").agg(F.max("_w").alias("_w")).withColumn("_n", nth).where(F.col("_n") <= fan_out).select(F.col("src").alias("_src"), "dst", "_w")
+
     most = seeds.select("query_id", "hops").distinct() if "hops" in seeds.columns else None
     reached = seeds.select("query_id", "node", "activation", F.lit(0).alias("depth"), F.array("node").alias("path"))
     best = lambda rows: rows.groupBy("query_id", "node").agg(F.min(F.struct((-F.round("activation", 12)).alias("a"), "depth", "path", "activation")).alias("_b")).select("query_id", "node", F.col("_b.activation").alias("activation"), F.col("_b.depth").alias("depth"), F.col("_b.path").alias("path"))
@@ -66,11 +71,12 @@ def spread(seeds: DataFrame, edges: DataFrame, hops: int = 2, fan_out: int = 8,
     for depth in range(1, hops + 1):
         if most is not None:
             frontier = frontier.join(most.where(F.col("hops") >= depth), "query_id", "left_semi")
-        step = frontier.join(strongest, frontier["node"] == strongest["src"]).where(~F.array_contains("path", F.col("dst")))
+        step = frontier.join(strongest(frontier), F.col("node") == F.col("_src")).where(~F.array_contains("path", F.col("dst")))
         step = step.select("query_id", F.col("dst").alias("node"), (F.col("activation") * F.col("_w") * DAMPING).alias("activation"), F.lit(depth).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
         if gates is not None:
+            step = written(step, "step")  # read twice
             step = step.join(gates(step), ["query_id", "node"]).withColumn("activation", F.col("activation") * gate(F.col("overlap"))).drop("overlap")
-        frontier = best(step)
+        frontier = best(step) if depth == hops else written(best(step), "frontier")
         reached = reached.unionByName(frontier)
     return best(reached).select("query_id", "node", F.round("activation", 6).alias("activation"), "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
