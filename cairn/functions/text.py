@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +105,38 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+#: English words that say nothing about what a text holds, in which sketches differ from queries (fixed values).
+SKETCH_STOP_WORDS = (
+    "a about after all also an and any are as at be been before being but by can could did do does for from had has have how if in into is it its may might must no not of on one or our out over should so some such "
+    "than that the their them then there these they this those to up was we were what when where which while who why will with would you your"
+).split()
+#: Terms of a sketch (fixed value).
+SKETCH_TERMS = 96
+
+
+def sketch(c: Column, most: int = SKETCH_TERMS) -> Column:
+    """The terms of least hash, (hash, term) each in that order: a sample of a text's words that does not favour its beginning.
+
+    Terms have three characters at least and are no stop words.  The hash is of the term
+    alone, so sketches of parts merge to that of the whole.
+    """
+    words = F.array_distinct(F.regexp_extract_all(fold(c), F.lit(TOKEN), F.lit(0)))
+    kept = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*SKETCH_STOP_WORDS))
+    return F.slice(F.array_sort(F.transform(kept, lambda w: F.struct(F.conv(F.substring(F.sha2(w, 256), 1, 15), 16, 10).cast("long").alias("hash"), w.alias("term")))), 1, most)
+
+
+def merged(a: Column, b: Column, most: int = SKETCH_TERMS) -> Column:
+    """The sketch of two texts together."""
+    return F.slice(F.array_sort(F.array_union(a, b)), 1, most)
+
+
+def sketches(rows: DataFrame, key: str, c: str, most: int = SKETCH_TERMS) -> DataFrame:
+    """``key`` and the sketch ``c`` of each group of texts, from the texts' own: what is ranked is pruned before it is shuffled."""
+    terms = rows.select(key, F.explode(c).alias("_x")).distinct()
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("_x"))
+    return terms.withColumn("_n", nth).where(F.col("_n") <= most).groupBy(key).agg(F.array_sort(F.collect_list("_x")).alias(c))
+
+
 def coverage(query: Column, doc: Column) -> Column:
     """Share of the query's tokens that the document has."""
     return F.when(F.size(query) == 0, 0.0).otherwise(F.size(F.array_intersect(query, doc)) / F.size(query))

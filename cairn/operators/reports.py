@@ -115,8 +115,8 @@ def gates(payloads: DataFrame, checks: DataFrame) -> DataFrame:
     A path that is not there fails.
     """
     parsed = payloads.withColumn("_v", F.try_parse_json("payload"))
-    rows = parsed.join(F.broadcast(checks), "gate")  # checks are a manifest, written by hand
-    paths = [r[0] for r in checks.select("path").distinct().collect()]
+    rows = parsed.join(checks, "gate")
+    paths = [r[0] for r in checks.select("path").distinct().collect()]  # a manifest's, written by hand: JSON paths are literals
     actual = F.lit(None).cast("double")
     for path in paths:
         actual = F.when(F.col("path") == path, F.try_variant_get("_v", path, "double")).otherwise(actual)
@@ -168,10 +168,12 @@ def run_metrics(tasks: DataFrame, leases: DataFrame, checkpoints: DataFrame, com
         used.groupBy("run_id").agg(F.count("*").alias("cross_agent_uses")),
         attempts.where("key IS NOT NULL").groupBy("run_id", "key").agg((F.count("*") - 1).alias("_r")).groupBy("run_id").agg(F.sum("_r").alias("replays")),
     ]
-    out = parts[0]
+    # small tables, one row a run each, under one another and added up once; runs without a task take no part
+    every = parts[0]
     for part in parts[1:]:
-        out = out.join(part, "run_id", "left")
-    return out.na.fill(0)
+        every = every.unionByName(part, allowMissingColumns=True)
+    names = [c for c in every.columns if c != "run_id"]
+    return every.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in names]).where("tasks_total IS NOT NULL").na.fill(0)
 
 
 def outcome_associations(completions: DataFrame, activations: DataFrame, memories: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions.text import TOKEN
 
@@ -80,6 +82,43 @@ def chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return cut.select(key, "chunk", (F.col("chunk") * size).cast("long").alias("begin"), part.alias("part"))
 
 
+def cut_at_lines(text: str, limit: int) -> list[str]:
+    """Segments of at most ``limit`` characters without blanks at their ends.
+
+    A cut is made at the last line break within the limit, or at the limit where that is
+    in the first half; where the next segment begins depends on it.
+    """
+    if len(text) <= limit:
+        return [text]
+    out, at = [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > limit:
+            end = text.rfind("\n", at, at + limit + 1)
+            if end - at < limit // 2:
+                end = at + limit
+        part = text[at:end].strip()
+        # the very last segment stays, even if it is blank
+        if part or end == len(text):
+            out.append(part)
+        at = end
+        while at < len(text) and text[at].isspace():
+            at += 1
+    return out or ["(empty)"]
+
+
+def segments(docs: DataFrame, key: str, text: str, limit: int) -> DataFrame:
+    """``key``, ``segment`` (from 1), ``n_segments``, ``part``: whole texts cut at line breaks; a null text is empty."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: cut_at_lines(v, limit))
+
+    parts = docs.select(key, cut(F.coalesce(text, F.lit(""))).alias("_p"))
+    rows = parts.select(key, F.size("_p").alias("n_segments"), F.posexplode("_p").alias("_k", "part"))
+    return rows.select(key, (F.col("_k") + 1).alias("segment"), "n_segments", "part")
+
+
 def owned(leases: DataFrame, writes: DataFrame) -> DataFrame:
     """The ``writes`` whose writer holds the task's lease at that moment.
 

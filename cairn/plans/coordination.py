@@ -75,6 +75,19 @@ def document_chunks(spark, sf_dir):
     return parts.select("doc_id", "chunk", "begin", F.sha2("part", 256).alias("part_sha256"), F.length("part").alias("n_chars"), text.token_estimate(F.col("part")).alias("tokens"))
 
 
+def document_segments(spark, sf_dir):
+    """Documents cut at line breaks, 1000 characters a segment at most."""
+    parts = work.segments(load(spark, sf_dir, "documents"), "doc_id", "text", 1000)
+    return parts.select("doc_id", "segment", "n_segments", F.length("part").cast("long").alias("n_chars"), F.sha2("part", 256).alias("part_sha256"))
+
+
+def source_sketches(spark, sf_dir):
+    """The sketch of all documents of each source, merged from the documents' own."""
+    own = load(spark, sf_dir, "documents").select("source", text.sketch(F.col("text")).alias("sketch"))
+    rows = text.sketches(own, "source", "sketch")
+    return rows.select("source", F.array_join(F.transform("sketch", lambda x: x["term"]), " ").alias("terms"))
+
+
 def page_identifiers(spark, sf_dir):
     pages = load(spark, sf_dir, "pages")
     return pages.select("page_id", *[F.size(text.identifiers(F.col("html"), k)).cast("long").alias(f"n_{k}") for k in ("path", "number", "mail")], F.array_join(F.array_sort(text.identifiers(F.col("url"), "path")), " ").alias("url_paths"))
@@ -146,9 +159,13 @@ _L = "l AS (SELECT o_orderkey AS task_id, o_custkey % 10 + 1 AS owner, o_orderst
 _V = "v AS (SELECT o_orderkey, o_custkey, o_orderdate, lag(o_orderkey) OVER w AS supersedes, lead(o_orderdate) OVER w AS recorded_to, row_number() OVER w AS version FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
 QUERIES = {
     f.__name__: f
-    for f in (user_activity, user_sessions, fresh_and_resumed, event_page, claimable_work, latest_checkpoint, version_chain, conversation_windows, context_expansion, conversation_render, document_chunks, page_identifiers, row_fingerprints, price_summary, paired_delta, arm_differences, part_citations, cohort_difference, activity_counters, owned_writes, expired_handoffs)
+    for f in (user_activity, user_sessions, fresh_and_resumed, event_page, claimable_work, latest_checkpoint, version_chain, conversation_windows, context_expansion, conversation_render, document_chunks, document_segments, source_sketches, page_identifiers, row_fingerprints, price_summary, paired_delta, arm_differences, part_citations, cohort_difference, activity_counters, owned_writes, expired_handoffs)
 }
+_SKETCH_STOP = ", ".join(f"'{w}'" for w in text.SKETCH_STOP_WORDS)
+SKETCH_SQL = rf"""WITH w AS (SELECT DISTINCT source, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+')) AS term FROM documents), h AS (SELECT source, term, CAST('0x' || substr(sha256(term), 1, 15) AS BIGINT) AS hash FROM w WHERE length(term) >= 3 AND term NOT IN ({_SKETCH_STOP})),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY hash, term) AS n FROM h) SELECT source, string_agg(term, ' ' ORDER BY hash, term) AS terms FROM r WHERE n <= 96 GROUP BY source"""
 ORACLES = {
+    "source_sketches": SKETCH_SQL,
     "owned_writes": f"WITH {_L} SELECT l_suppkey % 10 + 1 AS writer, count(*) AS n_writes, count(DISTINCT task_id) AS n_tasks FROM lineitem JOIN l ON l_orderkey = task_id WHERE active AND l_suppkey % 10 + 1 = owner AND l_shipdate < expires_at GROUP BY 1",
     "expired_handoffs": f"WITH {_L} SELECT priority, count(*) AS n_handoffs, min(task_id) AS first_task FROM l WHERE active AND expires_at <= TIMESTAMP '{_NOW}' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = task_id AND l_shipdate < expires_at) GROUP BY 1",
     "user_activity": "WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT user_id, count(*) AS n_events, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS n_{k}" for k in ("signup", "purchase", "error", "view", "click")) + ", count(DISTINCT k) AS distinct_k, CAST(sum(k) AS BIGINT) AS sum_k, count(k) - count(DISTINCT k) AS replays, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 2) AS spent FROM e GROUP BY 1",

@@ -88,7 +88,7 @@ GREEDY_SQL = f"WITH RECURSIVE {_FOLD} SELECT query_id, used AS used_tokens, n AS
 def facility_location(spark, sf_dir):
     """Items of an order: their part's words, those that the order's dearest item has too, and its brand and size as labels."""
     pool = load(spark, sf_dir, "pool")
-    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("value_id"), text.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("terms"), F.array("p_brand", F.col("p_size").cast("string")).alias("labels"))
+    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("value_id"), F.transform(text.sketch(F.concat_ws(" ", "p_name", "p_type")), lambda x: x["term"]).alias("terms"), F.array("p_brand", F.col("p_size").cast("string")).alias("labels"))
     rows = pool.join(part, "value_id").select("query_id", "canonical_id", F.col("lexical_rank").alias("rank"), "tokens", "relevance", "terms", "labels")
     first = rows.groupBy("query_id").agg(F.min_by("terms", F.struct("rank", "canonical_id")).alias("_q"))
     return evaluation.facility_location(rows.join(first, "query_id").withColumn("asked", F.array_intersect("terms", "_q")), 60, 4)

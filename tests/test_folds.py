@@ -9,7 +9,8 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from cairn.operators import chains, consolidation, lanes, vectors
+from cairn.functions import text
+from cairn.operators import chains, consolidation, lanes, vectors, work
 from cairn.plans import consolidations, plane
 
 
@@ -183,3 +184,34 @@ def test_plane_widens_for_short_queries_only(spark, monkeypatch):
 def test_plane_of_the_table(spark):
     status = plane.dense_status(spark, SF).where(F.col("degraded")).collect()
     assert {r.reason for r in status} <= {"query_embedding_unavailable", "vector_dimension_mismatch"}
+
+
+def test_segments_join_to_the_text(spark):
+    draw = random.Random(6)
+    texts = [(k, "".join(draw.choices(["word ", "\n", "\n\n", "longer-word", " ", "x" * 30], k=draw.randint(0, 60)))) for k in range(80)] + [(100, None), (101, ""), (102, " " * 50), (103, "y" * 95), (104, "ab\n" * 40)]
+    rows = {}
+    for r in work.segments(spark.createDataFrame(texts, "k long, t string"), "k", "t", 40).orderBy("k", "segment").collect():
+        rows.setdefault(r.k, []).append(r)
+    for k, t in texts:
+        own, t = rows[k], "(empty)" if k == 102 else t or ""
+        assert [r.segment for r in own] == list(range(1, len(own) + 1)) and {r.n_segments for r in own} == {len(own)}
+        assert all(len(r.part) <= 40 for r in own) and all(r.part == r.part.strip() for r in own if len(t) > 40)
+        assert re.sub(r"\s", "", "".join(r.part for r in own)) == re.sub(r"\s", "", t)
+        if len(t) <= 40:
+            assert [r.part for r in own] == [t]
+    assert [len(r.part) for r in rows[103]] == [40, 40, 15] and [len(r.part) for r in rows[104]][0] == 38
+
+
+def test_sketches_merge(spark):
+    draw = random.Random(1)
+    words = [f"w{k:03d}" for k in range(400)] + ["the", "ab", "Straße"]
+    texts = [(k % 3, k, " ".join(draw.choices(words, k=120))) for k in range(12)] + [(3, 20, None), (4, 21, "")]
+    own = spark.createDataFrame(texts, "g long, k long, t string").withColumn("s", text.sketch(F.col("t"), 10))
+    rows = own.collect()
+    rank = lambda ws: sorted((int(hashlib.sha256(w.encode()).hexdigest()[:15], 16), w) for w in {x.casefold() for x in ws} if len(w) >= 3 and w not in text.SKETCH_STOP_WORDS)[:10]
+    for r in rows:
+        assert (r.s or []) == [tuple(x) for x in rank((r.t or "").split())]
+    grouped = {r.g: [tuple(x) for x in r.s] for r in text.sketches(own, "g", "s", 10).collect()}
+    assert grouped == {g: rank(" ".join(t for h, _, t in texts if h == g).split()) for g in (0, 1, 2)}
+    pair = own.where("k = 0").select(F.col("s").alias("a")).crossJoin(own.where("k = 3").select(F.col("s").alias("b"))).select(text.merged(F.col("a"), F.col("b"), 10).alias("m")).first()
+    assert [tuple(x) for x in pair.m] == rank((texts[0][2] + " " + texts[3][2]).split())
