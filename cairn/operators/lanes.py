@@ -56,7 +56,7 @@ def lexical(docs: DataFrame, queries: DataFrame, budget: int = 32, most_tokens:
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_base"), "_tid"))
     last = F.max(F.when(F.col("_k") == budget, F.col("_base"))).over(Window.partitionBy("query_id"))
     near = base.withColumn("_k", nth).withColumn("_last", last).where(F.col("_last").isNull() | (F.col("_base") + 0.2 + 1e-9 >= F.col("_last")))
-    full = near.select("query_id", "_tid", "_base").join(texts, "_tid").join(asked.select("query_id", "_q").distinct(), "query_id")
+    full = near.select("query_id", "_tid", "_base").join(texts, "_tid").join(asked.select("query_id", "_q").distinct() if keys else asked.select("query_id", "_q"), "query_id")
     scored = full.withColumn("raw_score", F.round(F.col("_base") + F.when(F.contains(F.lower("text"), "_q"), 0.2).otherwise(0.0), 6))
     return ranked(scored.select("query_id", F.explode("_ids").alias("canonical_id"), "raw_score"), budget)
 

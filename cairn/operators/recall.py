@@ -64,7 +64,7 @@ def trusted(memories: DataFrame, evidence: DataFrame) -> DataFrame:
     return memories.join(judged, "memory_id", "left").where(F.coalesce("_ok", F.lit(True))).drop("_ok")
 
 
-def recallable(memories: DataFrame, evidence: DataFrame, queries: DataFrame, unit: int = 86_400) -> DataFrame:
+def recallable(memories: DataFrame, evidence: DataFrame, queries: DataFrame, unit: int = 32 * 86_400) -> DataFrame:
     """Every (query_id, memory_id) that the query may see, known at its system time and true at its world time.
 
     Memories and queries meet by scope and time: a memory's recorded interval is cut into
