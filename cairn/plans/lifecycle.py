@@ -8,6 +8,12 @@ from cairn.operators import lifecycle
 from cairn.sources.tables import load, with_views
 
 NOW = "1997-01-01"
+#: An item's own number as a command: orders of any number, parts up to a hundred million.
+COMMAND_ID = "l_orderkey * 1000000000 + l_partkey * 10 + l_linenumber"
+
+
+def _command_id():
+    return F.expr(COMMAND_ID)
 
 
 def _now():
@@ -123,11 +129,12 @@ SELECT p_partkey AS command_id, target, list_extract(['add', 'noop', 'merge', 'n
 
 
 def _reviews(spark, sf_dir):
-    item = load(spark, sf_dir, "lineitem")
-    return item.select((F.col("l_orderkey") * 1_000_000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("command_id"), F.col("l_orderkey").alias("memory_id"), (F.col("l_suppkey") % 4).alias("expected_version"), F.when(F.col("l_returnflag") == "R", "refuted").otherwise("confirmed").alias("decision")).dropDuplicates(["command_id"])
+    """Items as reviews; of an order's items with one part and number the least counts."""
+    item = load(spark, sf_dir, "lineitem").select(_command_id().alias("command_id"), F.col("l_orderkey").alias("memory_id"), (F.col("l_suppkey") % 4).alias("expected_version"), F.when(F.col("l_returnflag") == "R", "refuted").otherwise("confirmed").alias("decision"))
+    return item.groupBy("command_id", "memory_id").agg(F.min(F.struct("expected_version", "decision")).alias("_c")).select("command_id", "memory_id", "_c.*")
 
 
-_REVIEWS = "c AS (SELECT DISTINCT ON (command_id) * FROM (SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS command_id, l_orderkey AS memory_id, l_suppkey % 4 AS e, CASE WHEN l_returnflag = 'R' THEN 'refuted' ELSE 'confirmed' END AS decision FROM lineitem))"
+_REVIEWS = f"c AS (SELECT DISTINCT ON (command_id) * FROM (SELECT {COMMAND_ID} AS command_id, l_orderkey AS memory_id, l_suppkey % 4 AS e, CASE WHEN l_returnflag = 'R' THEN 'refuted' ELSE 'confirmed' END AS decision FROM lineitem) ORDER BY command_id, e, decision)"
 
 
 def memory_reviews(spark, sf_dir):
