@@ -67,13 +67,14 @@ CASE WHEN state = 'claimed' AND NOT (task_id % 3 <> 0 AND created_at + INTERVAL
 
 
 def task_endings(spark, sf_dir):
-    """Items as commands of their order's agent: checkpoints, completions and releases."""
+    """Items as commands of their order's agent: checkpoints, completions and releases; of an order's items with one part and number the least counts."""
     item = load(spark, sf_dir, "lineitem")
-    commands = item.select((F.col("l_orderkey") * 1_000_000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("command_id"), F.col("l_orderkey").alias("task_id"), (F.col("l_orderkey") * 2 + (F.col("l_suppkey") % 5 == 0).cast("int")).alias("lease_id"), F.when(F.col("l_returnflag") == "R", "complete").when(F.col("l_suppkey") % 4 == 1, "release").otherwise("checkpoint").alias("action"), F.col("l_shipdate").alias("at"))
-    return lifecycle.finish(commands.dropDuplicates(["command_id"]), _held(spark, sf_dir))
+    commands = item.select(_command_id().alias("command_id"), F.col("l_orderkey").alias("task_id"), (F.col("l_orderkey") * 2 + (F.col("l_suppkey") % 5 == 0).cast("int")).alias("lease_id"), F.when(F.col("l_returnflag") == "R", "complete").when(F.col("l_suppkey") % 4 == 1, "release").otherwise("checkpoint").alias("action"), F.col("l_shipdate").alias("at"))
+    least = commands.groupBy("command_id", "task_id").agg(F.min(F.struct("lease_id", "action", "at")).alias("_c"))
+    return lifecycle.finish(least.select("command_id", "task_id", "_c.*"), _held(spark, sf_dir))
 
 
-ENDING_SQL = """WITH c AS (SELECT DISTINCT ON (command_id) * FROM (SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS command_id, l_orderkey AS task_id, l_orderkey * 2 + CAST(l_suppkey % 5 = 0 AS INTEGER) AS lease_id, CASE WHEN l_returnflag = 'R' THEN 'complete' WHEN l_suppkey % 4 = 1 THEN 'release' ELSE 'checkpoint' END AS act, l_shipdate AS moment FROM lineitem)),
+ENDING_SQL = f"""WITH c AS (SELECT DISTINCT ON (command_id) * FROM (SELECT {COMMAND_ID} AS command_id, l_orderkey AS task_id, l_orderkey * 2 + CAST(l_suppkey % 5 = 0 AS INTEGER) AS lease_id, CASE WHEN l_returnflag = 'R' THEN 'complete' WHEN l_suppkey % 4 = 1 THEN 'release' ELSE 'checkpoint' END AS act, l_shipdate AS moment FROM lineitem) ORDER BY command_id, lease_id, act, moment),
 j AS (SELECT c.*, t.version AS v, coalesce(t.state = 'claimed' AND t.task_id * 2 = c.lease_id AND moment < t.created_at + INTERVAL 60 DAY, false) AS ok FROM c LEFT JOIN tasks t ON c.task_id = t.task_id),
 e AS (SELECT *, coalesce(sum(CAST(ok AND act <> 'checkpoint' AS INTEGER)) OVER (PARTITION BY task_id ORDER BY moment, command_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS ended FROM j)
 SELECT command_id, task_id, CASE WHEN v IS NULL THEN 'not_found' WHEN NOT ok THEN 'lease_lost' WHEN ended THEN 'already_ended' ELSE act END AS outcome, CAST(CASE WHEN ok AND NOT ended AND act = 'checkpoint' THEN sum(CAST(ok AND NOT ended AND act = 'checkpoint' AS INTEGER)) OVER w END AS BIGINT) AS sequence,
