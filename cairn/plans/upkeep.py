@@ -69,7 +69,7 @@ ORACLES = {
       UNION ALL SELECT m.id, 'revived', coalesce(m.was, 'tentative'), m.old, m.version + 1 FROM m JOIN hit ON m.id = hit.old WHERE NOT hit.stands""",
     "lease_renewals": """WITH e AS (SELECT l_orderkey AS task_id, l_shipdate AS t, 1 AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate >= o_orderdate UNION ALL SELECT o_orderkey, o_orderdate, 0 FROM orders),
       g AS (SELECT *, CASE WHEN t >= lag(t) OVER w + INTERVAL 30 DAY THEN 1 ELSE 0 END AS late FROM e WINDOW w AS (PARTITION BY task_id ORDER BY t, n)),
-      h AS (SELECT *, max(late) OVER (PARTITION BY task_id ORDER BY t, n ROWS UNBOUNDED PRECEDING) AS lapsed FROM g)
+      h AS (SELECT *, max(late) OVER (PARTITION BY task_id ORDER BY t, n RANGE UNBOUNDED PRECEDING) AS lapsed FROM g)
       SELECT task_id, strftime(max(t) + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') AS expires_at, CAST(sum(n) AS BIGINT) AS n_renewals FROM h WHERE lapsed = 0 GROUP BY 1""",
     "bootstrap_interval": f"""WITH d AS (SELECT p_brand, p_partkey, round(avg(l_quantity) FILTER (WHERE l_returnflag = 'R') - avg(l_quantity) FILTER (WHERE l_returnflag = 'A'), 6) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
       x AS (SELECT p_brand, v, b, CAST('0x' || substr(md5(p_partkey || ':' || b // 4), CAST(8 * (b % 4) + 1 AS INTEGER), 8) AS BIGINT) / 4294967296.0 AS u FROM (SELECT *, unnest(range(0, 200)) AS b FROM d WHERE v IS NOT NULL)),
