@@ -19,7 +19,7 @@ WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 MOST = {"day": 1000, "week": 520, "month": 120, "year": 100}
 
 NUMBERS = {w: i + 1 for i, w in enumerate(ONES)} | {w: 20 + 10 * i for i, w in enumerate(TENS)}
-_COUNT = rf"(?:\d{{1,5}}|(?:{'|'.join(TENS)})(?:[ -](?:{'|'.join(ONES[:9])}))?|{'|'.join(reversed(ONES))})"
+_COUNT = rf"(?:\d+|(?:{'|'.join(TENS)})(?:[ -](?:{'|'.join(ONES[:9])}))?|{'|'.join(reversed(ONES))})"
 _UNIT = rf"(?:{'|'.join(MOST)})s?"
 _AGO, _PAST = rf"{_COUNT} {_UNIT} ago", rf"past {_COUNT} (?:day|week|month)s?"
 _PERIOD = rf"(?:\d{{4}}-\d{{2}}(?:-\d{{2}})?|{_AGO}|{_PAST}|today|yesterday|tomorrow|(?:last|this|next) (?:week|month|year)|last (?:{'|'.join(WEEKDAYS)})|(?:this|last|past) weekend)(?![\w-])"
@@ -57,7 +57,8 @@ def period(p: Column, today: Column) -> Column:
 def _bounds(p: Column, today: Column, n: Column, written: Column, unit: Column) -> Column:
     most = F.create_map(*[F.lit(x) for kv in MOST.items() for x in kv])[unit]
     counted = written != ""
-    outside = counted & ~n.between(1, most)
+    # a count that no integer holds has no n
+    outside = counted & ~F.coalesce(n.between(1, most), F.lit(False))
     disagrees = counted & ((n == 1) != (written == unit))
     safe = F.when(counted & ~outside, n).otherwise(1)
     past, week = p.startswith("past ") & counted, F.trunc(today, "week")
