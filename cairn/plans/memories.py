@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import projection
 from cairn.operators import forgetting
-from cairn.sources.tables import load
+from cairn.sources.tables import load, spread
 
 
 def _described(spark, sf_dir):
@@ -16,7 +16,7 @@ def _described(spark, sf_dir):
         F.col("p_name").alias("note"),
         F.upper("p_type").alias("module"),
     ))
-    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("canonical_id"), F.sha2("p_name", 256).alias("digest"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_name")).alias("title"), F.concat(F.lit("see TICKET-"), "p_partkey", F.lit(" in  Core.run")).alias("content"), F.array("p_brand", "p_brand").alias("tags"), meta.alias("metadata"))
+    return spread(load(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("canonical_id"), F.sha2("p_name", 256).alias("digest"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_name")).alias("title"), F.concat(F.lit("see TICKET-"), "p_partkey", F.lit(" in  Core.run")).alias("content"), F.array("p_brand", "p_brand").alias("tags"), meta.alias("metadata"))
 
 
 def memory_terms(spark, sf_dir):
