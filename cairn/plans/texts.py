@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import identity, rendering, text
 from cairn.operators import extraction, work
-from cairn.sources.tables import load, typed, with_views
+from cairn.sources.tables import load, spread, typed, with_views
 
 SPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 UUID5 = "(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT sha1(unhex({0}) || encode({1})) AS h))"
@@ -63,7 +63,7 @@ ENRICH_SQL = """SELECT event_id, '{"k":"' || (props->>'$.k') || '","type":"' ||
 
 def hash_embeddings(spark, sf_dir):
     """Entries of the hashed vectors of the parts' texts."""
-    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("canonical_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    part = spread(load(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("canonical_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
     return work.hash_vectors(part, 64)
 
 
