@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.operators import graph, work
+from cairn.sources.shared import written
 from cairn.sources.tables import load, with_views
 
 TOK = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"
@@ -69,17 +71,19 @@ SELECT seed, count(*) AS n_reached, CAST(max(steps) AS BIGINT) AS depth, min(nod
 
 
 def lineage_links(spark, sf_dir):
-    """Lineage both ways from every twentieth order: orders of one customer whose dates follow within 90 days are linked."""
-    rows = _chain(spark, sf_dir)
-    edges = rows.where("supersedes IS NOT NULL").join(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("supersedes"), F.col("o_orderdate").alias("_d")), "supersedes").where("o_orderdate <= _d + INTERVAL 90 DAY")
-    nodes = rows.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("node"), F.col("recorded_to").isNull().alias("current"))
-    return graph.lineage(edges.select(F.col("o_orderkey").alias("src"), F.col("supersedes").alias("dst")), nodes, nodes.where("node % 20 = 0").select("node"))
+    """Lineage both ways from every order: orders of one customer whose dates follow within 90 days are linked."""
+    before = F.lag("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    near = F.col("o_orderdate") <= F.col("_d") + F.expr("INTERVAL 90 DAY")
+    chain = _chain(spark, sf_dir).withColumn("_d", before).where("o_orderstatus <> 'P'")
+    rows = written(chain.select(F.col("o_orderkey").alias("node"), F.col("recorded_to").isNull().alias("current"), F.when(near, F.col("supersedes")).alias("dst")), "chain")
+    nodes = rows.select("node", "current")
+    return graph.lineage(rows.where("dst IS NOT NULL").select(F.col("node").alias("src"), "dst"), nodes, nodes.select("node"))
 
 
 LINKS_SQL = """WITH RECURSIVE v AS (SELECT o_orderkey AS id, o_orderdate AS d, o_orderstatus <> 'P' AS ok, lag(o_orderkey) OVER w AS prev, lag(o_orderdate) OVER w AS pd, lead(o_orderkey) OVER w IS NULL AS cur FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
 e AS (SELECT DISTINCT v.id AS src, v.prev AS dst FROM v JOIN v AS p ON v.prev = p.id WHERE v.ok AND p.ok AND v.d <= v.pd + INTERVAL 90 DAY),
 b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-r AS (SELECT id AS seed, id AS node FROM v WHERE ok AND id % 20 = 0 UNION SELECT seed, dst FROM r JOIN b ON r.node = b.src),
+r AS (SELECT id AS seed, id AS node FROM v WHERE ok UNION SELECT seed, dst FROM r JOIN b ON r.node = b.src),
 c AS (SELECT seed, count(*) AS n_members, count(*) FILTER (WHERE cur) AS n_current FROM r JOIN v ON r.node = v.id GROUP BY 1),
 l AS (SELECT seed, count(*) AS n_links FROM r JOIN e ON r.node = e.src GROUP BY 1)
 SELECT c.seed, n_members, n_current, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN l ON c.seed = l.seed"""
