@@ -24,6 +24,8 @@ STOP_WORDS = (
 #: Points of an atom that is found in a memory and of a token that both have; the least score; the least share of a directive's best score (fixed values).
 ATOM, WORD, LEAST, SHARE = 120, 1, 3, 0.6
 SALT = "active-forgetting-v1"
+#: Most hashes of a scope that are kept in one row (bound of memory, not of results).
+FENCE = 4096
 
 
 def is_deletion(c: Column) -> Column:
@@ -80,7 +82,9 @@ def targets(directives: DataFrame, memories: DataFrame) -> DataFrame:
     best score.
 
     Pairs come from joins alone: an atom meets the memories of its scope that have the
-    rarest of its three-character pieces, and is then looked for in them.
+    rarest of its three-character pieces, and is then looked for in them.  Pieces and tokens
+    are many a text, which no estimate from the texts' own size tells: they are merged, as
+    a broadcast would take all of them through the driver.
     """
     own = memories.select("memory_id", "scope", text.fold(F.coalesce("text", F.lit(""))).alias("_t"), F.array_distinct(meaningful(F.col("text"))).alias("_w"))
     pieces = own.select("memory_id", "scope", F.explode(_grams(F.col("_t"))).alias("_g"))
@@ -89,11 +93,11 @@ def targets(directives: DataFrame, memories: DataFrame) -> DataFrame:
     width = F.least(F.length("_a"), F.lit(3))
     held = asked.select("directive_id", "scope", "_a", F.explode(F.filter(_grams(F.col("_a")), lambda g: F.length(g) == width)).alias("_g"))
     # an atom with a piece that no memory of the scope has is in none of them
-    rare = held.join(rarity, ["scope", "_g"], "left").groupBy("directive_id", "scope", "_a").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_r")).where("_r.n > 0")
-    near = rare.select("directive_id", "scope", "_a", F.col("_r._g").alias("_g")).join(pieces, ["scope", "_g"]).join(own.select("memory_id", "_t"), "memory_id")
+    rare = held.join(rarity.hint("merge"), ["scope", "_g"], "left").groupBy("directive_id", "scope", "_a").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_r")).where("_r.n > 0")
+    near = rare.select("directive_id", "scope", "_a", F.col("_r._g").alias("_g")).join(pieces.hint("merge"), ["scope", "_g"]).join(own.select("memory_id", "_t").hint("merge"), "memory_id")
     hits = near.where(F.contains("_t", "_a")).groupBy("directive_id", "memory_id").agg(F.count("*").alias("_atoms"))
     words = directives.select("directive_id", "scope", F.explode(F.array_distinct(meaningful(F.col("text")))).alias("_x"))
-    shared = words.join(own.select("memory_id", "scope", F.explode("_w").alias("_x")), ["scope", "_x"]).groupBy("directive_id", "memory_id").agg(F.count("*").alias("_words"))
+    shared = words.hint("merge").join(own.select("memory_id", "scope", F.explode("_w").alias("_x")), ["scope", "_x"]).groupBy("directive_id", "memory_id").agg(F.count("*").alias("_words"))
     pairs = hits.join(shared, ["directive_id", "memory_id"], "full_outer").select("directive_id", "memory_id", F.coalesce("_atoms", F.lit(0)).alias("_atoms"), F.coalesce("_words", F.lit(0)).alias("_words"))
     scored = pairs.where("_atoms > 0 OR _words >= 3").withColumn("score", ATOM * F.col("_atoms") + WORD * F.col("_words"))
     best = F.max("score").over(Window.partitionBy("directive_id"))
@@ -109,9 +113,19 @@ def fence(directives: DataFrame, salt: str = SALT) -> DataFrame:
 def decisions(texts: DataFrame, fences: DataFrame, salt: str = SALT) -> DataFrame:
     """``text_id``, ``decision``: forget (a deletion is never remembered), blocked (the fence has one of its atoms), or remember.
 
-    ``texts``: text_id, scope, text.
+    ``texts``: text_id, scope, text.  A text meets all hashes of its scope's fence in one
+    row, so its atoms stay where they are made.  Of a scope with more than ``FENCE`` hashes
+    the atoms are dealt by hash.
     """
-    own = with_atoms(texts, "text_id", "scope").select("text_id", "scope", fence_hash(F.col("_a"), salt).alias("hash"))
-    blocked = own.join(fences, ["scope", "hash"], "left_semi").select("text_id").distinct().withColumn("_b", F.lit(True))
-    rows = texts.join(blocked, "text_id", "left")
+    sizes = fences.groupBy("scope").agg(F.count("*").alias("_n"))
+    sized = fences.join(sizes.hint("merge"), "scope")
+    few = sized.where(F.col("_n") <= FENCE).groupBy("scope").agg(F.collect_list("hash").alias("_f"))
+    many = sized.where(F.col("_n") > FENCE).select("scope", "hash")
+    # the tokens are bound, so that they are made once a row and not once a run
+    hashed = F.flatten(F.transform(F.array(meaningful(F.col("text"))), lambda tokens: F.transform(atoms(F.col("text"), tokens), lambda a: fence_hash(a, salt))))
+    found = texts.join(few.hint("merge"), "scope").where(F.arrays_overlap("_f", hashed)).select("text_id")
+    rest = texts.join(many.select("scope").distinct(), "scope", "left_semi")
+    own = with_atoms(rest, "text_id", "scope").select("text_id", "scope", fence_hash(F.col("_a"), salt).alias("hash"))
+    blocked = found.unionByName(own.join(many.hint("merge"), ["scope", "hash"], "left_semi").select("text_id")).distinct().withColumn("_b", F.lit(True))
+    rows = texts.join(blocked.hint("merge"), "text_id", "left")
     return rows.select("text_id", F.when(is_deletion(F.col("text")), "forget").when(F.col("_b"), "blocked").otherwise("remember").alias("decision"))
