@@ -74,7 +74,7 @@ def task_endings(spark, sf_dir):
     return lifecycle.finish(least.select("command_id", "task_id", "_c.*"), _held(spark, sf_dir))
 
 
-ENDING_SQL = f"""WITH c AS (SELECT DISTINCT ON (command_id) * FROM (SELECT {COMMAND_ID} AS command_id, l_orderkey AS task_id, l_orderkey * 2 + CAST(l_suppkey % 5 = 0 AS INTEGER) AS lease_id, CASE WHEN l_returnflag = 'R' THEN 'complete' WHEN l_suppkey % 4 = 1 THEN 'release' ELSE 'checkpoint' END AS act, l_shipdate AS moment FROM lineitem) ORDER BY command_id, lease_id, act, moment),
+ENDING_SQL = f"""WITH c AS (SELECT DISTINCT ON (command_id, task_id) * FROM (SELECT {COMMAND_ID} AS command_id, l_orderkey AS task_id, l_orderkey * 2 + CAST(l_suppkey % 5 = 0 AS INTEGER) AS lease_id, CASE WHEN l_returnflag = 'R' THEN 'complete' WHEN l_suppkey % 4 = 1 THEN 'release' ELSE 'checkpoint' END AS act, l_shipdate AS moment FROM lineitem) ORDER BY command_id, lease_id, act, moment),
 j AS (SELECT c.*, t.version AS v, coalesce(t.state = 'claimed' AND t.task_id * 2 = c.lease_id AND moment < t.created_at + INTERVAL 60 DAY, false) AS ok FROM c LEFT JOIN tasks t ON c.task_id = t.task_id),
 e AS (SELECT *, coalesce(sum(CAST(ok AND act <> 'checkpoint' AS INTEGER)) OVER (PARTITION BY task_id ORDER BY moment, command_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS ended FROM j)
 SELECT command_id, task_id, CASE WHEN v IS NULL THEN 'not_found' WHEN NOT ok THEN 'lease_lost' WHEN ended THEN 'already_ended' ELSE act END AS outcome, CAST(CASE WHEN ok AND NOT ended AND act = 'checkpoint' THEN sum(CAST(ok AND NOT ended AND act = 'checkpoint' AS INTEGER)) OVER w END AS BIGINT) AS sequence,
@@ -135,7 +135,7 @@ def _reviews(spark, sf_dir):
     return item.groupBy("command_id", "memory_id").agg(F.min(F.struct("expected_version", "decision")).alias("_c")).select("command_id", "memory_id", "_c.*")
 
 
-_REVIEWS = f"c AS (SELECT DISTINCT ON (command_id) * FROM (SELECT {COMMAND_ID} AS command_id, l_orderkey AS memory_id, l_suppkey % 4 AS e, CASE WHEN l_returnflag = 'R' THEN 'refuted' ELSE 'confirmed' END AS decision FROM lineitem) ORDER BY command_id, e, decision)"
+_REVIEWS = f"c AS (SELECT DISTINCT ON (command_id, memory_id) * FROM (SELECT {COMMAND_ID} AS command_id, l_orderkey AS memory_id, l_suppkey % 4 AS e, CASE WHEN l_returnflag = 'R' THEN 'refuted' ELSE 'confirmed' END AS decision FROM lineitem) ORDER BY command_id, e, decision)"
 
 
 def memory_reviews(spark, sf_dir):
