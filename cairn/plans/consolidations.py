@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from cairn.operators import chains, consolidation
 from cairn.plans import retrieval
+from cairn.sources.shared import written
 from cairn.sources.tables import load
 
 
-def _memories(spark, sf_dir):
-    evidence = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("evidence_ids"))
-    rows = load(spark, sf_dir, "orders").join(evidence, "o_orderkey", "left")
-    return rows.select(
+def _plain(spark, sf_dir):
+    return load(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("memory_id"),
         (1 + F.col("o_orderkey") % 3).alias("version"),
         F.when(F.col("o_orderstatus") == "P", "refuted").otherwise("confirmed").alias("state"),
         F.concat_ws(" ", "o_orderpriority", (F.col("o_custkey") % 10).cast("string")).alias("content"),
         F.when(F.col("o_orderkey") % 5 == 0, "task").when(F.col("o_orderkey") % 3 == 0, "run").otherwise("repository").alias("visibility"),
         F.when(F.col("o_orderkey") % 5 == 0, F.col("o_custkey") % 4).alias("task_id"),
-        F.coalesce("evidence_ids", F.array().cast("array<bigint>")).alias("evidence_ids"),
         (1 - (F.col("o_orderkey") % 7) / 10).alias("confidence"),
     )
 
 
+def _memories(spark, sf_dir):
+    evidence = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("evidence_ids")).withColumn("memory_id", F.col("l_orderkey").cast("string")).drop("l_orderkey")
+    return _plain(spark, sf_dir).join(evidence, "memory_id", "left").withColumn("evidence_ids", F.coalesce("evidence_ids", F.array().cast("array<bigint>")))
+
+
 def plan_tables(spark, sf_dir):
     """Memories, plans, observations and actions: each order and the one before it of its customer are a plan.
 
@@ -33,8 +36,9 @@ def plan_tables(spark, sf_dir):
     """
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     pairs = load(spark, sf_dir, "orders").withColumn("before", F.lag("o_orderkey").over(order)).where("before IS NOT NULL").select(F.col("o_orderkey").alias("plan_id"), F.array("before", "o_orderkey").alias("ids"), (F.col("o_orderdate").cast("timestamp").cast("long") * 1_000_000 + F.col("o_orderkey")).alias("seq"))
+    pairs = written(pairs, "pairs")
     memories = _memories(spark, sf_dir)
-    seen = memories.select("memory_id", "version", consolidation.digest().alias("digest"), "content")
+    seen = _plain(spark, sf_dir).select("memory_id", "version", consolidation.digest().alias("digest"), "content")
     observed = pairs.select("plan_id", F.explode(F.transform("ids", lambda x: x.cast("string"))).alias("memory_id")).join(seen, "memory_id")
     observations = observed.select("plan_id", "memory_id", (F.col("version") - (F.col("plan_id") % 7 == 0).cast("int")).alias("version"), "digest")
     supports = pairs.select("plan_id", F.transform("ids", lambda x: x.cast("string")).alias("supports")).withColumn("target", F.col("supports")[0])
