@@ -82,8 +82,9 @@ def document_segments(spark, sf_dir):
 
 
 def source_sketches(spark, sf_dir):
-    """The sketch of all documents of each source, merged from the documents' own."""
-    own = load(spark, sf_dir, "documents").select("source", text.sketch(F.col("text")).alias("sketch"))
+    """The sketch of all documents of each source, merged from those of its words."""
+    words = text.words(load(spark, sf_dir, "documents"), "source", "text")
+    own = words.select("source", text.sketch(F.col("text")).alias("sketch"))
     rows = text.sketches(own, "source", "sketch")
     return rows.select("source", F.array_join(F.transform("sketch", lambda x: x["term"]), " ").alias("terms"))
 
