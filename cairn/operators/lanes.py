@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions import text
+from cairn.sources.tables import spread
 
 
 def top(candidates: DataFrame, budget: int, *order: Column) -> DataFrame:
@@ -31,7 +32,12 @@ def ranked(scored: DataFrame, budget: int) -> DataFrame:
 def exact(terms: DataFrame, queries: DataFrame, budget: int = 32, keys: tuple[str, ...] = ()) -> DataFrame:
     """``terms``: canonical_id, term; ``queries``: query_id, text.  Whole normalised queries equal to a term."""
     asked = queries.select("query_id", *keys, text.normalize_term(F.col("text")).alias("_t"))
-    found = terms.select("canonical_id", *keys, text.normalize_term(F.col("term")).alias("_t")).join(asked, ["_t", *keys]).select("query_id", "canonical_id").distinct()
+    # a term that repeats is normalised once, and no query takes more of it than its first ids
+    names = terms.select("term").distinct().withColumn("_t", text.normalize_term(F.col("term")))
+    matched = names.join(asked, "_t").select("term", "query_id", *keys).distinct()
+    nth = F.dense_rank().over(Window.partitionBy("term", *keys).orderBy("canonical_id"))
+    first = terms.select("canonical_id", "term", *keys).join(matched, ["term", *keys], "left_semi").withColumn("_n", nth).where(F.col("_n") <= budget)
+    found = first.join(matched, ["term", *keys]).select("query_id", "canonical_id").distinct()
     return ranked(found.withColumn("raw_score", F.lit(1.0)), budget)
 
 
@@ -50,12 +56,14 @@ def lexical(docs: DataFrame, queries: DataFrame, budget: int = 32, most_tokens:
     """
     asked = queries.select("query_id", *keys, F.lower("text").alias("_q"), text.tokens(F.col("text"), most_tokens).alias("_qt"))
     texts = _texts(docs, budget, keys)
-    own = texts.select("_tid", *keys, F.explode(text.tokens(F.col("text"))).alias("_t"))
-    hits = own.join(asked.select("query_id", *keys, F.size("_qt").alias("_size"), F.explode("_qt").alias("_t")), ["_t", *keys]).groupBy("query_id", "_tid", "_size").agg(F.count("*").alias("_n"))
-    base = hits.select("query_id", "_tid", (F.col("_n") / F.col("_size")).alias("_base"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_base"), "_tid"))
-    last = F.max(F.when(F.col("_k") == budget, F.col("_base"))).over(Window.partitionBy("query_id"))
-    near = base.withColumn("_k", nth).withColumn("_last", last).where(F.col("_last").isNull() | (F.col("_base") + 0.2 + 1e-9 >= F.col("_last")))
+    # few texts can have many pairs: tasks are dealt anew, by text
+    own = spread(texts.select("_tid", *keys, "text", F.size("_ids").alias("_m")), "_tid").select("_tid", "_m", *keys, F.explode(text.tokens(F.col("text"))).alias("_t"))
+    hits = own.join(asked.select("query_id", *keys, F.size("_qt").alias("_size"), F.explode("_qt").alias("_t")), ["_t", *keys]).groupBy("query_id", "_tid", "_size").agg(F.count("*").alias("_n"), F.max("_m").alias("_m"))
+    base = hits.select("query_id", "_tid", (F.col("_n") / F.col("_size")).alias("_base"), "_m")
+    # the budget counts ids, of which a text that repeats has many
+    ids = F.sum("_m").over(Window.partitionBy("query_id").orderBy(F.desc("_base"), "_tid").rowsBetween(Window.unboundedPreceding, 0))
+    last = F.max(F.when(F.col("_k") >= budget, F.col("_base"))).over(Window.partitionBy("query_id"))
+    near = base.withColumn("_k", ids).withColumn("_last", last).where(F.col("_last").isNull() | (F.col("_base") + 0.2 + 1e-9 >= F.col("_last")))
     full = near.select("query_id", "_tid", "_base").join(texts, "_tid").join(asked.select("query_id", "_q").distinct() if keys else asked.select("query_id", "_q"), "query_id")
     scored = full.withColumn("raw_score", F.round(F.col("_base") + F.when(F.contains(F.lower("text"), "_q"), 0.2).otherwise(0.0), 6))
     return ranked(scored.select("query_id", F.explode("_ids").alias("canonical_id"), "raw_score"), budget)

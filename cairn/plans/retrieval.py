@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text
 from cairn.operators import evaluation, fusion, lanes, recall
-from cairn.sources.tables import load, with_views
+from cairn.sources.tables import load, spread, with_views
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("canonical_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), "p_name", "p_type", "p_brand")
+    return spread(load(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("canonical_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), "p_name", "p_type", "p_brand")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
