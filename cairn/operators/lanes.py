@@ -57,7 +57,7 @@ def lexical(docs: DataFrame, queries: DataFrame, budget: int = 32, most_tokens:
     asked = queries.select("query_id", *keys, F.lower("text").alias("_q"), text.tokens(F.col("text"), most_tokens).alias("_qt"))
     texts = _texts(docs, budget, keys)
     # few texts can have many pairs: tasks are dealt anew, by text
-    own = spread(texts.select("_tid", *keys, "text", F.size("_ids").alias("_m")), "_tid").select("_tid", "_m", *keys, F.explode(text.tokens(F.col("text"))).alias("_t"))
+    own = spread(texts.select("_tid", *keys, "text", F.size("_ids").alias("_m")), "_tid").select("_tid", "_m", *keys, _each(text.tokens(F.col("text"))).alias("_t")).where("_t IS NOT NULL")
     hits = own.join(asked.select("query_id", *keys, F.size("_qt").alias("_size"), F.explode("_qt").alias("_t")), ["_t", *keys]).groupBy("query_id", "_tid", "_size").agg(F.count("*").alias("_n"), F.max("_m").alias("_m"))
     base = hits.select("query_id", "_tid", (F.col("_n") / F.col("_size")).alias("_base"), "_m")
     # the budget counts ids, of which a text that repeats has many
@@ -69,9 +69,14 @@ def lexical(docs: DataFrame, queries: DataFrame, budget: int = 32, most_tokens:
     return ranked(scored.select("query_id", F.explode("_ids").alias("canonical_id"), "raw_score"), budget)
 
 
+def _each(c: Column) -> Column:
+    """A row of each member of an array, or one null row: an inner explode filters on the array's size, which Spark moves down to every document and so makes the array there once more."""
+    return F.explode_outer(c)
+
+
 def _prefixes(sets: DataFrame, key: str, rarity: DataFrame, floor: float) -> DataFrame:
     """The rarest grams of each set: two sets with a likeness of ``floor`` share one of these."""
-    grams = sets.select(key, F.size("_g").alias("_size"), F.explode("_g").alias("_t")).join(rarity, "_t", "left")
+    grams = sets.select(key, F.size("_g").alias("_size"), _each(F.col("_g")).alias("_t")).where("_t IS NOT NULL").join(rarity, "_t", "left")
     nth = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("_df", F.lit(0)), "_t"))
     return grams.withColumn("_k", nth).where(F.col("_k") <= F.col("_size") - F.ceil(floor * F.col("_size")) + 1).select(key, "_size", "_t")
 
@@ -85,8 +90,8 @@ def fuzzy(docs: DataFrame, queries: DataFrame, floor: float = 0.25, budget: int
     """
     asked = queries.select("query_id", "text").distinct().where(F.length("text").between(3, 256)).select("query_id", text.trigrams(F.col("text")).alias("_g")).where(F.size("_g") > 0)
     texts = _texts(docs, budget, keys)
-    own = texts.select("_tid", text.trigrams(F.col("text")).alias("_g")).where(F.size("_g") > 0)
-    rarity = own.select(F.explode("_g").alias("_t")).groupBy("_t").agg(F.count("*").alias("_df"))
+    own = texts.select("_tid", text.trigrams(F.col("text")).alias("_g"))
+    rarity = own.select(_each(F.col("_g")).alias("_t")).where("_t IS NOT NULL").groupBy("_t").agg(F.count("*").alias("_df"))
     left, right = _prefixes(asked, "query_id", rarity, floor), _prefixes(own, "_tid", rarity, floor).withColumnRenamed("_size", "_own")
     fits = (F.col("_own") >= floor * F.col("_size")) & (floor * F.col("_own") <= F.col("_size"))
     if keys:
@@ -105,7 +110,8 @@ def temporal(docs: DataFrame, queries: DataFrame, budget: int = 16) -> DataFrame
     ``truncated``: whether the query had more candidates than ``budget``.
     """
     apart = F.abs(F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("target").cast("timestamp"))) / 86_400_000_000
-    scored = docs.join(queries, "scope").withColumn("raw_score", F.round(1 / (1 + apart), 6)).withColumn("_apart", apart)
+    # a few queries can have many pairs: they are dealt over all tasks
+    scored = docs.join(spread(queries, "query_id"), "scope").withColumn("raw_score", F.round(1 / (1 + apart), 6)).withColumn("_apart", apart)
     # one more than the budget is fetched, to know
     more = top(scored, budget + 1, F.asc("_apart"), F.asc("at"), F.asc("canonical_id"))
     more = more.withColumn("truncated", F.max(F.col("rank") > budget).over(Window.partitionBy("query_id")))

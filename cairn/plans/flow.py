@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cairn.operators import flow, vectors
 from cairn.plans.retrieval import _GRAMS, TOK
-from cairn.sources.tables import load
+from cairn.sources.shared import written
+from cairn.sources.tables import load, spread
 
 EPOCH = "TIMESTAMP '1995-01-01'"
 
@@ -15,7 +16,8 @@ def whole_recall(spark, sf_dir):
     """Lanes, fusion, graph, second fusion, check, relevance, floor and packing: two scopes a query, two purposes, some queries without a token, some with a budget."""
     part = load(spark, sf_dir, "part")
     at = F.expr(f"CAST({EPOCH} AS TIMESTAMP_NTZ) + make_dt_interval(CAST(p_retailprice AS INT))")
-    memories = part.select(F.col("p_partkey").alias("canonical_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), F.concat_ws(" ", "p_name", "p_type").alias("lookup"), F.array("p_name", "p_type", "p_brand", F.concat_ws(" ", "p_name", "p_type")).alias("terms"), F.col("p_size").alias("scope_key"), at.alias("at"), (F.col("p_partkey") % 13 != 0).alias("recallable"))
+    memories = spread(part, "p_partkey").select(F.col("p_partkey").alias("canonical_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), F.concat_ws(" ", "p_name", "p_type").alias("lookup"), F.array("p_name", "p_type", "p_brand", F.concat_ws(" ", "p_name", "p_type")).alias("terms"), F.col("p_size").alias("scope_key"), at.alias("at"), (F.col("p_partkey") % 13 != 0).alias("recallable"))
+    memories = written(memories, "memories")  # each lane reads them
     first = part.groupBy("p_name", "p_type").agg(F.min_by(F.struct(F.col("p_partkey").alias("id"), "p_size", at.alias("at")), "p_partkey").alias("f"))
     k = F.col("f.id")
     words = F.when(k % 3 == 0, F.concat_ws(" ", "p_name", "p_type")).otherwise(F.concat(F.lit("which "), "p_name", F.lit(" is "), "p_type"))
