@@ -93,7 +93,7 @@ def _needs(spark, sf_dir, line):
     """Needs between sizes of parts within a supplier: an item's part needs the size that its quantity names."""
     item = load(spark, sf_dir, "lineitem").where(f"l_linenumber = {line}")
     part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("long").alias("src"))
-    rows = item.join(part, "l_partkey").select(F.col("l_suppkey").alias("scope"), "src", F.col("l_quantity").cast("long").alias("dst"), "l_orderkey", "l_returnflag", "l_shipdate")
+    rows = item.join(part.hint("merge"), "l_partkey").select(F.col("l_suppkey").alias("scope"), "src", F.col("l_quantity").cast("long").alias("dst"), "l_orderkey", "l_returnflag", "l_shipdate")
     return rows.where("l_returnflag = 'R'") if line == 1 else rows
 
 
