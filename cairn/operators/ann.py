@@ -14,6 +14,8 @@ from cairn.sources.shared import written
 
 #: Most vectors that the cells are fitted on, and most cells.
 SAMPLE, CELLS = 16_384, 256
+#: Vectors that are placed at once.
+PLACED = 2048
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -41,13 +43,15 @@ def _placed(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                likeness = _matrix(batch.column(1)) @ centres.T
-                cell = np.argpartition(-likeness, probes - 1, axis=1)[:, :probes]
-                again = pa.array(np.repeat(np.arange(batch.num_rows), probes))
-                yield pa.RecordBatch.from_arrays([*(c.take(again) for c in batch.columns), pa.array(cell.ravel().astype(np.int32))], names=["id", "vector", "cell"])
-
-    return rows.mapInArrow(place, "id long, vector array<double>, cell int")
+            for at in range(0, batch.num_rows, PLACED):
+                part = batch.slice(at, PLACED)
+                likeness = _matrix(part.column(1)) @ centres.T
+                cell = np.argpartition(-likeness, probes - 1, axis=1)[:, :probes].astype(np.int32)
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(0, cell.size + 1, probes, dtype=np.int32)), pa.array(cell.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, cells], names=["id", "vector", "cells"])
+
+    # vectors are repeated by Spark, row by row, never in a batch
+    return rows.mapInArrow(place, "id long, vector array<double>, cells array<int>").select("id", "vector", F.explode("cells").alias("cell"))
 
 
 def approximate(vectors: DataFrame, queries: DataFrame, budget: int = 10, share: float = 0.65, floor: float = 0.0) -> DataFrame:

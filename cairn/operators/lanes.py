@@ -120,6 +120,8 @@ def temporal(docs: DataFrame, queries: DataFrame, budget: int = 16) -> DataFrame
 
 #: Vectors, or query vectors, of one key that meet in a task at once.
 BLOCK = 4096
+#: Rows that a meeting gives at most (without ties), and scores that it makes at once.
+FOUND, SCORES = 1 << 20, 1 << 20
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, limit: int, keys: tuple[str, ...] = (), floor: float = 0.0, self_too: bool = False) -> DataFrame:
@@ -134,8 +136,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int, keys: tuple[str,
     key = [*keys, "_length"]
     own = vectors.where("canonical_id IS NOT NULL AND vector IS NOT NULL").select(F.col("canonical_id").cast("long").alias("_id"), F.col("vector").cast("array<double>").alias("_v"), F.size("vector").alias("_length"), *keys)
     asked = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").select(F.col("query_id").cast("long").alias("_id"), F.col("vector").cast("array<double>").alias("_v"), F.size("vector").alias("_length"), *keys)
-    count = lambda d, name: d.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    blocks = count(own, "_nv").join(count(asked, "_nq"), key)
+    count = lambda d, name, size: d.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    # the more a query fetches, the fewer queries meet a block of vectors at once
+    blocks = count(own, "_nv", BLOCK).join(count(asked, "_nq", max(1, min(BLOCK, FOUND // min(limit, BLOCK)))), key)
     part = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = own.join(blocks, key).select(*key, "_id", "_v", part("_nv").alias("_pv"), every("_nq").alias("_pq"))
@@ -155,10 +158,12 @@ def _meeting(keys: tuple[str, ...], limit: int, floor: float, self_too: bool):
             return pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), *((k, y[k].type) for k in keys), ("canonical_id", pa.int64()), ("raw_score", pa.float64()))})
         v, q = (_unit(np.stack(t["_v"].combine_chunks().to_numpy(zero_copy_only=False))) for t in (x, y))
         found = []
-        for a in range(0, len(ids), 1024):
-            score = np.clip(q[a : a + 1024] @ v.T, 0, 1)
+        step = max(1, SCORES // len(own))
+        for a in range(0, len(ids), step):
+            score = q[a : a + step] @ v.T
+            np.clip(score, 0, 1, out=score)
             if not self_too:
-                score[ids[a : a + 1024, None] == own] = -1
+                score[ids[a : a + step, None] == own] = -1
             k = min(limit, len(own))
             pick = np.argpartition(-score, k - 1, axis=1)[:, :k]
             # ties at the edge of a block: all rows as good as the last one stay
