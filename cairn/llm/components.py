@@ -1,8 +1,8 @@
 """Connected components of a table of links, by alternating large and small stars.
 
 Every half step replaces a node's neighbours' links by links to their smallest one:
-minima are partial aggregates, and the join back reads written tables, so a node that
-holds a third of all links is split by adaptive execution.  Links and components stay
+minima are partial aggregates, and the join back merges written tables, so a node that
+holds a third of all links is split by adaptive execution and no table is broadcast.  Links and components stay
 in tables; the driver sees a count and a checksum per round.
 """
 
@@ -16,7 +16,7 @@ from .textkit import written
 
 def _half(links: DataFrame) -> DataFrame:
     least = written(links.groupBy("_u").agg(F.min("_v").alias("_least")), "least")
-    return links.join(least, "_u")
+    return links.join(least.hint("merge"), "_u")
 
 
 def _state(links: DataFrame) -> tuple:

@@ -142,7 +142,8 @@ def near_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     replicas = fps.select("_fp").mapInArrow(tk.tidy(_replicas(reach)), "_anchor long, _fp long")
     # counted by partial aggregates and joined back, so that a crowded anchor is split like any skewed join
     shared = replicas.groupBy("_anchor").agg(F.count("*").alias("_n")).where("_n > 1")
-    counted = replicas.join(shared, "_anchor").select("_anchor", "_fp", "_n")
+    # merged: Spark sizes what a function makes of the fingerprints as if it were few, and would take all shared anchors through the driver
+    counted = replicas.join(shared.hint("merge"), "_anchor").select("_anchor", "_fp", "_n")
     blocks = F.ceil(F.col("_n") / GROUP).cast("int")
     own = F.pmod(F.xxhash64("_fp"), blocks).cast("int")
     pairs = counted.select("_anchor", "_fp", own.alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
@@ -174,12 +175,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
         made = written(add_fingerprints(docs.select(own, F.col(text_col).alias("_text"), *carry), "_fp", "_text").drop("_text"), "fingerprints")
     distinct = written(made.groupBy("_fp").agg(F.min("_id").alias("_first")), "distinct")
     nodes = connected(near_links(distinct, threshold))
-    linked = written(distinct.join(nodes, distinct["_fp"] == nodes["_node"]).select("_fp", "_root", "_first"), "linked")
+    linked = written(distinct.join(nodes.hint("merge"), distinct["_fp"] == nodes["_node"]).select("_fp", "_root", "_first"), "linked")
     least = written(linked.groupBy("_root").agg(F.min("_first").alias("_component")), "classes")
-    alone = distinct.join(linked.select("_fp"), "_fp", "left_anti").select("_fp", F.col("_fp").alias("_root"), F.col("_first").alias("_component"))
-    of = written(linked.join(least, "_root").select("_fp", "_root", "_component").unionByName(alone), "of")
+    alone = distinct.join(linked.select("_fp").hint("merge"), "_fp", "left_anti").select("_fp", F.col("_fp").alias("_root"), F.col("_first").alias("_component"))
+    of = written(linked.join(least.hint("merge"), "_root").select("_fp", "_root", "_component").unionByName(alone), "of")
     digits = F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint")
-    return made.join(of, "_fp").select(F.col("_id").alias(id_col), digits, F.col("_component").alias("component_id"), F.col("_root").alias("root_fingerprint"), *carry)
+    return made.join(of.hint("merge"), "_fp").select(F.col("_id").alias(id_col), digits, F.col("_component").alias("component_id"), F.col("_root").alias("root_fingerprint"), *carry)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
