@@ -64,8 +64,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     lead = of.groupBy("root_fingerprint").agg(F.min(order).alias("lead"))
     kept = textkit.written(lead.select(F.col("lead.doc_id").alias("_cairn_lead_id"), F.col("lead.h").alias("_cairn_lead_hash")), "kept")
     same = F.col("doc_id").eqNullSafe(F.col("_cairn_lead_id")) & (F.col("_cairn_hash") == F.col("_cairn_lead_hash"))
-    rows = keyed.join(kept, same, "left_semi")
-    if of.join(kept, same, "left_semi").count() > kept.count():  # rows that share doc_id and text
+    # as many as there are components: merged, not taken through the driver
+    rows = keyed.join(kept.hint("merge"), same, "left_semi")
+    if of.join(kept.hint("merge"), same, "left_semi").count() > kept.count():  # rows that share doc_id and text
         # columns of any type have an order as JSON; rows of equal JSON are equal
         other = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
         rest = Window.partitionBy("doc_id", "_cairn_hash").orderBy(F.xxhash64(F.to_json(F.struct(*other))) if other else F.lit(0))
