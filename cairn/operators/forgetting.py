@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text
+from cairn.sources.shared import written
 
 #: Patterns (fixed values): tokens, quotations, phone numbers, and texts that ask for a deletion.
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9_@./:+-]*"
@@ -26,6 +27,8 @@ ATOM, WORD, LEAST, SHARE = 120, 1, 3, 0.6
 SALT = "active-forgetting-v1"
 #: Most hashes of a scope that are kept in one row (bound of memory, not of results).
 FENCE = 4096
+#: Most atoms and tokens of a scope's directives that are looked for in its texts one by one (bound of work, not of results).
+LISTED = 1024
 
 
 def is_deletion(c: Column) -> Column:
@@ -73,32 +76,62 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(one, piece(1)), F.transform(two, piece(2)), F.transform(three, piece(3))))
 
 
-def targets(directives: DataFrame, memories: DataFrame) -> DataFrame:
-    """``directive_id``, ``memory_id``, ``score``: the memories that a directive means.
+def _beside(memories: DataFrame, few: DataFrame) -> DataFrame:
+    """``directive_id``, ``memory_id``, ``_atoms``, ``_x``: what a memory holds of each directive of its scope, which it meets in one row."""
+    # text and tokens are bound, so that they are made once a row and not once an atom
+    own = F.array(F.struct(text.fold(F.coalesce("text", F.lit(""))).alias("t"), F.array_distinct(meaningful(F.col("text"))).alias("w")))
+    held = lambda m: lambda d: F.struct(d["directive_id"].alias("directive_id"), F.size(F.filter(d["_a"], lambda a: F.contains(m["t"], a))).alias("n"), F.array_intersect(d["_w"], m["w"]).alias("x"))
+    found = F.flatten(F.transform(own, lambda m: F.filter(F.transform("_d", held(m)), lambda p: (p["n"] > 0) | (F.size(p["x"]) > 0))))
+    # an inner explode would make the array once more, to filter on its size
+    rows = memories.join(few.hint("merge"), "scope").select("memory_id", F.explode_outer(found).alias("_p")).where("_p IS NOT NULL")
+    return rows.select("_p.directive_id", "memory_id", F.col("_p.n").cast("long").alias("_atoms"), F.col("_p.x").alias("_x"))
 
-    ``directives``: directive_id, scope, text; ``memories``: memory_id, scope, text.  An
-    atom counts where the memory's text holds it, across tokens too; pairs without one need
-    three tokens in common.  Of a directive's memories those stay that reach 0.6 of its
-    best score.
 
-    Pairs come from joins alone: an atom meets the memories of its scope that have the
-    rarest of its three-character pieces, and is then looked for in them.  Pieces and tokens
-    are many a text, which no estimate from the texts' own size tells: they are merged, as
-    a broadcast would take all of them through the driver.
+def _by_pieces(memories: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same from joins alone: an atom meets the memories of its scope that have the rarest of its three-character pieces, and is then looked for in them.
+
+    Pieces and tokens are many a text, which no estimate from the texts' own size tells:
+    they are merged, as a broadcast would take all of them through the driver.
     """
     own = memories.select("memory_id", "scope", text.fold(F.coalesce("text", F.lit(""))).alias("_t"), F.array_distinct(meaningful(F.col("text"))).alias("_w"))
-    pieces = own.select("memory_id", "scope", F.explode(_grams(F.col("_t"))).alias("_g"))
+    pieces = own.select("memory_id", "scope", F.explode_outer(_grams(F.col("_t"))).alias("_g")).where("_g IS NOT NULL")
     rarity = pieces.groupBy("scope", "_g").agg(F.count("*").alias("_n"))
-    asked = with_atoms(directives, "directive_id", "scope")
+    atom = asked.select("directive_id", "scope", F.explode("_a").alias("_a"))
     width = F.least(F.length("_a"), F.lit(3))
-    held = asked.select("directive_id", "scope", "_a", F.explode(F.filter(_grams(F.col("_a")), lambda g: F.length(g) == width)).alias("_g"))
+    held = atom.select("directive_id", "scope", "_a", F.explode(F.filter(_grams(F.col("_a")), lambda g: F.length(g) == width)).alias("_g"))
     # an atom with a piece that no memory of the scope has is in none of them
     rare = held.join(rarity.hint("merge"), ["scope", "_g"], "left").groupBy("directive_id", "scope", "_a").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_r")).where("_r.n > 0")
     near = rare.select("directive_id", "scope", "_a", F.col("_r._g").alias("_g")).join(pieces.hint("merge"), ["scope", "_g"]).join(own.select("memory_id", "_t").hint("merge"), "memory_id")
-    hits = near.where(F.contains("_t", "_a")).groupBy("directive_id", "memory_id").agg(F.count("*").alias("_atoms"))
-    words = directives.select("directive_id", "scope", F.explode(F.array_distinct(meaningful(F.col("text")))).alias("_x"))
-    shared = words.hint("merge").join(own.select("memory_id", "scope", F.explode("_w").alias("_x")), ["scope", "_x"]).groupBy("directive_id", "memory_id").agg(F.count("*").alias("_words"))
-    pairs = hits.join(shared, ["directive_id", "memory_id"], "full_outer").select("directive_id", "memory_id", F.coalesce("_atoms", F.lit(0)).alias("_atoms"), F.coalesce("_words", F.lit(0)).alias("_words"))
+    hits = near.where(F.contains("_t", "_a")).groupBy("directive_id", "memory_id").agg(F.count("*").alias("_atoms"), F.array().cast("array<string>").alias("_x"))
+    words = asked.select("directive_id", "scope", F.explode("_w").alias("_x"))
+    shared = words.hint("merge").join(own.select("memory_id", "scope", F.explode("_w").alias("_x")), ["scope", "_x"])
+    return hits.unionByName(shared.select("directive_id", "memory_id", F.lit(0).cast("long").alias("_atoms"), F.array("_x").alias("_x")))
+
+
+def targets(directives: DataFrame, memories: DataFrame) -> DataFrame:
+    """``directive_id``, ``memory_id``, ``score``: the memories that a directive means.
+
+    ``directives``: directive_id, scope, text; ``memories``: memory_id, scope, text.  An
+    atom counts where the memory's text holds it, across tokens too; pairs without one need
+    three tokens in common.  Of a directive's memories those stay that reach 0.6 of its
+    best score.
+
+    A memory meets all that its scope's directives ask for in one row, so its text stays
+    where it is read for them.  Of a scope whose directives have more than ``LISTED`` atoms
+    and tokens, these meet the memories by their pieces.
+    """
+    made = directives.select("directive_id", "scope", "text", meaningful(F.col("text")).alias("_tokens"))
+    each = made.select("directive_id", "scope", atoms(F.col("text"), F.col("_tokens")).alias("_a"), F.array_distinct("_tokens").alias("_w"))
+    asked = written(each.groupBy("directive_id", "scope").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("_a", "_w"))), "asked")
+    sizes = asked.groupBy("scope").agg(F.sum(F.size("_a") + F.size("_w")).alias("_n"))
+    sized = asked.join(sizes.hint("merge"), "scope")
+    few = sized.where(F.col("_n") <= LISTED).groupBy("scope").agg(F.collect_list(F.struct("directive_id", "_a", "_w")).alias("_d"))
+    many = sized.where(F.col("_n") > LISTED).select("directive_id", "scope", "_a", "_w")
+    own = memories.select("memory_id", "scope", "text")
+    found = _beside(own, few)
+    if not many.isEmpty():
+        found = found.unionByName(_by_pieces(own.join(many.select("scope").distinct().hint("merge"), "scope", "left_semi"), many))
+    pairs = found.groupBy("directive_id", "memory_id").agg(F.sum("_atoms").alias("_atoms"), F.size(F.array_distinct(F.flatten(F.collect_list("_x")))).alias("_words"))
     scored = pairs.where("_atoms > 0 OR _words >= 3").withColumn("score", ATOM * F.col("_atoms") + WORD * F.col("_words"))
     best = F.max("score").over(Window.partitionBy("directive_id"))
     reached = F.greatest(F.lit(LEAST).cast("long"), F.floor(F.lit(SHARE) * F.col("_best")))
